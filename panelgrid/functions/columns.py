@@ -69,7 +69,7 @@ def ramp(y: Column, low: Column, target: Column, role: Column, exponent: float =
     fraction = F.least(F.greatest(F.try_divide(y - low, target - low), F.lit(0.0)), F.lit(1.0))
     if exponent != 1.0:
         fraction = F.pow(fraction, F.lit(exponent))
-    return F.when(target > low, F.when(role == "exclusion", F.lit(1.0) - fraction).otherwise(fraction))
+    return F.when(y.isNotNull() & (target > low), F.when(role == "exclusion", F.lit(1.0) - fraction).otherwise(fraction))
 
 
 def flip_role(role: Column) -> Column:

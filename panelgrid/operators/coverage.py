@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelgrid.functions.distribution import medians
+
 
 
 def measured() -> Column:
@@ -153,11 +155,12 @@ def entity_master(spine: DataFrame, sets: dict[str, DataFrame], counts: dict[str
 
 def screen_context(screens: DataFrame) -> DataFrame:
     """Per entity: screens, passes, any and all passing, means, a median and the library list."""
+    middle = medians(screens, ["entity"], "doubling", "median_doubling").drop("n")
     return screens.groupBy("entity").agg(
         F.count(F.lit(1)).alias("n_screens"), F.count(F.when(F.col("passes"), 1)).alias("n_passing"),
         F.coalesce(F.bool_or("passes"), F.lit(False)).cast("int").alias("any_passes"), F.coalesce(F.bool_and("passes"), F.lit(False)).cast("int").alias("all_pass"),
-        F.avg("score").alias("mean_score"), F.median("doubling").alias("median_doubling"),
-        F.concat_ws("|", F.sort_array(F.collect_set("library"))).alias("libraries"), F.count_distinct("library").alias("n_libraries"))
+        F.avg("score").alias("mean_score"), F.concat_ws("|", F.sort_array(F.collect_set("library"))).alias("libraries"),
+        F.count_distinct("library").alias("n_libraries")).join(middle, "entity", "left")
 
 
 def admission_gate(metrics: DataFrame, min_coverage: float, max_bias: float, min_groups: int) -> DataFrame:

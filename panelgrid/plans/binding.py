@@ -12,6 +12,9 @@ import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelgrid.sources.sinks import scratch_path, write_table
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -121,29 +124,37 @@ BINDINGS: dict[str, str] = {
         FROM li WHERE partner IS NOT NULL""",
 }
 
+# Tables that are built once per data folder and read back, like any curated table: name -> clustering.
+STORED = {
+    "cells": ("feature", "entity"), "mutations": ("feature", "entity"), "fusions": ("feature", "entity"),
+    "signatures": ("entity",), "coverage": ("entity",),
+}
+
 _NAMES = re.compile(r"[A-Za-z_]\w*")
 
 
 @lru_cache(maxsize=None)
-def _needs(name: str) -> tuple[str, ...]:
+def _needs(name: str, given: frozenset[str]) -> tuple[str, ...]:
     """The bindings that `name` is built from, itself last."""
+    if name in given:
+        return (name,)
     order = list(BINDINGS)
-    return _closure(BINDINGS[name], tuple(order[:order.index(name)])) + (name,)
+    return _closure(BINDINGS[name], tuple(order[:order.index(name)]), given) + (name,)
 
 
-def _closure(sql: str, allowed: tuple[str, ...]) -> tuple[str, ...]:
+def _closure(sql: str, allowed: tuple[str, ...], given: frozenset[str]) -> tuple[str, ...]:
     used = set(_NAMES.findall(re.sub(r"'[^']*'", "''", sql)))
     out: dict[str, None] = {}
     for name in allowed:
         if name in used:
-            out.update(dict.fromkeys(_needs(name)))
+            out.update(dict.fromkeys(_needs(name, given)))
     return tuple(out)
 
 
-def with_bindings(sql: str) -> str:
-    """`sql` preceded by the definitions of every binding it mentions."""
-    names = _closure(sql, tuple(BINDINGS))
-    defs = [f"{n} AS ({BINDINGS[n].strip()})" for n in BINDINGS if n in names]
+def with_bindings(sql: str, given: frozenset[str] = frozenset()) -> str:
+    """`sql` preceded by the definitions of every binding it mentions, except the `given` ones."""
+    names = _closure(sql, tuple(BINDINGS), given)
+    defs = [f"{n} AS ({BINDINGS[n].strip()})" for n in BINDINGS if n in names and n not in given]
     body = sql.strip()
     if not defs:
         return body
@@ -152,6 +163,9 @@ def with_bindings(sql: str) -> str:
     return "WITH " + ",\n".join(defs) + "\n" + body
 
 
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
 class Bound:
     """The given tables and the bindings over them for one data folder."""
 
@@ -162,14 +176,45 @@ class Bound:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, building: str | None = None) -> DataFrame:
         """Run SQL over bindings and given tables."""
+        given = frozenset(n for n in STORED if n != building)
+        full = with_bindings(text, given)
+        used = set(_NAMES.findall(full))
+        for name in STORED:
+            if name in used and name in _closure(text, tuple(BINDINGS), given) and name != building:
+                self.stored(name).createOrReplaceTempView(name)
         for name in TABLES:
-            if re.search(rf"\b{name}\b", with_bindings(text)):
+            if name in used:
                 self.table(name).createOrReplaceTempView(name)
-        return self.spark.sql(with_bindings(text))
+        return self.spark.sql(full)
+
+    def stored(self, name: str) -> DataFrame:
+        """A curated table, written once to the shared folder and read back.
+
+        Recomputing it in each branch of each query would repeat the join and the aggregate over
+        the line items; a written table is scanned with feature and column pruning instead.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _BUILT:
+            path = scratch_path(self.spark, name)
+            write_table(self.sql(f"SELECT * FROM {name}", building=name), path, STORED[name])
+            _BUILT[key] = path
+        return self.spark.read.parquet(_BUILT[key])
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._frames:
-            self._frames[name] = self.sql(f"SELECT * FROM {name}") if name in BINDINGS else self.table(name)
+            if name == "coverage_long":
+                frame = self._coverage_long()
+            elif name in STORED:
+                frame = self.stored(name)
+            else:
+                frame = self.sql(f"SELECT * FROM {name}") if name in BINDINGS else self.table(name)
+            self._frames[name] = frame
         return self._frames[name]
+
+    def _coverage_long(self) -> DataFrame:
+        """The same rows as the binding, in one pass over the coverage table."""
+        wide = self("coverage")
+        states = [c for c in wide.columns if c.endswith("_state")]
+        return wide.unpivot(["entity", "grp", "subgroup"], [F.col(c).alias(c[:-6]) for c in states], "layer", "state")

@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 
 def rd(expr: str, digits: int = 9) -> str:
     """SQL text that rounds half up on the decimal value, as Spark's round does."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(28,{min(digits + 3, 14)})),{digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({expr} AS DECIMAL(30,{min(digits + 6, 16)})),{digits}) AS DOUBLE)"
