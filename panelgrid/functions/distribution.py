@@ -31,10 +31,14 @@ def _with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
-def value_positions(df: DataFrame, keys: list[str], value: str, bounded: bool = False) -> DataFrame:
-    """One row per distinct (keys, value): `cnt`, `before` (rows with smaller values), `n`."""
+def value_positions(df: DataFrame, keys: list[str], value: str, bounded: bool = False, weight: str | None = None) -> DataFrame:
+    """One row per distinct (keys, value): `cnt`, `before` (rows with smaller values), `n`.
+
+    With ``weight`` a row counts that many times.
+    """
     df, keys = _with_keys(df, keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias("cnt"))
     if bounded or is_small(df):
         order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         return counts.select(
@@ -88,14 +92,16 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, bounded:
     return ranked.drop(_ALL)
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bounded: bool = False) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bounded: bool = False, weight: str | None = None) -> DataFrame:
     """Linear-interpolation percentiles and `n` per key group, one row per group."""
     frame, all_keys = _with_keys(df, keys)
     if bounded or is_small(df):
-        qs = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs.values()]))
-        out = frame.where(F.col(value).isNotNull()).groupBy(*all_keys).agg(qs.alias("_q"), F.count(F.lit(1)).alias("n"))
+        wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
+        qs = F.percentile(F.col(value), wanted) if weight is None else F.percentile(F.col(value), wanted, F.col(weight))
+        rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+        out = frame.where(F.col(value).isNotNull()).groupBy(*all_keys).agg(qs.alias("_q"), rows.alias("n"))
         return out.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)], "n")
-    places = value_positions(frame, all_keys, value)
+    places = value_positions(frame, all_keys, value, weight=weight)
     return percentiles_from_positions(places, all_keys, value, probs).drop(_ALL)
 
 
@@ -141,6 +147,7 @@ def group_residual(df: DataFrame, group: list[str], values: list[str], min_n: in
     """Centre each value on its group median, keeping groups with at least ``min_n`` rows.
 
     Adds `<value>_adj` and `group_n`. The medians are one small row per group, joined back.
+    Residuals are rounded to 9 digits, so that equal ones tie in later ranks.
     """
     out = df
     for i, value in enumerate(values):
@@ -149,7 +156,7 @@ def group_residual(df: DataFrame, group: list[str], values: list[str], min_n: in
             centre = centre.withColumnRenamed("n", "group_n").where(F.col("group_n") >= min_n)
         else:
             centre = centre.drop("n")
-        out = out.join(centre, group).withColumn(f"{value}_adj", F.col(value) - F.col(f"_med_{value}")).drop(f"_med_{value}")
+        out = out.join(centre, group).withColumn(f"{value}_adj", F.round(F.col(value) - F.col(f"_med_{value}"), 9)).drop(f"_med_{value}")
     return out
 
 

@@ -147,14 +147,15 @@ def feature_constants(measures: DataFrame, roles: DataFrame, features: list[str]
     """
     scenarios = scenarios or [Scenario()]
     rows = measures.where(F.col("feature").isin(features))
-    rna = rename_constants(cal.gate(percentiles(rows, ["feature"], "rna", {"L": 0.1, "T": 0.9})), "g")
-    effect = rename_constants(cal.gate(percentiles(rows.withColumn("_s", -F.col("effect")), ["feature"], "_s", {"L": 0.1, "T": 0.9})), "e")
-    copies = rename_constants(cal.gate(percentiles(rows, ["feature"], "copy_number", {"L": 0.1, "T": 0.9})), "c")
+    long = rows.select("feature", F.col("rna").alias("g"), (-F.col("effect")).alias("e"), F.col("copy_number").alias("c")).unpivot(["feature"], ["g", "e", "c"], "kind", "value")
+    kept = cal.gate(cal.calibrate(long, ["feature", "kind"]))
+    wide = kept.groupBy("feature").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("g", "e", "c") for c in ("L", "T", "n")])
     settings = [(s.scenario_id, s.strong_cutoff, s.broad_fraction, s.min_calibration_n) for s in scenarios]
     broad = cal.flag_broad_many(rows.select("feature", F.col("effect").alias("value")).where("value is not null"), settings).select(
         F.col("sample_id").alias("scenario_id"), "feature", F.col("fraction").alias("broad_fraction"))
-    base = rows.select("feature").distinct().select("feature", F.explode(F.array(*[F.lit(s.scenario_id) for s in scenarios])).alias("scenario_id"))
-    out = base.join(rna, "feature", "left").join(effect, "feature", "left").join(copies, "feature", "left")
+    runs = [(s.scenario_id, f) for s in scenarios for f in features]
+    base = measures.sparkSession.createDataFrame(runs, "scenario_id string, feature string")
+    out = base.join(wide, "feature", "left")
     return out.join(broad, ["scenario_id", "feature"], "left").join(roles.select("feature", "gene_class"), "feature", "left")
 
 

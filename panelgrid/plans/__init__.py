@@ -1,4 +1,4 @@
 """Registered queries: each binds operators to the given tables and states its SQL equivalent."""
 
-from panelgrid.plans import calibration, coverage, identity, ranking, reshape, sources  # noqa: F401
+from panelgrid.plans import calibration, coverage, identity, ranking, relations, reshape, sources  # noqa: F401
 from panelgrid.plans.registry import ORACLES, QUERIES  # noqa: F401
