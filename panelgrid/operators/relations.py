@@ -15,6 +15,7 @@ from panelgrid.functions.columns import explicit_true, hash_uniform, sign
 from panelgrid.functions.distribution import (
     average_ranks, group_residual, guarded_corr, medians, percentiles, rank_biserial, spearman, value_positions,
 )
+from panelgrid.session import stage
 
 # Evaluation policy.
 MIN_GROUP = 15
@@ -144,7 +145,7 @@ def bootstrap_draws(rows: DataFrame, keys: list[str], strata: list[str], values:
     replicates x rows, spread over (stratum, position) keys; no stratum is gathered in one task.
     """
     group = [*keys, *strata]
-    order = number_rows(rows.select(*group, "entity", *values), group, [*values, "entity"])
+    order = stage(number_rows(rows.select(*group, "entity", *values), group, [*values, "entity"]), "numbered")
     sizes = order.groupBy(*group).agg(F.max("_pos").alias("_n"))
     slots = order.join(sizes, group).select(*group, "_pos", "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     drawn = F.floor(hash_uniform(seed, *group, "replicate", "_pos") * F.col("_n")) + 1
@@ -170,7 +171,7 @@ def number_rows(rows: DataFrame, group: list[str], order: list[str]) -> DataFram
 def interval(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
     """95% percentile interval over the replicates (their number is fixed, so groups are small)."""
     return percentiles(replicates, keys, value, {"ci_low": 0.025, "ci_high": 0.975}, bounded=True).withColumnRenamed("n", "n_replicates").withColumns(
-        {"ci_low": F.round("ci_low", DIGITS), "ci_high": F.round("ci_high", DIGITS)})
+        {"ci_low": F.round("ci_low", 8), "ci_high": F.round("ci_high", 8)})
 
 
 def bootstrap_shift(rows: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 25) -> DataFrame:
@@ -187,7 +188,7 @@ def bootstrap_rho(rows: DataFrame, keys: list[str], replicates: int = REPLICATES
 
     Ranks of a resample come from weighted counts of its distinct values, keyed by replicate.
     """
-    draws = bootstrap_draws(rows, keys, ["grp"], ["x_adj", "y_adj"], replicates, seed)
+    draws = stage(bootstrap_draws(rows, keys, ["grp"], ["x_adj", "y_adj"], replicates, seed), "draws")
     by = [*keys, "replicate"]
 
     def ranks(column: str, out: str) -> DataFrame:
@@ -247,6 +248,7 @@ def eval_conditional(rows: DataFrame, targets: DataFrame, replicates: int = REPL
     ``rows`` is adjusted (task, entity, grp, context, value, value_adj); ``targets`` is (task, broad).
     """
     keys = ["task"]
+    rows = stage(rows, "conditional")
     sides = rows.where("context in ('context', 'reference')")
     stat = side_medians(rows, keys, "value_adj")
     raw = side_medians(rows, keys, "value").select("task", F.col("shift").alias("raw_shift"))
@@ -276,7 +278,7 @@ def pair_rows(effects: DataFrame, spine: DataFrame, tasks: list[tuple[str, str,
 
 def eval_codependency(rows: DataFrame, broad: DataFrame, replicates: int = REPLICATES, seed: int = 25) -> DataFrame:
     """One row per task: raw and adjusted rho, interval, hold-outs and status. ``broad`` is (task, broad)."""
-    adj = adjusted(rows, ["x", "y"])
+    adj = stage(adjusted(stage(rows, "pairs"), ["x", "y"]), "codependency")
     raw = spearman(adj, ["task"], "x", "y", "raw_rho").drop("n")
     full = spearman(adj, ["task"], "x_adj", "y_adj", "rho")
     n_groups = adj.groupBy("task").agg(F.count_distinct("grp").alias("n_groups"))
@@ -318,7 +320,7 @@ def policy_sensitivity(rows: DataFrame, grid: list[dict]) -> DataFrame:
     run = rows.select("*", F.inline(settings)).join(limits, ["task", "grp", "scenario"]).where("n >= min_group and q_high > q_low").drop("n")
     side = F.when(F.col("source_value") >= F.col("q_high"), "context").when(F.col("source_value") <= F.col("q_low"), "reference").otherwise("middle")
     run = run.withColumn("context", side)
-    adj = group_residual(run, ["scenario", "task", "grp"], ["value"], 1)
+    adj = stage(group_residual(stage(run, "sensitivity"), ["scenario", "task", "grp"], ["value"], 1), "adjusted")
     keys = ["scenario", "task"]
     stat = side_medians(adj, keys, "value_adj")
     n_groups = adj.groupBy(*keys).agg(F.count_distinct("grp").alias("n_groups"), F.any_value("min_side").alias("min_side"), F.any_value("min_total").alias("min_total"))
@@ -398,10 +400,10 @@ def safe_corr(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def group_comparison(rows: DataFrame, keys: list[str], min_context: int = MIN_SIDE) -> DataFrame:
     """Two-group comparison of `value`, raw and group-adjusted. ``rows``: keys, entity, grp, context, value."""
-    sides = rows.where("context in ('context', 'reference') and value is not null").withColumn("_is", F.col("context") == "context")
+    sides = stage(rows.where("context in ('context', 'reference') and value is not null").withColumn("_is", F.col("context") == "context"), "sides")
     raw = side_medians(sides, keys, "value")
     effect = rank_biserial(sides, keys, "value", "_is", "_rb").select(*keys, (-F.col("_rb")).alias("rank_effect"))
-    adj = group_residual(sides, [*keys, "grp"], ["value"], MIN_GROUP)
+    adj = stage(group_residual(sides, [*keys, "grp"], ["value"], MIN_GROUP), "adjusted")
     shifted = side_medians(adj, keys, "value_adj").select(*keys, F.col("shift").alias("adjusted_shift"), F.col("n_context").alias("adj_context"), F.col("n_reference").alias("adj_reference"))
     adj_effect = rank_biserial(adj, keys, "value_adj", "_is", "_rb").select(*keys, (-F.col("_rb")).alias("adjusted_rank_effect"))
     out = raw.join(effect, keys, "left").join(shifted, keys, "left").join(adj_effect, keys, "left")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from panelgrid.functions.columns import flip_role, ramp
 from panelgrid.functions.distribution import percentiles, spearman
 from panelgrid.operators import calibrate as cal
-from panelgrid.session import is_small
+from panelgrid.session import is_small, stage
 
 # Layer weights, in fifteenths, and the order in which layers are added up.
 LAYER_WEIGHTS = {"rna": 4 / 15, "protein": 2 / 15, "dependency": 4 / 15, "copy_number": 2 / 15, "mutation": 2 / 15, "fusion": 1 / 15}
@@ -381,7 +381,7 @@ def similar_entities(ranked: DataFrame, layer: DataFrame, k: int = 3) -> DataFra
     ``ranked`` is (query_id, entity, D, rank, feature): the displayed list, at most 100 per query,
     so its pairs are bounded by the request.
     """
-    cells = ranked.join(layer, ["entity", "feature"])
+    cells = stage(ranked.join(layer, ["entity", "feature"]), "displayed")
     a = cells.select("query_id", "feature", F.col("entity").alias("entity"), F.col("value").alias("x"))
     b = cells.where("D > 0").select("query_id", "feature", F.col("entity").alias("other"), F.col("D").alias("other_D"), F.col("rank").alias("other_rank"), F.col("value").alias("y"))
     pairs = a.join(b, ["query_id", "feature"]).where("entity <> other")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.operators import relations as op
 from panelgrid.plans.registry import query, rd
+from panelgrid.session import stage
 from panelgrid.sources import sinks
 
 TASKS = [("t1", "F03", "F10"), ("t2", "F07", "F12"), ("t3", "F15", "F04")]
@@ -43,11 +44,11 @@ def effects(b):
 
 
 def event_rows(b, tasks=TASKS):
-    return op.attach_effect(op.event_context(b("mutations"), spine(b), tasks), effects(b), tasks)
+    return stage(op.attach_effect(op.event_context(b("mutations"), spine(b), tasks), effects(b), tasks), "event_rows")
 
 
 def high_rows(b, tasks=TASKS):
-    return op.attach_effect(op.value_context(b("expression_rna"), spine(b), tasks), effects(b), tasks)
+    return stage(op.attach_effect(op.value_context(b("expression_rna"), spine(b), tasks), effects(b), tasks), "high_rows")
 
 
 def broad(b):
@@ -151,7 +152,7 @@ def boot(src: str, strata: str, order: str) -> str:
 def boot_shift(src: str) -> str:
     return f"""sd AS (SELECT * FROM {src} WHERE context <> 'middle'), {boot('sd', 'grp, context', 'value_adj')},
     bst AS (SELECT task, rep, {shift('value_adj')} AS stat FROM bsr GROUP BY 1, 2),
-    ci AS (SELECT task, {rd('quantile_cont(stat, 0.025)')} AS ci_low, {rd('quantile_cont(stat, 0.975)')} AS ci_high, count(*) AS n_replicates FROM bst WHERE stat IS NOT NULL GROUP BY 1)"""
+    ci AS (SELECT task, {rd('quantile_cont(stat, 0.025)', 8)} AS ci_low, {rd('quantile_cont(stat, 0.975)', 8)} AS ci_high, count(*) AS n_replicates FROM bst WHERE stat IS NOT NULL GROUP BY 1)"""
 
 
 @query("g9_bootstrap_ci", f"WITH {EVENT}, {adj('ev')}, {boot_shift('adj')} SELECT * FROM ci")
@@ -168,7 +169,7 @@ def loo(src: str) -> str:
 
 
 def loo_frame(b):
-    rows = op.adjusted(event_rows(b))
+    rows = stage(op.adjusted(event_rows(b)), "adjusted")
     full = op.side_medians(rows, ["task"], "value_adj")
     return op.leave_one_out_shift(rows, ["task"], full), full
 

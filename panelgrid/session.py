@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,14 +12,19 @@ SMALL_BYTES_DEFAULT = 64 * 1024 * 1024
 
 
 def source_bytes(df: DataFrame) -> int | None:
-    """Bytes of every leaf relation under ``df`` as known to the planner, without running a job.
+    """Bytes of the distinct leaf relations under ``df`` as known to the planner, without a job.
 
     Returns None when the planner cannot say (for example over Spark Connect); callers treat
-    that as "large".
+    that as "large". A table scanned twice counts once.
     """
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        sizes = set()
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            if leaf.nodeName() != "CTERelationRef":  # its definition is elsewhere in the same tree
+                sizes.add(int(str(leaf.stats().sizeInBytes())))
+        return sum(sizes)
     except Exception:
         return None
 
@@ -34,6 +40,23 @@ def is_small(*frames: DataFrame) -> bool:
     return True
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared folder of the cluster; /tmp only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/panelgrid-{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a reused intermediate table to the shared folder and read it back.
+
+    Used where several branches read the same derived rows: the rows are computed once, survive
+    the loss of executors, keep later plans short, and have a known size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``; only tests fall back to /tmp."""
     if spark.sparkContext.getCheckpointDir():
