@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelgrid.session import small_frame
 from panelgrid.functions.distribution import medians
 from panelgrid.operators.reshape import parse_feature_header
 from panelgrid.sources.tables import union_all
@@ -31,7 +32,7 @@ def resolve(tokens: DataFrame, reference: DataFrame, token: str = "token") -> Da
 def resolve_strict(tokens: list[str], reference: DataFrame) -> dict[str, str]:
     """Token to id for a request; an ambiguous or unknown token is an error. A request is a short list."""
     spark = reference.sparkSession
-    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(tokens)], "token string")
+    asked = small_frame(spark, [(t,) for t in dict.fromkeys(tokens)], "token string")
     near = reference.where(F.col("feature").isin(tokens) | F.col("symbol").isin(tokens))
     rows = {r["token"]: r for r in resolve(asked, near).collect()}
     bad = {t: r["status"] for t, r in rows.items() if r["status"] != "resolved"}

@@ -15,7 +15,7 @@ from panelgrid.functions.columns import explicit_true, hash_uniform, sign
 from panelgrid.functions.distribution import (
     average_ranks, group_residual, guarded_corr, medians, percentiles, rank_biserial, spearman, value_positions,
 )
-from panelgrid.session import stage
+from panelgrid.session import small_frame, stage
 
 # Evaluation policy.
 MIN_GROUP = 15
@@ -79,7 +79,7 @@ def damaging(flags: list[Column], impact: Column) -> Column:
 
 
 def task_frame(like: DataFrame, tasks: list[tuple[str, str, str]], first: str, second: str) -> DataFrame:
-    return like.sparkSession.createDataFrame(tasks, f"task string, {first} string, {second} string")
+    return small_frame(like.sparkSession, tasks, f"task string, {first} string, {second} string")
 
 
 def event_context(mutations: DataFrame, spine: DataFrame, tasks: list[tuple[str, str, str]]) -> DataFrame:
@@ -270,15 +270,15 @@ def adjusted(rows: DataFrame, values: list[str] | None = None, min_group: int =
 
 def pair_rows(effects: DataFrame, spine: DataFrame, tasks: list[tuple[str, str, str]]) -> DataFrame:
     """(task, entity, grp, x, y) for entities with both effects, a group and a clean flag. Tasks are (task, a, b)."""
-    sides = spine.sparkSession.createDataFrame([row for t, a, b in tasks for row in ((t, a, "x"), (t, b, "y"))], "task string, feature string, side string")
+    sides = small_frame(spine.sparkSession, [row for t, a, b in tasks for row in ((t, a, "x"), (t, b, "y"))], "task string, feature string, side string")
     cells = effects.where(F.col("feature").isin(sorted({f for _, a, b in tasks for f in (a, b)}))).join(sides, "feature").groupBy("task", "entity").agg(
         F.max(F.when(F.col("side") == "x", F.col("value"))).alias("x"), F.max(F.when(F.col("side") == "y", F.col("value"))).alias("y"))
-    return cells.where("x is not null and y is not null").join(spine.where("is_problematic = false and grp is not null").select("entity", "grp"), "entity")
+    return stage(cells.where("x is not null and y is not null").join(spine.where("is_problematic = false and grp is not null").select("entity", "grp"), "entity"), "pairs")
 
 
 def eval_codependency(rows: DataFrame, broad: DataFrame, replicates: int = REPLICATES, seed: int = 25) -> DataFrame:
     """One row per task: raw and adjusted rho, interval, hold-outs and status. ``broad`` is (task, broad)."""
-    adj = stage(adjusted(stage(rows, "pairs"), ["x", "y"]), "codependency")
+    adj = stage(adjusted(rows, ["x", "y"]), "codependency")
     raw = spearman(adj, ["task"], "x", "y", "raw_rho").drop("n")
     full = spearman(adj, ["task"], "x_adj", "y_adj", "rho")
     n_groups = adj.groupBy("task").agg(F.count_distinct("grp").alias("n_groups"))
@@ -341,7 +341,7 @@ def plan_pairs(spark: SparkSession, features: list[str], keep: int = 10) -> Data
     """
     ids = sorted(set(features))
     pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]]
-    listed = spark.createDataFrame([(n, a, b, n <= keep) for n, (a, b) in enumerate(pairs, 1)], "pair_no int, a string, b string, retained boolean")
+    listed = small_frame(spark, [(n, a, b, n <= keep) for n, (a, b) in enumerate(pairs, 1)], "pair_no int, a string, b string, retained boolean")
     tasks = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(d).alias("direction"), F.lit(c).cast("string").alias("context_type")) for f, d, c in PLAN_TASKS])
     none = F.array(F.struct(F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("string").alias("context_type")))
     return listed.select("*", F.inline(F.when(F.col("retained"), tasks).otherwise(none)))
@@ -416,7 +416,7 @@ def group_comparison(rows: DataFrame, keys: list[str], min_context: int = MIN_SI
 
 def continuous_association(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Negated adjusted rho of context `x` and effect `y`, with at least 30 adjusted rows."""
-    adj = group_residual(rows.where("x is not null and y is not null"), [*keys, "grp"], ["x", "y"], MIN_GROUP)
+    adj = stage(group_residual(rows.where("x is not null and y is not null"), [*keys, "grp"], ["x", "y"], MIN_GROUP), "adjusted")
     rho = spearman(adj, keys, "x_adj", "y_adj", "r")
     return rho.select(*keys, "n", F.when(F.col("n") >= MIN_TOTAL, F.round(-F.col("r"), 8)).alias("association"))
 
@@ -428,7 +428,7 @@ def threshold_context(value: Column, low: float = 1.0, high: float = 4.0) -> Col
 def pair_recurrence(events: DataFrame, entities: DataFrame, n_assayed: Column, pairs: list[tuple[str, str]]) -> DataFrame:
     """Entities, groups and reads of each catalogued pair, as a share of assayed entities."""
     spark = events.sparkSession
-    catalogue = spark.createDataFrame([(min(p), max(p)) for p in pairs], "a string, b string")
+    catalogue = small_frame(spark, [(min(p), max(p)) for p in pairs], "a string, b string")
     cells = events.where("partner is not null").select(F.least("feature", "partner").alias("a"), F.greatest("feature", "partner").alias("b"), "entity", "reads")
     per = cells.join(catalogue, ["a", "b"], "left_semi").groupBy("a", "b", "entity").agg(F.sum("reads").alias("reads"), F.max("reads").alias("max_reads")).join(entities.select("entity", "grp"), "entity", "left")
     found = per.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_entities"), F.count_distinct("grp").alias("n_groups"), F.sum("reads").alias("total_reads"), F.max("max_reads").alias("max_reads"),
@@ -545,7 +545,7 @@ def run_plan(tasks: list[dict], known: set[str], spine: DataFrame, effects: Data
         why = "same_feature" if t["a"] == t["b"] else None if {t["a"], t["b"]} <= known else "unknown_feature"
         (reasons if why else good).append({**t, "reason": why})
     columns = ["task", "family", "n", "statistic", "status"]
-    parts = [spark.createDataFrame([(t["task"], t["family"], None, None, f"failed: {t['reason']}") for t in reasons],
+    parts = [small_frame(spark, [(t["task"], t["family"], None, None, f"failed: {t['reason']}") for t in reasons],
                                    "task string, family string, n bigint, statistic double, status string")]
     for t in good:
         if t["family"] == "direct_fusion":
@@ -578,7 +578,7 @@ def run_plan(tasks: list[dict], known: set[str], spine: DataFrame, effects: Data
 
 def run_controls(results: DataFrame, expected: dict[str, list[str]]) -> DataFrame:
     """Verdict per control: its status must be one of the expected ones."""
-    allowed = results.sparkSession.createDataFrame([(k, v) for k, v in expected.items()], "task string, expected array<string>")
+    allowed = small_frame(results.sparkSession, [(k, v) for k, v in expected.items()], "task string, expected array<string>")
     return results.join(allowed, "task").select("task", "status", F.array_join("expected", "|").alias("expected"), F.array_contains("expected", F.col("status")).alias("passed"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from panelgrid.functions.columns import flip_role, ramp
 from panelgrid.functions.distribution import percentiles, spearman
 from panelgrid.operators import calibrate as cal
-from panelgrid.session import is_small, stage
+from panelgrid.session import is_small, small_frame, stage
 
 # Layer weights, in fifteenths, and the order in which layers are added up.
 LAYER_WEIGHTS = {"rna": 4 / 15, "protein": 2 / 15, "dependency": 4 / 15, "copy_number": 2 / 15, "mutation": 2 / 15, "fusion": 1 / 15}
@@ -154,7 +154,7 @@ def feature_constants(measures: DataFrame, roles: DataFrame, features: list[str]
     broad = cal.flag_broad_many(rows.select("feature", F.col("effect").alias("value")).where("value is not null"), settings).select(
         F.col("sample_id").alias("scenario_id"), "feature", F.col("fraction").alias("broad_fraction"))
     runs = [(s.scenario_id, f) for s in scenarios for f in features]
-    base = measures.sparkSession.createDataFrame(runs, "scenario_id string, feature string")
+    base = small_frame(measures.sparkSession, runs, "scenario_id string, feature string")
     out = base.join(wide, "feature", "left")
     return out.join(broad, ["scenario_id", "feature"], "left").join(roles.select("feature", "gene_class"), "feature", "left")
 
@@ -255,13 +255,13 @@ def correlation_weights(layer: DataFrame, panels: list[Panel]) -> DataFrame:
     A feature without any estimable correlation keeps weight 1 and a null rho_bar.
     """
     spark = layer.sparkSession
-    asked = spark.createDataFrame([(p.query_id, f, len(p.features)) for p in panels for f in p.features], "query_id string, feature string, m int")
+    asked = small_frame(spark, [(p.query_id, f, len(p.features)) for p in panels for f in p.features], "query_id string, feature string, m int")
     pairs = panel_pairs(panels)
     if not pairs:
         return asked.select("query_id", "feature", F.lit(None).cast("double").alias("rho_bar"), F.lit(1.0).alias("weight"))
     rho = pair_spearman(layer, pairs)
     sides = rho.select(F.col("a").alias("feature"), F.col("b").alias("other"), "rho").unionByName(rho.select(F.col("b").alias("feature"), F.col("a").alias("other"), "rho"))
-    links = spark.createDataFrame([(p.query_id, f, g) for p in panels for f in p.features for g in p.features if f != g], "query_id string, feature string, other string")
+    links = small_frame(spark, [(p.query_id, f, g) for p in panels for f in p.features for g in p.features if f != g], "query_id string, feature string, other string")
     mean = links.join(sides, ["feature", "other"]).groupBy("query_id", "feature").agg(F.avg("rho").alias("_mean"))
     out = asked.join(mean, ["query_id", "feature"], "left").withColumn("rho_bar", F.greatest(F.col("_mean"), F.lit(0.0)))
     out = out.withColumn("rho_bar", F.when(F.col("_mean").isNotNull(), F.col("rho_bar")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelgrid.session import small_frame
 from panelgrid.functions import columns as c
 from panelgrid.operators import calibrate as cal
 from panelgrid.operators import identity
@@ -202,7 +203,7 @@ def _(b):
     FROM (VALUES ('Brand#3'), ('F10'), ('F03'), ('Brand#21')) t(token) JOIN features f ON f.feature = t.token OR f.symbol = t.token""")
 def _(b):
     asked = [("Brand#3", "inclusion"), ("F10", "inclusion"), ("F03", "exclusion"), ("Brand#21", "exclusion")]
-    tokens = b.spark.createDataFrame(asked, "token string, role string")
+    tokens = small_frame(b.spark, asked, "token string, role string")
     resolved = identity.resolve(tokens, b("features")).where("status = 'resolved'")
     roles = resolved.groupBy("feature").agg(F.count_distinct("role").alias("_k"))
     return resolved.join(roles, "feature").select("token", "feature", "role", (F.col("_k") > 1).alias("in_both"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SMALL_BYTES_KEY = "spark.panelgrid.smallBytes"
 SMALL_BYTES_DEFAULT = 64 * 1024 * 1024
@@ -29,6 +32,14 @@ def source_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A request (a short list of tuples) as a local relation, whose size the planner knows."""
+    schema = T.StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    table = pa.table([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, schema)], names=schema.names)
+    return spark.createDataFrame(table, schema=schema)
+
+
 def is_small(*frames: DataFrame) -> bool:
     """True when the files behind ``frames`` are proven to fit comfortably in one task."""
     spark = frames[0].sparkSession

@@ -40,7 +40,7 @@ def read_features(table: DataFrame, features: list[str] | DataFrame, column: str
         return table.join(features.select(column).distinct(), column, "left_semi")
     if len(features) <= LITERAL_LIST_LIMIT:
         return table.where(value_filter(column, features))
-    wanted = table.sparkSession.createDataFrame([(f,) for f in features], f"{column} string")
+    wanted = small_frame(table.sparkSession, [(f,) for f in features], f"{column} string")
     return table.join(wanted.distinct(), column, "left_semi")
 
 
