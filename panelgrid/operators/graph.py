@@ -76,8 +76,11 @@ def block_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if state["num"] is not None and state["num"].size:
             num = state["num"].rename_axis(index="a", columns="b").stack().rename("num").reset_index()
             num["shared"] = state["shared"].reindex_like(state["num"]).stack().to_numpy()
-            num = num[(num["a"] < num["b"]) & (num["shared"] > 0)]
-            yield num[["a", "b", "num", "shared"]]
+            num = num[num["shared"] > 0]
+            if state["key"][0] == state["key"][1]:
+                num = num[num["a"] < num["b"]]
+            low, high = num[["a", "b"]].min(axis=1), num[["a", "b"]].max(axis=1)
+            yield num.assign(a=low, b=high)[["a", "b", "num", "shared"]]
         state.update(key=None, num=None, shared=None, tail=None)
 
     for batch in batches:
@@ -115,7 +118,6 @@ def association_topk(layer: DataFrame, k: int = 20, min_abs: float = 0.2, min_n:
     spread = rows.withColumn("eb", F.pmod(F.xxhash64("entity"), F.lit(entity_blocks)))
     ordered = spread.repartition("bi", "bj", "eb").sortWithinPartitions("bi", "bj", "entity").drop("eb")
     parts = ordered.mapInPandas(block_products, "a string, b string, num double, shared double")
-    # A pair across two blocks arrives in either order; the smaller feature id comes first.
     sums = parts.groupBy("a", "b").agg(F.sum("num").alias("num"), F.sum("shared").cast("bigint").alias("n_shared"))
     score = F.round(F.col("num") / F.greatest(F.col("n_shared") - 1, F.lit(1)), DIGITS)
     strong = sums.withColumn("score", score).where((F.abs("score") >= min_abs) & (F.col("n_shared") >= min_n))
