@@ -102,7 +102,10 @@ def candidate_grid(candidates: DataFrame, panels: list[Panel], scenarios: list[S
             F.lit(s.high_min_layers).alias("high_min"), F.lit(s.moderate_min_layers).alias("moderate_min"))
         for s in (scenarios or [Scenario()])])
     rows = candidates.select("*", F.inline(items)).where("want is null or want = grp").drop("want")
-    return rows.select("*", F.inline(runs))
+    out = rows.select("*", F.inline(runs))
+    if "only_scenario" in out.columns:
+        out = out.where("only_scenario = scenario_id").drop("only_scenario")
+    return out
 
 
 def classify_events(events: DataFrame) -> DataFrame:
@@ -318,7 +321,8 @@ def score_features(
     """The scored grid: one row per scenario, query, candidate and panel feature.
 
     ``candidates`` has entity, grp, mutations_state, fusions_state; ``measures`` is the wide cell
-    table. ``constants`` replaces the per-feature constants (for controls that change them). A
+    table. A column `only_scenario` on candidates keeps a candidate row to one scenario.
+    ``constants`` replaces the per-feature constants (for controls that change them). A
     column `cal_grp` on candidates replaces the group used for calibration only.
     """
     features = panel_features(panels)

@@ -1,4 +1,6 @@
 """Registered queries: each binds operators to the given tables and states its SQL equivalent."""
 
-from panelgrid.plans import calibration, concordance, coverage, graph, identity, ranking, relations, reshape, sources  # noqa: F401
+from panelgrid.plans import (  # noqa: F401
+    calibration, concordance, coverage, graph, identity, ranking, relations, reshape, similarity, sources, stability,
+)
 from panelgrid.plans.registry import ORACLES, QUERIES  # noqa: F401
