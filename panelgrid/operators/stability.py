@@ -76,7 +76,7 @@ def dirichlet_samples(ids: DataFrame, names: list[str], seed: int, key: str = "s
     """Uniform weights on the simplex, one set per id: exponential draws over their sum."""
     draws = [-F.ln(hash_uniform(seed, key, F.lit(n))) for n in names]
     total = sum(draws[1:], draws[0])
-    return ids.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("layer"), F.round(d / total, 12).alias("weight")) for n, d in zip(names, draws)])))
+    return ids.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("layer"), (d / total).alias("weight")) for n, d in zip(names, draws)])))
 
 
 def uniform_of(*parts: object) -> float:

@@ -11,7 +11,7 @@ from panelgrid.plans.ranking import BASE, WIDE, results, scored_grid
 from panelgrid.plans.registry import query, rd
 from panelgrid.session import stage
 
-ANCHOR = 101
+ANCHOR = 13
 FEATS = WIDE[0].features
 INLIST = ", ".join(f"'{f}'" for f in FEATS)
 VW = "vw AS (SELECT * FROM (VALUES " + ", ".join(f"('{v}', {w}::DOUBLE)" for v, w in op.VIEW_WEIGHTS.items()) + ") t(view, weight))"

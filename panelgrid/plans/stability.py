@@ -59,7 +59,7 @@ def _(b):
     return op.kendall_tau(op.full_ranking(x, ["query_id"]), op.full_ranking(y, ["query_id"]), ["query_id"])
 
 
-@query("i3_membership_change", f"WITH {TWO}, d AS (SELECT coalesce(ta.query_id, tb.query_id) AS query_id, CASE WHEN ta.entity IS NULL OR tb.entity IS NULL THEN 1 END AS x FROM ta FULL JOIN tb ON ta.query_id = tb.query_id AND ta.entity = tb.entity) SELECT query_id, count(x) AS n_diff, count(x) > 0 AS changed FROM d GROUP BY 1")
+@query("i3_membership_change", f"WITH {TWO}, dd AS (SELECT coalesce(ta.query_id, tb.query_id) AS query_id, CASE WHEN ta.entity IS NULL OR tb.entity IS NULL THEN 1 END AS x FROM ta FULL JOIN tb ON ta.query_id = tb.query_id AND ta.entity = tb.entity) SELECT query_id, count(x) AS n_diff, count(x) > 0 AS changed FROM dd GROUP BY 1")
 def _(b):
     x, y = two_runs(b)
     return op.membership_change(shown(x), shown(y), ["query_id"])
