@@ -46,7 +46,7 @@ def view_scores(profiles: DataFrame, anchor: int, n_features: int) -> DataFrame:
 
 def weighted(scores: DataFrame, keys: list[str], weight: str, minimum: int = MIN_VIEWS) -> DataFrame:
     out = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_views"), F.try_divide(F.sum(F.col(weight) * F.col("score")), F.sum(weight)).alias("S"))
-    return out.where(F.col("n_views") >= minimum).withColumn("S", F.round("S", 12))
+    return out.where(F.col("n_views") >= minimum).withColumn("S", F.round("S", 8))
 
 
 def with_weights(scores: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def leave_one_view_out(scores: DataFrame) -> DataFrame:
     """
     rows = with_weights(scores)
     total = rows.groupBy("entity").agg(F.sum(F.col("weight") * F.col("score")).alias("_s"), F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_k"))
-    rest = rows.join(total, "entity").where("_k > 1").withColumn("_o", F.round((F.col("_s") - F.col("weight") * F.col("score")) / (F.col("_w") - F.col("weight")), 12))
+    rest = rows.join(total, "entity").where("_k > 1").withColumn("_o", F.round((F.col("_s") - F.col("weight") * F.col("score")) / (F.col("_w") - F.col("weight")), 8))
     return rest.groupBy("entity").agg(F.min("_o").alias("S_min"), F.max("_o").alias("S_max"))
 
 

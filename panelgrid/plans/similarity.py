@@ -22,7 +22,7 @@ PROF = f"""{VW}, co AS (SELECT entity FROM entities WHERE grp = (SELECT grp FROM
     vp AS (SELECT r.view, r.feature, r.entity, CASE WHEN count(*) OVER k >= 3 AND s.n_distinct >= 2 THEN {rd("(rank() OVER (PARTITION BY r.view, r.feature ORDER BY value) + (count(*) OVER (PARTITION BY r.view, r.feature, value) - 1) / 2.0) / count(*) OVER k")} END AS percentile,
       count(*) OVER k AS observed_n, s.n_tie_groups FROM vr r JOIN vs s ON s.view = r.view AND s.feature = r.feature WINDOW k AS (PARTITION BY r.view, r.feature)),
     sc_ AS (SELECT c.entity, c.view, count(*) AS n_joint, {rd('1.0 - avg(abs(c.percentile - a.percentile))', 11)} AS score FROM vp c JOIN vp a ON a.view = c.view AND a.feature = c.feature AND a.entity = {ANCHOR} WHERE c.entity <> {ANCHOR} AND c.percentile IS NOT NULL AND a.percentile IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {op.MIN_JOINT * len(FEATS)}),
-    sw AS (SELECT s.*, v.weight FROM sc_ s JOIN vw v ON v.view = s.view), sim AS (SELECT entity, count(*) AS n_views, {rd('sum(weight * score) / sum(weight)', 12)} AS S FROM sw GROUP BY 1 HAVING count(*) >= 2)"""
+    sw AS (SELECT s.*, v.weight FROM sc_ s JOIN vw v ON v.view = s.view), sim AS (SELECT entity, count(*) AS n_views, {rd('sum(weight * score) / sum(weight)', 8)} AS S FROM sw GROUP BY 1 HAVING count(*) >= 2)"""
 
 
 def profiles(b):
@@ -50,7 +50,7 @@ def _(b):
     return op.similarity(scores(b))
 
 
-@query("h4_leave_one_view_out", f"""WITH {PROF}, t AS (SELECT a.entity, b.view, {rd('sum(a.weight * a.score) / sum(a.weight)', 12)} AS o FROM sw a JOIN sw b ON a.entity = b.entity AND a.view <> b.view GROUP BY 1, 2) SELECT entity, min(o) AS S_min, max(o) AS S_max FROM t GROUP BY 1""")
+@query("h4_leave_one_view_out", f"""WITH {PROF}, t AS (SELECT a.entity, b.view, {rd('sum(a.weight * a.score) / sum(a.weight)', 8)} AS o FROM sw a JOIN sw b ON a.entity = b.entity AND a.view <> b.view GROUP BY 1, 2) SELECT entity, min(o) AS S_min, max(o) AS S_max FROM t GROUP BY 1""")
 def _(b):
     return op.leave_one_view_out(scores(b))
 
@@ -62,7 +62,7 @@ def _(b):
 
 
 @query("h6_alternative_sensitivity", f"""WITH {PROF}, run AS (SELECT 'baseline' AS scenario, entity, weight, score FROM sw UNION ALL SELECT 'equal_view_weights', entity, 1.0::DOUBLE, score FROM sw UNION ALL SELECT 'omit_' || v.view, s.entity, s.weight, s.score FROM sw s JOIN vw v ON v.view <> s.view),
-    k AS (SELECT scenario, entity, {rd('sum(weight * score) / sum(weight)', 12)} AS S FROM run GROUP BY 1, 2 HAVING count(*) >= 2), t AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY S DESC, entity) AS r FROM k),
+    k AS (SELECT scenario, entity, {rd('sum(weight * score) / sum(weight)', 8)} AS S FROM run GROUP BY 1, 2 HAVING count(*) >= 2), t AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY S DESC, entity) AS r FROM k),
     o AS (SELECT a.scenario, count(b.entity) AS n, count(*) AS ka, (SELECT count(*) FROM t WHERE scenario = 'baseline' AND r <= 3) AS kb FROM t a LEFT JOIN t b ON b.scenario = 'baseline' AND b.r <= 3 AND b.entity = a.entity WHERE a.r <= 3 AND a.scenario <> 'baseline' GROUP BY 1)
     SELECT scenario, CAST(n AS INT) AS overlap, {rd('CAST(n AS DOUBLE) / (ka + kb - n)')} AS jaccard FROM o""")
 def _(b):

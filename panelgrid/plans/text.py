@@ -46,7 +46,7 @@ def _(b):
 
 
 def bm25_sql(out: str, b: float, k: int) -> str:
-    return f"""{out}_s AS (SELECT q.item_id, p.doc_id, {rd(f"sum(q.qtf * w.idf2 * (p.tf * 2.5::DOUBLE) / (p.tf + 1.5::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * l.dl / c.avgdl)))")} AS score FROM qt q JOIN w ON w.term = q.term JOIN po p ON p.term = q.term JOIN dl l ON l.doc_id = p.doc_id, c GROUP BY 1, 2),
+    return f"""{out}_s AS (SELECT q.item_id, p.doc_id, {rd(f"sum(q.qtf * w.idf2 * (p.tf * 2.5::DOUBLE) / (p.tf + 1.5::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * l.dl / c.avgdl)))", 6)} AS score FROM qt q JOIN w ON w.term = q.term JOIN po p ON p.term = q.term JOIN dl l ON l.doc_id = p.doc_id, c GROUP BY 1, 2),
     {out} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM {out}_s WHERE score > 0) z WHERE rank <= {k})"""
 
 
