@@ -15,7 +15,7 @@ from panelgrid.functions.columns import explicit_true, hash_uniform, sign
 from panelgrid.functions.distribution import (
     average_ranks, group_residual, guarded_corr, medians, percentiles, rank_biserial, spearman, value_positions,
 )
-from panelgrid.session import small_frame, stage
+from panelgrid.session import is_small, small_frame, stage
 
 # Evaluation policy.
 MIN_GROUP = 15
@@ -188,18 +188,33 @@ def bootstrap_rho(rows: DataFrame, keys: list[str], replicates: int = REPLICATES
 
     Ranks of a resample come from weighted counts of its distinct values, keyed by replicate.
     """
-    draws = stage(bootstrap_draws(rows, keys, ["grp"], ["x_adj", "y_adj"], replicates, seed), "draws")
+    draws = bootstrap_draws(rows, keys, ["grp"], ["x_adj", "y_adj"], replicates, seed)
     by = [*keys, "replicate"]
-
-    def ranks(column: str, out: str) -> DataFrame:
-        places = value_positions(draws, by, column, weight="weight")
-        return places.select(*by, column, (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).alias(out))
-
-    joined = draws.join(ranks("x_adj", "rx"), [*by, "x_adj"]).join(ranks("y_adj", "ry"), [*by, "y_adj"])
+    joined = window_ranks(draws, by) if is_small(rows) else position_ranks(stage(draws, "draws"), by)
     per = joined.groupBy(*by).agg(weighted_corr(F.col("rx"), F.col("ry"), F.col("weight")).alias("stat"))
     return interval(per.where("stat is not null").withColumn("stat", F.round("stat", DIGITS)), keys, "stat")
 
 
+def window_ranks(draws: DataFrame, by: list[str]) -> DataFrame:
+    """Weighted average ranks with one shuffle: a resample of a small table fits one task."""
+
+    def rank(column: str) -> Column:
+        upto = F.sum("weight").over(Window.partitionBy(*by).orderBy(column))
+        ties = F.sum("weight").over(Window.partitionBy(*by, column))
+        return upto - ties + (ties + 1) / F.lit(2.0)
+
+    return draws.withColumns({"rx": rank("x_adj"), "ry": rank("y_adj")})
+
+
+def position_ranks(draws: DataFrame, by: list[str]) -> DataFrame:
+    """The same ranks from exact positions of distinct values, for resamples of any size."""
+    out = draws
+    for column, name in (("x_adj", "rx"), ("y_adj", "ry")):
+        places = value_positions(draws, by, column, weight="weight")
+        out = out.join(places.select(*by, column, (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).alias(name)), [*by, column])
+    return out
+
+
 def weighted_corr(x: Column, y: Column, w: Column) -> Column:
     n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
     sxx, syy, sxy = F.sum(w * x * x), F.sum(w * y * y), F.sum(w * x * y)
