@@ -64,6 +64,8 @@ def block_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = rows[rows["side"] == 0].pivot(index="entity", columns="feature", values="z")
         right = rows[rows["side"] == 1].pivot(index="entity", columns="feature", values="z")
         both = left.index.intersection(right.index)
+        if not len(both):
+            return
         left, right = left.loc[both], right.loc[both]
         num = left.fillna(0.0).T @ right.fillna(0.0)
         shared = left.notna().astype(float).T @ right.notna().astype(float)
