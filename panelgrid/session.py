@@ -51,10 +51,37 @@ def is_small(*frames: DataFrame) -> bool:
     return True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session that runs within one process may use a folder of that machine. On a cluster every
+    executor would write to its own disk, so there the setting is required.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.gettempdir()
+
+
+_STAGED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder of the cluster; /tmp only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/panelgrid-{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared folder; `clear_staged` deletes it."""
+    path = f"{shared_folder(spark)}/panelgrid-{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the folders that this session staged, once no result built on them is needed. Returns their number."""
+    jvm, count = spark.sparkContext._jvm, len(_STAGED)
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -66,17 +93,3 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; only tests fall back to /tmp."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="panelgrid-ckpt-"))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so an iterative plan survives executor loss and stays short."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
