@@ -28,4 +28,12 @@ def op10_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    from panelgrid.llm.langtags import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_language"] = op6_language
 QUERIES["op10_encode"] = op10_encode
