@@ -35,5 +35,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from panelgrid.llm.simtrie import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_near_duplicates"] = op7_near_duplicates
 QUERIES["op6_language"] = op6_language
 QUERIES["op10_encode"] = op10_encode
