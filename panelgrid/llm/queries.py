@@ -42,6 +42,14 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    from panelgrid.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES["op7_near_duplicates"] = op7_near_duplicates
 QUERIES["op6_language"] = op6_language
+QUERIES["op9_personal_data"] = op9_personal_data
 QUERIES["op10_encode"] = op10_encode
