@@ -28,6 +28,13 @@ def op10_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed to the weights of domains, languages and sources."""
+    from panelgrid.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     from panelgrid.llm.langtags import identify
@@ -50,6 +57,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_near_duplicates"] = op7_near_duplicates
+QUERIES["op2_mixture"] = op2_mixture
 QUERIES["op6_language"] = op6_language
 QUERIES["op9_personal_data"] = op9_personal_data
 QUERIES["op10_encode"] = op10_encode
