@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelgrid.llm import hosts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,6 +30,13 @@ def op10_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op1_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    from panelgrid.llm.hosts import judge_corpus
+
+    return judge_corpus(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to the weights of domains, languages and sources."""
     from panelgrid.llm.mixing import mixture
@@ -57,6 +66,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_near_duplicates"] = op7_near_duplicates
+QUERIES["op1_url_verdicts"] = op1_url_verdicts
+ORACLES["op1_url_verdicts"] = hosts.ORACLE
 QUERIES["op2_mixture"] = op2_mixture
 QUERIES["op6_language"] = op6_language
 QUERIES["op9_personal_data"] = op9_personal_data
