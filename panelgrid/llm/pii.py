@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.llm.langtags import forward_backward, time_major
@@ -34,6 +34,7 @@ from panelgrid.llm.langtags import forward_backward, time_major
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, PAD = 48, 24, 24
 TRUST = 0.9
+FIT_SHARES = 16
 TRUST_CARD = 0.4  # of spans that pass the check digit
 ANCHOR = re.compile(r"[0-9@]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -370,7 +371,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def labelled_regions(docs: DataFrame, text: str = "text", fit_regions: int = 1500, fit_chars: int = 400) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """A bounded sample of regions with their base spans, in an order of hashes; regions over `fit_chars` are not learned from."""
+    """A bounded sample of regions with their base spans, the first by hash of each of `FIT_SHARES` shares; regions over
+    `fit_chars` are not learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,7 +387,9 @@ def labelled_regions(docs: DataFrame, text: str = "text", fit_regions: int = 150
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["region", "spans"])
 
     sample = docs.select(F.col(text).alias("__text")).mapInArrow(run, "region string, spans array<string>")
-    sample = sample.orderBy(F.xxhash64("region"), "region").limit(fit_regions)
+    sample = sample.withColumn("place", F.xxhash64("region")).withColumn("share", F.pmod("place", F.lit(FIT_SHARES)))
+    order = Window.partitionBy("share").orderBy("place", "region")  # every task sends a bounded number of each share to a shuffle
+    sample = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= -(-fit_regions // FIT_SHARES)).orderBy("place", "region")
     return [(r.region, [tuple(map(int, s.split())) for s in r.spans]) for r in sample.collect()]
 
 
