@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelgrid.llm import hosts
+from panelgrid.llm import hosts, riskrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    from panelgrid.llm.riskrules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data spans of every document."""
     from panelgrid.llm.pii import personal_data
@@ -70,5 +77,7 @@ QUERIES["op1_url_verdicts"] = op1_url_verdicts
 ORACLES["op1_url_verdicts"] = hosts.ORACLE
 QUERIES["op2_mixture"] = op2_mixture
 QUERIES["op6_language"] = op6_language
+QUERIES["op8_quality"] = op8_quality
+ORACLES["op8_quality"] = riskrules.ORACLE
 QUERIES["op9_personal_data"] = op9_personal_data
 QUERIES["op10_encode"] = op10_encode
