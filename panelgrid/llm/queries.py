@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelgrid.llm import hosts, riskrules
+from panelgrid.llm import archives, hosts, riskrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,20 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    from panelgrid.llm.nearest import nearest_of_corpus
+
+    return nearest_of_corpus(table(spark, sf_dir, "embeddings"))
+
+
+def op5_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the archives of all pages, resolved."""
+    from panelgrid.llm.archives import archive_corpus
+
+    return archive_corpus(table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     from panelgrid.llm.langtags import identify
@@ -76,6 +90,9 @@ QUERIES["op7_near_duplicates"] = op7_near_duplicates
 QUERIES["op1_url_verdicts"] = op1_url_verdicts
 ORACLES["op1_url_verdicts"] = hosts.ORACLE
 QUERIES["op2_mixture"] = op2_mixture
+QUERIES["op4_nearest"] = op4_nearest
+QUERIES["op5_archives"] = op5_archives
+ORACLES["op5_archives"] = archives.ORACLE
 QUERIES["op6_language"] = op6_language
 QUERIES["op8_quality"] = op8_quality
 ORACLES["op8_quality"] = riskrules.ORACLE
