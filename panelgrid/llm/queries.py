@@ -44,6 +44,13 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document to the good ones."""
+    from panelgrid.llm.crossent import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
     from panelgrid.llm.nearest import nearest_of_corpus
@@ -90,6 +97,7 @@ QUERIES["op7_near_duplicates"] = op7_near_duplicates
 QUERIES["op1_url_verdicts"] = op1_url_verdicts
 ORACLES["op1_url_verdicts"] = hosts.ORACLE
 QUERIES["op2_mixture"] = op2_mixture
+QUERIES["op3_cross_entropy"] = op3_cross_entropy
 QUERIES["op4_nearest"] = op4_nearest
 QUERIES["op5_archives"] = op5_archives
 ORACLES["op5_archives"] = archives.ORACLE
