@@ -4,13 +4,14 @@ A word is a run of letters, lower-cased. Its emission scores are sums of weights
 and itself (the lexicon), each looked up by hash in a table of fixed size. A line is one sequence; transitions between
 the languages of neighbouring words are learned too. Forward-backward gives each word's language probabilities, so a
 line may switch language midway. The document's language has the largest mean probability over the words, each
-weighted by its letters; the score is that mean.
+weighted by its letters; the score is that mean. The certainty is the mean probability of each word's own best
+language: a text of two languages has a low score but a high certainty, a text of none has a low certainty.
 
 Fitting: at most `per_language` labelled documents of each language, of at most `fit_chars` characters, taken in an
 order of hashed ids, and at most `fit_lines` lines of them in all, are read by the driver. Lines of different languages
 are joined now and then, so that switches are seen. Tagging reads every text whole.
 
-Defined cases: a null text, or one without a letter, has language `und` and score 0; equal scores go to the language
+Defined cases: a null text, or one without a letter, has language `und`, score and certainty 0; equal scores go to the language
 that is first in the alphabet; without any labelled document every text is `und`; words of any length are used whole;
 repeated rows are tagged alike; columns other than those named are not read.
 """
@@ -195,8 +196,8 @@ class Memo(dict):
         return self.rows[ids]
 
 
-def tag_texts(memo: Memo, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
+def tag_texts(memo: Memo, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and certainty of each text."""
     tagger = memo.tagger
     words: list[str] = []
     lengths: list[int] = []
@@ -210,19 +211,20 @@ def tag_texts(memo: Memo, texts: list[str | None]) -> tuple[list[str], list[floa
                 words += found
                 lengths.append(len(found))
                 owner.append(i)
-    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    names, scores, certain = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if not words or not tagger.languages:
-        return names, scores
+        return names, scores, certain
     sizes = np.array(lengths, np.int64)
     posterior, _, _ = forward_backward(memo.scores(words), sizes, tagger.start, tagger.step)
     of = np.repeat(np.array(owner, np.int64), sizes)
     letters = np.fromiter(map(len, words), np.float64, len(words))
     total = np.bincount(of, letters, len(texts))
     share = np.stack([np.bincount(of, letters * posterior[:, j], len(texts)) for j in range(len(tagger.languages))], 1)
+    clear = np.bincount(of, letters * posterior.max(1), len(texts))
     for i in np.flatnonzero(total):
         best = int(share[i].argmax())
-        names[i], scores[i] = tagger.languages[best], float(min(1.0, share[i, best] / total[i]))
-    return names, scores
+        names[i], scores[i], certain[i] = tagger.languages[best], float(min(1.0, share[i, best] / total[i])), float(min(1.0, clear[i] / total[i]))
+    return names, scores, certain
 
 
 def fit_sample(docs: DataFrame, language: Column, may_learn: Column, per_language: int = 150, fit_chars: int = 4000, fit_lines: int = 4000) -> list[tuple[str, str]]:
@@ -240,7 +242,7 @@ _MEMOS: dict[str, Memo] = {}
 
 
 def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns `keep`, then lang_pred and score. The tagger's tables have a fixed size and are broadcast."""
+    """Columns `keep`, then lang_pred, score and certainty. The tagger's tables have a fixed size and are broadcast."""
     shared, key = docs.sparkSession.sparkContext.broadcast(tagger), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,22 +252,21 @@ def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str =
         memo = _MEMOS[key]
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            names: list[str] = []
-            scores: list[float] = []
+            found: tuple[list, list, list] = ([], [], [])
             at = 0
             while at < len(texts):
                 end, chars = at, 0
                 while end < len(texts) and (end == at or chars < BATCH_CHARS):
                     chars += len(texts[end] or "")
                     end += 1
-                part = tag_texts(memo, texts[at:end])
-                names += part[0]
-                scores += part[1]
+                for column, part in zip(found, tag_texts(memo, texts[at:end])):
+                    column += part
                 at = end
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            columns = [pa.array(found[0], pa.string()), *(pa.array(x, pa.float64()) for x in found[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "lang_pred", "score", "certainty"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, certainty double")
 
 
 def held_out() -> Column:
@@ -274,7 +275,7 @@ def held_out() -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score; fitted on documents that are not held out."""
+    """Per document: doc_id, held_out, lang_pred, score, certainty; fitted on documents that are not held out."""
     lines = fit_sample(docs, F.col("lang"), F.coalesce(~held_out(), F.lit(False)))
     tagged = tag_documents(docs, fit(lines), ["doc_id"])
-    return tagged.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return tagged.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "certainty")

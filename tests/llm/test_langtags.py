@@ -48,8 +48,8 @@ def test_held_out_accuracy(tagged):
 def test_switch_within_a_line():
     tagger = fit([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 30)
     memo = Memo(tagger)
-    names, scores = tag_texts(memo, ["the dog and the cat the dog le chat et le chien", "the cat"])
-    assert names == ["en", "en"] and 0.4 < scores[0] < 0.8 < scores[1]
+    names, scores, certain = tag_texts(memo, ["the dog and the cat the dog le chat et le chien", "the cat"])
+    assert names == ["en", "en"] and 0.4 < scores[0] < 0.8 < scores[1] and min(certain) > 0.8
 
 
 def test_odd_rows(spark):
