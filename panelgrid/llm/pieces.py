@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MEMO_SEGMENTS = 600_000  # segments kept by a task before its memo starts anew
+MEMO_SEGMENTS = 300_000  # segments kept by a task before its memo starts anew
+MEMO_PAIRS = 1_000_000  # pairs of pieces whose compatibility is kept
 MEMO_CHARS = 48  # longer segments are not kept
 
 
@@ -96,7 +97,7 @@ class Encoder:
         for piece in reachable:
             prefix = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in reachable), None)
             self.shorter[self.ids[piece]] = -1 if prefix is None else self.ids[prefix]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words = Memo(lambda word: self.encode_segment(SPACE + word))
         self.surfaces = [b"" if k == "c" else bytes([int(p[3:5], 16)]) if k == "b" else p.replace(SPACE, " ").encode() for p, k in zip(vocabulary.pieces, vocabulary.kinds)]
 
@@ -112,12 +113,13 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        key = left * len(self.lengths) + right
+        known = self.pairs.get(key)
         if known is None:
             a, b = self.v.pieces[left], self.v.pieces[right]
-            if len(self.pairs) >= 4 * MEMO_SEGMENTS:
+            if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(a + b) == [a, b]
+            known = self.pairs[key] = self.merge(a + b) == [a, b]
         return known
 
     def encode_known(self, text: str) -> list[int]:
