@@ -188,9 +188,12 @@ _CELLS: dict[str, Cells] = {}
 
 
 def marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """doc_id, text and is_target, written once as both passes read it. `targets`: doc_id."""
+    """doc_id, text and is_target, written once as both passes read it. `targets`: doc_id.
+
+    Targets grow with the corpus, so they are never broadcast: the same shuffle serves any size.
+    """
     ids = targets.where("doc_id is not null").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    return stage(docs.select("doc_id", "text").join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target")), "marked")
+    return stage(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target")), "marked")
 
 
 def score_corpus(docs: DataFrame, labels: DataFrame) -> DataFrame:
