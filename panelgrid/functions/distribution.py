@@ -1,32 +1,37 @@
 """Exact ranks, percentiles and rank correlations, keyed by any columns.
 
-Two physical strategies give the same numbers:
-
-* When the files behind a frame are proven small (`session.is_small`) or a group is bounded by
-  its grain (``bounded=True``), one window or one `percentile` aggregate per group is used.
-* Otherwise a group may hold a third of all rows, so no group is ever gathered in one task.
-  Rows are collapsed to distinct (key, value) counts, every group is cut into value ranges at
-  split points taken from a hash sample, ranges are ordered locally, and the counts of earlier
-  ranges are added. The split points only balance the work; the counts are exact.
-
-The sample is chosen by a hash of the value, so a re-run task sees the same split points.
-Keys must not be null.
+A group may hold a third of all rows, so no group is ever gathered in one task. Rows are collapsed to distinct
+(key, value) counts; a group with many distinct values is cut into value ranges at split points taken from a hash
+sample, ranges are ordered locally, and the counts of earlier ranges are added. The split points only balance the work; the
+counts are exact. The number of ranges follows the number of distinct values. A caller whose groups are
+bounded by their grain says so (``bounded=True``); then one window or one `percentile` aggregate for each group gives the
+same numbers. Nothing is switched by size.
+
+The sample is chosen by a hash of the value, so a re-run task sees the same split points. A null key is a key like any
+other; operators whose group-by leaves null groups out filter them first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelgrid.session import is_small
-
-RANGES = 256
+RANGE_VALUES = 1 << 16  # distinct values of a range, about
 OVERSAMPLE = 4
 SALTS = 16
 _ALL = "_all"
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal names, where nulls are equal too; the keys come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*(f"_right_{k}" for k in keys))
+
+
 def _with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
@@ -39,7 +44,7 @@ def value_positions(df: DataFrame, keys: list[str], value: str, bounded: bool =
     df, keys = _with_keys(df, keys)
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias("cnt"))
-    if bounded or is_small(df):
+    if bounded:
         order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         return counts.select(
             *keys, value, "cnt",
@@ -49,20 +54,24 @@ def value_positions(df: DataFrame, keys: list[str], value: str, bounded: bool =
     return _ranged_positions(counts, keys, value)
 
 
-def _ranged_positions(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-    rate = F.least(F.lit(1.0), F.lit(float(RANGES * OVERSAMPLE)) / F.col("_d"))
+def _ranged_positions(counts: DataFrame, keys: list[str], value: str, range_values: int | None = None) -> DataFrame:
+    range_values = range_values or RANGE_VALUES
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > range_values)
+    rate = F.least(F.lit(1.0), F.lit(float(OVERSAMPLE)) / range_values)  # a share of all values, so points follow their number
     draw = F.pmod(F.xxhash64(F.col(value), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     splits = (
-        counts.join(sizes, keys).where(draw < rate).groupBy(*keys)
+        join_keys(counts.where(draw < rate), sizes, keys).groupBy(*keys)
         .agg(F.sort_array(F.collect_list(value)).alias("_pts"))
         .select(*keys, F.expr(f"filter(_pts, (x, i) -> i % {OVERSAMPLE} = 0)").alias("_pts"),
                 F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
+    # binary search: the number of split points under the value, from the largest step down
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2.0), e.cast("double")).cast("int"))
+    under = lambda at: F.coalesce(F.get("_pts", at - 1) < F.col(value), F.lit(False))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when((step <= F.size("_pts") - at) & under(at + step), step).otherwise(0))
     tagged = (
-        counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-        .join(splits, [*keys, "_salt"], "left")
-        .select(*keys, value, "cnt", F.coalesce(F.expr(f"size(filter(_pts, x -> x < `{value}`))"), F.lit(0)).alias("_range"))
+        join_keys(counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")), splits, [*keys, "_salt"], "left")
+        .select(*keys, value, "cnt", F.when(F.col("_pts").isNull(), 0).otherwise(found).alias("_range"))
     )
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = (
@@ -72,7 +81,7 @@ def _ranged_positions(counts: DataFrame, keys: list[str], value: str) -> DataFra
     )
     local = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        tagged.withColumn("_upto", F.sum("cnt").over(local)).join(ranges, [*keys, "_range"])
+        join_keys(tagged.withColumn("_upto", F.sum("cnt").over(local)), ranges, [*keys, "_range"])
         .select(*keys, value, "cnt", (F.col("_base") + F.col("_upto") - F.col("cnt")).alias("before"), "n")
     )
 
@@ -80,7 +89,7 @@ def _ranged_positions(counts: DataFrame, keys: list[str], value: str) -> DataFra
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, bounded: bool = False) -> DataFrame:
     """Add the 1-based average rank of ``value`` among non-null values of the key group."""
     df, all_keys = _with_keys(df, keys)
-    if bounded or is_small(df):
+    if bounded:
         ordered = Window.partitionBy(*all_keys, F.col(value).isNull()).orderBy(value)
         ties = Window.partitionBy(*all_keys, value)
         ranked = df.withColumn(
@@ -88,14 +97,14 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, bounded:
     else:
         places = value_positions(df, all_keys, value).select(
             *all_keys, value, (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).alias(out))
-        ranked = df.join(places, [*all_keys, value], "left")
+        ranked = join_keys(df, places, [*all_keys, value], "left")
     return ranked.drop(_ALL)
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bounded: bool = False, weight: str | None = None) -> DataFrame:
     """Linear-interpolation percentiles and `n` per key group, one row per group."""
     frame, all_keys = _with_keys(df, keys)
-    if bounded or is_small(df):
+    if bounded:
         wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
         qs = F.percentile(F.col(value), wanted) if weight is None else F.percentile(F.col(value), wanted, F.col(weight))
         rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -156,7 +165,7 @@ def group_residual(df: DataFrame, group: list[str], values: list[str], min_n: in
             centre = centre.withColumnRenamed("n", "group_n").where(F.col("group_n") >= min_n)
         else:
             centre = centre.drop("n")
-        out = out.join(centre, group).withColumn(f"{value}_adj", F.round(F.col(value) - F.col(f"_med_{value}"), 9)).drop(f"_med_{value}")
+        out = join_keys(out, centre, group).withColumn(f"{value}_adj", F.round(F.col(value) - F.col(f"_med_{value}"), 9)).drop(f"_med_{value}")
     return out
 
 

@@ -26,7 +26,8 @@ def calibrate_global(layer: DataFrame) -> DataFrame:
 
 
 def calibrate_group(layer: DataFrame, entities: DataFrame) -> DataFrame:
-    return calibrate(layer.join(entities.select("entity", "grp"), "entity"), ["grp", "feature"])
+    """Constants of each group; entities without a group belong to none."""
+    return calibrate(layer.join(entities.where("grp is not null").select("entity", "grp"), "entity"), ["grp", "feature"])
 
 
 def gate(quantiles: DataFrame, min_n: int = 0) -> DataFrame:
@@ -186,7 +187,7 @@ def feature_by_subgroup(layer: DataFrame, entities: DataFrame, feature: str, min
     """Box statistics of one feature per subgroup, with unmeasured subgroups kept."""
     totals = entities.where("subgroup is not null").groupBy("subgroup").agg(F.count(F.lit(1)).alias("n_entities"))
     measured = layer.where(F.col("feature") == feature).join(entities.select("entity", "subgroup"), "entity")
-    stats = percentiles(measured, ["subgroup"], "value", {"iqr_low": 0.25, "median": 0.5, "iqr_high": 0.75}).withColumnRenamed("n", "n_measured")
+    stats = percentiles(measured.where("subgroup is not null"), ["subgroup"], "value", {"iqr_low": 0.25, "median": 0.5, "iqr_high": 0.75}).withColumnRenamed("n", "n_measured")
     out = totals.join(stats, "subgroup", "left").withColumn("n_measured", F.coalesce("n_measured", F.lit(0)))
     return out.withColumn("flagged", F.col("n_measured") < min_n).orderBy(F.desc("n_measured"), "subgroup")
 
@@ -206,7 +207,7 @@ def feature_points(layer: DataFrame, entities: DataFrame, feature: str, limit: i
 
 def group_medians(layer: DataFrame, entities: DataFrame, groups: list[str], min_n: int) -> DataFrame:
     """Feature rows, one column per large enough group, holding the group's median."""
-    stats = percentiles(layer.join(entities.select("entity", "grp"), "entity"), ["feature", "grp"], "value", {"m": 0.5}).where(F.col("n") >= min_n)
+    stats = percentiles(layer.join(entities.where("grp is not null").select("entity", "grp"), "entity"), ["feature", "grp"], "value", {"m": 0.5}).where(F.col("n") >= min_n)
     return stats.groupBy("feature").pivot("grp", groups).agg(F.first("m"))
 
 

@@ -15,7 +15,8 @@ from panelgrid.functions.columns import explicit_true, hash_uniform, sign
 from panelgrid.functions.distribution import (
     average_ranks, group_residual, guarded_corr, medians, percentiles, rank_biserial, spearman, value_positions,
 )
-from panelgrid.session import is_small, small_frame, stage
+from panelgrid.operators import resample
+from panelgrid.session import small_frame, stage
 
 # Evaluation policy.
 MIN_GROUP = 15
@@ -169,45 +170,43 @@ def number_rows(rows: DataFrame, group: list[str], order: list[str]) -> DataFram
 
 
 def interval(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """95% percentile interval over the replicates (their number is fixed, so groups are small)."""
+    """95% percentile interval over the estimable replicates and their number (replicates are a fixed number, so groups are small)."""
     return percentiles(replicates, keys, value, {"ci_low": 0.025, "ci_high": 0.975}, bounded=True).withColumnRenamed("n", "n_replicates").withColumns(
         {"ci_low": F.round("ci_low", 8), "ci_high": F.round("ci_high", 8)})
 
 
-def bootstrap_shift(rows: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 25) -> DataFrame:
-    """Interval of the shift of medians, strata = group x context."""
+def bootstrap_shift(rows: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 25, bounded: bool = True) -> DataFrame:
+    """Interval of the shift of medians, strata = group x context.
+
+    ``bounded``: a key's rows are bounded by their grain (one for each entity), so a task may hold them; else the
+    resample is drawn and ranked over all tasks, at the cost of replicates x rows.
+    """
     sides = rows.where("context in ('context', 'reference')")
-    draws = bootstrap_draws(sides, keys, ["grp", "context"], ["value_adj"], replicates, seed)
-    m = percentiles(draws, [*keys, "replicate", "context"], "value_adj", {"m": 0.5}, weight="weight")
-    per = m.groupBy(*keys, "replicate").agg((F.max(F.when(F.col("context") == "reference", F.col("m"))) - F.max(F.when(F.col("context") == "context", F.col("m")))).alias("stat"))
+    if bounded:
+        per = resample.bootstrap_statistic(sides, keys, ["grp", "context"], ["value_adj"], replicates, seed, resample.shift_of_medians)
+    else:
+        draws = bootstrap_draws(sides, keys, ["grp", "context"], ["value_adj"], replicates, seed)
+        m = percentiles(draws, [*keys, "replicate", "context"], "value_adj", {"m": 0.5}, weight="weight")
+        per = m.groupBy(*keys, "replicate").agg((F.max(F.when(F.col("context") == "reference", F.col("m"))) - F.max(F.when(F.col("context") == "context", F.col("m")))).alias("stat"))
     return interval(per.where("stat is not null").withColumn("stat", F.round("stat", DIGITS)), keys, "stat")
 
 
-def bootstrap_rho(rows: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 25) -> DataFrame:
-    """Interval of the adjusted rank correlation, strata = group.
+def bootstrap_rho(rows: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 25, bounded: bool = True) -> DataFrame:
+    """Interval of the adjusted rank correlation, strata = group. ``bounded`` as in `bootstrap_shift`.
 
     Ranks of a resample come from weighted counts of its distinct values, keyed by replicate.
     """
-    draws = bootstrap_draws(rows, keys, ["grp"], ["x_adj", "y_adj"], replicates, seed)
-    by = [*keys, "replicate"]
-    joined = window_ranks(draws, by) if is_small(rows) else position_ranks(stage(draws, "draws"), by)
-    per = joined.groupBy(*by).agg(weighted_corr(F.col("rx"), F.col("ry"), F.col("weight")).alias("stat"))
+    if bounded:
+        per = resample.bootstrap_statistic(rows, keys, ["grp"], ["x_adj", "y_adj"], replicates, seed, resample.rank_correlation)
+    else:
+        by = [*keys, "replicate"]
+        joined = position_ranks(stage(bootstrap_draws(rows, keys, ["grp"], ["x_adj", "y_adj"], replicates, seed), "draws"), by)
+        per = joined.groupBy(*by).agg(weighted_corr(F.col("rx"), F.col("ry"), F.col("weight")).alias("stat"))
     return interval(per.where("stat is not null").withColumn("stat", F.round("stat", DIGITS)), keys, "stat")
 
 
-def window_ranks(draws: DataFrame, by: list[str]) -> DataFrame:
-    """Weighted average ranks with one shuffle: a resample of a small table fits one task."""
-
-    def rank(column: str) -> Column:
-        upto = F.sum("weight").over(Window.partitionBy(*by).orderBy(column))
-        ties = F.sum("weight").over(Window.partitionBy(*by, column))
-        return upto - ties + (ties + 1) / F.lit(2.0)
-
-    return draws.withColumns({"rx": rank("x_adj"), "ry": rank("y_adj")})
-
-
 def position_ranks(draws: DataFrame, by: list[str]) -> DataFrame:
-    """The same ranks from exact positions of distinct values, for resamples of any size."""
+    """Weighted average ranks from exact positions of distinct values, for resamples of any size."""
     out = draws
     for column, name in (("x_adj", "rx"), ("y_adj", "ry")):
         places = value_positions(draws, by, column, weight="weight")
@@ -223,23 +222,16 @@ def weighted_corr(x: Column, y: Column, w: Column) -> Column:
     return F.when(varies, F.try_divide(n * sxy - sx * sy, F.sqrt(spread)))
 
 
-def hold_out(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row once per group of its task that is not its own, as column `held_out`."""
-    groups = rows.groupBy(*keys).agg(F.collect_set("grp").alias("_groups"))
-    held = F.explode(F.array_remove(F.col("_groups"), F.col("grp"))).alias("held_out")
-    return rows.join(groups, keys).select(*rows.columns, held)
-
-
 def leave_one_out_shift(rows: DataFrame, keys: list[str], full: DataFrame) -> DataFrame:
     """Shift with each group held out, re-gated, and whether its sign matches the full shift."""
-    held = hold_out(rows.where("context in ('context', 'reference')"), keys)
-    by = [*keys, "held_out"]
-    n_groups = held.groupBy(*by).agg(F.count_distinct("grp").alias("n_groups"))
-    out = side_medians(held, by, "value_adj").join(n_groups, by).join(full.select(*keys, F.col("shift").alias("_full")), keys)
+    sides = rows.where("context in ('context', 'reference')")
+    fields = "n_context long, median_context double, n_reference long, median_reference double, raw double"
+    held = resample.without_each_group(sides, keys, ["context", "value_adj"], resample.shift_without, fields)
+    out = held.withColumn("shift", F.round("raw", DIGITS)).join(full.select(*keys, F.col("shift").alias("_full")), keys)
     ok = gates(F.col("n_context"), F.col("n_reference"), F.col("n_groups")) & F.col("shift").isNotNull()
     out = out.withColumn("estimable", ok)
     match = F.col("estimable") & (sign(F.col("_full")) != 0) & (sign(F.col("shift")) == sign(F.col("_full")))
-    return out.select(*by, F.when(F.col("estimable"), F.col("shift")).alias("shift"), "estimable", match.alias("matches"), "n_context", "n_reference", "n_groups")
+    return out.select(*keys, "held_out", F.when(F.col("estimable"), F.col("shift")).alias("shift"), "estimable", match.alias("matches"), "n_context", "n_reference", "n_groups")
 
 
 def consistency(loo: DataFrame, keys: list[str]) -> DataFrame:
@@ -297,15 +289,16 @@ def eval_codependency(rows: DataFrame, broad: DataFrame, replicates: int = REPLI
     raw = spearman(adj, ["task"], "x", "y", "raw_rho").drop("n")
     full = spearman(adj, ["task"], "x_adj", "y_adj", "rho")
     n_groups = adj.groupBy("task").agg(F.count_distinct("grp").alias("n_groups"))
-    held = hold_out(adj, ["task"])
-    by = ["task", "held_out"]
-    loo = spearman(held, by, "x_adj", "y_adj", "r").join(held.groupBy(*by).agg(F.count_distinct("grp").alias("g")), by).join(full.select("task", F.col("rho").alias("_full")), "task")
-    loo = loo.withColumn("estimable", (F.col("n") >= MIN_TOTAL) & (F.col("g") >= MIN_GROUPS) & F.col("r").isNotNull())
+    held = resample.without_each_group(adj, ["task"], ["x_adj", "y_adj"], resample.correlation_without, "n long, r double")
+    loo = held.join(full.select("task", F.col("rho").alias("_full")), "task")
+    loo = loo.withColumn("estimable", (F.col("n") >= MIN_TOTAL) & (F.col("n_groups") >= MIN_GROUPS) & F.col("r").isNotNull())
     loo = loo.withColumn("matches", F.col("estimable") & (sign(F.col("_full")) != 0) & (sign(F.col("r")) == sign(F.col("_full"))))
     out = broad.join(full, "task", "left").join(raw, "task", "left").join(n_groups, "task", "left").join(consistency(loo, ["task"]), "task", "left").join(bootstrap_rho(adj, ["task"], replicates, seed), "task", "left")
     estimable = F.coalesce((F.col("n") >= MIN_TOTAL) & (F.col("n_groups") >= MIN_GROUPS) & F.col("rho").isNotNull() & F.col("raw_rho").isNotNull(), F.lit(False))
     out = out.withColumn("estimable", estimable)
-    return out.select("task", "n", "n_groups", F.round("raw_rho", 8).alias("raw_rho"), F.round("rho", 8).alias("rho"), "estimable", F.round("ci_low", 8).alias("ci_low"), F.round("ci_high", 8).alias("ci_high"),
+    whole = F.col("estimable") & (F.col("n_replicates") == replicates)  # one replicate without variance voids the interval
+    out = out.withColumns({"ci_low": F.when(whole, F.round("ci_low", 8)), "ci_high": F.when(whole, F.round("ci_high", 8)), "consistency": F.when(F.col("estimable"), F.col("consistency"))})
+    return out.select("task", "n", "n_groups", F.round("raw_rho", 8).alias("raw_rho"), F.round("rho", 8).alias("rho"), "estimable", "ci_low", "ci_high",
                       "consistency", route_status(F.col("estimable"), F.col("broad"), F.col("rho"), F.col("ci_low"), F.col("ci_high"), F.col("consistency"), True).alias("status"))
 
 

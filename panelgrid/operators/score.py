@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from panelgrid.functions.columns import flip_role, ramp
 from panelgrid.functions.distribution import percentiles, spearman
 from panelgrid.operators import calibrate as cal
-from panelgrid.session import is_small, small_frame, stage
+from panelgrid.session import small_frame, stage
 
 # Layer weights, in fifteenths, and the order in which layers are added up.
 LAYER_WEIGHTS = {"rna": 4 / 15, "protein": 2 / 15, "dependency": 4 / 15, "copy_number": 2 / 15, "mutation": 2 / 15, "fusion": 1 / 15}
@@ -344,19 +344,12 @@ def score_features(
 def partition_results(results: DataFrame, top_n: int = 10) -> DataFrame:
     """Bucket per row and the rank of the displayed ones.
 
-    Small data is ranked by one window per query. Beyond that only the best `top_n` of each
-    query are ranked (Spark cuts every partition to that many before the shuffle) and joined back.
+    Only the best `top_n` of each query are ranked (Spark cuts every partition to that many before the shuffle) and joined back.
     """
     listed = F.col("tier").isin("High", "Moderate") & (F.col("D") > 0) & F.col("veto_feature").isNull()
-    keys = ["scenario_id", "query_id"]
-    order = Window.partitionBy(*keys).orderBy(F.desc("D"), "entity")
-    if is_small(results):
-        place = Window.partitionBy(*keys, "_listed").orderBy(F.desc("D"), "entity")
-        rows = results.withColumn("_listed", F.coalesce(listed, F.lit(False))).withColumn("_place", F.row_number().over(place))
-        rows = rows.withColumn("rank", F.when(F.col("_listed") & (F.col("_place") <= top_n), F.col("_place"))).drop("_listed", "_place")
-    else:
-        best = results.where(listed).select(*KEYS, "D").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).drop("D")
-        rows = results.join(best, KEYS, "left")
+    order = Window.partitionBy("scenario_id", "query_id").orderBy(F.desc("D"), "entity")
+    best = results.where(listed).select(*KEYS, "D").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).drop("D")
+    rows = results.join(best, KEYS, "left")
     bucket = (F.when(F.col("D").isNull() | (F.col("tier") == "Insufficient"), "insufficient").when((F.col("D") <= 0) | F.col("veto_feature").isNotNull(), "disqualified")
               .when(F.col("tier") == "Low", "low_confidence").when(F.col("rank").isNotNull(), "ranked").otherwise("ranked_beyond_top_n"))
     return rows.withColumn("bucket", bucket)

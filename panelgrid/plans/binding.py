@@ -163,7 +163,7 @@ def with_bindings(sql: str, given: frozenset[str] = frozenset()) -> str:
     return "WITH " + ",\n".join(defs) + "\n" + body
 
 
-_BUILT: dict[tuple[str, str, str], str] = {}
+_BUILT: dict[tuple, str] = {}
 
 
 class Bound:
@@ -195,7 +195,7 @@ class Bound:
         Recomputing it in each branch of each query would repeat the join and the aggregate over
         the line items; a written table is scanned with feature and column pruning instead.
         """
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, staged_generation(), self.sf_dir, name)
         if key not in _BUILT:
             path = scratch_path(self.spark, name)
             write_table(self.sql(f"SELECT * FROM {name}", building=name), path, STORED[name])

@@ -192,7 +192,7 @@ def rho_sql(src: str, keys: str, x: str, y: str, out: str, extra: str = "") -> s
 CODEP = f"""{PAIRS}, {BROAD}, {rho_sql('pa', 'task', 'x', 'y', 'rr')}, {rho_sql('pa', 'task', 'x_adj', 'y_adj', 'ra', ', count(DISTINCT grp) AS n_groups')},
     hd AS (SELECT p.*, h.held_out FROM pa p JOIN (SELECT DISTINCT task, grp AS held_out FROM pa) h ON h.task = p.task AND h.held_out <> p.grp), {rho_sql('hd', 'task, held_out', 'x_adj', 'y_adj', 'rh', ', count(DISTINCT grp) AS g')},
     cs AS (SELECT h.task, {rd("avg(CASE WHEN h.n >= 30 AND g >= 2 AND h.rho IS NOT NULL THEN CASE WHEN sign(h.rho) = sign(a.rho) AND sign(a.rho) <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END)")} AS consistency FROM rh h JOIN ra a ON a.task = h.task GROUP BY 1),
-    {boot('pa', 'grp', 'x_adj, y_adj')}, {rho_sql('bsr', 'task, rep', 'x_adj', 'y_adj', 'bro_')}, ci AS (SELECT task, quantile_cont({rd('rho')}, 0.025) AS ci_low, quantile_cont({rd('rho')}, 0.975) AS ci_high FROM bro_ WHERE rho IS NOT NULL GROUP BY 1),
+    {boot('pa', 'grp', 'x_adj, y_adj')}, {rho_sql('bsr', 'task, rep', 'x_adj', 'y_adj', 'bro_')}, ci AS (SELECT task, quantile_cont({rd('rho')}, 0.025) AS ci_low, quantile_cont({rd('rho')}, 0.975) AS ci_high FROM bro_ GROUP BY 1 HAVING count(rho) = {op.REPLICATES}),
     cd AS (SELECT t.task, t.a, t.b, ra.n, ra.n_groups, {rd('rr.rho', 8)} AS raw_rho, {rd('ra.rho', 8)} AS rho, coalesce(ra.n >= 30 AND n_groups >= 2 AND ra.rho IS NOT NULL AND rr.rho IS NOT NULL, false) AS estimable, {rd('ci_low', 8)} AS ci_low, {rd('ci_high', 8)} AS ci_high, consistency,
       CASE WHEN NOT coalesce(ra.n >= 30 AND n_groups >= 2 AND ra.rho IS NOT NULL AND rr.rho IS NOT NULL, false) THEN 'unavailable' WHEN coalesce(ba.broad, true) OR coalesce(bb.broad, true) THEN 'exploratory' WHEN (ci_low > 0 OR ci_high < 0) AND consistency >= 0.8 THEN 'supported' ELSE 'exploratory' END AS status
       FROM tasks t LEFT JOIN ra ON ra.task = t.task LEFT JOIN rr ON rr.task = t.task LEFT JOIN cs ON cs.task = t.task LEFT JOIN ci ON ci.task = t.task LEFT JOIN bro ba ON ba.feature = t.a LEFT JOIN bro bb ON bb.feature = t.b)"""
@@ -209,7 +209,7 @@ def target_flags(b, tasks=TASKS):
     return t.join(broad(b), "feature", "left").select("task", "broad")
 
 
-@query("g11_eval_codependency", f"WITH {CODEP} SELECT task, n, n_groups, raw_rho, rho, estimable, ci_low, ci_high, consistency, status FROM cd")
+@query("g11_eval_codependency", f"WITH {CODEP} SELECT task, n, n_groups, raw_rho, rho, estimable, CASE WHEN estimable THEN ci_low END AS ci_low, CASE WHEN estimable THEN ci_high END AS ci_high, CASE WHEN estimable THEN consistency END AS consistency, status FROM cd")
 def _(b):
     return op.eval_codependency(op.pair_rows(effects(b), spine(b), TASKS), pair_flags(b))
 

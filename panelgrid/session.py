@@ -1,4 +1,4 @@
-"""Session helpers: size checks that choose a physical strategy, and the shared checkpoint folder."""
+"""Session helpers: requests as local relations, and tables staged in the shared folder."""
 
 from __future__ import annotations
 
@@ -10,27 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-SMALL_BYTES_KEY = "spark.panelgrid.smallBytes"
-SMALL_BYTES_DEFAULT = 64 * 1024 * 1024
-
-
-def source_bytes(df: DataFrame) -> int | None:
-    """Bytes of the distinct leaf relations under ``df`` as known to the planner, without a job.
-
-    Returns None when the planner cannot say (for example over Spark Connect); callers treat
-    that as "large". A table scanned twice counts once.
-    """
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        sizes = set()
-        for i in range(leaves.size()):
-            leaf = leaves.apply(i)
-            if leaf.nodeName() != "CTERelationRef":  # its definition is elsewhere in the same tree
-                sizes.add(int(str(leaf.stats().sizeInBytes())))
-        return sum(sizes)
-    except Exception:
-        return None
-
 
 def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A request (a short list of tuples) as a local relation, whose size the planner knows."""
@@ -40,17 +19,6 @@ def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(table, schema=schema)
 
 
-def is_small(*frames: DataFrame) -> bool:
-    """True when the files behind ``frames`` are proven to fit comfortably in one task."""
-    spark = frames[0].sparkSession
-    limit = int(spark.conf.get(SMALL_BYTES_KEY, str(SMALL_BYTES_DEFAULT)))
-    for frame in frames:
-        size = source_bytes(frame)
-        if size is None or size > limit:
-            return False
-    return True
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
 
@@ -66,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _STAGED: list[str] = []
+_CLEARED = 0
+
+
+def staged_generation() -> int:
+    """How often staged folders were deleted; what was staged under an earlier number is gone."""
+    return _CLEARED
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -77,7 +51,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def clear_staged(spark: SparkSession) -> int:
     """Delete the folders that this session staged, once no result built on them is needed. Returns their number."""
+    global _CLEARED
     jvm, count = spark.sparkContext._jvm, len(_STAGED)
+    _CLEARED += 1
     while _STAGED:
         path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -18,9 +18,10 @@ def spark():
     yield session
 
 
-@pytest.fixture(params=["small", "large"])
-def path(request, spark):
-    """Run a test once per physical strategy: nothing is small when the limit is negative."""
-    spark.conf.set("spark.panelgrid.smallBytes", str(64 << 20) if request.param == "small" else "-1")
-    yield request.param
-    spark.conf.unset("spark.panelgrid.smallBytes")
+@pytest.fixture(params=[1 << 16, 7], ids=["whole", "cut"])
+def path(request, monkeypatch):
+    """Run a test with groups in one range of values and cut into many."""
+    from panelgrid.functions import distribution
+
+    monkeypatch.setattr(distribution, "RANGE_VALUES", request.param)
+    return request.param

@@ -1,11 +1,12 @@
-"""Exact kernels against pandas, on both physical strategies, with a hot key and many ties."""
+"""Exact kernels against pandas, with whole and cut groups, with a hot key and many ties."""
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelgrid.functions import distribution as d
-from panelgrid.session import is_small, small_frame
+from panelgrid.session import small_frame
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +25,6 @@ def frame(spark, rows):
     return small_frame(spark, list(rows.itertuples(index=False, name=None)), "k string, x double, y double, i bigint")
 
 
-def test_size_check(frame, path):
-    assert is_small(frame) == (path == "small")
-
-
 def test_percentiles(frame, rows, path):
     got = d.percentiles(frame, ["k"], "x", {"lo": 0.1, "mid": 0.5, "hi": 0.9}).toPandas().set_index("k").sort_index()
     want = rows.groupby("k")["x"].quantile([0.1, 0.5, 0.9]).unstack()
@@ -66,8 +63,6 @@ def test_group_residual_gate(spark, path):
 
 
 def test_rank_biserial(frame, rows, path):
-    from pyspark.sql import functions as F
-
     got = d.rank_biserial(frame.withColumn("first", F.col("i") % 3 == 0), ["k"], "y", "first").toPandas().set_index("k")
     for k, part in rows.groupby("k"):
         a, b = part[part["i"] % 3 == 0]["y"].to_numpy(), part[part["i"] % 3 != 0]["y"].to_numpy()
@@ -79,3 +74,22 @@ def test_row_order_and_partitions_change_nothing(frame):
     a = sorted(d.percentiles(frame, ["k"], "x", {"p": 0.3}).collect())
     b = sorted(d.percentiles(frame.orderBy("y").repartition(5), ["k"], "x", {"p": 0.3}).collect())
     assert a == b
+
+
+def test_null_keys_and_odd_values(spark, path):
+    nan = float("nan")
+    data = [(None, 1.0), (None, 3.0), (None, 3.0), ("a", -0.0), ("a", 0.0), ("a", None), ("a", 2.0), ("b", nan), ("b", 1.0)]
+    df = small_frame(spark, data, "k string, v double")
+    got = {r["k"]: (r["p"], r["n"]) for r in d.percentiles(df, ["k"], "v", {"p": 0.5}).collect()}
+    assert got[None] == (3.0, 3) and got["a"] == (0.0, 3) and got["b"][1] == 2
+    for bounded in (True, False):
+        ranks = sorted(((r["k"] or "", str(r["v"]), r["r"]) for r in d.average_ranks(df, ["k"], "v", "r", bounded).collect()), key=str)
+        assert ranks == sorted([("", "1.0", 1.0), ("", "3.0", 2.5), ("", "3.0", 2.5), ("a", "-0.0", 1.5), ("a", "0.0", 1.5), ("a", "None", None), ("a", "2.0", 3.0), ("b", "nan", 2.0), ("b", "1.0", 1.0)], key=str)
+
+
+def test_many_distinct_values_are_cut_evenly(spark):
+    rows = spark.range(20000).select((F.col("id") % 3 == 0).alias("k"), F.xxhash64("id").cast("double").alias("v"))
+    counts = rows.groupBy("k", "v").agg(F.count("*").alias("cnt"))
+    got = d._ranged_positions(counts, ["k"], "v", 500)
+    want = d.value_positions(rows, ["k"], "v", bounded=True)
+    assert sorted(got.collect()) == sorted(want.collect())
