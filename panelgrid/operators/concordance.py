@@ -33,7 +33,7 @@ def summarise_rho(scored: DataFrame, n_overlap: Column) -> DataFrame:
 
 
 def rho_by_group(scored: DataFrame, entities: DataFrame, min_n: int = 30) -> DataFrame:
-    rows = scored.where("rho is not null").join(entities.select("entity", "grp"), "entity")
+    rows = scored.where("rho is not null").join(entities.where("grp is not null").select("entity", "grp"), "entity")
     return medians(rows, ["grp"], "rho", "median_rho").where(F.col("n") >= min_n).withColumn("median_rho", F.round("median_rho", DIGITS))
 
 

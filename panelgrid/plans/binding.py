@@ -14,7 +14,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelgrid.sources.sinks import scratch_path, write_table
+from panelgrid.session import scratch_path, staged_generation
+from panelgrid.sources.sinks import write_table
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
