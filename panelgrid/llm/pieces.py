@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MEMO_SEGMENTS = 300_000  # segments kept by a task before its memo starts anew
+MEMO_SEGMENTS = 350_000  # segments of a generation of a task's memo
 MEMO_PAIRS = 1_000_000  # pairs of pieces whose compatibility is kept
 MEMO_CHARS = 48  # longer segments are not kept
 
@@ -65,16 +65,21 @@ class Vocabulary:
 
 
 class Memo(dict):
-    """Segment -> packed ids; short segments are kept until the memo is full, then it starts anew."""
+    """Segment -> packed ids. Short segments are kept in two generations: when the younger is full it becomes the elder, and
+    what is asked for again moves back to the younger, so frequent segments stay."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.elder: dict[str, bytes] = {}
 
     def __missing__(self, segment: str) -> bytes:
-        packed = self.encode(segment)
+        packed = self.elder.get(segment)
+        if packed is None:
+            packed = self.encode(segment)
         if len(segment) <= MEMO_CHARS:
             if len(self) >= MEMO_SEGMENTS:
+                self.elder = dict(self)
                 self.clear()
             self[segment] = packed
         return packed
@@ -98,7 +103,9 @@ class Encoder:
             prefix = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in reachable), None)
             self.shorter[self.ids[piece]] = -1 if prefix is None else self.ids[prefix]
         self.pairs: dict[int, bool] = {}
+        self.chars = {p for p in self.ids if len(p) == 1}
         self.words = Memo(lambda word: self.encode_segment(SPACE + word))
+        self.parts = Memo(lambda part: array("I", self.encode_known(part)).tobytes())  # what stands between characters without a piece
         self.surfaces = [b"" if k == "c" else bytes([int(p[3:5], 16)]) if k == "b" else p.replace(SPACE, " ").encode() for p, k in zip(vocabulary.pieces, vocabulary.kinds)]
 
     def merge(self, text: str) -> list[str]:
@@ -113,14 +120,12 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = left * len(self.lengths) + right
-        known = self.pairs.get(key)
-        if known is None:
-            a, b = self.v.pieces[left], self.v.pieces[right]
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(a + b) == [a, b]
-        return known
+        """Re-merge the characters of two pieces; the outcome is kept."""
+        a, b = self.v.pieces[left], self.v.pieces[right]
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        same = self.pairs[left * len(self.lengths) + right] = self.merge(a + b) == [a, b]
+        return same
 
     def encode_known(self, text: str) -> list[int]:
         """Ids of a segment whose characters all have a piece."""
@@ -128,19 +133,25 @@ class Encoder:
         longest = [0] * size
         for last, (piece, length) in self.automaton.iter(text):
             longest[last - length + 1] = piece  # matches come by their last character, so the longest stays
-        lengths, shorter, compatible = self.lengths, self.shorter, self.compatible
+        lengths, shorter, known, width = self.lengths, self.shorter, self.pairs, len(self.lengths)
         failed = bytearray((size >> 3) + 1)
         tokens: list[int] = []
         at, token = 0, longest[0]
         while True:
             end = at + lengths[token]
-            if not failed[end >> 3] >> (end & 7) & 1 and (not tokens or compatible(tokens[-1], token)):
-                tokens.append(token)
-                at = end
-                if at == size:
-                    return tokens
-                token = longest[at]
-                continue
+            if not failed[end >> 3] >> (end & 7) & 1:
+                fits = True
+                if tokens:
+                    fits = known.get(tokens[-1] * width + token)
+                    if fits is None:
+                        fits = self.compatible(tokens[-1], token)
+                if fits:
+                    tokens.append(token)
+                    at = end
+                    if at == size:
+                        return tokens
+                    token = longest[at]
+                    continue
             token = shorter[token]
             while token < 0:  # nothing fits here: give the previous piece up for a shorter one
                 failed[at >> 3] |= 1 << (at & 7)
@@ -150,28 +161,29 @@ class Encoder:
 
     def encode_segment(self, text: str) -> bytes:
         """Packed ids of a segment; characters without a piece become byte pieces."""
-        ids: list[int] = []
+        if self.chars.issuperset(text):
+            return array("I", self.encode_known(text)).tobytes()
+        out: list[bytes] = []
         start = 0
         for i, char in enumerate(text):
-            if char not in self.ids:
+            if char not in self.chars:
                 if i > start:
-                    ids += self.encode_known(text[start:i])
-                ids += [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
+                    out.append(self.parts[text[start:i]])
+                out.append(array("I", [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]).tobytes())
                 start = i + 1
         if start < len(text):
-            ids += self.encode_known(text[start:])
-        return array("I", ids).tobytes()
+            out.append(self.parts[text[start:]])
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Packed 32-bit ids of a whole text, with begin and end."""
         edge = array("I", [self.v.begin]).tobytes(), array("I", [self.v.end]).tobytes()
         if not text:
             return b"".join(edge)
-        words = text.split(" ")
-        if SPACE in text or "" in words:  # runs of spaces belong to one segment
+        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":  # runs of spaces belong to one segment
             body = [self.encode_segment(x) for x in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
         else:
-            body = map(self.words.__getitem__, words)
+            body = map(self.words.__getitem__, text.split(" "))
         return edge[0] + b"".join(body) + edge[1]
 
     def decode(self, packed: bytes) -> str:
