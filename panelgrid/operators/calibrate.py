@@ -75,11 +75,13 @@ def flag_broad_many(layer: DataFrame, samples: list[tuple[str, float, float, int
     return out.where((F.col("n") >= F.col("min_n")) & (F.col("fraction") >= F.col("min_fraction"))).select("sample_id", "feature", "n", "fraction")
 
 
-def calibrate_without(layer: DataFrame, entities: DataFrame, groups: list[str]) -> DataFrame:
-    """Global constants with each listed group held out in turn, as one plan keyed by the group."""
-    labelled = layer.join(entities.select("entity", "grp"), "entity")
-    held = F.explode(F.filter(F.array(*[F.lit(g) for g in groups]), lambda g: g != F.col("grp")))
-    return calibrate(labelled.select("feature", "value", held.alias("held_out")), ["held_out", "feature"])
+def calibrate_without(layer: DataFrame, entities: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """Global constants with each group held out in turn (those listed, else all), as one plan keyed by the group."""
+    known = entities.where("grp is not null")
+    labelled = layer.join(known.select("entity", "grp"), "entity")
+    names = F.array(*[F.lit(g) for g in groups]) if groups is not None else known.agg(F.sort_array(F.collect_set("grp"))).scalar()
+    held = labelled.select("feature", "value", "grp", F.explode(names).alias("held_out")).where("held_out != grp")
+    return calibrate(held.drop("grp"), ["held_out", "feature"])
 
 
 def matrix_summary(layer: DataFrame, by: str, strong: Column) -> DataFrame:
@@ -205,10 +207,10 @@ def feature_points(layer: DataFrame, entities: DataFrame, feature: str, limit: i
     return first.withColumn("n_measured", total)
 
 
-def group_medians(layer: DataFrame, entities: DataFrame, groups: list[str], min_n: int) -> DataFrame:
-    """Feature rows, one column per large enough group, holding the group's median."""
-    stats = percentiles(layer.join(entities.where("grp is not null").select("entity", "grp"), "entity"), ["feature", "grp"], "value", {"m": 0.5}).where(F.col("n") >= min_n)
-    return stats.groupBy("feature").pivot("grp", groups).agg(F.first("m"))
+def group_medians(layer: DataFrame, entities: DataFrame, min_n: int) -> DataFrame:
+    """The cells of a heat table: the median of each feature in each group with enough rows."""
+    known = entities.where("grp is not null").select("entity", "grp")
+    return percentiles(layer.join(known, "entity"), ["feature", "grp"], "value", {"m": 0.5}).where(F.col("n") >= min_n).select("feature", "grp", "m")
 
 
 def shape_stats(layer: DataFrame) -> DataFrame:

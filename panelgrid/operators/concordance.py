@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from panelgrid.functions.distribution import (
     group_residual, guarded_corr, medians, percentiles, rank_biserial, spearman,
 )
-from panelgrid.operators.calibrate import top_variable
 from panelgrid.operators.relations import DIGITS, MIN_TOTAL, threshold_context
-from panelgrid.session import stage
+from panelgrid.session import small_frame, stage
 from panelgrid.sources.tables import union_all
 
 
@@ -91,18 +90,26 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(guarded_corr("x", "y"), 8).alias("r"))
 
 
-def pca(layer: DataFrame, entities: DataFrame, n_features: int, k: int = 2) -> DataFrame:
-    """Principal components of the most variable features with group labels; signs are arbitrary.
+def pca(layer: DataFrame, features: list[str] | None = None, k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(scores, loadings) of the principal components of an entity x feature layer; signs are arbitrary.
 
-    Entities lacking one of the features are left out, as a component needs a full row.
+    Features are those asked for (else all); one that any entity lacks is left out, as a component needs full columns.
+    Columns are centred, not scaled. ``loadings`` has component, feature, loading and the explained share of variance.
     """
-    features = [r["feature"] for r in top_variable(layer, n_features).select("feature").collect()]
-    wide = layer.where(F.col("feature").isin(features)).groupBy("entity").pivot("feature", features).agg(F.avg("value"))
-    vectors = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(wide)
-    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
-    model = PCA(k=k, inputCol="scaled", outputCol="pc").fit(scaled)
-    out = model.transform(scaled).select("entity", vector_to_array("pc").alias("pc"))
-    return out.join(entities.select("entity", "grp"), "entity").select("entity", "grp", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(k)])
+    cells = layer.where("value is not null").groupBy("entity", "feature").agg(F.avg("value").alias("value"))
+    wanted = cells if features is None else cells.where(F.col("feature").isin(features))
+    n = cells.select("entity").distinct().agg(F.count(F.lit(1))).scalar()
+    names = [r.feature for r in wanted.groupBy("feature").count().where(F.col("count") == n).orderBy("feature").collect()]  # the catalogue of features
+    if len(names) < k:
+        raise ValueError(f"{len(names)} features are complete; {k} components need as many")
+    wide = cells.where(F.col("feature").isin(names)).groupBy("entity").pivot("feature", names).agg(F.first("value"))
+    vectors = VectorAssembler(inputCols=names, outputCol="raw").transform(wide)
+    centred = StandardScaler(inputCol="raw", outputCol="centred", withMean=True, withStd=False).fit(vectors).transform(vectors)
+    model = PCA(k=k, inputCol="centred", outputCol="pc").fit(centred)
+    scores = model.transform(centred).select("entity", vector_to_array("pc").alias("_pc")).select("entity", *[F.col("_pc")[i].alias(f"pc{i + 1}") for i in range(k)])
+    weights, shares = model.pc.toArray(), model.explainedVariance.toArray()
+    rows = [(i + 1, f, float(weights[j, i]), float(shares[i])) for i in range(k) for j, f in enumerate(names)]
+    return scores, small_frame(layer.sparkSession, rows, "component int, feature string, loading double, explained double")
 
 
 def overlap_spearman(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -87,12 +87,17 @@ def panel_features(panels: list[Panel]) -> list[str]:
     return sorted({f for p in panels for f in p.features})
 
 
-def candidate_grid(candidates: DataFrame, panels: list[Panel], scenarios: list[Scenario] | None = None) -> DataFrame:
-    """One row per scenario, query, candidate and panel feature."""
+def candidate_grid(candidates: DataFrame, panels: list[Panel]) -> DataFrame:
+    """One row per query, candidate and panel feature."""
     items = F.array(*[
         F.struct(F.lit(p.query_id).alias("query_id"), F.lit(p.group).cast("string").alias("want"), F.lit(i).alias("ordinal"),
                  F.lit(feature).alias("feature"), F.lit(role).alias("role"))
         for p in panels for i, (feature, role) in enumerate(p.items)])
+    return candidates.select("*", F.inline(items)).where("want is null or want = grp").drop("want")
+
+
+def spread_scenarios(rows: DataFrame, scenarios: list[Scenario] | None = None) -> DataFrame:
+    """Each row once per scenario, with its weights and thresholds; evidence is joined before, so it is read once."""
     runs = F.array(*[
         F.struct(
             F.lit(s.scenario_id).alias("scenario_id"),
@@ -101,7 +106,6 @@ def candidate_grid(candidates: DataFrame, panels: list[Panel], scenarios: list[S
             F.lit(float(s.insufficient_fraction)).alias("insufficient_fraction"), F.lit(float(s.fraction_threshold)).alias("fraction_threshold"),
             F.lit(s.high_min_layers).alias("high_min"), F.lit(s.moderate_min_layers).alias("moderate_min"))
         for s in (scenarios or [Scenario()])])
-    rows = candidates.select("*", F.inline(items)).where("want is null or want = grp").drop("want")
     out = rows.select("*", F.inline(runs))
     if "only_scenario" in out.columns:
         out = out.where("only_scenario = scenario_id").drop("only_scenario")
@@ -166,8 +170,8 @@ def rename_constants(df: DataFrame, prefix: str, keys: tuple[str, ...] = ("featu
     return df.select(*keys, F.col("L").alias(f"{prefix}_L"), F.col("T").alias(f"{prefix}_T"), F.col("n").alias(f"{prefix}_n"))
 
 
-def group_constants(measures: DataFrame, entities: DataFrame, features: list[str]) -> DataFrame:
-    rows = measures.where(F.col("feature").isin(features)).select("entity", "feature", F.col("rna").alias("value"))
+def group_constants(measures: DataFrame, entities: DataFrame, features: list[str] | None = None) -> DataFrame:
+    rows = (measures if features is None else measures.where(F.col("feature").isin(features))).select("entity", "feature", F.col("rna").alias("value"))
     return rename_constants(cal.gate(cal.calibrate_group(rows, entities)), "l", ("grp", "feature"))
 
 
@@ -326,7 +330,7 @@ def score_features(
     column `cal_grp` on candidates replaces the group used for calibration only.
     """
     features = panel_features(panels)
-    grid = candidate_grid(candidates, panels, scenarios)
+    grid = candidate_grid(candidates, panels)
     if "cal_grp" not in grid.columns:
         grid = grid.withColumn("cal_grp", F.col("grp"))
     if constants is None:
@@ -336,7 +340,8 @@ def score_features(
     weights = correlation_weights(measures.select("entity", "feature", F.col("rna").alias("value")), panels)
     weights = weights.withColumn("m_eff", F.round(F.sum("weight").over(Window.partitionBy("query_id")), 9))
     rows = gather_evidence(grid, measures, mutations, fusions, features)
-    rows = rows.join(constants, ["scenario_id", "feature"], "left").join(own, ["cal_grp", "feature"], "left").join(weights, ["query_id", "feature"], "left")
+    rows = rows.join(own, ["cal_grp", "feature"], "left").join(weights, ["query_id", "feature"], "left")
+    rows = spread_scenarios(rows, scenarios).join(constants, ["scenario_id", "feature"], "left")
     rows = rows.withColumn("_p", pooled.select(F.struct("p_L", "p_T")).scalar())
     return score_layers(rows.withColumns({"p_L": F.col("_p.p_L"), "p_T": F.col("_p.p_T")}).drop("_p"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from panelgrid.functions.columns import hash_uniform
 from panelgrid.functions.distribution import medians, rank_biserial, value_positions
 from panelgrid.operators.score import LAYERS, Panel, Scenario
+from panelgrid.session import stage
 
 DIGITS = 9
 # Bounds of the swept thresholds.
@@ -54,8 +56,8 @@ def kendall_tau(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     ranks give. Work is rows x bits.
     """
     both = a.select(*keys, "entity", F.col("position").alias("_a")).join(b.select(*keys, "entity", F.col("position").alias("_b")), [*keys, "entity"])
-    bits = both.agg(F.greatest(F.length(F.bin(F.max("_b"))), F.lit(1))).first()[0] or 1
-    levels = both.select(*keys, "_a", F.col("_b"), F.explode(F.sequence(F.lit(0), F.lit(int(bits) - 1))).alias("_level"))
+    bits = both.agg(F.coalesce(F.length(F.bin(F.max("_b"))), F.lit(1))).scalar()
+    levels = both.select(*keys, "_a", F.col("_b"), F.explode(F.sequence(F.lit(0), bits - 1)).alias("_level"))
     marked = levels.withColumn("_prefix", F.expr("shiftright(_b, _level + 1)")).withColumn("_zero", F.expr("shiftright(_b, _level) % 2 = 0"))
     u = rank_biserial(marked, [*keys, "_level", "_prefix"], "_a", "_zero").where("n_first > 0 and n_second > 0")
     inversions = u.groupBy(*keys).agg(F.sum("u").alias("_inv"))
@@ -94,44 +96,53 @@ def dirichlet_scenarios(n: int, seed: int) -> list[Scenario]:
     return out
 
 
-def scenario_of(name: str, row: list[float]) -> Scenario:
-    """A design row in the unit cube as weights and thresholds."""
-    raw = dict(zip(FACTORS, row))
-    weights = {layer: raw[f"weight_{layer}"] for layer in LAYERS}
-    total = sum(weights.values())
-    t = {k: lo + raw[k] * (hi - lo) for k, (lo, hi) in THRESHOLD_BOUNDS.items()}
-    return Scenario(name, {k: round(v / total, 12) for k, v in weights.items()} if total > 1e-9 else dict.fromkeys(LAYERS, 1 / len(LAYERS)),
-                    min_group_n=round(t["min_group_n"]), min_calibration_n=round(t["min_calibration_n"]), insufficient_fraction=round(t["insufficient_fraction"], 6),
-                    fraction_threshold=round(t["fraction_threshold"], 6), strong_cutoff=round(t["strong_cutoff"], 6), broad_fraction=round(t["broad_fraction"], 6))
-
-
 def saltelli_design(n: int, seed: int) -> list[Scenario]:
-    """Rows A, B and A with one column from B, for n base points."""
-    out = []
-    for j in range(n):
-        a = [uniform_of(seed, "A", j, f) for f in FACTORS]
-        b = [uniform_of(seed, "B", j, f) for f in FACTORS]
-        out += [scenario_of(f"A|{j}|", a), scenario_of(f"B|{j}|", b)]
-        out += [scenario_of(f"AB|{j}|{f}", [*a[:i], b[i], *a[i + 1:]]) for i, f in enumerate(FACTORS)]
-    return out
+    """Rows A, B and A with one column from B, for n base points, as scenarios.
 
-
-def compare_to_baseline(tops: DataFrame, baseline: str, queries: DataFrame, scenarios: list[str]) -> DataFrame:
+    The design is a matrix over the unit cube. Its weight columns are scaled to shares (equal ones where a row has none),
+    its threshold columns are stretched to their bounds.
+    """
+    names, cube = [], []
+    for j in range(n):
+        a, b = ([uniform_of(seed, kind, j, f) for f in FACTORS] for kind in "AB")
+        swapped = np.where(np.eye(len(FACTORS), dtype=bool), b, a)
+        names += [f"A|{j}|", f"B|{j}|", *(f"AB|{j}|{f}" for f in FACTORS)]
+        cube += [a, b, *swapped.tolist()]
+    shares, unit = np.hsplit(np.array(cube), [len(LAYERS)])
+    total = shares.sum(1, keepdims=True)
+    shares = np.where(total > 1e-9, shares / np.maximum(total, 1e-9), 1 / len(LAYERS)).round(12)
+    low, high = np.array(list(THRESHOLD_BOUNDS.values())).T
+    stretched = low + unit * (high - low)
+    counts = [k.endswith("_n") for k in THRESHOLD_BOUNDS]
+    return [Scenario(name, dict(zip(LAYERS, w.tolist())), **{k: round(v) if whole else round(v, 6) for k, v, whole in zip(THRESHOLD_BOUNDS, t.tolist(), counts)})
+            for name, w, t in zip(names, shares, stretched)]
+
+
+def compare_to_baseline(tops: DataFrame, baseline: str, queries: DataFrame) -> DataFrame:
     """Overlap and membership change of each scenario's list with the baseline list, per query.
 
-    ``tops`` is (scenario_id, query_id, entity, rank): at most ten rows per scenario and query.
+    ``tops`` is (scenario_id, query_id, entity, rank): at most ten rows per scenario and query. ``queries`` is
+    (scenario_id, query_id): what is asked. An overlap with an empty list is undefined, hence null.
     """
     keys = ["scenario_id", "query_id"]
-    others = F.array(*[F.lit(s) for s in scenarios])
-    base = tops.where(F.col("scenario_id") == baseline).select("query_id", "entity", "rank", F.explode(others).alias("scenario_id"))
-    rest = tops.where(F.col("scenario_id") != baseline)
-    grid = queries.select("query_id", F.explode(others).alias("scenario_id"))
-    return (grid.join(rbo(base, rest, keys), keys, "left").join(membership_change(base, rest, keys), keys, "left")
-            .select(*keys, F.coalesce("rbo", F.lit(0.0)).alias("rbo"), F.coalesce("n_diff", F.lit(0)).alias("n_diff")))
+    base = tops.where(F.col("scenario_id") == baseline).drop("scenario_id").join(queries, "query_id")
+    rest = tops.where(F.col("scenario_id") != baseline).join(queries, keys, "left_semi")
+    return (queries.join(rbo(base, rest, keys), keys, "left").join(membership_change(base, rest, keys), keys, "left")
+            .select(*keys, "rbo", F.coalesce("n_diff", F.lit(0)).alias("n_diff")))
+
+
+def tau_to_baseline(results: DataFrame, baseline: str, queries: DataFrame) -> DataFrame:
+    """Kendall's tau of each scenario's ranking of all scored entities with the baseline's, per query; null if under two are shared."""
+    keys = ["scenario_id", "query_id"]
+    full = stage(full_ranking(results, keys), "rankings")
+    base = full.where(F.col("scenario_id") == baseline).drop("scenario_id").join(queries, "query_id")
+    return queries.join(kendall_tau(base, full.where(F.col("scenario_id") != baseline), keys), keys, "left").select(*keys, "tau")
 
 
 def sweep_means(compared: DataFrame) -> DataFrame:
-    return compared.groupBy("scenario_id").agg(F.round(F.avg("rbo"), DIGITS).alias("mean_rbo"), F.max("n_diff").alias("max_diff"))
+    """Means over queries, where an undefined overlap counts as none."""
+    overlap = F.coalesce("rbo", F.lit(0.0))
+    return compared.groupBy("scenario_id").agg(F.round(F.avg(overlap), DIGITS).alias("mean_rbo"), F.max("n_diff").alias("max_diff"))
 
 
 def sobol_indices(means: DataFrame) -> DataFrame:
@@ -170,7 +181,7 @@ def known_negative(results: DataFrame, veto_features: list[str], ceiling: float
 
 
 def random_panels(battery: list[Panel], features: list[str], reps: int, seed: int) -> list[Panel]:
-    """Panels of the same shape with features drawn by hash order."""
+    """Panels of the same shape with features drawn by hash order from the feature catalogue."""
     out = []
     for p in battery:
         for r in range(reps):
@@ -179,12 +190,23 @@ def random_panels(battery: list[Panel], features: list[str], reps: int, seed: in
     return out
 
 
+# A high score, and how far random panels must stay below the real ones.
+HIGH_SCORE, RANDOM_MEDIAN, RANDOM_RATIO = 0.7, 0.2, 0.5
+
+
 def score_summary(results: DataFrame) -> DataFrame:
-    """Mean and median score, and the share above 0.7, of real against random panels (id holds '#')."""
-    rows = results.where("D is not null").withColumn("kind", F.when(F.col("query_id").contains("#"), "random").otherwise("real"))
-    middle = medians(rows, ["kind"], "D", "median_D").drop("n")
-    out = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("D"), 8).alias("mean_D"), F.round(F.avg((F.col("D") > 0.7).cast("double")), DIGITS).alias("high_fraction"))
-    return out.join(middle, "kind").withColumn("median_D", F.round("median_D", DIGITS))
+    """Scores and tiers of real against random panels (id holds '#'), and on the random row whether they stay low enough."""
+    rows = results.withColumn("kind", F.when(F.col("query_id").contains("#"), "random").otherwise("real"))
+    scored = rows.where("D is not null")
+    middle = medians(scored, ["kind"], "D", "median_D").drop("n")
+    collapsed = F.col("tier").isin("Low", "Insufficient").cast("double")
+    tiers = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(collapsed), DIGITS).alias("collapse_fraction"))
+    out = scored.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.round(F.avg("D"), 6).alias("mean_D"), F.round(F.avg((F.col("D") >= HIGH_SCORE).cast("double")), DIGITS).alias("high_fraction"))
+    out = tiers.join(out, "kind", "left").join(middle, "kind", "left").withColumn("median_D", F.round("median_D", DIGITS))
+    real = out.where("kind = 'real'").agg(F.max("mean_D")).scalar()
+    low = F.coalesce((F.col("median_D") <= RANDOM_MEDIAN) & (F.col("mean_D") < RANDOM_RATIO * real), F.lit(False))
+    return out.withColumn("passed", F.when(F.col("kind") == "random", low))
 
 
 def shuffled_groups(entities: DataFrame, draws: int, seed: int) -> DataFrame:
@@ -206,6 +228,18 @@ def informative_panels(panels: DataFrame, group_constants: DataFrame) -> DataFra
     return panels.where("grp is not null").join(group_constants.select("grp", "feature"), ["grp", "feature"], "left_semi").select("query_id").distinct()
 
 
+def shuffle_verdict(compared: DataFrame, ceiling: float = 0.9) -> DataFrame:
+    """Mean overlap of the draws in which it is defined, per query, and whether shuffling changed the list."""
+    out = compared.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_draws"), F.count("rbo").alias("n_defined"), F.round(F.avg("rbo"), 8).alias("mean_rbo"))
+    return out.withColumn("passed", F.coalesce(F.col("mean_rbo") <= ceiling, F.lit(False)))
+
+
+def holdout_verdict(compared: DataFrame, ceiling: int = 2) -> DataFrame:
+    """One row: the median membership change over all held-out groups and panels, and whether it is small."""
+    out = medians(compared.withColumn("_k", F.lit(1)), ["_k"], "n_diff", "median_diff").select("n", "median_diff")
+    return out.withColumn("passed", F.col("median_diff") <= ceiling)
+
+
 def holdout_groups(entities: DataFrame, top: int = 5, min_n: int = 100) -> DataFrame:
     counts = entities.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
     return counts.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "grp"))).where(F.col("_r") <= top).drop("_r")

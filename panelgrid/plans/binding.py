@@ -159,8 +159,9 @@ def with_bindings(sql: str, given: frozenset[str] = frozenset()) -> str:
     body = sql.strip()
     if not defs:
         return body
-    if re.match(r"(?i)with\s", body):
-        return "WITH " + ",\n".join(defs) + ",\n" + body[4:].lstrip()
+    head = re.match(r"(?i)with\s+(recursive\s+)?", body)
+    if head:
+        return ("WITH RECURSIVE " if head[1] else "WITH ") + ",\n".join(defs) + ",\n" + body[head.end():]
     return "WITH " + ",\n".join(defs) + "\n" + body
 
 

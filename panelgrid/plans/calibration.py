@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from panelgrid.operators import calibrate as op
 from panelgrid.plans.registry import query, rd
-from panelgrid.plans.reshape import _GROUPS as GROUPS
 
 
 def q(expr: str, p: float) -> str:
@@ -70,7 +69,7 @@ def _(b):
 
 @query("e9_calibrate_without", f"WITH {XG} SELECT h.grp AS held_out, x.feature, {lt('x.value')}, count(*) AS n FROM xg x JOIN (SELECT DISTINCT grp FROM entities) h ON x.grp <> h.grp GROUP BY h.grp, x.feature")
 def _(b):
-    return rounded(op.calibrate_without(b("expression_rna"), b("entities"), GROUPS), 9, "L", "T")
+    return rounded(op.calibrate_without(b("expression_rna"), b("entities")), 9, "L", "T")
 
 
 @query("e10_matrix_summary", " UNION ALL ".join(f"SELECT '{k}' AS axis, CAST({k} AS STRING) AS item, count(*) AS n, {rd('avg(value)', 10)} AS mean, {rd('stddev_pop(value)', 10)} AS sd, {rd('100.0E0 * avg(CASE WHEN value <= -0.5 THEN 1.0E0 ELSE 0.0E0 END)', 10)} AS strong_pct FROM dependency GROUP BY {k}" for k in ("feature", "entity")))
@@ -165,9 +164,9 @@ def _(b):
     return op.feature_points(b("expression_rna"), b("entities"), "F07", 100)
 
 
-@query("e23_group_medians", f"WITH {XG}, s AS (SELECT feature, grp, {rd(q('value', .5))} AS m FROM xg GROUP BY 1, 2 HAVING count(*) >= 230) SELECT feature, " + ", ".join(f"max(CASE WHEN grp = '{g}' THEN m END) AS \"{g}\"" for g in GROUPS) + " FROM s GROUP BY feature")
+@query("e23_group_medians", f"WITH {XG} SELECT feature, grp, {rd(q('value', .5))} AS m FROM xg GROUP BY 1, 2 HAVING count(*) >= 230")
 def _(b):
-    return rounded(op.group_medians(b("expression_rna"), b("entities"), GROUPS, 230), 9, *GROUPS)
+    return rounded(op.group_medians(b("expression_rna"), b("entities"), 230), 9, "m")
 
 
 @query("e24_shape_stats", f"""WITH c AS (SELECT feature, quantile_cont(value, 0.99) AS cap FROM copy_number GROUP BY 1)

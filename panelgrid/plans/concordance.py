@@ -79,9 +79,38 @@ def _(b):
     return op.correlation_matrix(b("cells"), _COLS)
 
 
-@query("k10_pca")
+# Mean value of each feature by nation: a matrix without gaps. Components come from power iteration, the second one after the first is taken out.
+_MATRIX = """mx AS (SELECT c.c_nationkey AS entity, x.feature, avg(x.value) AS value FROM expression_rna x JOIN customer c ON c.c_custkey = x.entity GROUP BY 1, 2),
+    ft AS (SELECT feature FROM mx GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT entity) FROM mx)),
+    cn AS (SELECT entity, feature, value - avg(value) OVER (PARTITION BY feature) AS x, row_number() OVER (PARTITION BY entity ORDER BY feature) AS i FROM mx SEMI JOIN ft USING (feature)),
+    cv AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM cn a JOIN cn b USING (entity) GROUP BY 1, 2),
+    ma AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY 1) q), tr AS (SELECT sum(c) AS t FROM cv WHERE i = j)"""
+
+
+def _power(name: str, matrix: str) -> str:
+    step = "list_transform(m, lambda r: list_inner_product(r, v))"
+    return f"""{name}_it(n, v) AS (SELECT 0, list_transform(range(1, len(m) + 1), lambda i: 1.0::DOUBLE / i) FROM {matrix} UNION ALL SELECT n + 1, list_transform({step}, lambda x: x / sqrt(list_inner_product({step}, {step}))) FROM {name}_it, {matrix} WHERE n < 3000),
+    {name} AS (SELECT v, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS value FROM {name}_it, {matrix} WHERE n = 3000)"""
+
+
+_PCA = f"""RECURSIVE {_MATRIX}, {_power('e1', 'ma')},
+    mb AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - value * v[i] * v[j])) AS m FROM ma, e1), {_power('e2', 'mb')}"""
+
+
+def _pca(b):
+    rows = b("expression_rna").join(b("customer").select(F.col("c_custkey").alias("entity"), "c_nationkey"), "entity")
+    return op.pca(rows.groupBy(F.col("c_nationkey").alias("entity"), "feature").agg(F.avg("value").alias("value")))
+
+
+@query("k10_pca", f"WITH {_PCA} SELECT entity, round(pow(list_inner_product(xs, e1.v), 2), 5) AS squared_1, round(pow(list_inner_product(xs, e2.v), 2), 5) AS squared_2 FROM (SELECT entity, list(x ORDER BY i) AS xs FROM cn GROUP BY 1) q, e1, e2")
+def _(b):
+    return _pca(b)[0].select("entity", *[F.round(F.pow(f"pc{i}", F.lit(2.0)), 5).alias(f"squared_{i}") for i in (1, 2)])
+
+
+@query("k10_pca_loadings", f"""WITH {_PCA}, fl AS (SELECT list(feature ORDER BY feature) AS f FROM ft), lo AS (SELECT 1 AS component, f, v, value FROM e1, fl UNION ALL SELECT 2, f, v, value FROM e2, fl)
+    SELECT component, unnest(f) AS feature, round(abs(unnest(v)), 6) AS loading, round(value / t, 6) AS explained FROM lo, tr""")
 def _(b):
-    return op.pca(b("expression_rna"), b("entities"), 6)
+    return _pca(b)[1].select("component", "feature", F.round(F.abs("loading"), 6).alias("loading"), F.round("explained", 6).alias("explained"))
 
 
 @query("k11_overlap_spearman", f"WITH o AS (SELECT 1 AS k, zscore AS x, effect AS y FROM cells WHERE detected), {rho_sql('o', 'k', 'x', 'y', 'r')} SELECT n, {rd('rho', 8)} AS rho FROM r")

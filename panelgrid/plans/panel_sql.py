@@ -41,15 +41,15 @@ GLOBAL_CONSTANTS = f"""kg AS (SELECT scen.scenario_id, q.* FROM (SELECT feature,
 
 
 def panel_ctes(panels: list[Panel], scenarios: list[Scenario] | None = None, candidates: str = "SELECT entity, grp, grp AS cal_grp, mutations_state, fusions_state FROM coverage",
-               global_constants: str = GLOBAL_CONSTANTS, candidate_join: str = "true") -> str:
-    """WITH parts ending in `sf` (scored grid), `sc` (scores) and `parted` inputs."""
+               global_constants: str = GLOBAL_CONSTANTS, candidate_join: str = "true", panel: str | None = None, scenario: str | None = None) -> str:
+    """WITH parts ending in `sf` (scored grid), `sc` (scores) and `parted` inputs; `panel` and `scenario` replace the listed values."""
     top = " + ".join(f"coalesce(w{i} * d_{layer}, 0.0)" for i, layer in enumerate(LAYERS))
     bottom = " + ".join(f"CASE WHEN d_{layer} IS NOT NULL THEN w{i} ELSE 0.0 END" for i, layer in enumerate(LAYERS))
     n_layers = "(" + " + ".join(f"CASE WHEN d_{layer} IS NOT NULL THEN 1 ELSE 0 END" for layer in LAYERS) + ")"
     weights = ", ".join(f"w_{layer} AS w{i}" if layer != "fusion" else
                         f"CASE WHEN s_fusion = 'measured' THEN {1/15!r}::DOUBLE * CASE WHEN any_confident AND any_in_frame THEN 1.0 WHEN any_confident OR any_in_frame THEN 0.5 ELSE 0.25 END "
                         f"WHEN role = 'exclusion' AND s_fusion = 'measured_absent' THEN 0.0 ELSE w_fusion END AS w{i}" for i, layer in enumerate(LAYERS))
-    return f"""{panel_values(panels)}, {scenario_values(scenarios)},
+    return f"""{panel or panel_values(panels)}, {scenario or scenario_values(scenarios)},
     pf AS (SELECT DISTINCT feature FROM panel),
     {global_constants},
     kl AS (SELECT e.grp, c.feature, {lt4('c.rna')} FROM cells c JOIN entities e ON c.entity = e.entity WHERE c.feature IN (SELECT feature FROM pf) GROUP BY e.grp, c.feature {gated('c.rna')}),

@@ -49,13 +49,12 @@ def _(b):
 
 @query("f2_constant_lookup", f"""WITH kg AS (SELECT feature, {ps.lt4('rna')} FROM cells GROUP BY feature {ps.gated('rna')}),
     kl AS (SELECT e.grp, c.feature, {ps.lt4('c.rna')} FROM cells c JOIN entities e ON c.entity = e.entity GROUP BY 1, 2 {ps.gated('c.rna')})
-    SELECT e.grp, kg.feature, CASE WHEN kl.n >= 235 THEN kl.L ELSE kg.L END AS L, CASE WHEN kl.n >= 235 THEN kl.T ELSE kg.T END AS T FROM (SELECT DISTINCT grp FROM entities) e JOIN kg ON true LEFT JOIN kl ON kl.grp = e.grp AND kl.feature = kg.feature""")
+    SELECT e.grp, kg.feature, CASE WHEN kl.n >= 235 THEN kl.L ELSE kg.L END AS L, CASE WHEN kl.n >= 235 THEN kl.T ELSE kg.T END AS T FROM (SELECT DISTINCT grp FROM entities WHERE grp IS NOT NULL) e JOIN kg ON true LEFT JOIN kl ON kl.grp = e.grp AND kl.feature = kg.feature""")
 def _(b):
-    features = [f"F{i:02d}" for i in range(1, 26)]
-    own = op.group_constants(b("cells"), b("entities"), features).where("l_n >= 235")
+    own = op.group_constants(b("cells"), b("entities")).where("l_n >= 235")
     whole = op.rename_constants(cal.gate(cal.calibrate_global(b("expression_rna"))), "g")
-    wanted = b("entities").select("grp").distinct().withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
-    out = wanted.join(whole, "feature").join(own, ["grp", "feature"], "left")
+    groups = b("entities").where("grp is not null").agg(F.sort_array(F.collect_set("grp"))).scalar()
+    out = whole.withColumn("grp", F.explode(groups)).join(own, ["grp", "feature"], "left")
     pair = F.coalesce(F.when(F.col("l_n").isNotNull(), F.struct(F.col("l_L").alias("L"), F.col("l_T").alias("T"))), F.struct(F.col("g_L").alias("L"), F.col("g_T").alias("T")))
     return out.select("grp", "feature", pair.alias("k")).select("grp", "feature", "k.L", "k.T")
 

@@ -13,13 +13,11 @@ from panelgrid.operators.score import Panel, Scenario
 from panelgrid.plans import panel_sql as ps
 from panelgrid.plans.ranking import BATTERY, candidates, results, scored_grid
 from panelgrid.plans.registry import query, rd
-from panelgrid.plans.reshape import _GROUPS as GROUPS
 from panelgrid.session import small_frame, stage
 from panelgrid.sources import sinks
 
 DEFAULT = Scenario("default")
 RNA_ONLY = replace(DEFAULT, scenario_id="rna_heavy", weights={"rna": 0.8, "dependency": 0.2})
-SMALL = [BATTERY[2], BATTERY[4]]
 
 
 def rbo_sql(a: str, b: str, keys: str, out: str) -> str:
@@ -33,11 +31,11 @@ def rbo_sql(a: str, b: str, keys: str, out: str) -> str:
 
 
 TOPS = "tops AS (SELECT scenario_id, query_id, entity, rank FROM parted WHERE bucket = 'ranked' AND rank <= 10)"
-TWO = f"{ps.panel_ctes(SMALL, [DEFAULT, RNA_ONLY])}, {ps.parted_cte()}, {TOPS}, ta AS (SELECT query_id, entity, rank FROM tops WHERE scenario_id = 'default'), tb AS (SELECT query_id, entity, rank FROM tops WHERE scenario_id = 'rna_heavy')"
+TWO = f"{ps.panel_ctes(BATTERY, [DEFAULT, RNA_ONLY])}, {ps.parted_cte()}, {TOPS}, ta AS (SELECT query_id, entity, rank FROM tops WHERE scenario_id = 'default'), tb AS (SELECT query_id, entity, rank FROM tops WHERE scenario_id = 'rna_heavy')"
 
 
 def two_runs(b):
-    parted = stage(score.partition_results(results(b, SMALL, [DEFAULT, RNA_ONLY])), "two_runs")
+    parted = stage(score.partition_results(results(b, BATTERY, [DEFAULT, RNA_ONLY])), "two_runs")
     return parted.where("scenario_id = 'default'").drop("scenario_id"), parted.where("scenario_id = 'rna_heavy'").drop("scenario_id")
 
 
@@ -74,53 +72,76 @@ def _(b):
     return op.dirichlet_samples(ids, score.LAYERS, 7).withColumn("weight", F.round("weight", 9))
 
 
+def asked(b, panels, scenarios):
+    """What is asked of a sweep: every panel in every scenario."""
+    return small_frame(b.spark, [(s, p.query_id) for s in scenarios for p in panels], "scenario_id string, query_id string")
+
+
+def swept(b, panels, design):
+    return stage(score.partition_results(results(b, panels, [DEFAULT, *design])), "sweep")
+
+
 def run_design(b, panels, design):
     """Overlaps with the default run, per scenario and query."""
-    parted = score.partition_results(results(b, panels, [DEFAULT, *design]))
-    tops = stage(op.top_lists(parted), "tops")
-    asked = small_frame(b.spark, [(p.query_id,) for p in panels], "query_id string")
-    return op.compare_to_baseline(tops, "default", asked, [s.scenario_id for s in design])
+    return op.compare_to_baseline(stage(op.top_lists(swept(b, panels, design)), "tops"), "default", asked(b, panels, [s.scenario_id for s in design]))
 
 
-def design_sql(panels, design):
-    qs = ", ".join(f"'{p.query_id}'" for p in panels)
-    ss = ", ".join(f"'{s.scenario_id}'" for s in design)
-    return f"""{ps.panel_ctes(panels, [DEFAULT, *design])}, {ps.parted_cte()}, {TOPS}, dg AS (SELECT q.query_id, s.scenario_id FROM (SELECT unnest([{qs}]) AS query_id) q, (SELECT unnest([{ss}]) AS scenario_id) s),
-    ba AS (SELECT t.query_id, t.entity, t.rank, s.scenario_id FROM tops t JOIN (SELECT DISTINCT scenario_id FROM dg) s ON true WHERE t.scenario_id = 'default'), oth AS (SELECT * FROM tops WHERE scenario_id <> 'default'), {rbo_sql('ba', 'oth', 'scenario_id, query_id', 'r')},
+def run_design_with_tau(b, panels, design):
+    """Overlaps and rank correlations with the default run, per scenario and query."""
+    parted, wanted = swept(b, panels, design), asked(b, panels, [s.scenario_id for s in design])
+    return op.compare_to_baseline(op.top_lists(parted), "default", wanted).join(op.tau_to_baseline(parted, "default", wanted), ["scenario_id", "query_id"])
+
+
+def compare_sql(asked: str) -> str:
+    return f"""dg AS ({asked}), ba AS (SELECT t.query_id, t.entity, t.rank, d.scenario_id FROM tops t JOIN dg d ON d.query_id = t.query_id WHERE t.scenario_id = 'default'),
+    oth AS (SELECT t.* FROM tops t SEMI JOIN dg d ON d.scenario_id = t.scenario_id AND d.query_id = t.query_id WHERE t.scenario_id <> 'default'), {rbo_sql('ba', 'oth', 'scenario_id, query_id', 'r')},
     md AS (SELECT scenario_id, query_id, count(CASE WHEN k = 1 THEN 1 END) AS n_diff FROM (SELECT scenario_id, query_id, entity, count(*) AS k FROM (SELECT scenario_id, query_id, entity FROM ba UNION ALL SELECT scenario_id, query_id, entity FROM oth) z GROUP BY 1, 2, 3) y GROUP BY 1, 2),
-    cmp AS (SELECT dg.scenario_id, dg.query_id, coalesce(r.rbo, 0.0) AS rbo, coalesce(md.n_diff, 0) AS n_diff FROM dg LEFT JOIN r ON r.scenario_id = dg.scenario_id AND r.query_id = dg.query_id LEFT JOIN md ON md.scenario_id = dg.scenario_id AND md.query_id = dg.query_id),
-    mean AS (SELECT scenario_id, {rd('avg(rbo)')} AS mean_rbo, max(n_diff) AS max_diff FROM cmp GROUP BY 1)"""
+    cmp AS (SELECT dg.scenario_id, dg.query_id, r.rbo, coalesce(md.n_diff, 0) AS n_diff FROM dg LEFT JOIN r ON r.scenario_id = dg.scenario_id AND r.query_id = dg.query_id LEFT JOIN md ON md.scenario_id = dg.scenario_id AND md.query_id = dg.query_id),
+    mean AS (SELECT scenario_id, {rd('avg(coalesce(rbo, 0.0))')} AS mean_rbo, max(n_diff) AS max_diff FROM cmp GROUP BY 1)"""
+
+
+def asked_sql(panels, scenarios) -> str:
+    qs, ss = (", ".join(f"'{x}'" for x in names) for names in ([p.query_id for p in panels], scenarios))
+    return f"SELECT q.query_id, s.scenario_id FROM (SELECT unnest([{qs}]) AS query_id) q, (SELECT unnest([{ss}]) AS scenario_id) s"
 
 
-DIRICHLET = op.dirichlet_scenarios(4, 20)
+def design_sql(panels, design):
+    return f"{ps.panel_ctes(panels, [DEFAULT, *design])}, {ps.parted_cte()}, {TOPS}, {compare_sql(asked_sql(panels, [s.scenario_id for s in design]))}"
+
+
+TAU = f"""fr AS (SELECT scenario_id, query_id, entity, row_number() OVER (PARTITION BY scenario_id, query_id ORDER BY D DESC, entity) AS p FROM parted WHERE D IS NOT NULL),
+    bo AS (SELECT a.query_id, b.scenario_id, a.entity, a.p AS pa, b.p AS pb FROM fr a JOIN fr b ON a.query_id = b.query_id AND a.entity = b.entity AND a.scenario_id = 'default' AND b.scenario_id <> 'default'),
+    ta AS (SELECT x.scenario_id, x.query_id, {rd("avg(sign(x.pa - y.pa) * sign(x.pb - y.pb))")} AS tau FROM bo x JOIN bo y ON x.scenario_id = y.scenario_id AND x.query_id = y.query_id AND x.entity < y.entity GROUP BY 1, 2)
+    SELECT cmp.*, ta.tau FROM cmp LEFT JOIN ta ON ta.scenario_id = cmp.scenario_id AND ta.query_id = cmp.query_id"""
+DIRICHLET = op.dirichlet_scenarios(8, 20)
 SOBOL = op.saltelli_design(2, 20)
 
 
-@query("i5_weight_sweep", f"WITH {design_sql(SMALL, DIRICHLET)} SELECT * FROM cmp")
+@query("i5_weight_sweep", f"WITH {design_sql(BATTERY, DIRICHLET)}, {TAU}")
 def _(b):
-    return run_design(b, SMALL, DIRICHLET)
+    return run_design_with_tau(b, BATTERY, DIRICHLET)
 
 
-@query("i5_joint_sweep", f"WITH {design_sql(SMALL, SOBOL)} SELECT * FROM mean")
+@query("i5_joint_sweep", f"WITH {design_sql(BATTERY, SOBOL)} SELECT * FROM mean")
 def _(b):
-    return op.sweep_means(run_design(b, SMALL, SOBOL))
+    return op.sweep_means(run_design(b, BATTERY, SOBOL))
 
 
-@query("i6_sobol_indices", f"""WITH {design_sql(SMALL, SOBOL)}, y AS (SELECT split_part(scenario_id, '|', 1) AS kind, split_part(scenario_id, '|', 2) AS j, split_part(scenario_id, '|', 3) AS factor, (mean_rbo - avg(mean_rbo) OVER ()) / stddev_pop(mean_rbo) OVER () AS z FROM mean),
+@query("i6_sobol_indices", f"""WITH {design_sql(BATTERY, SOBOL)}, y AS (SELECT split_part(scenario_id, '|', 1) AS kind, split_part(scenario_id, '|', 2) AS j, split_part(scenario_id, '|', 3) AS factor, (mean_rbo - avg(mean_rbo) OVER ()) / stddev_pop(mean_rbo) OVER () AS z FROM mean),
     v AS (SELECT var_pop(z) AS v FROM y WHERE kind IN ('A', 'B')) SELECT x.factor, {rd('avg(b.z * (x.z - a.z)) / max(v.v)', 6)} AS "S1", {rd('avg((a.z - x.z) * (a.z - x.z)) / 2 / max(v.v)', 6)} AS "ST" FROM y x JOIN y a ON a.j = x.j AND a.kind = 'A' JOIN y b ON b.j = x.j AND b.kind = 'B', v WHERE x.kind = 'AB' GROUP BY x.factor""")
 def _(b):
-    return op.sobol_indices(op.sweep_means(run_design(b, SMALL, SOBOL)))
+    return op.sobol_indices(op.sweep_means(run_design(b, BATTERY, SOBOL)))
 
 
-@query("i7_tier_grid", f"WITH {design_sql(SMALL, op.tier_grid())} SELECT * FROM cmp")
+@query("i7_tier_grid", f"WITH {design_sql(BATTERY, op.tier_grid())}, {TAU}")
 def _(b):
-    return run_design(b, SMALL, op.tier_grid())
+    return run_design_with_tau(b, BATTERY, op.tier_grid())
 
 
-@query("i8_resume", f"""WITH {design_sql(SMALL, DIRICHLET[:2])} SELECT d.scenario_id, (SELECT count(*) FROM mean) AS n_done FROM (SELECT unnest([{', '.join(repr(s.scenario_id) for s in DIRICHLET)}]) AS scenario_id) d WHERE d.scenario_id NOT IN (SELECT scenario_id FROM mean)""")
+@query("i8_resume", f"""WITH {design_sql(BATTERY, DIRICHLET[:2])} SELECT d.scenario_id, (SELECT count(*) FROM mean) AS n_done FROM (SELECT unnest([{', '.join(repr(s.scenario_id) for s in DIRICHLET)}]) AS scenario_id) d WHERE d.scenario_id NOT IN (SELECT scenario_id FROM mean)""")
 def _(b):
     path = sinks.scratch_path(b.spark, "sweep")
-    op.sweep_means(run_design(b, SMALL, DIRICHLET[:2])).write.mode("append").parquet(path)
+    op.sweep_means(run_design(b, BATTERY, DIRICHLET[:2])).write.mode("append").parquet(path)
     done = b.spark.read.parquet(path)
     design = small_frame(b.spark, [(s.scenario_id,) for s in DIRICHLET], "scenario_id string")
     return op.unfinished(design, done).withColumn("n_done", done.agg(F.count(F.lit(1)).alias("n")).scalar())
@@ -135,57 +156,75 @@ def _(b):
     return op.known_negative(results(b, NEGATIVE, [DEFAULT]), ["F03", "F06"])
 
 
-SHADOW = [*SMALL, *op.random_panels(SMALL, [f"F{i:02d}" for i in range(1, 26)], 2, 11)]
+REPEATS = 5
+_UF = "((('0x' || substr(md5('11:' || p.query_id || ':' || CAST(r.rep AS VARCHAR) || ':' || f.feature), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+SHADOW = ps.panel_values(BATTERY).replace("panel AS", "asked AS", 1) + f""", drawn AS (SELECT p.query_id, r.rep, f.feature, row_number() OVER (PARTITION BY p.query_id, r.rep ORDER BY {_UF}, f.feature) - 1 AS i
+      FROM (SELECT DISTINCT query_id FROM asked) p, (SELECT unnest(range(0, {REPEATS})) AS rep) r, (SELECT DISTINCT feature FROM cells) f),
+    panel AS (SELECT * FROM asked UNION ALL SELECT a.query_id || '#' || CAST(d.rep AS VARCHAR), a.ordinal, d.feature, a.role, a.want, a.m_all FROM asked a JOIN drawn d ON d.query_id = a.query_id AND d.i = a.ordinal)"""
 
 
-@query("i10_random_panels", f"""WITH {ps.panel_ctes(SHADOW, [DEFAULT])}, r AS (SELECT CASE WHEN contains(query_id, '#') THEN 'random' ELSE 'real' END AS kind, D FROM sc WHERE D IS NOT NULL)
-    SELECT kind, count(*) AS n, {rd('avg(D)', 8)} AS "mean_D", {rd('avg(CASE WHEN D > 0.7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS high_fraction, {rd('quantile_cont(D, 0.5)')} AS "median_D" FROM r GROUP BY 1""")
+@query("i10_random_panels", f"""WITH {ps.panel_ctes([], [DEFAULT], panel=SHADOW)}, r AS (SELECT *, CASE WHEN contains(query_id, '#') THEN 'random' ELSE 'real' END AS kind FROM sc),
+    k AS (SELECT kind, count(*) AS n, {rd("avg(CASE WHEN tier IN ('Low', 'Insufficient') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")} AS collapse_fraction, count(D) AS n_scored, {rd('avg(D)', 6)} AS "mean_D",
+      {rd('avg(CASE WHEN D >= 0.7 THEN 1.0::DOUBLE WHEN D IS NOT NULL THEN 0.0::DOUBLE END)')} AS high_fraction, {rd('quantile_cont(D, 0.5)')} AS "median_D" FROM r GROUP BY 1)
+    SELECT *, CASE WHEN kind = 'random' THEN coalesce("median_D" <= 0.2 AND "mean_D" < 0.5 * (SELECT max("mean_D") FROM k WHERE kind = 'real'), false) END AS passed FROM k""")
 def _(b):
-    return op.score_summary(results(b, SHADOW, [DEFAULT]))
+    features = [r.feature for r in b("cells").select("feature").distinct().orderBy("feature").collect()]  # the catalogue of features
+    return op.score_summary(results(b, [*BATTERY, *op.random_panels(BATTERY, features, REPEATS, 11)], [DEFAULT]))
 
 
-DRAWS = [replace(DEFAULT, scenario_id=str(i)) for i in range(3)]
-SHUFFLE = """shf AS (SELECT t.draw, t.entity, l.grp AS cal_grp FROM (SELECT d.draw, e.entity, row_number() OVER (PARTITION BY d.draw ORDER BY e.entity) AS p FROM entities e, (SELECT unnest(range(0, 3)) AS draw) d) t
-      JOIN (SELECT d.draw, e.entity, row_number() OVER (PARTITION BY d.draw ORDER BY ((('0x' || substr(md5('13:' || CAST(d.draw AS VARCHAR) || ':' || CAST(e.entity AS VARCHAR)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE), e.entity) AS p FROM entities e, (SELECT unnest(range(0, 3)) AS draw) d) s ON s.draw = t.draw AND s.p = t.p JOIN entities l ON l.entity = s.entity)"""
-GROUPED = [BATTERY[1], BATTERY[4]]
+N_DRAWS = 20
+DRAWS = [replace(DEFAULT, scenario_id=str(i)) for i in range(N_DRAWS)]
+SHUFFLE = f"""shf AS (SELECT t.draw, t.entity, l.grp AS cal_grp FROM (SELECT d.draw, e.entity, row_number() OVER (PARTITION BY d.draw ORDER BY e.entity) AS p FROM entities e, (SELECT unnest(range(0, {N_DRAWS})) AS draw) d) t
+      JOIN (SELECT d.draw, e.entity, row_number() OVER (PARTITION BY d.draw ORDER BY ((('0x' || substr(md5('13:' || CAST(d.draw AS VARCHAR) || ':' || CAST(e.entity AS VARCHAR)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE), e.entity) AS p FROM entities e, (SELECT unnest(range(0, {N_DRAWS})) AS draw) d) s ON s.draw = t.draw AND s.p = t.p JOIN entities l ON l.entity = s.entity)"""
+GROUPED = [p for p in BATTERY if p.group]
 
 
 def shuffled_sql() -> str:
     shuffled = "SELECT v.entity, v.grp, s.cal_grp, v.mutations_state, v.fusions_state, CAST(s.draw AS VARCHAR) AS only_scenario FROM coverage v JOIN shf s ON s.entity = v.entity UNION ALL SELECT entity, grp, grp, mutations_state, fusions_state, 'default' FROM coverage"
-    return f"{SHUFFLE}, {ps.panel_ctes(GROUPED, [DEFAULT, *DRAWS], shuffled, candidate_join='s.scenario_id = c.only_scenario')}, {ps.parted_cte()}, {TOPS}, ba AS (SELECT t.query_id, t.entity, t.rank, s.scenario_id FROM tops t, (SELECT unnest(['0', '1', '2']) AS scenario_id) s WHERE t.scenario_id = 'default'), oth AS (SELECT * FROM tops WHERE scenario_id <> 'default'), {rbo_sql('ba', 'oth', 'scenario_id, query_id', 'r')}"
+    ctes = ps.panel_ctes(GROUPED, [DEFAULT, *DRAWS], shuffled, candidate_join='s.scenario_id = c.only_scenario')
+    return f"{SHUFFLE}, {ctes}, {ps.parted_cte()}, {TOPS}, {compare_sql(asked_sql(GROUPED, [s.scenario_id for s in DRAWS]))}"
 
 
-@query("i11_shuffle_null", f"WITH {shuffled_sql()} SELECT query_id, count(*) AS n_draws, {rd('avg(rbo)', 8)} AS mean_rbo, {rd('avg(rbo)', 8)} <= 0.9 AS passed FROM r GROUP BY 1")
+@query("i11_shuffle_null", f"WITH {shuffled_sql()} SELECT query_id, count(*) AS n_draws, count(rbo) AS n_defined, {rd('avg(rbo)', 8)} AS mean_rbo, coalesce({rd('avg(rbo)', 8)} <= 0.9, false) AS passed FROM cmp GROUP BY 1")
 def _(b):
     base = candidates(b)
-    mixed = base.join(op.shuffled_groups(b("entities"), 3, 13), "entity").withColumn("only_scenario", F.col("draw").cast("string")).drop("draw")
+    mixed = base.join(op.shuffled_groups(b("entities"), N_DRAWS, 13), "entity").withColumn("only_scenario", F.col("draw").cast("string")).drop("draw")
     both = mixed.unionByName(base.withColumn("cal_grp", F.col("grp")).withColumn("only_scenario", F.lit("default")))
     grid = scored_grid(b, GROUPED, [DEFAULT, *DRAWS], candidates=both)
     tops = stage(op.top_lists(score.partition_results(score.combine_features(grid))), "tops")
-    asked = small_frame(b.spark, [(p.query_id,) for p in GROUPED], "query_id string")
-    out = op.compare_to_baseline(tops, "default", asked, [s.scenario_id for s in DRAWS]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_draws"), F.round(F.avg("rbo"), 8).alias("mean_rbo"))
-    return out.withColumn("passed", F.col("mean_rbo") <= 0.9)
-
-
-HELD = [replace(DEFAULT, scenario_id=g) for g in GROUPS]
-HELD_GLOBAL = f"""kg AS (SELECT 'default' AS scenario_id, feature, {ps.lt4('rna')} FROM cells GROUP BY feature {ps.gated('rna')} UNION ALL SELECT h.grp, c.feature, {ps.lt4('c.rna')} FROM cells c JOIN entities e ON e.entity = c.entity JOIN (SELECT DISTINCT grp FROM entities) h ON h.grp <> e.grp GROUP BY h.grp, c.feature {ps.gated('c.rna')})"""
+    return op.shuffle_verdict(op.compare_to_baseline(tops, "default", asked(b, GROUPED, [s.scenario_id for s in DRAWS])))
 
 
-def held_design_sql() -> str:
-    return design_sql(SMALL, HELD).replace(ps.GLOBAL_CONSTANTS, HELD_GLOBAL)
+HOLD = "hold AS (SELECT grp FROM entities WHERE grp IS NOT NULL GROUP BY 1 HAVING count(*) >= 100 ORDER BY count(*) DESC, grp LIMIT 5)"
+HELD_SCENARIOS = ps.scenario_values([DEFAULT]).replace("scen AS", "scen0 AS", 1) + ", scen AS (SELECT * FROM scen0 UNION ALL SELECT h.grp, s.* EXCLUDE (scenario_id) FROM scen0 s, hold h)"
+HELD_GLOBAL = f"""kg AS (SELECT 'default' AS scenario_id, feature, {ps.lt4('rna')} FROM cells GROUP BY feature {ps.gated('rna')} UNION ALL SELECT h.grp, c.feature, {ps.lt4('c.rna')} FROM cells c JOIN entities e ON e.entity = c.entity JOIN hold h ON h.grp <> e.grp GROUP BY h.grp, c.feature {ps.gated('c.rna')})"""
+HELD = f"""{HOLD}, {ps.panel_ctes(BATTERY, None, global_constants=HELD_GLOBAL, scenario=HELD_SCENARIOS)}, {ps.parted_cte()}, {TOPS},
+    {compare_sql("SELECT DISTINCT p.query_id, h.grp AS scenario_id FROM panel p, hold h WHERE p.want IS DISTINCT FROM h.grp")}"""
 
 
-@query("i12_loo_control", f"WITH {held_design_sql()} SELECT * FROM cmp")
-def _(b):
-    feats = score.panel_features(SMALL)
-    fixed = score.feature_constants(b("cells"), b("roles"), feats, [DEFAULT, *HELD])
+def held_out(b):
+    """Lists under global constants without each large group in turn, of the panels that are not of that group."""
+    names = [r.grp for r in op.holdout_groups(b("entities"), 5, 100).collect()]  # at most five names
+    runs = [DEFAULT, *(replace(DEFAULT, scenario_id=g) for g in names)]
+    feats = score.panel_features(BATTERY)
+    fixed = score.feature_constants(b("cells"), b("roles"), feats, runs)
     layer = b("expression_rna").where(F.col("feature").isin(feats))
-    held = cal.gate(cal.calibrate_without(layer, b("entities"), GROUPS)).select(F.col("held_out").alias("scenario_id"), "feature", F.col("L").alias("h_L"), F.col("T").alias("h_T"))
+    held = cal.gate(cal.calibrate_without(layer, b("entities"), names)).select(F.col("held_out").alias("scenario_id"), "feature", F.col("L").alias("h_L"), F.col("T").alias("h_T"))
     own = F.col("scenario_id") == "default"
     constants = fixed.join(held, ["scenario_id", "feature"], "left").withColumns({"g_L": F.when(own, F.col("g_L")).otherwise(F.col("h_L")), "g_T": F.when(own, F.col("g_T")).otherwise(F.col("h_T"))}).drop("h_L", "h_T")
-    parted = score.partition_results(results(b, SMALL, [DEFAULT, *HELD], constants=constants))
-    asked = small_frame(b.spark, [(p.query_id,) for p in SMALL], "query_id string")
-    return op.compare_to_baseline(stage(op.top_lists(parted), "tops"), "default", asked, GROUPS)
+    parted = score.partition_results(results(b, BATTERY, runs, constants=constants))
+    wanted = small_frame(b.spark, [(g, p.query_id) for g in names for p in BATTERY if p.group != g], "scenario_id string, query_id string")
+    return op.compare_to_baseline(stage(op.top_lists(parted), "tops"), "default", wanted)
+
+
+@query("i12_loo_control", f"WITH {HELD} SELECT * FROM cmp")
+def _(b):
+    return held_out(b)
+
+
+@query("i12_loo_verdict", f"WITH {HELD} SELECT count(*) AS n, quantile_cont(n_diff, 0.5) AS median_diff, quantile_cont(n_diff, 0.5) <= 2 AS passed FROM cmp")
+def _(b):
+    return op.holdout_verdict(held_out(b))
 
 
 @query("i13_informative", f"""WITH {ps.panel_values(BATTERY)}, kl AS (SELECT e.grp, c.feature, {ps.lt4('c.rna')} FROM cells c JOIN entities e ON c.entity = e.entity GROUP BY 1, 2 {ps.gated('c.rna')} AND count(*) >= 235)

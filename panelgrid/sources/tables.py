@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-LITERAL_LIST_LIMIT = 500
+from panelgrid.session import small_frame
+
+LITERAL_LIST_LIMIT = 500  # values of a pushed-down IN predicate; longer lists are joined, with the same rows
 
 
 def scan_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True, skip: int = 0) -> DataFrame:
