@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelgrid.operators.identity import symbol_counts
-from panelgrid.session import stage
+from panelgrid.session import small_frame, stage
 from panelgrid.sources.tables import union_all
 
 DIGITS = 9
@@ -52,95 +54,120 @@ def partner_edges(events: DataFrame) -> DataFrame:
     return per.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n_entities"), F.bool_or("c").alias("any_confident"), F.bool_or("f").alias("any_in_frame"))
 
 
-def block_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of products and of shared rows for feature pairs of one block pair.
+BUFFER_ROWS = 1_000_000  # values multiplied together
 
-    Rows arrive sorted by (block pair, entity). Each batch becomes two dense matrices and their
-    product is added up; the entity at the end of a batch waits for the next one.
+
+def block_sums(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each (block pair, entity block): the sums of products and of shared rows of all its feature pairs.
+
+    Rows (bi, bj, eb, entity, side, place, z) arrive sorted by all but the last two. Values are buffered up to whole entities,
+    laid out as matrices by the place of the feature in its block, and multiplied.
     """
-    state: dict = {"key": None, "num": None, "shared": None, "tail": None}
+    state: dict = {"key": None}
+
+    def open_block(key: tuple[int, int, int]) -> None:
+        state.update(key=key, sums=np.zeros((width, width)), shared=np.zeros((width, width)), held=[], rows=0)
 
-    def add(rows: pd.DataFrame) -> None:
-        left = rows[rows["side"] == 0].pivot(index="entity", columns="feature", values="z")
-        right = rows[rows["side"] == 1].pivot(index="entity", columns="feature", values="z")
-        both = left.index.intersection(right.index)
-        if not len(both):
+    def multiply(last: bool) -> None:
+        if not state["held"]:
             return
-        left, right = left.loc[both], right.loc[both]
-        num = left.fillna(0.0).T @ right.fillna(0.0)
-        shared = left.notna().astype(float).T @ right.notna().astype(float)
-        state["num"] = num if state["num"] is None else state["num"].add(num, fill_value=0.0)
-        state["shared"] = shared if state["shared"] is None else state["shared"].add(shared, fill_value=0.0)
-
-    def flush() -> Iterator[pd.DataFrame]:
-        if state["tail"] is not None and len(state["tail"]):
-            add(state["tail"])
-        if state["num"] is not None and state["num"].size:
-            num = state["num"].rename_axis(index="a", columns="b").stack().rename("num").reset_index()
-            num["shared"] = state["shared"].reindex_like(state["num"]).stack().to_numpy()
-            num = num[num["shared"] > 0]
-            if state["key"][0] == state["key"][1]:
-                num = num[num["a"] < num["b"]]
-            low, high = num[["a", "b"]].min(axis=1), num[["a", "b"]].max(axis=1)
-            yield num.assign(a=low, b=high)[["a", "b", "num", "shared"]]
-        state.update(key=None, num=None, shared=None, tail=None)
+        entity, side, place, z = (np.concatenate(x) for x in zip(*state["held"]))
+        starts = np.concatenate([[True], entity[1:] != entity[:-1]])
+        end = len(entity) if last else int(np.flatnonzero(starts)[-1])  # the last entity may go on in the next batch
+        state["held"] = [] if end == len(entity) else [(entity[end:], side[end:], place[end:], z[end:])]
+        state["rows"] = len(entity) - end
+        if end == 0:
+            return
+        row = np.cumsum(starts[:end]) - 1
+        sides = []
+        for s in (0, 1):
+            mine = side[:end] == s
+            values, there = np.zeros((row[-1] + 1, width)), np.zeros((row[-1] + 1, width))
+            values[row[mine], place[:end][mine]] = z[:end][mine]
+            there[row[mine], place[:end][mine]] = 1.0
+            sides.append((values, there))
+        if state["key"][0] == state["key"][1]:
+            sides[1] = sides[0]
+        state["sums"] += sides[0][0].T @ sides[1][0]
+        state["shared"] += sides[0][1].T @ sides[1][1]
+
+    def close_block() -> Iterator[pa.RecordBatch]:
+        if state["key"] is not None:
+            multiply(True)
+            bi, bj, _ = state["key"]
+            yield pa.RecordBatch.from_arrays([pa.array([bi], pa.int32()), pa.array([bj], pa.int32()), pa.array([state["sums"].tobytes()]), pa.array([state["shared"].tobytes()])], names=["bi", "bj", "sums", "shared"])
 
     for batch in batches:
-        for key, rows in batch.groupby(["bi", "bj"], sort=False):
-            if state["key"] is not None and key != state["key"]:
-                yield from flush()
-            state["key"] = key
-            if state["tail"] is not None and len(state["tail"]):
-                rows = pd.concat([state["tail"], rows], ignore_index=True)
-            last = rows["entity"].iloc[-1]
-            done = rows[rows["entity"] != last]
-            state["tail"] = rows[rows["entity"] == last]
-            if len(done):
-                add(done)
-    yield from flush()
+        if batch.num_rows == 0:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)]
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(int(k) for k in keys[a])
+            if key != state["key"]:
+                yield from close_block()
+                open_block(key)
+            state["held"].append(tuple(c[a:b] for c in columns))
+            state["rows"] += b - a
+            if state["rows"] >= BUFFER_ROWS:
+                multiply(False)
+    yield from close_block()
 
 
 def association_topk(layer: DataFrame, k: int = 20, min_abs: float = 0.2, min_n: int = 30, block: int = 500, entity_blocks: int = 8) -> DataFrame:
     """Association score of feature pairs: z-scored dot product over (shared - 1).
 
-    Features are cut into blocks of about `block`; a row is sent to the block pairs of its
-    feature, entities are spread over `entity_blocks` tasks per block pair, and every task keeps
-    two running matrices. No pair of entity rows is ever emitted; the shuffle after it carries one
-    partial sum per feature pair and task. Each feature keeps its `k` strongest partners.
+    Features are cut into blocks of `block`; a row is sent to the block pairs of its feature (once to a block with itself),
+    entities are spread over `entity_blocks` tasks per block pair, and every task keeps two running matrices. These are added
+    up as matrices, and only pairs over the thresholds become rows. Each feature keeps its `k` strongest partners.
     """
     moments = layer.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    n_features = moments.agg(F.count(F.lit(1))).first()[0]
-    blocks = max(1, -(-n_features // block))
-    z = layer.join(moments, "feature").select("entity", "feature", F.coalesce(F.try_divide(F.col("value") - F.col("_m"), F.col("_s")), F.lit(0.0)).alias("z"))
-    own = F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    routed = z.withColumn("_own", own).withColumn("_other", other)
-    sides = F.when(F.col("_own") == F.col("_other"), F.array(F.lit(0), F.lit(1))).when(F.col("_own") < F.col("_other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
-    rows = routed.select("entity", "feature", "z", F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"), F.explode(sides).alias("side"))
-    spread = rows.withColumn("eb", F.pmod(F.xxhash64("entity"), F.lit(entity_blocks)))
-    ordered = spread.repartition("bi", "bj", "eb").sortWithinPartitions("bi", "bj", "entity").drop("eb")
-    parts = ordered.mapInPandas(block_products, "a string, b string, num double, shared double")
-    sums = parts.groupBy("a", "b").agg(F.sum("num").alias("num"), F.sum("shared").cast("bigint").alias("n_shared"))
-    score = F.round(F.col("num") / F.greatest(F.col("n_shared") - 1, F.lit(1)), DIGITS)
-    strong = sums.withColumn("score", score).where((F.abs("score") >= min_abs) & (F.col("n_shared") >= min_n))
-    both = strong.select("a", "b", "score", "n_shared", F.inline(F.array(F.struct(F.col("a").alias("focal"), F.col("b").alias("other")), F.struct(F.col("b").alias("focal"), F.col("a").alias("other")))))
+    names = [r.feature for r in layer.select("feature").distinct().orderBy("feature").collect()]  # the catalogue of features
+    blocks, width = max(1, -(-len(names) // block)), min(block, max(1, len(names)))
+    places = small_frame(layer.sparkSession, [(f, i // width, i % width) for i, f in enumerate(names)], "feature string, own int, place int")
+    z = layer.join(moments, "feature").join(places, "feature").select("entity", "own", "place", F.coalesce(F.try_divide(F.col("value") - F.col("_m"), F.col("_s")), F.lit(0.0)).alias("z"))
+    routed = z.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = routed.select(F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.pmod(F.xxhash64("entity"), F.lit(entity_blocks)).cast("int").alias("eb"),
+                         "entity", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "place", "z")
+    ordered = rows.repartition("bi", "bj", "eb").sortWithinPartitions("bi", "bj", "eb", "entity")
+    parts = ordered.mapInArrow(partial(block_sums, width), "bi int, bj int, sums binary, shared binary")
+
+    def survivors(table: pa.Table) -> pa.Table:
+        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        sums, shared = (sum(np.frombuffer(x.as_py()).reshape(width, width) for x in table.column(c)) for c in ("sums", "shared"))
+        score = sums / np.maximum(shared - 1, 1)
+        keep = (shared >= min_n) & (np.abs(score) >= min_abs - 1e-8)  # rounded and cut exactly by Spark
+        if bi == bj:
+            keep &= np.arange(width)[:, None] < np.arange(width)[None, :]
+        i, j = np.nonzero(keep)
+        return pa.table({"low": pa.array([names[bi * width + x] for x in i], pa.string()), "high": pa.array([names[bj * width + x] for x in j], pa.string()),
+                         "score": pa.array(score[i, j], pa.float64()), "n_shared": pa.array(shared[i, j].astype(np.int64))})
+
+    found = parts.groupBy("bi", "bj").applyInArrow(survivors, "low string, high string, score double, n_shared long")
+    strong = found.withColumn("score", F.round("score", DIGITS)).where(F.abs("score") >= min_abs)
+    both = strong.select("*", F.inline(F.array(F.struct(F.col("low").alias("focal"), F.col("high").alias("other")), F.struct(F.col("high").alias("focal"), F.col("low").alias("other")))))
     best = F.row_number().over(Window.partitionBy("focal").orderBy(F.desc(F.abs("score")), "other"))
-    return both.withColumn("_r", best).where(F.col("_r") <= k).groupBy("a", "b").agg(F.any_value("score").alias("score"), F.any_value("n_shared").alias("n_shared")).select(
-        F.col("a").alias("low"), F.col("b").alias("high"), "score", "n_shared")
+    return both.withColumn("_r", best).where(F.col("_r") <= k).select("low", "high", "score", "n_shared").distinct()
 
 
-def build_nodes(features: DataFrame, memberships: DataFrame) -> DataFrame:
+def build_nodes(features: DataFrame, memberships: DataFrame, species: str) -> DataFrame:
+    """Features and pathways under one schema, each with its source, its id in that source, and the species."""
+    null = F.lit(None).cast("string")
     f = features.groupBy("feature").agg(F.min("symbol").alias("display_name")).select(
-        F.concat(F.lit("feature:"), "feature").alias("node_id"), F.lit("feature").alias("node_type"), "display_name")
-    p = memberships.select("pathway").distinct().select(F.concat(F.lit("pathway:"), "pathway").alias("node_id"), F.lit("pathway").alias("node_type"), F.col("pathway").alias("display_name"))
+        F.concat(F.lit("feature:"), "feature").alias("node_id"), F.lit("feature").alias("node_type"), F.lit("feature_reference").alias("source_db"), "display_name",
+        F.col("feature").alias("feature_id"), null.alias("pathway_id"), F.lit(species).alias("species"))
+    p = memberships.select("pathway").distinct().select(
+        F.concat(F.lit("pathway:"), "pathway").alias("node_id"), F.lit("pathway").alias("node_type"), F.lit("pathways").alias("source_db"), F.col("pathway").alias("display_name"),
+        null.alias("feature_id"), F.col("pathway").alias("pathway_id"), F.lit(species).alias("species"))
     return f.unionByName(p)
 
 
-def edge(df: DataFrame, a: str, b: str, kinds: tuple[str, str], edge_type: str, weight: str | None, directed: bool, detail: str | None, n: str | None) -> DataFrame:
+def edge(df: DataFrame, a: str, b: str, kinds: tuple[str, str], edge_type: str, source_db: str, weight: str | None, directed: bool, detail: str | None, n: str | None) -> DataFrame:
     """Rows of one source under the common edge schema."""
     null = F.lit(None)
     return df.select(
-        F.concat(F.lit(f"{kinds[0]}:"), a).alias("source_node_id"), F.concat(F.lit(f"{kinds[1]}:"), b).alias("target_node_id"), F.lit(edge_type).alias("edge_type"),
+        F.concat(F.lit(f"{kinds[0]}:"), a).alias("source_node_id"), F.concat(F.lit(f"{kinds[1]}:"), b).alias("target_node_id"), F.lit(edge_type).alias("edge_type"), F.lit(source_db).alias("source_db"),
         (F.col(weight).cast("double") if weight else null.cast("double")).alias("weight"), F.lit(directed).alias("directed"),
         (F.col(detail).cast("string") if detail else null.cast("string")).alias("evidence_detail"), (F.col(n).cast("bigint") if n else null.cast("bigint")).alias("n_source_observations"))
 
@@ -148,12 +175,12 @@ def edge(df: DataFrame, a: str, b: str, kinds: tuple[str, str], edge_type: str,
 def build_edges(memberships: DataFrame, hierarchy: DataFrame, associations: DataFrame, interactions: DataFrame, partners: DataFrame, codependency: DataFrame) -> DataFrame:
     pair = ("feature", "feature")
     return union_all([
-        edge(memberships, "feature", "pathway", ("feature", "pathway"), "member_of", None, True, None, None),
-        edge(hierarchy, "child", "parent", ("pathway", "pathway"), "child_of", None, True, None, None),
-        edge(associations, "low", "high", pair, "association", "combined_score", False, None, None),
-        edge(interactions, "low", "high", pair, "interaction", None, False, "systems", "n_records"),
-        edge(partners, "low", "high", pair, "event_partner", "n_entities", False, None, "n_entities"),
-        edge(codependency, "low", "high", pair, "codependency", "score", False, None, "n_shared"),
+        edge(memberships, "feature", "pathway", ("feature", "pathway"), "member_of", "pathways", None, True, None, None),
+        edge(hierarchy, "child", "parent", ("pathway", "pathway"), "child_of", "pathways", None, True, None, None),
+        edge(associations, "low", "high", pair, "association", "associations", "combined_score", False, None, None),
+        edge(interactions, "low", "high", pair, "interaction", "interactions", None, False, "systems", "n_records"),
+        edge(partners, "low", "high", pair, "event_partner", "events", "n_entities", False, None, "n_entities"),
+        edge(codependency, "low", "high", pair, "codependency", "dependency", "score", False, None, "n_shared"),
     ])
 
 
@@ -173,8 +200,8 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, start: str, hops: int) ->
     """
     known = nodes.select(F.col("node_id"))
     ways = edges.select(F.inline(F.array(
-        F.struct(F.col("source_node_id").alias("from_node"), F.col("target_node_id").alias("node_id"), "edge_type", "weight"),
-        F.struct(F.col("target_node_id").alias("from_node"), F.col("source_node_id").alias("node_id"), "edge_type", "weight")))).where("from_node <> node_id")
+        F.struct(F.col("source_node_id").alias("from_node"), F.col("target_node_id").alias("node_id"), "edge_type", "source_db", "weight"),
+        F.struct(F.col("target_node_id").alias("from_node"), F.col("source_node_id").alias("node_id"), "edge_type", "source_db", "weight")))).where("from_node <> node_id")
     visited = known.where(F.col("node_id") == start).withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
         front = visited.where(F.col("hop") == hop - 1).select(F.col("node_id").alias("from_node"))
@@ -184,7 +211,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, start: str, hops: int) ->
     closer = visited.select(F.col("node_id").alias("from_node"), (F.col("hop") + 1).alias("hop"))
     steps = ways.join(visited.where("hop > 0"), "node_id").join(closer, ["from_node", "hop"])
     return steps.join(nodes.select("node_id", "node_type", "display_name"), "node_id").select(
-        "node_id", "node_type", "display_name", "hop", F.col("from_node").alias("connected_to"), "edge_type", "weight")
+        "node_id", "node_type", "display_name", "hop", F.col("from_node").alias("connected_to"), "edge_type", "source_db", "weight")
 
 
 def cap_neighbours(steps: DataFrame, n: int) -> DataFrame:
@@ -202,22 +229,30 @@ def shared_pathways(memberships: DataFrame, features: list[str]) -> DataFrame:
 
 def direct_edges(edges: DataFrame, a: str, b: str) -> DataFrame:
     low, high = min(a, b), max(a, b)
-    return edges.where((F.least("source_node_id", "target_node_id") == low) & (F.greatest("source_node_id", "target_node_id") == high)).select("edge_type", "weight", "evidence_detail", "n_source_observations")
+    return edges.where((F.least("source_node_id", "target_node_id") == low) & (F.greatest("source_node_id", "target_node_id") == high)).select("edge_type", "source_db", "weight", "evidence_detail", "n_source_observations")
+
 
+def feature_context(nodes: DataFrame, edges: DataFrame, features: list[str], cap: int = 10, pathway_cap: int = 5) -> DataFrame:
+    """Two lists per requested feature, each in a stable order and capped with its total: all its edges, and its pathways.
 
-def feature_context(nodes: DataFrame, edges: DataFrame, features: list[str], cap: int = 10) -> DataFrame:
-    """Edges per requested feature in a stable order, capped with the total; missing and empty differ."""
+    The order is by source, type, neighbour id and detail. A feature that is not in the graph and one without edges differ.
+    """
     ids = [f"feature:{f}" for f in features]
-    wanted = edges.sparkSession.range(1).select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("focal"))
+    lists = F.explode(F.array(*[F.struct(F.lit(i).alias("focal"), F.lit(x).alias("list")) for i in ids for x in ("edges", "pathways")])).alias("w")
+    wanted = edges.sparkSession.range(1).select(lists).select("w.*")
     there = nodes.select(F.col("node_id").alias("focal"), F.lit(True).alias("known"))
-    touching = edges.where(F.col("source_node_id").isin(ids) | F.col("target_node_id").isin(ids)).select("edge_type", "weight", F.inline(F.array(
+    touching = edges.where(F.col("source_node_id").isin(ids) | F.col("target_node_id").isin(ids)).select("edge_type", "source_db", "weight", "evidence_detail", F.inline(F.array(
         F.struct(F.col("source_node_id").alias("focal"), F.col("target_node_id").alias("other")), F.struct(F.col("target_node_id").alias("focal"), F.col("source_node_id").alias("other"))))).where(F.col("focal").isin(ids))
-    order = Window.partitionBy("focal").orderBy("edge_type", F.desc_nulls_last("weight"), "other")
-    first = touching.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
-    totals = touching.groupBy("focal").agg(F.count(F.lit(1)).alias("total"))
-    out = wanted.join(there, "focal", "left").join(totals, "focal", "left").join(first, "focal", "left")
-    state = F.when(F.col("known").isNull(), "not_in_graph").when(F.col("total").isNull(), "no_edges").otherwise("ok")
-    return out.select("focal", state.alias("state"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce(F.col("total") > cap, F.lit(False)).alias("truncated"), "place", "edge_type", "other", "weight")
+    touching = touching.join(nodes.select(F.col("node_id").alias("other"), "node_type", F.coalesce("feature_id", "pathway_id").alias("neighbour_id")), "other")
+    member = F.when(F.col("node_type") == "pathway", F.array(F.lit("edges"), F.lit("pathways"))).otherwise(F.array(F.lit("edges")))
+    listed = touching.withColumn("list", F.explode(member))
+    order = Window.partitionBy("focal", "list").orderBy("source_db", "edge_type", "neighbour_id", "other", F.coalesce("evidence_detail", F.lit("")))
+    most = F.when(F.col("list") == "edges", cap).otherwise(pathway_cap)
+    first = listed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    totals = listed.groupBy("focal", "list").agg(F.count(F.lit(1)).alias("total"))
+    out = wanted.join(there, "focal", "left").join(totals, ["focal", "list"], "left").join(first, ["focal", "list"], "left")
+    state = F.when(F.col("known").isNull(), "not_in_graph").when(F.col("total").isNull(), "none").otherwise("ok")
+    return out.select("focal", "list", state.alias("state"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce(F.col("total") > most, F.lit(False)).alias("truncated"), "place", "source_db", "edge_type", "other", "weight")
 
 
 def pairwise_shared(memberships: DataFrame, features: list[str]) -> DataFrame:

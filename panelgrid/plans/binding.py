@@ -204,6 +204,15 @@ class Bound:
             _BUILT[key] = path
         return self.spark.read.parquet(_BUILT[key])
 
+    def kept(self, name: str, build) -> DataFrame:
+        """A derived table that several queries read, built once and written to the shared folder."""
+        key = (self.spark.sparkContext.applicationId, staged_generation(), self.sf_dir, f"kept {name}")
+        if key not in _BUILT:
+            path = scratch_path(self.spark, name)
+            build().write.parquet(path)
+            _BUILT[key] = path
+        return self.spark.read.parquet(_BUILT[key])
+
     def __call__(self, name: str) -> DataFrame:
         if name not in self._frames:
             if name == "coverage_long":

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from panelgrid.operators import graph as op
 from panelgrid.plans.registry import query, rd
-from panelgrid.session import stage
 
 MEM = """mem AS (SELECT DISTINCT feature, pathway FROM memberships WHERE species = 'HUMAN' AND pathway LIKE 'PW-%'),
     hie AS (SELECT DISTINCT 'PW-' || split_part(pathway, '-', 2) || '-0' AS parent, pathway AS child FROM memberships WHERE pathway NOT LIKE '%-0'),
@@ -19,14 +18,15 @@ COD = f"""mom AS (SELECT feature, avg(effect) AS m, stddev_pop(effect) AS s FROM
     prod AS (SELECT x.feature AS low, y.feature AS high, count(*) AS n_shared, {rd('sum(x.z * y.z) / (count(*) - 1)')} AS score FROM zs x JOIN zs y ON x.entity = y.entity AND x.feature < y.feature GROUP BY 1, 2),
     two AS (SELECT low, high, score, n_shared, low AS focal, high AS other FROM prod WHERE abs(score) >= 0.03 AND n_shared >= 30 UNION ALL SELECT low, high, score, n_shared, high, low FROM prod WHERE abs(score) >= 0.03 AND n_shared >= 30),
     cod AS (SELECT DISTINCT low, high, score, n_shared FROM (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY abs(score) DESC, other) AS r FROM two) q WHERE r <= 3)"""
-NODES = "nod AS (SELECT 'feature:' || feature AS node_id, 'feature' AS node_type, min(symbol) AS display_name FROM features GROUP BY feature UNION ALL SELECT DISTINCT 'pathway:' || pathway, 'pathway', pathway FROM mem)"
+NODES = """nod AS (SELECT 'feature:' || feature AS node_id, 'feature' AS node_type, 'feature_reference' AS source_db, min(symbol) AS display_name, feature AS feature_id, CAST(NULL AS VARCHAR) AS pathway_id, 'HUMAN' AS species FROM features GROUP BY feature
+      UNION ALL SELECT DISTINCT 'pathway:' || pathway, 'pathway', 'pathways', pathway, NULL, pathway, 'HUMAN' FROM mem)"""
 EDGES = f"""{MEM}, {ASC}, {INT}, {PAR}, {COD}, {NODES},
-    edg AS (SELECT 'feature:' || feature AS source_node_id, 'pathway:' || pathway AS target_node_id, 'member_of' AS edge_type, CAST(NULL AS DOUBLE) AS weight, true AS directed, CAST(NULL AS VARCHAR) AS evidence_detail, CAST(NULL AS BIGINT) AS n_source_observations FROM mem
-      UNION ALL SELECT 'pathway:' || child, 'pathway:' || parent, 'child_of', NULL, true, NULL, NULL FROM par
-      UNION ALL SELECT 'feature:' || low, 'feature:' || high, 'association', CAST(combined_score AS DOUBLE), false, NULL, NULL FROM asc_
-      UNION ALL SELECT 'feature:' || low, 'feature:' || high, 'interaction', NULL, false, systems, n_records FROM int_
-      UNION ALL SELECT 'feature:' || low, 'feature:' || high, 'event_partner', CAST(n_entities AS DOUBLE), false, NULL, n_entities FROM prt
-      UNION ALL SELECT 'feature:' || low, 'feature:' || high, 'codependency', score, false, NULL, n_shared FROM cod)"""
+    edg AS (SELECT 'feature:' || feature AS source_node_id, 'pathway:' || pathway AS target_node_id, 'member_of' AS edge_type, 'pathways' AS source_db, CAST(NULL AS DOUBLE) AS weight, true AS directed, CAST(NULL AS VARCHAR) AS evidence_detail, CAST(NULL AS BIGINT) AS n_source_observations FROM mem
+      UNION ALL SELECT 'pathway:' || child, 'pathway:' || parent, 'child_of', 'pathways', NULL, true, NULL, NULL FROM par
+      UNION ALL SELECT 'feature:' || low, 'feature:' || high, 'association', 'associations', CAST(combined_score AS DOUBLE), false, NULL, NULL FROM asc_
+      UNION ALL SELECT 'feature:' || low, 'feature:' || high, 'interaction', 'interactions', NULL, false, systems, n_records FROM int_
+      UNION ALL SELECT 'feature:' || low, 'feature:' || high, 'event_partner', 'events', CAST(n_entities AS DOUBLE), false, NULL, n_entities FROM prt
+      UNION ALL SELECT 'feature:' || low, 'feature:' || high, 'codependency', 'dependency', score, false, NULL, n_shared FROM cod)"""
 
 
 def membership(b):
@@ -38,7 +38,7 @@ def membership(b):
 
 def associations(b):
     links = b("association_pairs")
-    cut = links.agg(F.floor(F.avg("combined_score")).cast("bigint")).first()[0]
+    cut = links.agg(F.floor(F.avg("combined_score")).cast("bigint")).scalar()
     names = links.select(F.col("protein1").alias("protein")).union(links.select("protein2")).distinct().select("protein", F.concat(F.lit("F"), F.substr("protein", F.lit(2))).alias("symbol"))
     return op.load_associations(links, names, cut)
 
@@ -48,12 +48,13 @@ def codependency(b):
 
 
 def edges(b):
+    """The edge table, built once like a curated table."""
     mem, par = membership(b)
-    return stage(op.build_edges(mem, par, associations(b), op.load_interactions(b("interactions")), op.partner_edges(b("fusions")), codependency(b)), "edges")
+    return b.kept("edges", lambda: op.build_edges(mem, par, associations(b), op.load_interactions(b("interactions")), op.partner_edges(b("fusions")), codependency(b)))
 
 
 def nodes(b):
-    return op.build_nodes(b("features"), membership(b)[0])
+    return b.kept("nodes", lambda: op.build_nodes(b("features"), membership(b)[0], "HUMAN"))
 
 
 @query("j1_load_membership", f"WITH {MEM} SELECT feature AS a, pathway AS b, 'member' AS kind FROM mem UNION ALL SELECT parent, child, 'hierarchy' FROM par")
@@ -99,17 +100,17 @@ def _(b):
     return op.resolve_symbols(p.select(F.explode(F.array("p_brand", "p_type")).alias("symbol")), b("features"))
 
 
-HOOD = f"""{EDGES}, ways AS (SELECT * FROM (SELECT source_node_id AS f, target_node_id AS t, edge_type, weight FROM edg UNION ALL SELECT target_node_id, source_node_id, edge_type, weight FROM edg) q WHERE f <> t AND t IN (SELECT node_id FROM nod)),
+HOOD = f"""{EDGES}, ways AS (SELECT * FROM (SELECT source_node_id AS f, target_node_id AS t, edge_type, source_db, weight FROM edg UNION ALL SELECT target_node_id, source_node_id, edge_type, source_db, weight FROM edg) q WHERE f <> t AND t IN (SELECT node_id FROM nod)),
     h1 AS (SELECT DISTINCT t AS node_id FROM ways WHERE f = 'pathway:PW-PROMO-3'), h2 AS (SELECT DISTINCT t AS node_id FROM ways WHERE f IN (SELECT node_id FROM h1) AND t <> 'pathway:PW-PROMO-3' AND t NOT IN (SELECT node_id FROM h1)),
     vis AS (SELECT 'pathway:PW-PROMO-3' AS node_id, 0 AS hop UNION ALL SELECT node_id, 1 FROM h1 UNION ALL SELECT node_id, 2 FROM h2),
-    stp AS (SELECT w.t AS node_id, v.hop, w.f AS connected_to, w.edge_type, w.weight FROM ways w JOIN vis v ON v.node_id = w.t AND v.hop > 0 JOIN vis c ON c.node_id = w.f AND c.hop = v.hop - 1)"""
+    stp AS (SELECT w.t AS node_id, v.hop, w.f AS connected_to, w.edge_type, w.source_db, w.weight FROM ways w JOIN vis v ON v.node_id = w.t AND v.hop > 0 JOIN vis c ON c.node_id = w.f AND c.hop = v.hop - 1)"""
 
 
 def steps(b):
     return op.neighbourhood(nodes(b), edges(b), "pathway:PW-PROMO-3", 2)
 
 
-@query("j9_neighbourhood", f"WITH {HOOD} SELECT s.node_id, n.node_type, n.display_name, s.hop, s.connected_to, s.edge_type, s.weight FROM stp s JOIN nod n ON n.node_id = s.node_id")
+@query("j9_neighbourhood", f"WITH {HOOD} SELECT s.node_id, n.node_type, n.display_name, s.hop, s.connected_to, s.edge_type, s.source_db, s.weight FROM stp s JOIN nod n ON n.node_id = s.node_id")
 def _(b):
     return steps(b)
 
@@ -124,14 +125,17 @@ def _(b):
     return op.shared_pathways(membership(b)[0], ["F03", "F10", "F21"])
 
 
-@query("j12_direct_edges", f"WITH {EDGES} SELECT edge_type, weight, evidence_detail, n_source_observations FROM edg WHERE least(source_node_id, target_node_id) = 'feature:F03' AND greatest(source_node_id, target_node_id) = 'feature:F10'")
+@query("j12_direct_edges", f"WITH {EDGES} SELECT edge_type, source_db, weight, evidence_detail, n_source_observations FROM edg WHERE least(source_node_id, target_node_id) = 'feature:F03' AND greatest(source_node_id, target_node_id) = 'feature:F10'")
 def _(b):
     return op.direct_edges(edges(b), "feature:F10", "feature:F03")
 
 
-@query("j13_feature_context", f"""WITH {EDGES}, a AS (SELECT unnest(['feature:F03', 'feature:X99', 'feature:F77']) AS focal), t AS (SELECT * FROM (SELECT source_node_id AS focal, target_node_id AS other, edge_type, weight FROM edg UNION ALL SELECT target_node_id, source_node_id, edge_type, weight FROM edg) q WHERE focal IN (SELECT focal FROM a)),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY focal ORDER BY edge_type, weight DESC NULLS LAST, other) AS INT) AS place, count(*) OVER (PARTITION BY focal) AS total FROM t)
-    SELECT a.focal, CASE WHEN n.node_id IS NULL THEN 'not_in_graph' WHEN r.total IS NULL THEN 'no_edges' ELSE 'ok' END AS state, coalesce(r.total, 0) AS total, coalesce(r.total > 10, false) AS truncated, r.place, r.edge_type, r.other, r.weight FROM a LEFT JOIN nod n ON n.node_id = a.focal LEFT JOIN r ON r.focal = a.focal AND r.place <= 10""")
+@query("j13_feature_context", f"""WITH {EDGES}, a AS (SELECT focal, list, cap FROM (SELECT unnest(['feature:F03', 'feature:X99', 'feature:F77']) AS focal) x, (VALUES ('edges', 10), ('pathways', 5)) l(list, cap)),
+    t AS (SELECT q.*, n.node_type, coalesce(n.feature_id, n.pathway_id) AS nid FROM (SELECT source_node_id AS focal, target_node_id AS other, edge_type, source_db, weight, evidence_detail FROM edg UNION ALL SELECT target_node_id, source_node_id, edge_type, source_db, weight, evidence_detail FROM edg) q JOIN nod n ON n.node_id = q.other WHERE focal IN (SELECT focal FROM a)),
+    l AS (SELECT 'edges' AS list, * FROM t UNION ALL SELECT 'pathways', * FROM t WHERE node_type = 'pathway'),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY focal, list ORDER BY source_db, edge_type, nid, other, coalesce(evidence_detail, '')) AS INT) AS place, count(*) OVER (PARTITION BY focal, list) AS total FROM l)
+    SELECT a.focal, a.list, CASE WHEN n.node_id IS NULL THEN 'not_in_graph' WHEN r.total IS NULL THEN 'none' ELSE 'ok' END AS state, coalesce(r.total, 0) AS total, coalesce(r.total > a.cap, false) AS truncated, r.place, r.source_db, r.edge_type, r.other, r.weight
+    FROM a LEFT JOIN nod n ON n.node_id = a.focal LEFT JOIN r ON r.focal = a.focal AND r.list = a.list AND r.place <= a.cap""")
 def _(b):
     return op.feature_context(nodes(b), edges(b), ["F03", "X99", "F77"])
 
