@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from panelgrid.functions.columns import flip_role, ramp
 from panelgrid.functions.distribution import percentiles, spearman
 from panelgrid.operators import calibrate as cal
+from panelgrid.operators.identity import resolve_strict
+from panelgrid.operators.reshape import filter_candidates
 from panelgrid.session import small_frame, stage
 
 # Layer weights, in fifteenths, and the order in which layers are added up.
@@ -442,3 +444,45 @@ def long_layers(scored: DataFrame) -> DataFrame:
     return scored.select("scenario_id", "query_id", "entity", "feature", "role", F.inline(cells))
 
 
+def check_request(panel: Panel, reference: DataFrame, ploidy_min: float | None = None, ploidy_max: float | None = None, top_k: int = 10) -> Panel:
+    """The panel with its tokens resolved to ids. An unknown or ambiguous token is an error, and so is a feature that
+    is included and excluded under two spellings."""
+    found = resolve_strict(panel.features, reference)
+    ids = Panel(panel.query_id, tuple(found[t] for t in panel.include), tuple(found[t] for t in panel.exclude), panel.group)
+    validate_query(ids, ploidy_min, ploidy_max, top_k)
+    return ids
+
+
+def nested_results(scored: DataFrame, parted: DataFrame, expression: DataFrame, collisions: DataFrame | None = None, similar: int = 3) -> DataFrame:
+    """One row per candidate with its scores, and as arrays its evidence sentences, warnings, missing evidence and, if
+    displayed, its similar entities. A candidate's arrays are bounded by the panel."""
+    keys = ["query_id", "entity"]
+
+    def listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+    order = scored.select(*keys, "feature", "ordinal")
+    sentences = listed(evidence_text(scored).join(order, [*keys, "feature"]), "evidence", "ordinal", "feature", "text")
+    noted = listed(warnings(scored), "warnings", "type", "feature", "fraction")
+    gaps = listed(missing_evidence(scored, collisions), "missing", "feature", "role", "severity", "layer")
+    shown = parted.where("bucket = 'ranked'").select(*keys, "D", "rank").join(order.drop("ordinal"), keys)
+    near = listed(similar_entities(shown, expression, similar), "similar", "place", "other", "correlation")
+    out = parted
+    for part in (sentences, noted, gaps, near):
+        out = out.join(part, keys, "left")
+    return out
+
+
+def score_request(
+    panel: Panel, reference: DataFrame, coverage: DataFrame, measures: DataFrame, mutations: DataFrame, fusions: DataFrame, entities: DataFrame, roles: DataFrame, expression: DataFrame,
+    filters: dict | None = None, top_n: int = 10, similar: int = 3, scenario: Scenario | None = None, collisions: DataFrame | None = None,
+) -> DataFrame:
+    """A whole request: tokens are resolved and validated, candidates filtered (arguments of `filter_candidates`), scored,
+    ranked, and returned with their nested explanations."""
+    filters = dict(filters or {})
+    panel = check_request(panel, reference, filters.get("ploidy_min"), filters.get("ploidy_max"), top_n)
+    wanted = filter_candidates(entities, coverage, **filters).select("entity")
+    candidates = coverage.select("entity", "grp", "mutations_state", "fusions_state").join(wanted, "entity", "left_semi")
+    scored = stage(score_features(candidates, measures, mutations, fusions, entities, roles, [panel], [scenario or Scenario()]), "scored")
+    parted = partition_results(combine_features(scored), top_n).drop("scenario_id")
+    return nested_results(scored, parted, expression, collisions, similar)

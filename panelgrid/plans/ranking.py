@@ -145,13 +145,16 @@ def _(b):
     return op.warnings(scored_grid(b, WIDE))
 
 
-@query("f16_evidence_text", f"""WITH {ps.panel_ctes(FLAGSHIP, BASE)}, t AS (SELECT *, concat_ws(', ', {", ".join(f"CASE WHEN d_{x} IS NOT NULL THEN '{x} (d=' || printf('%.2f', round(round(CAST(d_{x} AS DECIMAL(30,16)), 10), 2)) || ')' END" for x in op.LAYERS)}) AS parts,
-      concat_ws(', ', {", ".join(f"CASE WHEN s_{x} IN ('not_assayed', 'non_detected') THEN '{x}' END" for x in op.LAYERS)}) AS gaps FROM sf)
-    SELECT query_id, entity, feature, CASE WHEN d_gene IS NULL THEN feature || ' (' || role || '): no evidence in any measured layer, not scored.'
+SENTENCES = f"""t AS (SELECT *, concat_ws(', ', {", ".join(f"CASE WHEN d_{x} IS NOT NULL THEN '{x} (d=' || printf('%.2f', round(round(CAST(d_{x} AS DECIMAL(30,16)), 10), 2)) || ')' END" for x in op.LAYERS)}) AS parts,
+      concat_ws(', ', {", ".join(f"CASE WHEN s_{x} IN ('not_assayed', 'non_detected') THEN '{x}' END" for x in op.LAYERS)}) AS gaps FROM sf),
+    tx AS (SELECT query_id, entity, feature, ordinal, CASE WHEN d_gene IS NULL THEN feature || ' (' || role || '): no evidence in any measured layer, not scored.'
       ELSE feature || ' (' || role || '): d_gene=' || printf('%.2f', round(round(CAST(d_gene AS DECIMAL(30,16)), 10), 2)) || ', from ' || parts || CASE WHEN gaps <> '' THEN '. Missing: ' || gaps || '.' ELSE '' END END
       || CASE WHEN s_fusion = 'not_assayed' THEN ' Fusion status unknown: absent call is missing evidence, not a negative.' ELSE '' END
       || CASE WHEN s_dependency = 'excluded_pan_essential' THEN ' Dependency evidence withheld: broadly essential in ' || printf('%.0f', round(CAST(100 * broad AS DECIMAL(18,12)), 0)) || '% of entities.' ELSE '' END
-      || CASE WHEN d_gene IS NOT NULL AND n_fusions > 0 THEN ' Fusion evidence: ' || CAST(n_fusions AS VARCHAR) || ' event(s).' ELSE '' END AS text FROM t""")
+      || CASE WHEN d_gene IS NOT NULL AND n_fusions > 0 THEN ' Fusion evidence: ' || CAST(n_fusions AS VARCHAR) || ' event(s).' ELSE '' END AS text FROM t)"""
+
+
+@query("f16_evidence_text", f"WITH {ps.panel_ctes(FLAGSHIP, BASE)}, {SENTENCES} SELECT query_id, entity, feature, text FROM tx")
 def _(b):
     return op.evidence_text(scored_grid(b, FLAGSHIP))
 
@@ -211,3 +214,29 @@ def _(b):
 @query("f22_score_battery", f"WITH {ps.panel_ctes(BATTERY, BASE)}, {ps.parted_cte()} SELECT {', '.join(_PARTED)} FROM parted")
 def _(b):
     return op.partition_results(results(b, BATTERY)).select(*_PARTED)
+
+
+# A request as a user states it: symbols and ids mixed, and filters on candidates.
+REQUEST = Panel("request", ("Brand#12", "F03"), ("Brand#21",))
+FILTERS = {"exclude_problematic": True, "ploidy_min": 2.0, "ploidy_max": 5.5, "require": ("mirna",)}
+_RESOLVED = """rq AS (SELECT t.token, t.role, t.ordinal, f.feature FROM (VALUES ('Brand#12', 'inclusion', 0), ('F03', 'inclusion', 1), ('Brand#21', 'exclusion', 2)) t(token, role, ordinal) JOIN (SELECT DISTINCT feature, symbol FROM features) f ON f.feature = t.token OR f.symbol = t.token),
+    panel AS (SELECT 'request' AS query_id, CAST(ordinal AS INT) AS ordinal, feature, role, CAST(NULL AS VARCHAR) AS want, 3 AS m_all FROM rq)"""
+_FILTERED = "SELECT c.entity, c.grp, c.grp AS cal_grp, c.mutations_state, c.fusions_state FROM coverage c JOIN entities e ON e.entity = c.entity WHERE NOT e.is_problematic AND c.ploidy >= 2.0 AND c.ploidy <= 5.5 AND c.mirna_available"
+_SIMILAR = f"""sr AS (SELECT p.query_id, p.entity, p.D, p.rank, x.feature, x.rna FROM parted p JOIN panel q ON q.query_id = p.query_id JOIN cells x ON x.entity = p.entity AND x.feature = q.feature WHERE p.bucket = 'ranked'),
+    sk AS (SELECT a.query_id, a.entity, b.entity AS other, b.rank AS other_rank, a.rna AS x, b.rna AS y FROM sr a JOIN sr b ON a.query_id = b.query_id AND a.feature = b.feature AND a.entity <> b.entity),
+    sq AS (SELECT *, rank() OVER (PARTITION BY query_id, entity, other ORDER BY x) + (count(*) OVER (PARTITION BY query_id, entity, other, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY query_id, entity, other ORDER BY y) + (count(*) OVER (PARTITION BY query_id, entity, other, y) - 1) / 2.0 AS ry FROM sk),
+    ss AS (SELECT query_id, entity, other, other_rank, {rd('CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END')} AS correlation FROM sq GROUP BY 1, 2, 3, 4),
+    st AS (SELECT *, row_number() OVER (PARTITION BY query_id, entity ORDER BY correlation DESC, other_rank) AS place FROM ss WHERE correlation IS NOT NULL),
+    sl AS (SELECT query_id, entity, string_agg(CAST(other AS VARCHAR), '|' ORDER BY place) AS similar FROM st WHERE place <= 3 GROUP BY 1, 2)"""
+
+
+@query("f20_score_request", f"""WITH {_RESOLVED.split('),')[0]}), {ps.panel_ctes([], BASE, _FILTERED, panel=_RESOLVED.split('),', 1)[1].strip())}, {ps.parted_cte()}, {SENTENCES}, {_SIMILAR},
+    ev AS (SELECT query_id, entity, md5(string_agg(text, '|' ORDER BY ordinal)) AS evidence FROM tx GROUP BY 1, 2), wn AS (SELECT query_id, entity, count(CASE WHEN s_dependency = 'excluded_pan_essential' THEN 1 END) + CASE WHEN count(d_gene) > 1 THEN 1 ELSE 0 END AS n_warnings FROM sf GROUP BY 1, 2),
+    ms AS (SELECT query_id, entity, sum(CASE WHEN d_mutation IS NULL AND s_mutation <> 'not_assayed' AND cls = 'unknown' THEN 1 ELSE 0 END + CASE WHEN d_copy_number IS NULL AND s_copy_number <> 'not_assayed' AND cls = 'unknown' THEN 1 ELSE 0 END + CASE WHEN d_gene IS NULL THEN 1 ELSE 0 END) AS n_missing FROM sf GROUP BY 1, 2)
+    SELECT {', '.join('p.' + c for c in _PARTED)}, ev.evidence, CAST(wn.n_warnings AS INT) AS n_warnings, CAST(ms.n_missing AS INT) AS n_missing, sl.similar FROM parted p JOIN ev ON ev.query_id = p.query_id AND ev.entity = p.entity JOIN wn ON wn.query_id = p.query_id AND wn.entity = p.entity
+      JOIN ms ON ms.query_id = p.query_id AND ms.entity = p.entity LEFT JOIN sl ON sl.query_id = p.query_id AND sl.entity = p.entity""")
+def _(b):
+    out = op.score_request(REQUEST, b("features"), b("coverage"), b("cells"), b("mutations"), b("fusions"), b("entities"), b("roles"), b("expression_rna"), FILTERS, scenario=BASE[0])
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return out.select(*_PARTED, F.md5(F.array_join(F.transform("evidence", lambda x: x["text"]), "|")).alias("evidence"), size("warnings").alias("n_warnings"), size("missing").alias("n_missing"),
+                      F.array_join(F.transform("similar", lambda x: x["other"].cast("string")), "|").alias("similar"))

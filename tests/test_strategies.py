@@ -103,3 +103,15 @@ def test_staged_folders_are_shared_and_deleted(spark, monkeypatch, tmp_path):
         scratch_path(Session, "x")
     Session.conf = Conf(spark_master="yarn", **{"spark_checkpoint_dir": "hdfs:///shared/"})
     assert shared_folder(Session) == "hdfs:///shared"
+
+
+def test_a_request_may_not_include_and_exclude_one_feature(spark):
+    from panelgrid.operators.score import Panel, check_request
+
+    reference = small_frame(spark, [("F1", "one"), ("F2", "two"), ("F3", "two")], "feature string, symbol string")
+    assert check_request(Panel("q", ("one",), ("F2",)), reference).include == ("F1",)
+    for panel, words in ((Panel("q", ("one",), ("F1",)), "both included and excluded"), (Panel("q", ("two",)), "not resolved"), (Panel("q", (), ("one",)), "at least one inclusion")):
+        with pytest.raises(ValueError, match=words):
+            check_request(panel, reference)
+    with pytest.raises(ValueError, match="ploidy"):
+        check_request(Panel("q", ("one",)), reference, 3.0, 2.0)
