@@ -18,21 +18,24 @@ def pick_group(candidates: list[tuple[str, str]], entities: DataFrame) -> DataFr
     return asked.join(known, "grp", "left").groupBy("cohort").agg(F.min_by(F.when(F.col("_there"), F.col("grp")), F.when(F.col("_there"), F.col("place"))).alias("grp"))
 
 
-def compare_ranking(theirs: DataFrame, ids: DataFrame, groups: DataFrame, ours: DataFrame) -> DataFrame:
-    """Each external row with our score and a status: no_group_match, id_not_found, not_scored, ok.
+def compare_ranking(theirs: DataFrame, ids: DataFrame, groups: DataFrame, modes: DataFrame, ours: DataFrame) -> DataFrame:
+    """Each external row in each query mode, with our score and a status: no_group_match, no_marker, abandoned, id_not_found,
+    not_scored, ok.
 
-    ``theirs``: cohort, name, their_rank. ``ids``: name, entity. ``groups``: cohort, grp.
-    ``ours``: cohort, entity, D, tier, position; disqualified entities are not in it.
+    ``theirs``: cohort, name, their_rank. ``ids``: name, entity. ``groups``: cohort, grp. ``modes``: cohort, mode, panel,
+    error; a mode without a panel has no marker for the cohort, one with an error could not be scored.
+    ``ours``: cohort, mode, entity, D, tier, veto_reason, position; disqualified entities are not in it.
     """
-    rows = theirs.join(groups, "cohort", "left").join(ids, "name", "left").join(ours.withColumn("_ours", F.lit(True)), ["cohort", "entity"], "left")
-    status = F.when(F.col("grp").isNull(), "no_group_match").when(F.col("entity").isNull(), "id_not_found").when(F.col("_ours").isNull(), "not_scored").otherwise("ok")
+    rows = theirs.join(groups, "cohort", "left").join(modes, "cohort").join(ids, "name", "left").join(ours.withColumn("_ours", F.lit(True)), ["cohort", "mode", "entity"], "left")
+    status = (F.when(F.col("grp").isNull(), "no_group_match").when(F.col("error").isNotNull(), "abandoned").when(F.col("panel").isNull(), "no_marker")
+              .when(F.col("entity").isNull(), "id_not_found").when(F.col("_ours").isNull(), "not_scored").otherwise("ok"))
     return rows.withColumn("status", status).drop("_ours")
 
 
 def ranking_agreement(compared: DataFrame, min_n: int = 3) -> DataFrame:
     rows = compared.where("status = 'ok' and position is not null")
-    rho = spearman(rows, ["cohort"], "their_rank", "position")
-    return rho.select("cohort", "n", F.when(F.col("n") >= min_n, F.round("rho", 8)).alias("rho"))
+    rho = spearman(rows, ["cohort", "mode"], "their_rank", "position")
+    return rho.select("cohort", "mode", "n", F.when(F.col("n") >= min_n, F.round("rho", 8)).alias("rho"))
 
 
 def same_text(a: str, b: str) -> Column:

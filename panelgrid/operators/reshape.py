@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelgrid.functions.columns import PROBLEM_WORDS
 from panelgrid.functions.distribution import percentiles
 
-# Coverage columns a candidate filter may need.
+# Text columns in which a gap is filled with `Unknown`.
 UNKNOWN_COLUMNS = ["primary_or_metastasis", "lineage_sub_subtype", "Subtype"]
 
 
@@ -125,17 +128,32 @@ def enforce_reference(events: DataFrame, reference: DataFrame, focal: str = "fea
     return out.join(mark, partner, "left").withColumn(partner, F.when(F.col("_known"), F.col(partner))).drop("_known").select(*events.columns)
 
 
-SAMPLE_RECORD = "struct<sampleId:string,patientId:string,sampleType:string>"
-NUMERIC_RECORD = "struct<studyId:string,sampleId:string,gene:struct<hugoGeneSymbol:string>,entrezGeneId:bigint,value:double,molecularProfileId:string>"
+# The fields of each kind of record.
+RECORDS = {
+    "sample": "sampleId string, patientId string, sampleType string, sampleTypeId string",
+    "numeric": "studyId string, sampleId string, patientId string, gene struct<hugoGeneSymbol:string>, entrezGeneId bigint, value double, molecularProfileId string",
+    "mutation": "studyId string, sampleId string, patientId string, entrezGeneId bigint, mutationType string, proteinChange string, aminoAcidChange string, chromosome string, startPosition bigint, "
+                "endPosition bigint, referenceAllele string, variantAllele string, variantType string, ncbiBuild string, center string, mutationStatus string, validationStatus string, "
+                "tumorAltCount bigint, tumorRefCount bigint, normalAltCount bigint, normalRefCount bigint, gene struct<hugoGeneSymbol:string>",
+    "structural_variant": "studyId string, sampleId string, patientId string, molecularProfileId string, site1EntrezGeneId bigint, site1HugoSymbol string, site1Chromosome string, site1Position bigint, "
+                          "site2EntrezGeneId bigint, site2HugoSymbol string, site2Chromosome string, site2Position bigint, site2EffectOnFrame string, dnaSupport string, rnaSupport string, tumorPairedEndReadCount bigint, "
+                          "tumorSplitReadCount bigint, annotation string, breakpointType string, connectionType string, eventInfo string, variantClass string, svStatus string, ncbiBuild string",
+}
+
+
+def snake(name: str) -> str:
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
 
 
-def flatten_records(records: DataFrame, column: str, layer: str) -> DataFrame:
-    """Tidy rows from nested records given as JSON text."""
-    parsed = records.select(F.from_json(column, NUMERIC_RECORD).alias("r"))
-    return parsed.select(
-        F.col("r.studyId").alias("study_id"), F.col("r.sampleId").alias("sample_id"), F.col("r.gene.hugoGeneSymbol").alias("symbol"),
-        F.col("r.entrezGeneId").alias("entrez_id"), F.col("r.value").alias("value"),
-        F.col("r.molecularProfileId").alias("profile_id"), F.lit(layer).alias("layer"))
+def flatten_records(records: DataFrame, column: str, kind: str, **constants: str) -> DataFrame:
+    """Tidy rows from nested records of one kind given as JSON text; a nested symbol becomes `symbol`.
+
+    Names are in snake case, a field that a record lacks is null, and constants (a study, a layer) become columns.
+    """
+    schema = T.StructType.fromDDL(RECORDS[kind])
+    parsed = records.select(F.from_json(column, schema).alias("r"))
+    fields = [F.col("r.gene.hugoGeneSymbol").alias("symbol") if f.name == "gene" else F.col(f"r.{f.name}").alias(snake(f.name)) for f in schema]
+    return parsed.select(*fields, *[F.lit(v).alias(k) for k, v in constants.items()])
 
 
 # Fixed values: (layer, alteration type, datatype, text the profile name must hold).

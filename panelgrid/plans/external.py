@@ -11,11 +11,13 @@ from panelgrid.plans import panel_sql as ps
 from panelgrid.plans.ranking import BASE, results
 from panelgrid.plans.registry import query, rd
 from panelgrid.plans.relations import rho_sql
-from panelgrid.session import stage
+from panelgrid.session import small_frame, stage
 
 COHORTS = [("AUTO", "AUTOMOBILE"), ("BLD", "Building"), ("BLD", "BUILDING"), ("NONE", "Nowhere"), ("FUR", "FURNITURE"), ("FUR", "HOUSEHOLD")]
 GROUPS = "pg AS (SELECT c.cohort, (SELECT arg_min(m.grp, m.place) FROM (VALUES " + ", ".join(f"('{c}', '{g}', {i})" for i, (c, g) in enumerate(COHORTS)) + ") m(cohort, grp, place) WHERE m.cohort = c.cohort AND m.grp IN (SELECT grp FROM entities)) AS grp FROM (VALUES ('AUTO'), ('BLD'), ('NONE'), ('FUR')) c(cohort))"
 MARKER = [Panel("marker", ("F03",))]
+# A marker is known for two cohorts; a request with a group only has no feature to score, so it is given up.
+MODES = [("AUTO", "marker", "F03", None), ("BLD", "marker", "F03", None), ("FUR", "marker", None, None), ("NONE", "marker", None, None), *((c, "group_only", "", "no feature in the request") for c in ("AUTO", "BLD", "FUR", "NONE"))]
 
 
 @query("l1_pick_group", f"WITH {GROUPS} SELECT * FROM pg")
@@ -24,10 +26,12 @@ def _(b):
 
 
 EXT = """ext AS (SELECT CASE grp WHEN 'AUTOMOBILE' THEN 'AUTO' WHEN 'BUILDING' THEN 'BLD' WHEN 'FURNITURE' THEN 'FUR' ELSE 'NONE' END AS cohort, CASE WHEN nationkey = 3 THEN 'X' || name ELSE name END AS name, acctbal AS their_rank FROM entities)"""
-RANKED = f"""{ps.panel_ctes(MARKER, BASE)}, {ps.parted_cte()}, {GROUPS}, {EXT}, fr AS (SELECT grp, entity, D, tier, bucket FROM parted WHERE bucket <> 'disqualified'),
+RANKED = f"""{ps.panel_ctes(MARKER, BASE)}, {ps.parted_cte()}, {GROUPS}, {EXT}, fr AS (SELECT grp, entity, D, tier, veto_reason, bucket FROM parted WHERE bucket <> 'disqualified'),
+    mo AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in m) + ")" for m in MODES)}) t(cohort, mode, panel, error)),
     po AS (SELECT grp, entity, row_number() OVER (PARTITION BY grp ORDER BY D DESC, entity) AS position FROM fr WHERE bucket IN ('ranked', 'ranked_beyond_top_n')),
-    cr AS (SELECT x.cohort, x.name, x.their_rank, pg.grp, e.entity, fr.D, fr.tier, po.position, CASE WHEN pg.grp IS NULL THEN 'no_group_match' WHEN e.entity IS NULL THEN 'id_not_found' WHEN fr.entity IS NULL THEN 'not_scored' ELSE 'ok' END AS status
-      FROM ext x LEFT JOIN pg ON pg.cohort = x.cohort LEFT JOIN entities e ON e.name = x.name LEFT JOIN fr ON fr.entity = e.entity AND fr.grp = pg.grp LEFT JOIN po ON po.entity = e.entity AND po.grp = pg.grp)"""
+    cr AS (SELECT x.cohort, mo.mode, mo.panel, mo.error, x.name, x.their_rank, pg.grp, e.entity, fr.D, fr.tier, fr.veto_reason, po.position,
+        CASE WHEN pg.grp IS NULL THEN 'no_group_match' WHEN mo.error IS NOT NULL THEN 'abandoned' WHEN mo.panel IS NULL THEN 'no_marker' WHEN e.entity IS NULL THEN 'id_not_found' WHEN fr.entity IS NULL THEN 'not_scored' ELSE 'ok' END AS status
+      FROM ext x JOIN mo ON mo.cohort = x.cohort LEFT JOIN pg ON pg.cohort = x.cohort LEFT JOIN entities e ON e.name = x.name LEFT JOIN fr ON fr.entity = e.entity AND fr.grp = pg.grp AND mo.panel = 'F03' LEFT JOIN po ON po.entity = e.entity AND po.grp = pg.grp AND mo.panel = 'F03')"""
 
 
 def compared(b):
@@ -37,8 +41,9 @@ def compared(b):
     groups = op.pick_group(COHORTS, e)
     parted = stage(score.partition_results(results(b, MARKER)).where("bucket <> 'disqualified'"), "marker")
     places = stability.full_ranking(parted.where("bucket in ('ranked', 'ranked_beyond_top_n')"), ["grp"])
-    ours = parted.join(places, ["grp", "entity"], "left").join(groups.where("grp is not null"), "grp").select("cohort", "entity", "D", "tier", "position")
-    return op.compare_ranking(theirs, e.select("name", "entity"), groups, ours)
+    modes = small_frame(b.spark, MODES, "cohort string, mode string, panel string, error string")
+    ours = parted.join(places, ["grp", "entity"], "left").join(groups.where("grp is not null"), "grp").join(modes.where("panel = 'F03'").select("cohort", "mode"), "cohort")
+    return op.compare_ranking(theirs, e.select("name", "entity"), groups, modes, ours.select("cohort", "mode", "entity", "D", "tier", "veto_reason", "position"))
 
 
 @query("l2_compare_ranking", f"WITH {RANKED} SELECT * FROM cr")
@@ -46,7 +51,7 @@ def _(b):
     return compared(b)
 
 
-@query("l2_ranking_agreement", f"WITH {RANKED}, ok_ AS (SELECT cohort, their_rank, position FROM cr WHERE status = 'ok' AND position IS NOT NULL), {rho_sql('ok_', 'cohort', 'their_rank', 'position', 'k')} SELECT cohort, n, CASE WHEN n >= 3 THEN {rd('rho', 8)} END AS rho FROM k")
+@query("l2_ranking_agreement", f"WITH {RANKED}, ok_ AS (SELECT cohort, mode, their_rank, position FROM cr WHERE status = 'ok' AND position IS NOT NULL), {rho_sql('ok_', 'cohort, mode', 'their_rank', 'position', 'k')} SELECT cohort, mode, n, CASE WHEN n >= 3 THEN {rd('rho', 8)} END AS rho FROM k")
 def _(b):
     return op.ranking_agreement(stage(compared(b), "compared"))
 

@@ -133,14 +133,39 @@ def _(b):
     return b("customer").select("c_custkey", c.finite(text).alias("value"))
 
 
-@query("b17_flatten_records", """SELECT 'ST' || CAST(l_returnflag AS STRING) AS study_id, CAST(l_orderkey AS STRING) AS sample_id, p_brand AS symbol, l_partkey AS entrez_id,
-    l_extendedprice AS value, 'rna' AS profile_id, 'rna' AS layer FROM lineitem JOIN part ON l_partkey = p_partkey""")
+@query("b17_flatten_records", """SELECT 'ST' || CAST(l_returnflag AS STRING) AS study_id, CAST(l_orderkey AS STRING) AS sample_id, CAST(NULL AS STRING) AS patient_id, p_brand AS symbol, l_partkey AS entrez_gene_id,
+    l_extendedprice AS value, 'rna' AS molecular_profile_id, 'rna' AS layer FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def _(b):
     li = b("lineitem").join(b("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     records = li.select(F.to_json(F.struct(
         F.concat(F.lit("ST"), "l_returnflag").alias("studyId"), F.col("l_orderkey").cast("string").alias("sampleId"), F.struct(F.col("p_brand").alias("hugoGeneSymbol")).alias("gene"),
         F.col("l_partkey").alias("entrezGeneId"), F.col("l_extendedprice").alias("value"), F.lit("rna").alias("molecularProfileId"))).alias("record"))
-    return op.flatten_records(records, "record", "rna")
+    return op.flatten_records(records, "record", "numeric", layer="rna")
+
+
+@query("b17_flatten_samples", "SELECT CAST(o_orderkey AS STRING) AS sample_id, CAST(o_custkey AS STRING) AS patient_id, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS sample_type, CAST(NULL AS STRING) AS sample_type_id, 'ST1' AS study_id FROM orders")
+def _(b):
+    kind = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    records = b("orders").select(F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("sampleId"), F.col("o_custkey").cast("string").alias("patientId"), kind.alias("sampleType"))).alias("record"))
+    return op.flatten_records(records, "record", "sample", study_id="ST1")
+
+
+@query("b17_flatten_mutations", """SELECT 'ST' || l_returnflag AS study_id, CAST(l_orderkey AS STRING) AS sample_id, p_brand AS symbol, l_partkey AS entrez_gene_id, l_shipdate_text AS mutation_type, CAST(l_suppkey AS STRING) AS chromosome, l_linenumber AS start_position, l_linenumber + 3 AS end_position, CAST(l_quantity AS BIGINT) AS tumor_alt_count
+    FROM (SELECT *, CAST(year(l_shipdate) AS STRING) AS l_shipdate_text FROM lineitem) l JOIN part ON l_partkey = p_partkey""")
+def _(b):
+    li = b("lineitem").join(b("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    records = li.select(F.to_json(F.struct(
+        F.concat(F.lit("ST"), "l_returnflag").alias("studyId"), F.col("l_orderkey").cast("string").alias("sampleId"), F.struct(F.col("p_brand").alias("hugoGeneSymbol")).alias("gene"), F.col("l_partkey").alias("entrezGeneId"),
+        F.year("l_shipdate").cast("string").alias("mutationType"), F.col("l_suppkey").cast("string").alias("chromosome"), F.col("l_linenumber").alias("startPosition"), (F.col("l_linenumber") + 3).alias("endPosition"),
+        F.col("l_quantity").cast("bigint").alias("tumorAltCount"))).alias("record"))
+    return op.flatten_records(records, "record", "mutation").select("study_id", "sample_id", "symbol", "entrez_gene_id", "mutation_type", "chromosome", "start_position", "end_position", "tumor_alt_count")
+
+
+@query("b17_flatten_variants", """SELECT CAST(entity AS STRING) AS sample_id, feature AS site1_hugo_symbol, partner AS site2_hugo_symbol, CASE WHEN in_frame THEN 'In_frame' END AS site2_effect_on_frame, CAST(NULL AS STRING) AS sv_status FROM fusions""")
+def _(b):
+    records = b("fusions").select(F.to_json(F.struct(
+        F.col("entity").cast("string").alias("sampleId"), F.col("feature").alias("site1HugoSymbol"), F.col("partner").alias("site2HugoSymbol"), F.when(F.col("in_frame"), "In_frame").alias("site2EffectOnFrame"))).alias("record"))
+    return op.flatten_records(records, "record", "structural_variant").select("sample_id", "site1_hugo_symbol", "site2_hugo_symbol", "site2_effect_on_frame", "sv_status")
 
 
 def profiles(b):
