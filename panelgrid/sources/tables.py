@@ -23,9 +23,10 @@ def scan_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_pos"))
-    first = lines.where("_start = 0").groupBy("_file").agg(F.min("_pos").alias("_first"))
     dropped = skip + (1 if header else 0)
-    body = lines.join(first, "_file").where(~((F.col("_start") == 0) & (F.col("_pos") < F.col("_first") + dropped)))
+    place = F.row_number().over(Window.partitionBy("_file").orderBy("_pos"))  # a first split is bounded by the split size
+    first = lines.where("_start = 0").withColumn("_place", place).where(F.col("_place") > dropped)
+    body = first.select("value").unionByName(lines.where("_start > 0").select("value"))
     return body.select(F.from_csv("value", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields), {"sep": sep}).alias("r")).select("r.*")
 
 
