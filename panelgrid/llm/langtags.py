@@ -241,8 +241,8 @@ def fit_sample(docs: DataFrame, language: Column, may_learn: Column, per_languag
 _MEMOS: dict[str, Memo] = {}
 
 
-def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns `keep`, then lang_pred, score and certainty. The tagger's tables have a fixed size and are broadcast."""
+def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
+    """Columns `keep`, then lang_pred, score and certainty, their names led by `prefix`. The tagger's tables have a fixed size and are broadcast."""
     shared, key = docs.sparkSession.sparkContext.broadcast(tagger), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,10 +263,10 @@ def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str =
                     column += part
                 at = end
             columns = [pa.array(found[0], pa.string()), *(pa.array(x, pa.float64()) for x in found[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "lang_pred", "score", "certainty"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *(f"{prefix}{n}" for n in ("lang_pred", "score", "certainty"))])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, certainty double")
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}certainty` double")
 
 
 def held_out() -> Column:

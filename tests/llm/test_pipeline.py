@@ -7,6 +7,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from panelgrid.llm import pii
@@ -92,3 +93,13 @@ def test_odd_documents(spark):
     for name, step in pipeline.STAGES:
         docs = stage(step(spark, docs, SF), f"odd-{name}")
     assert docs.count() > 0
+
+
+def test_extra_columns_with_clashing_names(spark, frames):
+    names = ["score", "lang_pred", "certainty", "fp", "tokens", "epoch", "row", "place", "ids", "decoded", "spans", "root", "mark"]
+    docs = frames[0].limit(120).select("*", *(F.lit(n).alias(n) for n in names))
+    columns = docs.columns
+    for name, step in pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, SF), f"clash-{name}")
+        assert docs.columns == columns and docs.where(" and ".join(f"`{n}` = '{n}'" for n in names)).count() == docs.count() > 0
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
