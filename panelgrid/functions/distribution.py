@@ -152,7 +152,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho", b
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), guarded_corr("_rx", "_ry").alias(out))
 
 
-def group_residual(df: DataFrame, group: list[str], values: list[str], min_n: int = 15) -> DataFrame:
+def group_residual(df: DataFrame, group: list[str], values: list[str], min_n: int = 15, bounded: bool = False) -> DataFrame:
     """Centre each value on its group median, keeping groups with at least ``min_n`` rows.
 
     Adds `<value>_adj` and `group_n`. The medians are one small row per group, joined back.
@@ -160,7 +160,7 @@ def group_residual(df: DataFrame, group: list[str], values: list[str], min_n: in
     """
     out = df
     for i, value in enumerate(values):
-        centre = medians(df, group, value, f"_med_{value}")
+        centre = medians(df, group, value, f"_med_{value}", bounded)
         if i == 0:
             centre = centre.withColumnRenamed("n", "group_n").where(F.col("group_n") >= min_n)
         else:

@@ -1,7 +1,8 @@
 """Pairwise relationship evaluation: group-adjusted statistics, bootstrap, hold-outs, statuses.
 
 Every evaluator is keyed by `task` (a pair with its direction), so one plan evaluates any number
-of pairs. A pair is a request: its entity rows are read with a feature filter and reshaped to one
+of pairs. A pair has one row for each entity at most, so groups within a task are bounded by the spine of entities
+(`bounded=True` below states that grain). A pair is a request: its entity rows are read with a feature filter and reshaped to one
 row per (task, entity) with columns; nothing is compared across entities.
 """
 
@@ -117,7 +118,7 @@ def quantile_context(rows: DataFrame, low: float = 0.2, high: float = 0.8, min_g
     ``rows`` is evaluable (task, entity, grp, source_value, value). A group that is too small, or
     whose fifths touch, does not discriminate and is left out.
     """
-    q = percentiles(rows, ["task", "grp"], "source_value", {"q_low": low, "q_high": high})
+    q = percentiles(rows, ["task", "grp"], "source_value", {"q_low": low, "q_high": high}, bounded=True)
     q = q.withColumn("q_low", F.round("q_low", DIGITS)).withColumn("q_high", F.round("q_high", DIGITS))
     q = q.withColumn("reason", F.when(F.col("n") < min_group, "eligible_n_below_minimum").when(F.col("q_high") <= F.col("q_low"), "high_not_above_low"))
     side = F.when(F.col("source_value") >= F.col("q_high"), "context").when(F.col("source_value") <= F.col("q_low"), "reference").otherwise("middle")
@@ -126,7 +127,7 @@ def quantile_context(rows: DataFrame, low: float = 0.2, high: float = 0.8, min_g
 
 def side_medians(rows: DataFrame, keys: list[str], value: str, context: str = "context") -> DataFrame:
     """Median of each side per key and `shift` = reference - context."""
-    m = percentiles(rows.where(F.col(context).isin("context", "reference")), [*keys, context], value, {"m": 0.5})
+    m = percentiles(rows.where(F.col(context).isin("context", "reference")), [*keys, context], value, {"m": 0.5}, bounded=True)
     out = m.groupBy(*keys).agg(
         F.max(F.when(F.col(context) == "context", F.col("m"))).alias("median_context"), F.max(F.when(F.col(context) == "reference", F.col("m"))).alias("median_reference"),
         F.coalesce(F.max(F.when(F.col(context) == "context", F.col("n"))), F.lit(0)).alias("n_context"), F.coalesce(F.max(F.when(F.col(context) == "reference", F.col("n"))), F.lit(0)).alias("n_reference"))
@@ -272,7 +273,7 @@ def eval_conditional(rows: DataFrame, targets: DataFrame, replicates: int = REPL
 
 
 def adjusted(rows: DataFrame, values: list[str] | None = None, min_group: int = MIN_GROUP) -> DataFrame:
-    return group_residual(rows, ["task", "grp"], values or ["value"], min_group)
+    return group_residual(rows, ["task", "grp"], values or ["value"], min_group, bounded=True)
 
 
 def pair_rows(effects: DataFrame, spine: DataFrame, tasks: list[tuple[str, str, str]]) -> DataFrame:
@@ -286,8 +287,8 @@ def pair_rows(effects: DataFrame, spine: DataFrame, tasks: list[tuple[str, str,
 def eval_codependency(rows: DataFrame, broad: DataFrame, replicates: int = REPLICATES, seed: int = 25) -> DataFrame:
     """One row per task: raw and adjusted rho, interval, hold-outs and status. ``broad`` is (task, broad)."""
     adj = stage(adjusted(rows, ["x", "y"]), "codependency")
-    raw = spearman(adj, ["task"], "x", "y", "raw_rho").drop("n")
-    full = spearman(adj, ["task"], "x_adj", "y_adj", "rho")
+    raw = spearman(adj, ["task"], "x", "y", "raw_rho", bounded=True).drop("n")
+    full = spearman(adj, ["task"], "x_adj", "y_adj", "rho", bounded=True)
     n_groups = adj.groupBy("task").agg(F.count_distinct("grp").alias("n_groups"))
     held = resample.without_each_group(adj, ["task"], ["x_adj", "y_adj"], resample.correlation_without, "n long, r double")
     loo = held.join(full.select("task", F.col("rho").alias("_full")), "task")
@@ -321,14 +322,14 @@ def policy_sensitivity(rows: DataFrame, grid: list[dict]) -> DataFrame:
     """
     settings = F.array(*[F.struct(F.lit(g["scenario"]).alias("scenario"), *[F.lit(float(g[k])).alias(k) for k in ("low", "high")], *[F.lit(int(g[k])).alias(k) for k in ("min_group", "min_side", "min_total")]) for g in grid])
     probs = sorted({p for g in grid for p in (g["low"], g["high"])})
-    q = percentiles(rows, ["task", "grp"], "source_value", {f"p{i}": p for i, p in enumerate(probs)})
+    q = percentiles(rows, ["task", "grp"], "source_value", {f"p{i}": p for i, p in enumerate(probs)}, bounded=True)
     pick = {p: F.col(f"p{i}") for i, p in enumerate(probs)}
     chosen = F.array(*[F.struct(F.lit(g["scenario"]).alias("scenario"), F.round(pick[g["low"]], DIGITS).alias("q_low"), F.round(pick[g["high"]], DIGITS).alias("q_high")) for g in grid])
     limits = q.select("task", "grp", "n", F.inline(chosen))
     run = rows.select("*", F.inline(settings)).join(limits, ["task", "grp", "scenario"]).where("n >= min_group and q_high > q_low").drop("n")
     side = F.when(F.col("source_value") >= F.col("q_high"), "context").when(F.col("source_value") <= F.col("q_low"), "reference").otherwise("middle")
     run = run.withColumn("context", side)
-    adj = stage(group_residual(stage(run, "sensitivity"), ["scenario", "task", "grp"], ["value"], 1), "adjusted")
+    adj = stage(group_residual(stage(run, "sensitivity"), ["scenario", "task", "grp"], ["value"], 1, bounded=True), "adjusted")
     keys = ["scenario", "task"]
     stat = side_medians(adj, keys, "value_adj")
     n_groups = adj.groupBy(*keys).agg(F.count_distinct("grp").alias("n_groups"), F.any_value("min_side").alias("min_side"), F.any_value("min_total").alias("min_total"))

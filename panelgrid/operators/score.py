@@ -149,16 +149,26 @@ def score_presence(state: Column, role: Column) -> tuple[Column, Column]:
     return d, factor
 
 
-def feature_constants(measures: DataFrame, roles: DataFrame, features: list[str], scenarios: list[Scenario] | None = None) -> DataFrame:
-    """Per (scenario, feature): global constants, broad fraction and role class.
+def layer_constants(measures: DataFrame) -> DataFrame:
+    """Per feature the global constants of every calibrated layer: g (rna), e (effect), c (copies), each with L, T and n."""
+    long = measures.select("feature", F.col("rna").alias("g"), (-F.col("effect")).alias("e"), F.col("copy_number").alias("c")).unpivot(["feature"], ["g", "e", "c"], "kind", "value")
+    kept = cal.gate(cal.calibrate(long, ["feature", "kind"]))
+    return kept.groupBy("feature").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("g", "e", "c") for c in ("L", "T", "n")])
+
+
+def build_constants(measures: DataFrame, entities: DataFrame) -> dict[str, DataFrame]:
+    """The calibration tables, which depend on the measures only; a build stores them and requests read them."""
+    return {"layers": layer_constants(measures), "groups": group_constants(measures, entities), "protein": protein_constants(measures)}
+
+
+def feature_constants(measures: DataFrame, roles: DataFrame, features: list[str], scenarios: list[Scenario] | None = None, layers: DataFrame | None = None) -> DataFrame:
+    """Per (scenario, feature): global constants (stored ones if given), broad fraction and role class.
 
     Only rows of the panel features are read, so this costs a few features, not the whole table.
     """
     scenarios = scenarios or [Scenario()]
     rows = measures.where(F.col("feature").isin(features))
-    long = rows.select("feature", F.col("rna").alias("g"), (-F.col("effect")).alias("e"), F.col("copy_number").alias("c")).unpivot(["feature"], ["g", "e", "c"], "kind", "value")
-    kept = cal.gate(cal.calibrate(long, ["feature", "kind"]))
-    wide = kept.groupBy("feature").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("g", "e", "c") for c in ("L", "T", "n")])
+    wide = layer_constants(rows) if layers is None else layers.where(F.col("feature").isin(features))
     settings = [(s.scenario_id, s.strong_cutoff, s.broad_fraction, s.min_calibration_n) for s in scenarios]
     broad = cal.flag_broad_many(rows.select("feature", F.col("effect").alias("value")).where("value is not null"), settings).select(
         F.col("sample_id").alias("scenario_id"), "feature", F.col("fraction").alias("broad_fraction"))
@@ -255,7 +265,7 @@ def pair_spearman(layer: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     wide = layer.where(F.col("feature").isin(features)).groupBy("entity").agg(
         *[F.avg(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features])
     both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-    return spearman(wide.select(F.inline(both)), ["a", "b"], "x", "y")
+    return spearman(wide.select(F.inline(both)), ["a", "b"], "x", "y", bounded=True)  # a row for each entity of the spine
 
 
 def correlation_weights(layer: DataFrame, panels: list[Panel]) -> DataFrame:
@@ -322,12 +332,13 @@ def combine_features(scored: DataFrame) -> DataFrame:
 
 def score_features(
     candidates: DataFrame, measures: DataFrame, mutations: DataFrame, fusions: DataFrame, entities: DataFrame, roles: DataFrame,
-    panels: list[Panel], scenarios: list[Scenario] | None = None, constants: DataFrame | None = None,
+    panels: list[Panel], scenarios: list[Scenario] | None = None, constants: DataFrame | None = None, stored: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """The scored grid: one row per scenario, query, candidate and panel feature.
 
     ``candidates`` has entity, grp, mutations_state, fusions_state; ``measures`` is the wide cell
     table. A column `only_scenario` on candidates keeps a candidate row to one scenario.
+    ``stored`` are the tables of `build_constants`, else they are built for the panel features.
     ``constants`` replaces the per-feature constants (for controls that change them). A
     column `cal_grp` on candidates replaces the group used for calibration only.
     """
@@ -336,9 +347,10 @@ def score_features(
     if "cal_grp" not in grid.columns:
         grid = grid.withColumn("cal_grp", F.col("grp"))
     if constants is None:
-        constants = feature_constants(measures, roles, features, scenarios)
-    own = group_constants(measures, entities, features).withColumnRenamed("grp", "cal_grp")
-    pooled = protein_constants(measures)
+        constants = feature_constants(measures, roles, features, scenarios, stored and stored["layers"])
+    own = stored["groups"].where(F.col("feature").isin(features)) if stored else group_constants(measures, entities, features)
+    own = own.withColumnRenamed("grp", "cal_grp")
+    pooled = stored["protein"] if stored else protein_constants(measures)
     weights = correlation_weights(measures.select("entity", "feature", F.col("rna").alias("value")), panels)
     weights = weights.withColumn("m_eff", F.round(F.sum("weight").over(Window.partitionBy("query_id")), 9))
     rows = gather_evidence(grid, measures, mutations, fusions, features)
@@ -475,7 +487,7 @@ def nested_results(scored: DataFrame, parted: DataFrame, expression: DataFrame,
 
 def score_request(
     panel: Panel, reference: DataFrame, coverage: DataFrame, measures: DataFrame, mutations: DataFrame, fusions: DataFrame, entities: DataFrame, roles: DataFrame, expression: DataFrame,
-    filters: dict | None = None, top_n: int = 10, similar: int = 3, scenario: Scenario | None = None, collisions: DataFrame | None = None,
+    filters: dict | None = None, top_n: int = 10, similar: int = 3, scenario: Scenario | None = None, collisions: DataFrame | None = None, stored: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """A whole request: tokens are resolved and validated, candidates filtered (arguments of `filter_candidates`), scored,
     ranked, and returned with their nested explanations."""
@@ -483,6 +495,6 @@ def score_request(
     panel = check_request(panel, reference, filters.get("ploidy_min"), filters.get("ploidy_max"), top_n)
     wanted = filter_candidates(entities, coverage, **filters).select("entity")
     candidates = coverage.select("entity", "grp", "mutations_state", "fusions_state").join(wanted, "entity", "left_semi")
-    scored = stage(score_features(candidates, measures, mutations, fusions, entities, roles, [panel], [scenario or Scenario()]), "scored")
+    scored = stage(score_features(candidates, measures, mutations, fusions, entities, roles, [panel], [scenario or Scenario()], stored=stored), "scored")
     parted = partition_results(combine_features(scored), top_n).drop("scenario_id")
     return nested_results(scored, parted, expression, collisions, similar)

@@ -29,7 +29,13 @@ def candidates(b):
     return b("coverage").select("entity", "grp", "mutations_state", "fusions_state")
 
 
+def constants(b):
+    """The stored calibration tables."""
+    return {name: b.kept(f"constants_{name}", lambda name=name: op.build_constants(b("cells"), b("entities"))[name]) for name in ("layers", "groups", "protein")}
+
+
 def scored_grid(b, panels, scenarios=None, **kw):
+    kw.setdefault("stored", constants(b))
     cand = kw.pop("candidates", None)
     return op.score_features(cand if cand is not None else candidates(b), b("cells"), b("mutations"), b("fusions"), b("entities"), b("roles"), panels, scenarios or BASE, **kw)
 
@@ -236,7 +242,7 @@ _SIMILAR = f"""sr AS (SELECT p.query_id, p.entity, p.D, p.rank, x.feature, x.rna
     SELECT {', '.join('p.' + c for c in _PARTED)}, ev.evidence, CAST(wn.n_warnings AS INT) AS n_warnings, CAST(ms.n_missing AS INT) AS n_missing, sl.similar FROM parted p JOIN ev ON ev.query_id = p.query_id AND ev.entity = p.entity JOIN wn ON wn.query_id = p.query_id AND wn.entity = p.entity
       JOIN ms ON ms.query_id = p.query_id AND ms.entity = p.entity LEFT JOIN sl ON sl.query_id = p.query_id AND sl.entity = p.entity""")
 def _(b):
-    out = op.score_request(REQUEST, b("features"), b("coverage"), b("cells"), b("mutations"), b("fusions"), b("entities"), b("roles"), b("expression_rna"), FILTERS, scenario=BASE[0])
+    out = op.score_request(REQUEST, b("features"), b("coverage"), b("cells"), b("mutations"), b("fusions"), b("entities"), b("roles"), b("expression_rna"), FILTERS, scenario=BASE[0], stored=constants(b))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     return out.select(*_PARTED, F.md5(F.array_join(F.transform("evidence", lambda x: x["text"]), "|")).alias("evidence"), size("warnings").alias("n_warnings"), size("missing").alias("n_missing"),
                       F.array_join(F.transform("similar", lambda x: x["other"].cast("string")), "|").alias("similar"))

@@ -12,6 +12,7 @@ from panelgrid.operators import stability as op
 from panelgrid.operators.score import Panel, Scenario
 from panelgrid.plans import panel_sql as ps
 from panelgrid.plans.ranking import BATTERY, candidates, results, scored_grid
+from panelgrid.plans.ranking import constants as ranking_constants
 from panelgrid.plans.registry import query, rd
 from panelgrid.session import small_frame, stage
 from panelgrid.sources import sinks
@@ -207,7 +208,7 @@ def held_out(b):
     names = [r.grp for r in op.holdout_groups(b("entities"), 5, 100).collect()]  # at most five names
     runs = [DEFAULT, *(replace(DEFAULT, scenario_id=g) for g in names)]
     feats = score.panel_features(BATTERY)
-    fixed = score.feature_constants(b("cells"), b("roles"), feats, runs)
+    fixed = score.feature_constants(b("cells"), b("roles"), feats, runs, ranking_constants(b)["layers"])
     layer = b("expression_rna").where(F.col("feature").isin(feats))
     held = cal.gate(cal.calibrate_without(layer, b("entities"), names)).select(F.col("held_out").alias("scenario_id"), "feature", F.col("L").alias("h_L"), F.col("T").alias("h_T"))
     own = F.col("scenario_id") == "default"
