@@ -169,10 +169,10 @@ def group_residual(df: DataFrame, group: list[str], values: list[str], min_n: in
     return out
 
 
-def rank_biserial(df: DataFrame, keys: list[str], value: str, is_first: str, out: str = "rank_biserial") -> DataFrame:
+def rank_biserial(df: DataFrame, keys: list[str], value: str, is_first: str, out: str = "rank_biserial", bounded: bool = False) -> DataFrame:
     """`u` of the flagged group and its rank-biserial effect, per key group."""
     rows = df.where(F.col(value).isNotNull() & F.col(is_first).isNotNull())
-    ranked = average_ranks(rows, keys, value, "_r")
+    ranked = average_ranks(rows, keys, value, "_r", bounded)
     flag = F.col(is_first)
     sums = ranked.groupBy(*keys).agg(
         F.sum(F.when(flag, F.col("_r"))).alias("_r1"),

@@ -41,9 +41,9 @@ def rbo(a: DataFrame, b: DataFrame, keys: list[str], p: float = 0.9, k: int = 10
 
 
 def full_ranking(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Position of every scored entity by falling score, then id, at any size."""
+    """Position of every scored entity by falling score, then id; a ranking is bounded by the spine of entities."""
     rows = results.where("D is not null").select(*keys, F.struct((-F.col("D")).alias("d"), F.col("entity").alias("e")).alias("_v"))
-    places = value_positions(rows, keys, "_v")
+    places = value_positions(rows, keys, "_v", bounded=True)
     return places.select(*keys, F.col("_v.e").alias("entity"), (F.col("before") + 1).alias("position"))
 
 
@@ -59,7 +59,7 @@ def kendall_tau(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     bits = both.agg(F.coalesce(F.length(F.bin(F.max("_b"))), F.lit(1))).scalar()
     levels = both.select(*keys, "_a", F.col("_b"), F.explode(F.sequence(F.lit(0), bits - 1)).alias("_level"))
     marked = levels.withColumn("_prefix", F.expr("shiftright(_b, _level + 1)")).withColumn("_zero", F.expr("shiftright(_b, _level) % 2 = 0"))
-    u = rank_biserial(marked, [*keys, "_level", "_prefix"], "_a", "_zero").where("n_first > 0 and n_second > 0")
+    u = rank_biserial(marked, [*keys, "_level", "_prefix"], "_a", "_zero", bounded=True).where("n_first > 0 and n_second > 0")
     inversions = u.groupBy(*keys).agg(F.sum("u").alias("_inv"))
     n = both.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
     tau = 1.0 - F.try_divide(4.0 * F.coalesce("_inv", F.lit(0.0)), F.col("n") * (F.col("n") - 1))
