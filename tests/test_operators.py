@@ -93,7 +93,8 @@ def test_association_over_several_blocks(spark, block):
 
 def test_neighbourhood_keeps_only_inward_edges(spark):
     nodes = small_frame(spark, [(n, "feature", n) for n in "abcde"], "node_id string, node_type string, display_name string")
-    edges = small_frame(spark, [("a", "b", "t", 1.0), ("a", "c", "t", 2.0), ("b", "c", "t", 3.0), ("c", "d", "t", 4.0), ("d", "x", "t", 5.0)], "source_node_id string, target_node_id string, edge_type string, weight double")
+    edges = small_frame(spark, [("a", "b", "t", "s", 1.0), ("a", "c", "t", "s", 2.0), ("b", "c", "t", "s", 3.0), ("c", "d", "t", "s", 4.0), ("d", "x", "t", "s", 5.0)],
+                        "source_node_id string, target_node_id string, edge_type string, source_db string, weight double")
     got = sorted((r["node_id"], r["hop"], r["connected_to"]) for r in graph.neighbourhood(nodes, edges, "a", 2).collect())
     assert got == [("b", 1, "a"), ("c", 1, "a"), ("d", 2, "c")]
     assert graph.neighbourhood(nodes, edges, "missing", 2).count() == 0
@@ -105,17 +106,18 @@ def test_bootstrap_draws_keep_stratum_sizes(spark, path):
     assert {(r["grp"], r["n"]) for r in got} == {("g", 20), ("h", 30)} and len(got) == 12
 
 
-def test_chunks_pack_paragraphs_and_overlap():
-    assert text.pack_words("a b c\n\nd e\n\n\n\nf g h i", 5, 2) == ["a b c d e", "d e f g h i"]
-    assert text.pack_words("", 5, 2) == []
-    assert text.pack_words("a b c d e f g", 5, 2) == ["a b c d e f g"]
+def test_chunks_pack_paragraphs_and_overlap(spark):
+    bodies = ["a b c\n\nd e\n\n\n\nf g h i", "", "a b c d e f g"]
+    rows = text.chunk(small_frame(spark, list(enumerate(bodies)), "id int, body string"), 5, 2).orderBy("id", "chunk_no").collect()
+    assert [(r["id"], r["text"]) for r in rows] == [(0, "a b c d e"), (0, "d e f g h i"), (2, "a b c d e f g")]
+    assert text.chunk(small_frame(spark, [(0, bodies[0])], "id int, body string"), 5, 0).where("chunk_no = 1").first()["text"] == "f g h i"
 
 
 def test_heading_path_pops_levels(spark):
     doc = "lead\n# A\nx\n### C\ny\n## B\nz\n# D\n"
     df = small_frame(spark, [(1, doc)], "doc_id bigint, text string")
     got = [(r["heading_path"], r["body"]) for r in text.sections(df).orderBy("section_no").collect()]
-    assert got == [("", "lead"), ("A", "x"), ("A > C", "y"), ("A > B", "z")]
+    assert got == [("1", "lead"), ("A", "x"), ("A > C", "y"), ("A > B", "z")]  # without a heading the document's name stands in
 
 
 def test_numbers_skip_years_and_identifiers(spark):
