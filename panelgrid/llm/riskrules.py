@@ -27,7 +27,7 @@ from panelgrid.session import stage
 
 BLANK = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-ALPHA, DELTA = 0.04, 0.05
+ALPHA, DELTA = 0.02, 0.05
 CUTOFFS = {  # rates and their possible cutoffs, from strict to lenient
     "symbol_rate": [0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3],
     "dup_line_rate": [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7],
