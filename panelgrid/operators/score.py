@@ -354,8 +354,10 @@ def score_features(
     weights = correlation_weights(measures.select("entity", "feature", F.col("rna").alias("value")), panels)
     weights = weights.withColumn("m_eff", F.round(F.sum("weight").over(Window.partitionBy("query_id")), 9))
     rows = gather_evidence(grid, measures, mutations, fusions, features)
-    rows = rows.join(own, ["cal_grp", "feature"], "left").join(weights, ["query_id", "feature"], "left")
-    rows = spread_scenarios(rows, scenarios).join(constants, ["scenario_id", "feature"], "left")
+    # weights and constants have a row for each panel feature (and scenario) of the request, so they are broadcast; rows are
+    # dealt by entity before they are spread, which serves the later grouping by scenario, query and entity too
+    rows = rows.join(own, ["cal_grp", "feature"], "left").join(F.broadcast(weights), ["query_id", "feature"], "left").repartition("entity")
+    rows = spread_scenarios(rows, scenarios).join(F.broadcast(constants), ["scenario_id", "feature"], "left")
     rows = rows.withColumn("_p", pooled.select(F.struct("p_L", "p_T")).scalar())
     return score_layers(rows.withColumns({"p_L": F.col("_p.p_L"), "p_T": F.col("_p.p_T")}).drop("_p"))
 
@@ -363,8 +365,10 @@ def score_features(
 def partition_results(results: DataFrame, top_n: int = 10) -> DataFrame:
     """Bucket per row and the rank of the displayed ones.
 
-    Only the best `top_n` of each query are ranked (Spark cuts every partition to that many before the shuffle) and joined back.
+    Only the best `top_n` of each query are ranked (Spark cuts every partition to that many before the shuffle) and joined back,
+    so the results are read twice and therefore written once.
     """
+    results = stage(results, "results")
     listed = F.col("tier").isin("High", "Moderate") & (F.col("D") > 0) & F.col("veto_feature").isNull()
     order = Window.partitionBy("scenario_id", "query_id").orderBy(F.desc("D"), "entity")
     best = results.where(listed).select(*KEYS, "D").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).drop("D")
