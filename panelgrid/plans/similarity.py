@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelgrid.operators import score
@@ -107,7 +109,19 @@ def _(b):
     return op.layer_missingness(score.long_layers(scored_grid(b, WIDE)))
 
 
-@query("h10_invariance", "SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second FROM (SELECT count(*) FROM entities) q")
+def _shown(n: int) -> str:
+    """The partition with n displayed entities, under names of its own."""
+    sql = ps.parted_cte(n)
+    for name in ("parted", "pl", "pn"):
+        sql = re.sub(rf"\b{name}\b(?= AS \()|(?<=FROM ){name}\b", f"{name}{n}", sql)
+    return sql
+
+
+_SAME = "query_id, entity, D, tier, veto_feature"
+
+
+@query("h10_invariance", f"""WITH {ps.panel_ctes(WIDE, BASE)}, {_shown(5)}, {_shown(20)} SELECT (SELECT count(*) FROM (SELECT {_SAME} FROM parted5 EXCEPT ALL SELECT {_SAME} FROM parted20) q) AS only_first,
+    (SELECT count(*) FROM (SELECT {_SAME} FROM parted20 EXCEPT ALL SELECT {_SAME} FROM parted5) q) AS only_second""")
 def _(b):
     res = stage(results(b, WIDE), "results")
     cols = ["query_id", "entity", "D", "tier", "veto_feature"]
