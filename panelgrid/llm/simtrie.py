@@ -13,6 +13,10 @@ a time, until none is that large; then each unit is traversed in one go. Nothing
 A unit returns edges from each linked fingerprint to the least of those it was found connected with, not all pairs.
 Components come from alternating large-star and small-star steps over these edges, each step written as a table.
 
+Keeping one (the stage of the pipeline) does not use these fingerprints: documents are similar when the sets of their
+five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a band of min-hashes and lie side by side
+in their bucket; each is verified by the shingles themselves, and verified pairs make components as above.
+
 Defined cases: a null, empty or blank text has fingerprint zero, which links like any other; a text of one or two words
 is one shingle; equal texts share a fingerprint and hence a component; a null doc_id is never a component's name unless
 no document of the component has one (then it is null); every row is returned, repeated ones too; extra columns are not read.
@@ -36,6 +40,9 @@ BUDGET = 2
 UNIT = 4096  # fingerprints of one side of a unit, at most
 STRIDE = 4  # bits by which larger units are split
 CHUNK = 1 << 16  # shingles counted at a time
+SHINGLE, SIMILAR = 5, 0.8  # of the stage that keeps one of similar documents
+BANDS, ROWS = 30, 5  # min-hash bands: of pairs at the threshold 7 in a million share none
+WIDTHS = (1, 8)  # neighbours of a bucket compared, first all, then those not connected yet
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -229,8 +236,107 @@ def near_duplicates(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     return marks.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; of a shorter text the one of all its words."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    size = min(size, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + size]), 7) for i in range(len(words) - size + 1 if words else 0)], np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is `SIMILAR` or more."""
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, text, node (the text's words as a hash) and the hash of each of `BANDS` bands of min-hashes of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(11)
+        factor, shift = (rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) for _ in range(2))
+        factor = factor * np.uint64(2) + np.uint64(1)
+        weight = rng.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            node, bands = [], np.zeros((batch.num_rows, BANDS), np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                node.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "replace").lower().split()) if text else b"", 5))
+                marks = shingles(text)
+                if not len(marks):
+                    continue
+                least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+                for at in range(0, len(marks), 1024):
+                    mixed = marks[at : at + 1024, None] * factor + shift
+                    least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * factor).min(0))
+                least ^= least >> np.uint64(32)
+                bands[i] = (least.reshape(BANDS, ROWS) * weight).sum(1, dtype=np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(node, np.uint64).view(np.int64)), lists], names=["doc_id", "text", "node", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, node long, bands array<long>")
+
+
+def candidates(nodes: DataFrame, width: int) -> DataFrame:
+    """Pairs u < v of nodes (node, bands) with an equal band, each with the next `width` of its bucket in the order of the
+    following bands, so that the likest lie side by side. Buckets are cut between tasks, and pairs grow with the nodes only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            now = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, x in zip((0, 1, 4), last)]
+            fresh, found = len(last[0]), []
+            for step in range(1, width + 1):
+                at = np.arange(max(fresh, step), len(now[0]))
+                at = at[(now[0][at] == now[0][at - step]) & (now[1][at] == now[1][at - step])]
+                found.append((now[2][at], now[2][at - step]))
+            u, v = (np.concatenate(x) for x in zip(*found))
+            last = [x[-width:] for x in now]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    after = lambda n: F.expr(f"bands[(band + {n}) % {BANDS}]")
+    rows = nodes.select("node", "bands", F.posexplode("bands").alias("band", "value")).select("band", "value", after(1).alias("next"), after(2).alias("over"), "node")
+    order = ["band", "value", "next", "over", "node"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs u, v whose texts (node, text) are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = pa.array([alike(shingles(a.as_py()), shingles(b.as_py())) for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield batch.select(["u", "v"]).filter(near)
+
+    first, second = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")) for k in "uv")
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, node (equal for equal words) and root (equal for all that similar pairs connect)."""
+    marks = stage(signatures(docs), "signatures")
+    nodes = stage(marks.groupBy("node").agg(F.any_value("bands").alias("bands")), "nodes")
+    edges = roots = None
+    for width in WIDTHS:
+        pairs = candidates(nodes, width)
+        if roots is not None:  # what is connected already need not be compared
+            for k in "uv":
+                pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left").withColumn(f"r{k}", F.coalesce(f"r{k}", k))
+            pairs = pairs.where("ru != rv").select("u", "v")
+        pairs = stage(pairs, "candidates")
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        texts = stage(marks.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+        found = verified(pairs, texts)
+        edges = stage(found if edges is None else edges.unionByName(found), "similar")
+        roots = components(edges)
+    return marks.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of every group, the one that names it; of repeated ids one row. A document without an id stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of every group of similar ones, the least id; of repeated ids one row. A document without an id stays."""
+    kept = similar_groups(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

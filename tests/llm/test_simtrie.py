@@ -84,3 +84,53 @@ def test_odd_rows(spark):
     kept = sorted((r.doc_id or 0) for r in keep_one(docs).collect())
     assert kept == [0, 2, 3, 8] and keep_one(docs).columns == docs.columns
     assert near_duplicates(docs.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
+
+
+def five_word_shingles(text):
+    words = (text or "").encode().lower().split()
+    size = min(5, len(words))
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def jaccard_groups(rows):
+    """rows: (doc_id, text). Least id of what pairs of Jaccard 0.8 or more connect, all pairs compared."""
+    sets, parent = [five_word_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return set(least.values())
+
+
+def test_keep_one_equals_brute_force_jaccard(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(3)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k in range(20):  # edited copies on both sides of the threshold
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for c in range(4):
+            copy = list(words)
+            for _ in range(rng.randint(0, 8)):
+                copy[rng.randrange(200)] = f"x{rng.random()}"
+            rows.append((10**7 + 10 * k + c, " ".join(copy)))
+    want = jaccard_groups(rows)
+    got = [r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_keep_one_joins_what_two_bits_do_not(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, far = [*words[:99], "end"], [*words[:50], "a", *words[51:70], "b", *words[71:90], "c", *words[91:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:90])), (4, " ".join(far)), (5, " ".join(words[50:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in keep_one(docs).collect()} == jaccard_groups(rows) == {1, 4, 5}
+    assert len({r.component_id for r in near_duplicates(docs).collect()}) > 3
