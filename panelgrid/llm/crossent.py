@@ -1,17 +1,19 @@
 """Cross-entropy difference of two n-gram models, for choosing documents like a target.
 
 Words (lower-cased in A-Z, cut at ASCII white space) are counted as unigrams and bigrams, once over the target
-documents and once over all. Both models share one vocabulary: words are mapped to `WORD_CELLS` cells and pairs to
-`PAIR_CELLS` cells by hash, so that every occurrence in the corpus counts and a model has the same bounded size for any corpus.
-They also share order and smoothing: a pair's probability is its relative frequency after its first word, smoothed
-with the unigram probability of its second word by a prior of `PRIOR` occurrences.
+documents and once over all. Every distinct word and bigram has its own count, under a key of 64 bits: among n of them
+n^2 / 2^65 pairs are expected to share one (0.03 among a thousand million). Nothing is capped; the tables grow with the corpus.
+Both models share vocabulary, order and smoothing: a pair's probability is its relative frequency after its first word, smoothed
+with the unigram probability of its second word by a prior of `PRIOR` occurrences. A word's count has one added, over a
+vocabulary of all distinct words, but `WORD_CELLS` at least.
 
 A token's loss is its negative log probability in nats; the score of a document is its mean loss under the target less
 that under the background, so lower is closer to the target. A document is scored without the counts that it added to
 a model itself, else those in the target would come out too close to it.
 
-Tasks count into arrays and send a row for each cell they have seen; these are summed by a shuffle. Only the two
-models, of bounded size, go through the driver.
+Documents are dealt into blocks of `BLOCK_BYTES` of text. A block sends one row for each n-gram it holds, so that a common one
+has as many rows as there are blocks and not as documents; these are summed by a shuffle, and the sums go back to the blocks
+that hold the n-gram, unless only one does. Each block is then scored with the counts of its own n-grams. The driver sees three numbers.
 
 Defined cases: a null, empty or blank text has no tokens and a null score; without target documents the target model is
 uniform; null or repeated labels: a document is a target if any label says so; repeated rows count and are scored each
@@ -20,39 +22,40 @@ uniform; null or repeated labels: a document is a target if any label says so; r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.session import stage
 
-WORD_CELLS, PAIR_CELLS = 1 << 16, 1 << 20
+WORD_CELLS = 1 << 16  # least size of the vocabulary in smoothing
 PRIOR = 20.0
 MEMO_WORDS = 400_000
-BATCH_BYTES = 2_000_000  # of text handled together
+BATCH_BYTES = 2_000_000  # of text tokenised together
+BLOCK_BYTES = 8_000_000  # of text that asks for counts together
 
 
 class Cells(dict):
-    """Word -> its cell; a bounded memo for each task."""
+    """Word -> its key of 64 bits; a bounded memo for each task."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        cell = xxhash.xxh64_intdigest(word, 3) & (WORD_CELLS - 1)
+        cell = xxhash.xxh64_intdigest(word, 3) - (1 << 63)
         if len(word) <= 64:
             self[word] = cell
         return cell
 
 
 def tokens(cells: Cells, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word cells and pair cells of the tokens of all texts, and the number of tokens of each. A text's first token is
-    paired with the cell of a start mark."""
+    """Keys of the words and of those before them of the tokens of all texts, and the number of tokens of each. A text's
+    first token comes after a start mark."""
     words, sizes = [], []
     for text in texts:
         own = text.encode("utf-8", "replace").lower().split() if text else []
@@ -64,7 +67,7 @@ def tokens(cells: Cells, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
 
 
 def previous(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The cell before each token; texts start after cell 0."""
+    """The key before each token; texts start after key 0."""
     before = np.empty_like(word)
     before[1:] = word[:-1]
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
@@ -73,8 +76,13 @@ def previous(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    mixed = (before * WORD_CELLS + word).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - PAIR_CELLS.bit_length() + 1)).astype(np.int64)
+    mixed = before.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.int64).view(np.uint64)
+    return ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def befores(before: np.ndarray) -> np.ndarray:
+    """Keys of words before another, apart from those of words."""
+    return before ^ np.int64(0x5851F42D4C957F2D)
 
 
 def batched(texts: list[str | None]) -> Iterator[slice]:
@@ -88,115 +96,134 @@ def batched(texts: list[str | None]) -> Iterator[slice]:
         at = end
 
 
-def count_cells(docs: DataFrame) -> DataFrame:
-    """kind (0 words, 1 words before another, 2 pairs), cell, and its counts in the target and in all of docs (text, is_target)."""
+def all_tokens(cells: Cells, texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Keys of the word, of the word before and of the pair of each token, and the number of tokens of each text."""
+    parts = [tokens(cells, texts[p]) for p in batched(texts)]
+    word, before, sizes = (np.concatenate(x) for x in zip(*parts))
+    return (word, befores(before), pairs(before, word)), sizes
+
+
+def count_ngrams(rows: DataFrame) -> DataFrame:
+    """kind (0 words, 1 words before another, 2 pairs), key, block, and the counts in the block's target documents and in all of it."""
+
+    def count(cells: Cells, block: int, texts: list[str | None], chosen: list[bool]) -> Iterator[pa.RecordBatch]:
+        kinds, sizes = all_tokens(cells, texts)
+        inside = np.repeat(np.array(chosen, bool), sizes)
+        for k, x in enumerate(kinds):
+            key, index, every = np.unique(x, return_inverse=True, return_counts=True)
+            target = np.bincount(index[inside], minlength=len(key))
+            for a in range(0, len(key), 100_000):
+                part = slice(a, a + 100_000)
+                n = len(key[part])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(key[part]), pa.array(np.full(n, block)), pa.array(target[part]), pa.array(every[part])], names=["kind", "key", "block", "target", "every"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = Cells()
-        size = [WORD_CELLS, WORD_CELLS, PAIR_CELLS]
-        every = [np.zeros(n, np.int64) for n in size]
-        target = [np.zeros(n, np.int64) for n in size]
+        cells, held, texts, chosen = Cells(), None, [], []
         for batch in batches:
-            texts, chosen = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-            for part in batched(texts):
-                word, before, sizes = tokens(cells, texts[part])
-                inside = np.repeat(chosen[part], sizes)
-                for k, x in enumerate((word, before, pairs(before, word))):
-                    every[k] += np.bincount(x, minlength=size[k])
-                    target[k] += np.bincount(x[inside], minlength=size[k])
-        for k in range(3):
-            cell = np.flatnonzero(every[k])
-            for a in range(0, len(cell), 100_000):
-                c = cell[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(c.astype(np.int32)), pa.array(target[k][c]), pa.array(every[k][c])], names=["kind", "cell", "target", "every"])
-
-    counts = docs.select("text", "is_target").mapInArrow(run, "kind int, cell int, target long, every long")
-    return counts.groupBy("kind", "cell").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
-
-
-@dataclass
-class Model:
-    """Counts of words, of words before another, and of pairs."""
-
-    words: np.ndarray
-    before: np.ndarray
-    pairs: np.ndarray
-
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray, own: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Loss of each token without the counts in `own` (of its word, the word before, its pair, and all tokens)."""
-        word_own, before_own, pair_own, all_own = own
-        single = (self.words[word] - word_own + 1.0) / (self.words.sum() - all_own + WORD_CELLS)
-        return -np.log((self.pairs[pair] - pair_own + PRIOR * single) / (self.before[before] - before_own + PRIOR))
-
-
-def fit(docs: DataFrame) -> tuple[Model, Model]:
-    """Target and background model. The cells are bounded in number, whatever the corpus."""
-    table = count_cells(docs).toArrow()
-    kind, cell = (table.column(i).to_numpy() for i in (0, 1))
-    models = []
-    for name in ("target", "every"):
-        value = table.column(name).to_numpy()
-        arrays = []
-        for k, size in enumerate((WORD_CELLS, WORD_CELLS, PAIR_CELLS)):
-            dense = np.zeros(size)
-            dense[cell[kind == k]] = value[kind == k]
-            arrays.append(dense)
-        models.append(Model(*arrays))
-    return models[0], models[1]
+            for text, inside, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != held and texts:
+                    yield from count(cells, held, texts, chosen)
+                    texts, chosen = [], []
+                held = block
+                texts.append(text)
+                chosen.append(inside)
+        if texts:
+            yield from count(cells, held, texts, chosen)
+
+    return rows.select("text", "is_target", "block").mapInArrow(run, "kind int, key long, block long, target long, every long")
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
+    """block, key, target, every: corpus counts of the n-grams of each block that others hold too; and the number of target
+    tokens, of all tokens, and of words in the vocabulary."""
+    same = Window.partitionBy("key").orderBy("block")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = count_ngrams(rows).withColumns({"t": F.sum("target").over(whole), "e": F.sum("every").over(whole), "place": F.row_number().over(same)})
+    shared = F.col("e") != F.col("every")
+    sums = sums.where(shared | (F.col("kind") == 0)).select("block", "key", F.col("t").alias("target"), F.col("e").alias("every"), ((F.col("kind") == 0) & (F.col("place") == 1)).alias("word"), shared.alias("shared"))
+    sums = stage(sums, "ngrams")
+    totals = sums.where("word").agg(F.sum("target"), F.sum("every"), F.count("*")).first()
+    return sums.where("shared").select("block", "key", "target", "every"), tuple(x or 0 for x in totals)
 
 
 def own_counts(document: np.ndarray, x: np.ndarray, cells: int) -> np.ndarray:
-    """How often the document of each token has the token's cell."""
+    """How often the document of each token has the token's n-gram, given as a number below `cells`."""
     _, index, count = np.unique(document * cells + x, return_inverse=True, return_counts=True)
     return count[index].astype(np.float64)
 
 
-def score_texts(models: tuple[Model, Model], cells: Cells, texts: list[str | None], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of tokens, and mean losses under the target and the background, of each text."""
-    word, before, sizes = tokens(cells, texts)
-    pair = pairs(before, word)
-    document = np.repeat(np.arange(len(texts)), sizes)
-    own = (own_counts(document, word, WORD_CELLS), own_counts(document, before, WORD_CELLS), own_counts(document, pair, PAIR_CELLS), sizes[document].astype(np.float64))
-    inside = chosen[document].astype(np.float64)
-    target = models[0].losses(word, before, pair, tuple(o * inside for o in own))
-    background = models[1].losses(word, before, pair, own)
-    many = np.maximum(sizes, 1)
-    return sizes, np.bincount(document, target, len(texts)) / many, np.bincount(document, background, len(texts)) / many
+def losses(counts: list[np.ndarray], own: list[np.ndarray], total: int, vocabulary: int) -> np.ndarray:
+    """Loss of each token from the counts of its word, the word before, its pair, without the `own` ones (and all own tokens)."""
+    word, before, pair = (c - o for c, o in zip(counts, own))
+    single = (word + 1.0) / (total - own[3] + vocabulary)
+    return -np.log((pair + PRIOR * single) / (before + PRIOR))
 
 
-def score(docs: DataFrame, models: tuple[Model, Model]) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of docs (doc_id, text, is_target)."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def score_block(docs: pa.Table, sums: pa.Table, totals: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of tokens, and mean losses under the target and the background, of each document of a block. `sums`: key,
+    target and every of the n-grams that other blocks hold too."""
+    texts, chosen = docs.column("text").to_pylist(), np.array(docs.column("is_target").to_pylist(), bool)
+    kinds, sizes = all_tokens(Cells(), texts)
+    key, *known = (sums.column(c).to_numpy() for c in ("key", "target", "every"))
+    order = np.argsort(key, kind="stable")
+    key, known = key[order], [x[order] for x in known]
+    document = np.repeat(np.arange(len(texts)), sizes)
+    inside = chosen[document]
+    target, every, own = [], [], []
+    for x in kinds:
+        mine, index, count = np.unique(x, return_inverse=True, return_counts=True)
+        both = [np.bincount(index[inside], minlength=len(mine)), count]
+        at = np.searchsorted(key, mine)
+        found = np.flatnonzero(at < len(key))
+        found = found[key[at[found]] == mine[found]]
+        for values, sent, out in zip(both, known, (target, every)):
+            values[found] = sent[at[found]]
+            out.append(values[index].astype(np.float64))
+        own.append(own_counts(document, index, len(mine)))
+    own.append(sizes[document].astype(np.float64))
+    vocabulary = max(WORD_CELLS, totals[2])
+    many = np.maximum(sizes, 1)
+    means = [np.bincount(document, losses(counts, taken, total, vocabulary), len(texts)) / many
+             for counts, taken, total in ((target, [o * inside for o in own], totals[0]), (every, own, totals[1]))]
+    return sizes, *means
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _CELLS.setdefault(key, Cells())
-        for batch in batches:
-            texts, chosen = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), bool)
-            parts = [score_texts(shared.value, cells, texts[p], chosen[p]) for p in batched(texts)]
-            if not parts:
-                continue
-            n, target, background = (np.concatenate(x) for x in zip(*parts))
-            none = n == 0
-            columns = [pa.array(x, mask=none) for x in (target, background, target - background)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return docs.select("doc_id", "text", "is_target").mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+def score(rows: DataFrame, sums: DataFrame, totals: tuple[int, int, int]) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score of rows (doc_id, text, is_target, block)."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        n, target, background = score_block(docs, counts, totals)
+        columns = [pa.array(x, mask=n == 0) for x in (target, background, target - background)]
+        return pa.table([docs.column("doc_id"), pa.array(n), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-_CELLS: dict[str, Cells] = {}
+    return rows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """doc_id, text and is_target, written once as both passes read it. `targets`: doc_id.
+    """doc_id, text, is_target and block, written once as both passes read it. `targets`: doc_id.
 
     Targets grow with the corpus, so they are never broadcast: the same shuffle serves any size.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            blocks = []
+            for size in pc.binary_length(batch.column(1)).to_pylist():
+                if held and held + (size or 0) > BLOCK_BYTES:
+                    block, held = block + 1, 0
+                held += size or 0
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=[*batch.schema.names, "block"])
+
     ids = targets.where("doc_id is not null").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    return stage(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target")), "marked")
+    rows = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    return stage(rows.mapInArrow(run, f"doc_id {kind}, text string, is_target boolean, block long"), "marked")
 
 
 def score_corpus(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents table; the target is the documents labelled good and not toxic."""
     rows = marked(docs, labels.where("quality = 1 and toxic = 0"))
-    return score(rows, fit(rows))
+    return score(rows, *fit(rows))

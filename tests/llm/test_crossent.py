@@ -79,3 +79,32 @@ def test_odd_rows(spark):
     assert all(math.isclose(r.target_loss, want[0][1], rel_tol=1e-9) for r in got if r.doc_id == 1)
     assert score_corpus(docs.limit(0), labels).count() == 0
     assert score_corpus(docs, labels.limit(0)).where("score is not null").count() == 4
+
+
+def test_no_word_or_pair_shares_a_count(spark, monkeypatch):
+    """Against counts of the words and pairs themselves; more distinct ones than 2^16 and 2^17, over many blocks."""
+    monkeypatch.setattr(crossent, "BLOCK_BYTES", 100_000)
+    texts = [" ".join(f"w{(i * 7919 + j * j * 31) % 90000}" for j in range(300)) + f" the end{i} the cat" for i in range(500)]
+    rows, targets = list(enumerate(texts)), set(range(0, 500, 5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in targets], "doc_id long, quality int, toxic int")
+    models = []
+    for chosen in (targets, range(500)):
+        words, before, pairs = Counter(), Counter(), Counter()
+        for i in chosen:
+            w = texts[i].split()
+            words.update(w), before.update(["", *w[:-1]]), pairs.update(zip(["", *w[:-1]], w))
+        models.append((words, before, pairs))
+    vocabulary = max(crossent.WORD_CELLS, len(models[1][0]))
+    assert vocabulary > 1 << 16 and len(models[1][2]) > 1 << 17
+    got = {r.doc_id: r for r in score_corpus(docs, labels).collect()}
+    for i in range(0, 500, 7):
+        w = texts[i].split()
+        b = ["", *w[:-1]]
+        for (words, before, pairs), inside, loss in zip(models, (i in targets, True), (got[i].target_loss, got[i].background_loss)):
+            own = [Counter(x) if inside else Counter() for x in (w, b, zip(b, w))]
+            n, want = words.total() - own[0].total(), 0.0
+            for x, y in zip(w, b):
+                single = (words[x] - own[0][x] + 1) / (n + vocabulary)
+                want -= math.log((pairs[y, x] - own[2][y, x] + crossent.PRIOR * single) / (before[y] - own[1][y] + crossent.PRIOR))
+            assert math.isclose(loss, want / len(w), rel_tol=1e-9)
