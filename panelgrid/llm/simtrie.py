@@ -252,8 +252,13 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns, the text's among them, but of maps, which have none."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text, node (the text's words as a hash) and the hash of each of `BANDS` bands of min-hashes of every document."""
+    """doc_id, text, row (a hash of all columns), node (the text's words as a hash) and the hash of each of `BANDS` bands of min-hashes of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(11)
@@ -275,9 +280,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 least ^= least >> np.uint64(32)
                 bands[i] = (least.reshape(BANDS, ROWS) * weight).sum(1, dtype=np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(node, np.uint64).view(np.int64)), lists], names=["doc_id", "text", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(node, np.uint64).view(np.int64)), lists], names=["doc_id", "text", "row", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, node long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash(docs).alias("row")).mapInArrow(run, "doc_id long, text string, row long, node long, bands array<long>")
 
 
 def candidates(nodes: DataFrame, width: int) -> DataFrame:
@@ -316,7 +321,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, node (equal for equal words) and root (equal for all that similar pairs connect)."""
+    """Per document: doc_id, row (its hash), node (equal for equal words) and root (equal for all that similar pairs connect)."""
     marks = stage(signatures(docs), "signatures")
     nodes = stage(marks.groupBy("node").agg(F.any_value("bands").alias("bands")), "nodes")
     edges = roots = None
@@ -332,11 +337,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         found = verified(pairs, texts)
         edges = stage(found if edges is None else edges.unionByName(found), "similar")
         roots = components(edges)
-    return marks.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    return marks.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", "node", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of every group of similar ones, the least id; of repeated ids one row. A document without an id stays."""
-    kept = similar_groups(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of every group of similar documents: of the least id (null comes last), then of the least hash of its row."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("row").alias("__row")))
+    kept = similar_groups(docs).groupBy("root").agg(least.alias("least")).select("least.__id", "least.__row")
+    rows = docs.withColumn("__of", row_hash(docs))
+    found = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__row")))
+    return found.dropDuplicates(["__id", "__row"]).select(*docs.columns)

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from panelgrid.llm.simtrie import fingerprint, keep_one, near_duplicates
 
@@ -134,3 +135,15 @@ def test_keep_one_joins_what_two_bits_do_not(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in keep_one(docs).collect()} == jaccard_groups(rows) == {1, 4, 5}
     assert len({r.component_id for r in near_duplicates(docs).collect()}) > 3
+
+
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    copied, clean, other = ("one two three four five six", "quite another text of eight words in all", "a third one that nothing else is like")
+    rows = [(1, copied, 1), (2, copied, 2), (2, clean, 3), (2, clean, 3), (None, other, 4), (None, other, 5), (None, copied, 6), (7, clean, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, u int")
+    want = [(None, other), (1, copied), (2, clean)]
+    for part in (docs, docs.orderBy(F.desc("u")).repartition(3)):
+        got = keep_one(part).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=lambda x: x[0] or 0) == want
+        assert len({r.u for r in got}) == 3
+    assert sorted(r.u for r in keep_one(docs).collect()) == sorted(r.u for r in keep_one(docs.repartition(5)).collect())
