@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelgrid.llm import archives, hosts, riskrules
+from panelgrid.llm import archives, hosts, riskrules, termaudit, turntrie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,23 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from panelgrid.llm.maintext import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in their terms."""
+    return termaudit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES["op7_near_duplicates"] = op7_near_duplicates
 QUERIES["op1_url_verdicts"] = op1_url_verdicts
 ORACLES["op1_url_verdicts"] = hosts.ORACLE
@@ -106,3 +123,8 @@ QUERIES["op8_quality"] = op8_quality
 ORACLES["op8_quality"] = riskrules.ORACLE
 QUERIES["op9_personal_data"] = op9_personal_data
 QUERIES["op10_encode"] = op10_encode
+QUERIES["op11_main_text"] = op11_main_text
+QUERIES["op12_source_audit"] = op12_source_audit
+ORACLES["op12_source_audit"] = termaudit.ORACLE
+QUERIES["op13_prefix_trie"] = op13_prefix_trie
+ORACLES["op13_prefix_trie"] = turntrie.ORACLE
