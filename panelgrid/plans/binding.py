@@ -204,12 +204,12 @@ class Bound:
             _BUILT[key] = path
         return self.spark.read.parquet(_BUILT[key])
 
-    def kept(self, name: str, build) -> DataFrame:
-        """A derived table that several queries read, built once and written to the shared folder."""
+    def kept(self, name: str, build, by: tuple[str, ...] = ()) -> DataFrame:
+        """A derived table that several queries read, built once and written to the shared folder (in folders of the columns `by`)."""
         key = (self.spark.sparkContext.applicationId, staged_generation(), self.sf_dir, f"kept {name}")
         if key not in _BUILT:
             path = scratch_path(self.spark, name)
-            build().write.parquet(path)
+            build().write.partitionBy(*by).parquet(path)
             _BUILT[key] = path
         return self.spark.read.parquet(_BUILT[key])
 

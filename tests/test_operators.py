@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelgrid.operators import graph, identity, relations, reshape, stability, text
+from panelgrid.operators import graph, identity, relations, reshape, retrieval, stability, text
 from panelgrid.session import small_frame
 from panelgrid.sources import sinks, tables
 
@@ -129,7 +129,7 @@ def test_numbers_skip_years_and_identifiers(spark):
 def test_bm25_against_direct_formula(spark):
     docs = ["the cat sat", "the dog sat down", "a bird", "cat cat dog"]
     frame = small_frame(spark, list(enumerate(docs)), "doc_id bigint, text string")
-    got = {r["doc_id"]: r["score"] for r in text.bm25(small_frame(spark, [(0, "Cat, sat!")], "item_id bigint, text string"), frame, 10).collect()}
+    got = {r["doc_id"]: r["score"] for r in retrieval.search(small_frame(spark, [(0, "Cat, sat!")], "item_id bigint, text string"), retrieval.build_index(frame), 10).collect()}
     split = [d.split() for d in docs]
     df = {t: sum(t in s for s in split) for s in split for t in s}
     idf = {t: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
