@@ -60,6 +60,22 @@ def clear_staged(spark: SparkSession) -> int:
     return count
 
 
+def staged_paths() -> list[str]:
+    """The folders that this session staged and has not deleted."""
+    return list(_STAGED)
+
+
+def drop_staged(spark: SparkSession, paths: list[str], unless: DataFrame | None = None) -> int:
+    """Delete some staged folders that nothing will read any more, but for those that `unless` still reads. Returns their number."""
+    read = unless.inputFiles() if unless is not None and paths else []
+    gone = [p for p in paths if p in _STAGED and not any(p.rsplit("/", 1)[1] in f for f in read)]
+    for name in gone:
+        _STAGED.remove(name)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a reused intermediate table to the shared folder and read it back.
 
