@@ -14,8 +14,10 @@ A unit returns edges from each linked fingerprint to the least of those it was f
 Components come from alternating large-star and small-star steps over these edges, each step written as a table.
 
 Keeping one (the stage of the pipeline) does not use these fingerprints: documents are similar when the sets of their
-five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a band of min-hashes and lie side by side
-in their bucket; each is verified by the shingles themselves, and verified pairs make components as above.
+five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a band of min-hashes. First those that lie side by side in the
+buckets of a few bands are verified, which connects most of a large group; then every bucket of any band in which several components meet is compared
+across these, in units of bounded size, however large it is. A sketch of the min-hashes rules out pairs that are far from the threshold (of those at it, two in ten million);
+all others are verified by the shingles themselves, and verified pairs make components as above.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which links like any other; a text of one or two words
 is one shingle; equal texts share a fingerprint and hence a component; a null doc_id is never a component's name unless
@@ -42,7 +44,10 @@ STRIDE = 4  # bits by which larger units are split
 CHUNK = 1 << 16  # shingles counted at a time
 SHINGLE, SIMILAR = 5, 0.8  # of the stage that keeps one of similar documents
 BANDS, ROWS = 30, 5  # min-hash bands: of pairs at the threshold 7 in a million share none
-WIDTHS = (1, 8)  # neighbours of a bucket compared, first all, then those not connected yet
+AGREE = 95  # of the 150 bytes of two sketches; a pair at the threshold agrees in 120 with a deviation of 4.9
+FIRST = 6  # bands whose neighbours are compared first
+BLOCK = 1024  # rows of one side of a unit in which a bucket is compared across roots
+FEW_KEYS = 1 << 20  # keys that are sent to the rows instead of shuffling these
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -258,7 +263,8 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row (a hash of all columns), node (the text's words as a hash) and the hash of each of `BANDS` bands of min-hashes of every document."""
+    """doc_id, row (a hash of all columns), node (the text's words as a hash), the hash of each of `BANDS` bands of min-hashes, and the
+    sketch (the last byte of every min-hash) of every document; without words the sketch is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(11)
@@ -266,11 +272,12 @@ def signatures(docs: DataFrame) -> DataFrame:
         factor = factor * np.uint64(2) + np.uint64(1)
         weight = rng.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            node, bands = [], np.zeros((batch.num_rows, BANDS), np.uint64)
+            node, sketch, bands = [], [], np.zeros((batch.num_rows, BANDS), np.uint64)
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 node.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "replace").lower().split()) if text else b"", 5))
                 marks = shingles(text)
+                sketch.append(b"")
                 if not len(marks):
                     continue
                 least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -278,72 +285,152 @@ def signatures(docs: DataFrame) -> DataFrame:
                     mixed = marks[at : at + 1024, None] * factor + shift
                     least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * factor).min(0))
                 least ^= least >> np.uint64(32)
+                sketch[-1] = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
                 bands[i] = (least.reshape(BANDS, ROWS) * weight).sum(1, dtype=np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(node, np.uint64).view(np.int64)), lists], names=["doc_id", "text", "row", "node", "bands"])
+            marked = [batch.column(0), batch.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), lists, pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(marked, names=["doc_id", "row", "node", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash(docs).alias("row")).mapInArrow(run, "doc_id long, text string, row long, node long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash(docs).alias("row"))
+    return rows.mapInArrow(run, "doc_id long, row long, node long, bands array<long>, sketch binary")
 
 
-def candidates(nodes: DataFrame, width: int) -> DataFrame:
-    """Pairs u < v of nodes (node, bands) with an equal band, each with the next `width` of its bucket in the order of the
-    following bands, so that the likest lie side by side. Buckets are cut between tasks, and pairs grow with the nodes only."""
+def sketches_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of sketches agree in `AGREE` places at least."""
+    return (a == b).sum(-1) >= AGREE
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def neighbours(nodes: DataFrame) -> DataFrame:
+    """Pairs u < v of nodes (node, bands, sketch) that follow one another in a bucket of one of the first `FIRST` bands, in the order of the
+    next bands, so that the likest lie side by side. Buckets are cut between tasks, and pairs grow with the nodes only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            now = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, x in zip((0, 1, 4), last)]
-            fresh, found = len(last[0]), []
-            for step in range(1, width + 1):
-                at = np.arange(max(fresh, step), len(now[0]))
-                at = at[(now[0][at] == now[0][at - step]) & (now[1][at] == now[1][at - step])]
-                found.append((now[2][at], now[2][at - step]))
-            u, v = (np.concatenate(x) for x in zip(*found))
-            last = [x[-width:] for x in now]
+            band, value, node = ([np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, x in zip((0, 1, 4), last)])
+            at = np.flatnonzero((band[1:] == band[:-1]) & (value[1:] == value[:-1]) & (node[1:] != node[:-1]))
+            last = [x[-1:] for x in (band, value, node)]
+            u, v = node[at], node[at + 1]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     after = lambda n: F.expr(f"bands[(band + {n}) % {BANDS}]")
-    rows = nodes.select("node", "bands", F.posexplode("bands").alias("band", "value")).select("band", "value", after(1).alias("next"), after(2).alias("over"), "node")
+    rows = nodes.select("node", "bands", F.posexplode(F.slice("bands", 1, FIRST)).alias("band", "value")).select("band", "value", after(1).alias("next"), after(2).alias("over"), "node")
     order = ["band", "value", "next", "over", "node"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u long, v long").distinct()
+    pairs = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u long, v long").distinct()
+    return estimated(pairs, nodes)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs u, v whose texts (node, text) are alike."""
+def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs u, v whose nodes' sketches are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = pa.array([alike(shingles(a.as_py()), shingles(b.as_py())) for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
-            yield batch.select(["u", "v"]).filter(near)
+            if batch.num_rows:
+                yield batch.select(["u", "v"]).filter(pa.array(sketches_near(_matrix(batch.column(2)), _matrix(batch.column(3)))))
+
+    first, second = (nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}")) for k in "uv")
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def across_roots(nodes: DataFrame, block: int) -> DataFrame:
+    """All pairs u < v of nodes (node, root, bands, sketch) with an equal band, different roots and near sketches.
+
+    Only buckets that hold several roots are looked at. Of these the members outside the bucket's most frequent root
+    are compared with all members, in units of at most about `block` rows a side, and a unit gives back the near ones only.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        side, node, root = (rows.column(c).to_numpy() for c in ("side", "node", "root"))
+        sketch = _matrix(rows.column("sketch").combine_chunks() if rows.num_rows else pa.array([], pa.binary()))
+        few, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = []
+        for i in few:
+            near = every[sketches_near(sketch[every], sketch[i])]
+            near = near[root[near] != root[i]]
+            found.append((np.full(len(near), node[i]), node[near]))
+        u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+    keys = ["band", "value"]
+    rows = nodes.select("node", "root", F.posexplode("bands").alias("band", "value"))
+    mixed = stage(rows.groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select(*keys, "n"), "mixed-buckets")
+    members = stage(rows.join(mixed, keys).join(nodes.select("node", "sketch"), "node"), "members")
+    main = members.groupBy(*keys, "root").agg(F.count("*").alias("k")).groupBy(*keys).agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    parts = F.ceil(F.col("n") / block).cast("int")
+    members = members.join(main, keys).withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")})
+    other = F.explode(F.expr("sequence(0, parts - 1)"))
+    few = members.where("root != main").select(*keys, F.col("own").alias("i"), other.alias("j"), F.lit(0).alias("side"), "node", "root", "sketch")
+    used = few.select(*keys, "i").distinct()
+    every = members.select(*keys, F.col("own").alias("j"), F.lit(1).alias("side"), "node", "root", "sketch").join(used, keys).select(*few.columns)
+    return few.unionByName(every).groupBy(*keys, "i", "j").applyInArrow(run, "u long, v long").distinct()
+
+
+def of_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows (doc_id, __row and others) joined with keys (doc_id, row and others), where a null id equals another. The keys are
+    counted first: up to `FEW_KEYS` (16 bytes each) they go to the rows, beyond that both are shuffled."""
+    keys = stage(keys.withColumnsRenamed({"doc_id": "__of_id", "row": "__of_row"}), "keys")
+    keys = keys.hint("broadcast" if keys.count() <= FEW_KEYS else "merge")
+    return rows.join(keys, (F.col("__row") == F.col("__of_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__of_id")), how)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those pairs u, v whose texts are alike. `marks`: doc_id, row and node of the documents; only texts of the pairs are read on."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "marks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [alike(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) for pair in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    first = marks.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("row", "doc_id")).alias("x")).select("node", "x.row", "x.doc_id")
+    texts = of_keys(docs.select("doc_id", row_hash(docs).alias("__row"), "text"), first, "inner").select("node", "text")
+    sets = texts.mapInArrow(mark, "node long, marks binary").groupBy("node").agg(F.any_value("marks").alias("marks"))
+    sets = stage(sets, "shingles")
+    left, right = (sets.select(F.col("node").alias(k), F.col("marks").alias(f"m{k}")) for k in "uv")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "mu", "mv").mapInArrow(run, "u long, v long")
 
-    first, second = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")) for k in "uv")
-    return pairs.join(first, "u").join(second, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
+def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, row (its hash), node (equal for equal words) and root (equal for all that similar pairs connect).
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, row (its hash), node (equal for equal words) and root (equal for all that similar pairs connect)."""
+    Neighbours connect most of a large group first; then every bucket that still holds several roots is compared across them.
+    """
     marks = stage(signatures(docs), "signatures")
-    nodes = stage(marks.groupBy("node").agg(F.any_value("bands").alias("bands")), "nodes")
-    edges = roots = None
-    for width in WIDTHS:
-        pairs = candidates(nodes, width)
-        if roots is not None:  # what is connected already need not be compared
-            for k in "uv":
-                pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left").withColumn(f"r{k}", F.coalesce(f"r{k}", k))
-            pairs = pairs.where("ru != rv").select("u", "v")
-        pairs = stage(pairs, "candidates")
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        texts = stage(marks.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
-        found = verified(pairs, texts)
-        edges = stage(found if edges is None else edges.unionByName(found), "similar")
-        roots = components(edges)
-    return marks.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", "node", F.coalesce("root", "node").alias("root"))
+    nodes = stage(marks.where(F.octet_length("sketch") > 0).groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
+    marks = marks.select("doc_id", "row", "node")
+    edges = stage(verified(stage(neighbours(nodes), "candidates"), docs, marks), "similar")
+    roots = components(edges)
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = stage(verified(stage(across_roots(rooted, block), "candidates"), docs, marks), "similar")
+    roots = components(edges.unionByName(more))
+    return marks.join(roots, "node", "left").select("doc_id", "row", "node", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of every group of similar documents: of the least id (null comes last), then of the least hash of its row."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("row").alias("__row")))
-    kept = similar_groups(docs).groupBy("root").agg(least.alias("least")).select("least.__id", "least.__row")
-    rows = docs.withColumn("__of", row_hash(docs))
-    found = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__row")))
-    return found.dropDuplicates(["__id", "__row"]).select(*docs.columns)
+    """One row of every group of similar documents: of the least id (null comes last), then of the least hash of its row.
+
+    Texts stay where they are but for a group whose kept row is repeated: the keys of the rows that go are joined to them.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    groups = stage(similar_groups(docs), "groups")
+    kept = groups.groupBy("root").agg(least).select("least.doc_id", "least.row")
+    same = groups.groupBy("doc_id", "row").agg(F.count("*").alias("n"))
+    marked = stage(same.join(kept.withColumn("kept", F.lit(True)), same["row"].eqNullSafe(kept["row"]) & same["doc_id"].eqNullSafe(kept["doc_id"]), "left")
+                   .select(same["doc_id"], same["row"], "n", F.col("kept").isNotNull().alias("kept")), "kept")
+    rows = docs.withColumn("__row", row_hash(docs))
+    goes, repeated = (marked.where(x).select("doc_id", "row") for x in ("not kept or n > 1", "kept and n > 1"))
+    out = of_keys(rows, goes, "left_anti").select(*docs.columns)
+    if not repeated.limit(1).count():
+        return out
+    once = of_keys(rows, repeated, "left_semi").dropDuplicates(["doc_id", "__row"])
+    return out.unionByName(once.select(*docs.columns))

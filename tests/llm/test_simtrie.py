@@ -147,3 +147,23 @@ def test_keep_one_of_repeated_and_missing_ids(spark):
         assert sorted(((r.doc_id, r.text) for r in got), key=lambda x: x[0] or 0) == want
         assert len({r.u for r in got}) == 3
     assert sorted(r.u for r in keep_one(docs).collect()) == sorted(r.u for r in keep_one(docs.repartition(5)).collect())
+
+
+@pytest.mark.parametrize("first,block,keys", [(6, 1024, 1 << 20), (1, 50, 10)])
+def test_one_large_group_of_near_copies(spark, monkeypatch, first, block, keys):
+    """All of a text's copies share buckets; no link is lost in them, however few neighbours were compared first."""
+    import panelgrid.llm.simtrie as module
+
+    for name, value in (("FIRST", first), ("BLOCK", block), ("FEW_KEYS", keys)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(700):
+        copy = list(words)
+        for _ in range(rng.choice([0, 1, 2, 3, 3, 6, 9])):
+            copy[rng.randrange(120)] = f"x{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame([(*r, i % 3) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    got = [r.doc_id for r in keep_one(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == jaccard_groups(rows) and 1 < len(got) < 700
