@@ -47,6 +47,7 @@ BANDS, ROWS = 30, 5  # min-hash bands: of pairs at the threshold 7 in a million
 AGREE = 95  # of the 150 bytes of two sketches; a pair at the threshold agrees in 120 with a deviation of 4.9
 FIRST = 6  # bands whose neighbours are compared first
 BLOCK = 1024  # rows of one side of a unit in which a bucket is compared across roots
+TEXTS = 256  # texts cut into shingles before these are handed on
 FEW_KEYS = 1 << 20  # keys that are sent to the rows instead of shuffling these
 
 
@@ -249,14 +250,6 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + size]), 7) for i in range(len(words) - size + 1 if words else 0)], np.uint64))
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity of two shingle sets is `SIMILAR` or more."""
-    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILAR * (len(a) + len(b) - both)
-
-
 def row_hash(docs: DataFrame) -> Column:
     """Hash of all columns, the text's among them, but of maps, which have none."""
     return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
@@ -383,21 +376,22 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "marks"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [alike(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) for pair in zip(batch.column(2), batch.column(3))]
-            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                sets = [shingles(t.as_py()).view(np.int64) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "marks"])
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     first = marks.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("row", "doc_id")).alias("x")).select("node", "x.row", "x.doc_id")
     texts = of_keys(docs.select("doc_id", row_hash(docs).alias("__row"), "text"), first, "inner").select("node", "text")
-    sets = texts.mapInArrow(mark, "node long, marks binary").groupBy("node").agg(F.any_value("marks").alias("marks"))
+    sets = texts.mapInArrow(mark, "node long, marks array<long>").groupBy("node").agg(F.any_value("marks").alias("marks"))
     sets = stage(sets, "shingles")
     left, right = (sets.select(F.col("node").alias(k), F.col("marks").alias(f"m{k}")) for k in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "mu", "mv").mapInArrow(run, "u long, v long")
+    both = F.size(F.array_intersect("mu", "mv"))
+    rows = pairs.join(left, "u").join(right, "v").select("u", "v", both.alias("both"), (F.size("mu") + F.size("mv") - both).alias("all"))
+    return rows.where(F.col("both") >= F.col("all") * SIMILAR).select("u", "v")
 
 
 def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
