@@ -26,6 +26,7 @@ no document of the component has one (then it is null); every row is returned, r
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -255,11 +256,19 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
 
 
+def let_go() -> None:
+    """A Python worker that did other stages' tasks before drops what these keep between tasks."""
+    for name, kept in (("langtags", "_MEMOS"), ("pieces", "_ENCODERS")):
+        if module := sys.modules.get(f"panelgrid.llm.{name}"):
+            getattr(module, kept).clear()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, row (a hash of all columns), node (the text's words as a hash), the hash of each of `BANDS` bands of min-hashes, and the
     sketch (the last byte of every min-hash) of every document; without words the sketch is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         rng = np.random.default_rng(11)
         factor, shift = (rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) for _ in range(2))
         factor = factor * np.uint64(2) + np.uint64(1)
