@@ -73,6 +73,11 @@ def _ranged_positions(counts: DataFrame, keys: list[str], value: str, range_valu
         join_keys(counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")), splits, [*keys, "_salt"], "left")
         .select(*keys, value, "cnt", F.when(F.col("_pts").isNull(), 0).otherwise(found).alias("_range"))
     )
+    return _summed_ranges(tagged, keys, value)
+
+
+def _summed_ranges(tagged: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Positions from counts of distinct values that know their `_range`: those of earlier ranges and the local ones before."""
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = (
         tagged.groupBy(*keys, "_range").agg(F.sum("cnt").alias("_in"))
@@ -86,6 +91,23 @@ def _ranged_positions(counts: DataFrame, keys: list[str], value: str, range_valu
     )
 
 
+def value_ranges(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, value, `out`): the range of about `RANGE_VALUES` rows that each distinct value lies in, made once for all subsets of the rows."""
+    places = value_positions(df, keys, value)
+    return places.select(*keys, value, F.floor(F.col("before") / F.lit(RANGE_VALUES)).alias(out))
+
+
+def spearman_in_ranges(df: DataFrame, keys: list[str], x: tuple[str, str], y: tuple[str, str], out: str = "rho") -> DataFrame:
+    """`spearman` of columns that come with their range (column, range column), from `value_ranges` of any rows that hold these."""
+    (x, xr), (y, yr) = x, y
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    for value, at, name in ((x, xr, "_rx"), (y, yr, "_ry")):
+        counts = both.groupBy(*keys, value, F.col(at).alias("_range")).agg(F.count(F.lit(1)).alias("cnt"))
+        places = _summed_ranges(counts, keys, value).select(*keys, value, (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).alias(name))
+        both = join_keys(both, places, [*keys, value])
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), guarded_corr("_rx", "_ry").alias(out))
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, bounded: bool = False) -> DataFrame:
     """Add the 1-based average rank of ``value`` among non-null values of the key group."""
     df, all_keys = _with_keys(df, keys)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelgrid.functions.columns import flip_role, ramp
-from panelgrid.functions.distribution import percentiles, spearman
+from panelgrid.functions.distribution import percentiles, spearman, spearman_in_ranges, value_ranges
 from panelgrid.operators import calibrate as cal
 from panelgrid.operators.identity import resolve_strict
 from panelgrid.operators.reshape import filter_candidates
@@ -259,13 +259,17 @@ def panel_pairs(panels: list[Panel]) -> list[tuple[str, str]]:
 def pair_spearman(layer: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(a, b, n, rho) of requested feature pairs over all entities.
 
-    The few panel features become columns of one entity row; each requested pair is read off it.
+    The few panel features become columns of one entity row; each requested pair is read off it. A feature is cut into ranges of values
+    once, and the ranks in all its pairs are counts of these ranges, so no pair's entities meet in one task.
     """
     features = sorted({f for pair in pairs for f in pair})
-    wide = layer.where(F.col("feature").isin(features)).groupBy("entity").agg(
-        *[F.avg(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features])
-    both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-    return spearman(wide.select(F.inline(both)), ["a", "b"], "x", "y", bounded=True)  # a row for each entity of the spine
+    cells = layer.where(F.col("feature").isin(features)).groupBy("entity", "feature").agg(F.avg("value").alias("value"))
+    cells = stage(cells, "panel-cells")
+    cells = cells.join(value_ranges(cells, ["feature"], "value", "at"), ["feature", "value"])
+    wide = cells.groupBy("entity").agg(*[F.max(F.when(F.col("feature") == f, F.struct("value", "at"))).alias(f) for f in features])
+    both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *(F.col(f)[k].alias(n) for f, names in ((a, ("x", "xr")), (b, ("y", "yr"))) for k, n in zip(("value", "at"), names))) for a, b in pairs])
+    rows = stage(wide.select(F.inline(both)).where("x is not null and y is not null"), "panel-pairs")
+    return spearman_in_ranges(rows, ["a", "b"], ("x", "xr"), ("y", "yr"))
 
 
 def correlation_weights(layer: DataFrame, panels: list[Panel]) -> DataFrame:

@@ -6,16 +6,18 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelgrid.functions.columns import hash_uniform
-from panelgrid.functions.distribution import medians, rank_biserial, value_positions
+from panelgrid.functions.distribution import join_keys, medians, value_positions
 from panelgrid.operators.score import LAYERS, Panel, Scenario
 from panelgrid.session import stage
 
 DIGITS = 9
+TAU_BLOCK, TAU_BLOCKS = 1 << 16, 2048  # positions of a block, and blocks of a ranking at most
 # Bounds of the swept thresholds.
 THRESHOLD_BOUNDS = {"min_group_n": (5, 50), "min_calibration_n": (10, 100), "insufficient_fraction": (0.2, 0.8), "fraction_threshold": (0.5, 0.95), "strong_cutoff": (-1.5, -0.5), "broad_fraction": (0.75, 0.99)}
 FACTORS = [f"weight_{layer}" for layer in LAYERS] + list(THRESHOLD_BOUNDS)
@@ -41,29 +43,74 @@ def rbo(a: DataFrame, b: DataFrame, keys: list[str], p: float = 0.9, k: int = 10
 
 
 def full_ranking(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Position of every scored entity by falling score, then id; a ranking is bounded by the spine of entities."""
+    """Position of every scored entity by falling score, then id, counted over ranges of scores."""
     rows = results.where("D is not null").select(*keys, F.struct((-F.col("D")).alias("d"), F.col("entity").alias("e")).alias("_v"))
-    places = value_positions(rows, keys, "_v", bounded=True)
+    places = value_positions(rows, keys, "_v")
     return places.select(*keys, F.col("_v.e").alias("entity"), (F.col("before") + 1).alias("position"))
 
 
-def kendall_tau(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def inversions(values: np.ndarray) -> int:
+    """Number of pairs of distinct values in falling order, by splitting them bit by bit from the highest down."""
+    order = np.empty(len(values), np.int64)
+    order[np.argsort(values, kind="stable")] = np.arange(len(values))
+    total = 0
+    for bit in reversed(range(max(len(values) - 1, 0).bit_length())):
+        one = (order >> bit) & 1
+        prefix = order >> (bit + 1)
+        ones = np.cumsum(one)
+        start = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+        before = ones - np.repeat((ones - one)[start], np.diff(np.append(start, len(order))))
+        total += int(before[one == 0].sum())
+        order = order[np.argsort(order >> bit, kind="stable")]
+    return total
+
+
+def crossing(counts: np.ndarray) -> int:
+    """Pairs of items in an earlier row and a later column of a matrix of counts than another."""
+    above = np.cumsum(counts, axis=0) - counts
+    after = above.sum(1, keepdims=True) - np.cumsum(above, axis=1)
+    return int((counts * after).sum())
+
+
+def kendall_tau(a: DataFrame, b: DataFrame, keys: list[str], block: int = TAU_BLOCK, most: int = TAU_BLOCKS) -> DataFrame:
     """Kendall's tau of two rankings without ties, over common items. Rankings are (keys, entity, position).
 
-    Pairs are not formed. Split the items by the bits of their second position: two items in
-    opposite order first differ at one bit, inside one common prefix. There the items with a 0
-    should come before those with a 1, so the inversions of that prefix are a U statistic, which
-    ranks give. Work is rows x bits.
+    Inversions are counted by merging blocks of positions. Both rankings are cut into blocks of `block` positions (more where there would be
+    over `most` blocks). A pair of items lies in different blocks of both: the matrix of counts, blocks x blocks, gives these. Or in one block of the
+    first or of the second ranking: a task holds such a block and counts its inversions, and those of both kinds at once are taken off again.
+    So an item is sent to two tasks, and none holds a whole ranking.
     """
     both = a.select(*keys, "entity", F.col("position").alias("_a")).join(b.select(*keys, "entity", F.col("position").alias("_b")), [*keys, "entity"])
-    bits = both.agg(F.coalesce(F.length(F.bin(F.max("_b"))), F.lit(1))).scalar()
-    levels = both.select(*keys, "_a", F.col("_b"), F.explode(F.sequence(F.lit(0), bits - 1)).alias("_level"))
-    marked = levels.withColumn("_prefix", F.expr("shiftright(_b, _level + 1)")).withColumn("_zero", F.expr("shiftright(_b, _level) % 2 = 0"))
-    u = rank_biserial(marked, [*keys, "_level", "_prefix"], "_a", "_zero", bounded=True).where("n_first > 0 and n_second > 0")
-    inversions = u.groupBy(*keys).agg(F.sum("u").alias("_inv"))
-    n = both.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    both = stage(both, "rankings")
+    n = both.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), F.greatest(F.max("_a"), F.max("_b")).alias("_last"))
+    n = n.withColumn("_size", F.greatest(F.lit(block), F.ceil(F.col("_last") / most)))
+    cut = join_keys(both, n.select(*keys, "_last", "_size"), keys).select(
+        *keys, "_a", "_b", *(F.floor((F.col(c) - 1) / F.col("_size")).alias(f"{c}n") for c in ("_a", "_b")), (F.col("_last") > F.col("_size")).alias("_many"))
+    sides = F.when(F.col("_many"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = cut.withColumn("_side", F.explode(sides)).withColumn("_block", F.when(F.col("_side") == 0, F.col("_an")).otherwise(F.col("_bn")))
+
+    def within(table: pa.Table) -> pa.Table:
+        first, second, other = (table.column(c).to_numpy() for c in ("_a", "_b", "_bn"))
+        order = np.argsort(first)
+        found = inversions(second[order])
+        if table.column("_side")[0].as_py() == 0 and table.column("_many")[0].as_py():  # pairs of one block in both rankings are also counted on the other side
+            order = order[np.argsort(other[order], kind="stable")]
+            cells = np.split(second[order], np.flatnonzero(np.diff(other[order])) + 1)
+            found -= sum(inversions(c) for c in cells)
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "_inv": pa.array([found], pa.int64())})
+
+    def between(table: pa.Table) -> pa.Table:
+        at = [table.column(c).to_numpy().astype(np.int64) for c in ("_an", "_bn")]
+        counts = np.zeros([int(x.max()) + 1 for x in at], np.int64)
+        counts[at[0], at[1]] = table.column("_n").to_numpy()
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "_inv": pa.array([crossing(counts)], pa.int64())})
+
+    schema = ", ".join([*(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in keys), "_inv long"])
+    local = rows.groupBy(*keys, "_side", "_block").applyInArrow(within, schema)
+    matrix = cut.where("_many").groupBy(*keys, "_an", "_bn").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).applyInArrow(between, schema)
+    total = local.unionByName(matrix).groupBy(*keys).agg(F.sum("_inv").cast("double").alias("_inv"))
     tau = 1.0 - F.try_divide(4.0 * F.coalesce("_inv", F.lit(0.0)), F.col("n") * (F.col("n") - 1))
-    return n.join(inversions, keys, "left").select(*keys, F.col("n").cast("bigint").alias("n"), F.round(tau, DIGITS).alias("tau"))
+    return join_keys(n, total, keys, "left").select(*keys, F.col("n").cast("bigint").alias("n"), F.round(tau, DIGITS).alias("tau"))
 
 
 def membership_change(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
