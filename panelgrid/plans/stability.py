@@ -142,8 +142,8 @@ def _(b):
 @query("i8_resume", f"""WITH {design_sql(BATTERY, DIRICHLET[:2])} SELECT d.scenario_id, (SELECT count(*) FROM mean) AS n_done FROM (SELECT unnest([{', '.join(repr(s.scenario_id) for s in DIRICHLET)}]) AS scenario_id) d WHERE d.scenario_id NOT IN (SELECT scenario_id FROM mean)""")
 def _(b):
     path = sinks.scratch_path(b.spark, "sweep")
-    op.sweep_means(run_design(b, BATTERY, DIRICHLET[:2])).write.mode("append").parquet(path)
-    done = b.spark.read.parquet(path)
+    sinks.commit_parts(op.sweep_means(run_design(b, BATTERY, DIRICHLET[:2])), path, "scenario_id")
+    done = sinks.finished_parts(b.spark, path, "scenario_id")
     design = small_frame(b.spark, [(s.scenario_id,) for s in DIRICHLET], "scenario_id string")
     return op.unfinished(design, done).withColumn("n_done", done.agg(F.count(F.lit(1)).alias("n")).scalar())
 
