@@ -68,9 +68,9 @@ class Memo(dict):
     """Segment -> packed ids. Short segments are kept in two generations: when the younger is full it becomes the elder, and
     what is asked for again moves back to the younger, so frequent segments stay."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = MEMO_SEGMENTS):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
         self.elder: dict[str, bytes] = {}
 
     def __missing__(self, segment: str) -> bytes:
@@ -78,7 +78,7 @@ class Memo(dict):
         if packed is None:
             packed = self.encode(segment)
         if len(segment) <= MEMO_CHARS:
-            if len(self) >= MEMO_SEGMENTS:
+            if len(self) >= self.most:
                 self.elder = dict(self)
                 self.clear()
             self[segment] = packed
@@ -86,7 +86,7 @@ class Memo(dict):
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, most: int = MEMO_SEGMENTS):
         self.v = vocabulary
         normal = [i for i, k in enumerate(vocabulary.kinds) if k == "n"]
         self.rank = {vocabulary.pieces[i]: -vocabulary.scores[i] for i in normal}
@@ -104,7 +104,7 @@ class Encoder:
             self.shorter[self.ids[piece]] = -1 if prefix is None else self.ids[prefix]
         self.pairs: dict[int, bool] = {}
         self.chars = {p for p in self.ids if len(p) == 1}
-        self.words = Memo(lambda word: self.encode_segment(SPACE + word))
+        self.words = Memo(lambda word: self.encode_segment(SPACE + word), most)
         self.parts = Memo(lambda part: array("I", self.encode_known(part)).tobytes())  # what stands between characters without a piece
         self.surfaces = [b"" if k == "c" else bytes([int(p[3:5], 16)]) if k == "b" else p.replace(SPACE, " ").encode() for p, k in zip(vocabulary.pieces, vocabulary.kinds)]
 
@@ -206,7 +206,7 @@ def _encoder(broadcast) -> Encoder:
     """One encoder for each worker process and vocabulary; its memo lasts over tasks."""
     if broadcast.id_key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[broadcast.id_key] = Encoder(broadcast.vocabulary.value)
+        _ENCODERS[broadcast.id_key] = Encoder(broadcast.vocabulary.value, broadcast.most)
     return _ENCODERS[broadcast.id_key]
 
 
@@ -214,18 +214,20 @@ def _encoder(broadcast) -> Encoder:
 class _Shared:
     vocabulary: object
     id_key: str
+    most: int
 
 
-def encode_texts(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, most: int = MEMO_SEGMENTS) -> DataFrame:
     """Columns `keep`, then ids (packed little-endian 32-bit, with begin and end) and decoded (the text of these ids).
 
     The vocabulary (one file of fixed size) is read by the driver and broadcast; each batch is encoded where it lies.
+    `most`: segments of a generation of a worker's memo, which changes its memory but no result.
     """
     keep = ["doc_id"] if keep is None else keep
     vocabulary = Vocabulary.load(model_path)
     with open(model_path, "rb") as file:
-        key = hashlib.sha256(file.read()).hexdigest()
-    shared = _Shared(docs.sparkSession.sparkContext.broadcast(vocabulary), key)
+        key = f"{hashlib.sha256(file.read()).hexdigest()}-{most}"
+    shared = _Shared(docs.sparkSession.sparkContext.broadcast(vocabulary), key, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
@@ -241,9 +243,9 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", keep: lis
     return rows.mapInArrow(run, f"{fields}, ids binary, decoded string")
 
 
-def token_digests(docs: DataFrame, model_path: str) -> DataFrame:
+def token_digests(docs: DataFrame, model_path: str, most: int = MEMO_SEGMENTS) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encode_texts(docs, model_path).select(
+    return encode_texts(docs, model_path, most=most).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
