@@ -5,13 +5,18 @@ and itself (the lexicon), each looked up by hash in a table of fixed size. A lin
 the languages of neighbouring words are learned too. Forward-backward gives each word's language probabilities, so a
 line may switch language midway. The document's language has the largest mean probability over the words, each
 weighted by its letters; the score is that mean. The certainty is the mean probability of each word's own best
-language: a text of two languages has a low score but a high certainty, a text of none has a low certainty.
+language: a text of two languages has a low score but a high certainty.
+
+Neither tells a text of a language that was not learned, as the probabilities are shared among the learned ones only.
+The evidence does: the log likelihood of the words' letters under smoothed frequencies of letter trigrams, in each
+language by the word's probability of it, less that of a background which charges every letter the entropy of the sample's
+letters. It is a sum over the text in nats, so that few words weigh little: below zero the background explains it better.
 
 Fitting: at most `per_language` labelled documents of each language, of at most `fit_chars` characters, taken in an
 order of hashed ids, and at most `fit_lines` lines of them in all, are read by the driver. Lines of different languages
 are joined now and then, so that switches are seen. Tagging reads every text whole.
 
-Defined cases: a null text, or one without a letter, has language `und`, score and certainty 0; equal scores go to the language
+Defined cases: a null text, or one without a letter, has language `und`, score, certainty and evidence 0; equal scores go to the language
 that is first in the alphabet; without any labelled document every text is `und`; words of any length are used whole;
 repeated rows are tagged alike; columns other than those named are not read.
 """
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 CELLS = 1 << 16  # weights for each language in each of the two tables
+TRIGRAM_PRIOR = 0.1  # added to the count of every trigram cell
 MEMO_WORDS = 400_000  # distinct words kept by a task before its memo starts anew
 BATCH_CHARS = 1_500_000  # texts tagged together
 
@@ -47,7 +53,8 @@ def hashed(codes: np.ndarray, salt: int) -> np.ndarray:
 def word_features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For the words of each length: their positions, and a matrix of the cells of their features.
 
-    Cells under CELLS are affixes and n-grams, those above are the lexicon.
+    Cells under CELLS are affixes and n-grams, those above are the lexicon. The lexicon is the last column; before it
+    come the trigrams, one around each letter.
     """
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     for size in np.unique(sizes):
@@ -69,6 +76,7 @@ class Tagger:
     weights: np.ndarray  # 2 * CELLS x languages
     start: np.ndarray
     step: np.ndarray  # from x to
+    fits: np.ndarray  # CELLS x languages: evidence of the letter in the middle of a trigram, in nats
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)), np.float32)
@@ -79,6 +87,29 @@ class Tagger:
             out[at] = total
         return out
 
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Of each word for each language, against the background."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        for at, cells in word_features(words):
+            for k in range(len(words[at[0]])):
+                out[at] += self.fits[cells[:, -2 - k]]
+        return out
+
+
+def trigram_fits(words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Evidence by trigram cell and language, from distinct words and how often each occurs in each language."""
+    cell_counts = np.full((CELLS, counts.shape[1]), TRIGRAM_PRIOR)
+    for at, cells in word_features(words):
+        for k in range(len(words[at[0]])):
+            np.add.at(cell_counts, cells[:, -2 - k], counts[at])
+    letters: dict[str, float] = {}
+    for word, n in zip(words, counts.sum(1)):
+        for letter in word:
+            letters[letter] = letters.get(letter, 0.0) + n
+    share = np.array(list(letters.values())) / sum(letters.values())
+    entropy = -(share * np.log(share)).sum()
+    return ((np.log(cell_counts / cell_counts.sum(0)) + 3 * entropy) / 3).astype(np.float32)  # a letter is in three trigrams
+
 
 def time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Deal the words of sequences out by their place: the running sequences of each step, the first row of each step,
@@ -142,9 +173,10 @@ def fit(lines: list[tuple[str, str]], rounds: int = 40, switch: int = 4, rate: f
             lengths.append(len(words))
     k = len(languages)
     words, at, gold, sizes = list(vocabulary), np.array(ids, np.int64), np.array(truth, np.int64), np.array(lengths, np.int64)
-    tagger = Tagger(languages, np.zeros((2 * CELLS, k), np.float32), np.zeros(k), np.zeros((k, k)))
+    tagger = Tagger(languages, np.zeros((2 * CELLS, k), np.float32), np.zeros(k), np.zeros((k, k)), np.zeros((CELLS, k), np.float32))
     if not len(at):
         return tagger
+    tagger.fits = trigram_fits(words, np.stack([np.bincount(at[gold == j], minlength=len(words)) for j in range(k)], 1))
     features = list(word_features(words))
     inside = np.ones(len(at), bool)
     begins = np.cumsum(sizes) - sizes
@@ -172,12 +204,12 @@ def fit(lines: list[tuple[str, str]], rounds: int = 40, switch: int = 4, rate: f
 
 
 class Memo(dict):
-    """Word -> row of the emission scores; rows of new words are scored together."""
+    """Word -> row of the emission scores and the evidence; rows of new words are scored together."""
 
     def __init__(self, tagger: Tagger):
         super().__init__()
         self.tagger = tagger
-        self.rows = np.zeros((0, len(tagger.languages)), np.float32)
+        self.rows = np.zeros((0, 2 * len(tagger.languages)), np.float32)
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -191,13 +223,18 @@ class Memo(dict):
             self.rows = self.rows[:0]
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
-            self.rows = np.concatenate([self.rows, self.tagger.emissions(self.new)])
+            self.rows = np.concatenate([self.rows, np.hstack([self.tagger.emissions(self.new), self.tagger.evidence(self.new)])])
             self.new = []
         return self.rows[ids]
 
 
 def tag_texts(memo: Memo, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
     """Language, score and certainty of each text."""
+    return measured_texts(memo, texts)[:3]
+
+
+def measured_texts(memo: Memo, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[float]]:
+    """Language, score, certainty and evidence of each text."""
     tagger = memo.tagger
     words: list[str] = []
     lengths: list[int] = []
@@ -211,20 +248,24 @@ def tag_texts(memo: Memo, texts: list[str | None]) -> tuple[list[str], list[floa
                 words += found
                 lengths.append(len(found))
                 owner.append(i)
-    names, scores, certain = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    names, scores, certain, evidence = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if not words or not tagger.languages:
-        return names, scores, certain
+        return names, scores, certain, evidence
     sizes = np.array(lengths, np.int64)
-    posterior, _, _ = forward_backward(memo.scores(words), sizes, tagger.start, tagger.step)
+    k = len(tagger.languages)
+    rows = memo.scores(words)
+    posterior, _, _ = forward_backward(np.ascontiguousarray(rows[:, :k]), sizes, tagger.start, tagger.step)
     of = np.repeat(np.array(owner, np.int64), sizes)
     letters = np.fromiter(map(len, words), np.float64, len(words))
     total = np.bincount(of, letters, len(texts))
     share = np.stack([np.bincount(of, letters * posterior[:, j], len(texts)) for j in range(len(tagger.languages))], 1)
     clear = np.bincount(of, letters * posterior.max(1), len(texts))
+    fit_of = np.bincount(of, (posterior * rows[:, k:]).sum(1), len(texts))
     for i in np.flatnonzero(total):
         best = int(share[i].argmax())
         names[i], scores[i], certain[i] = tagger.languages[best], float(min(1.0, share[i, best] / total[i])), float(min(1.0, clear[i] / total[i]))
-    return names, scores, certain
+        evidence[i] = float(fit_of[i])
+    return names, scores, certain, evidence
 
 
 def fit_sample(docs: DataFrame, language: Column, may_learn: Column, per_language: int = 150, fit_chars: int = 4000, fit_lines: int = 4000) -> list[tuple[str, str]]:
@@ -242,7 +283,7 @@ _MEMOS: dict[str, Memo] = {}
 
 
 def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
-    """Columns `keep`, then lang_pred, score and certainty, their names led by `prefix`. The tagger's tables have a fixed size and are broadcast."""
+    """Columns `keep`, then lang_pred, score, certainty and evidence, their names led by `prefix`. The tagger's tables have a fixed size and are broadcast."""
     shared, key = docs.sparkSession.sparkContext.broadcast(tagger), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,21 +293,21 @@ def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str =
         memo = _MEMOS[key]
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            found: tuple[list, list, list] = ([], [], [])
+            found: tuple[list, list, list, list] = ([], [], [], [])
             at = 0
             while at < len(texts):
                 end, chars = at, 0
                 while end < len(texts) and (end == at or chars < BATCH_CHARS):
                     chars += len(texts[end] or "")
                     end += 1
-                for column, part in zip(found, tag_texts(memo, texts[at:end])):
+                for column, part in zip(found, measured_texts(memo, texts[at:end])):
                     column += part
                 at = end
             columns = [pa.array(found[0], pa.string()), *(pa.array(x, pa.float64()) for x in found[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *(f"{prefix}{n}" for n in ("lang_pred", "score", "certainty"))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *(f"{prefix}{n}" for n in ("lang_pred", "score", "certainty", "evidence"))])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}certainty` double")
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}certainty` double, `{prefix}evidence` double")
 
 
 def held_out() -> Column:

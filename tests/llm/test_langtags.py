@@ -1,11 +1,13 @@
 """Posteriors against enumeration, held-out accuracy, switches within a line, and odd rows."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from panelgrid.llm.langtags import Memo, fit, forward_backward, identify, tag_texts
+from panelgrid.llm.langtags import Memo, fit, fit_sample, forward_backward, identify, measured_texts, tag_texts
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,6 +54,42 @@ def test_switch_within_a_line():
     assert names == ["en", "en"] and 0.4 < scores[0] < 0.8 < scores[1] and min(certain) > 0.8
 
 
+UNLEARNED = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. Są obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+}
+
+
+def letter_salad() -> str:
+    rng = random.Random(5)
+    return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60))
+
+
+def test_evidence_against_unlearned_languages(spark):
+    """Texts of other languages and letter salad fall far below what any held-out text has; copies of a text add up."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    memo = Memo(fit(fit_sample(docs, F.col("lang"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)))
+    held = [r.text for r in docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).select("text").collect()]
+    assert len(held) > 150 and min(measured_texts(memo, held)[3]) > -10
+    for text in (*UNLEARNED.values(), letter_salad()):
+        once, twice, none = measured_texts(memo, [text, f"{text}\n{text}", None])[3]
+        assert once < -30 and abs(twice - 2 * once) < 0.2 * abs(once) and none == 0
+
+
+def test_evidence_equals_a_plain_count():
+    lines = [("aba ab", "x"), ("bcb", "y")]
+    memo = Memo(fit(lines))
+    share = np.array([3, 4, 1]) / 8  # a, b, c
+    entropy = -(share * np.log(share)).sum()
+    for j, (name, grams) in enumerate([("x", ["\0ab", "aba", "ba\1", "\0ab", "ab\1"]), ("y", ["\0bc", "bcb", "cb\1"])]):
+        total = len(grams) + 0.1 * 65536
+        want = sum((np.log((grams.count(g) + 0.1) / total) + 3 * entropy) / 3 for g in ("\0ab", "aba", "ba\1"))
+        assert memo.tagger.languages[j] == name and memo.tagger.evidence(["aba"])[0, j] == pytest.approx(want, rel=1e-4)
+
+
 def test_odd_rows(spark):
     rows = [(1, "the cat and the dog", "en", "x"), (2, "le chat et le chien", "fr", "x"), (None, "the dog", "en", "x"), (4, None, "en", "x"), (5, "", None, "x"), (6, "123 ²½ ...", "fr", "x"), (7, "日本語", None, "x"), (8, "a" * 100000 + " the the", None, "x"), (9, "the cat", None, "x"), (9, "the cat", None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
