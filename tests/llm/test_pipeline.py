@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipeline
 from panelgrid.llm import pii
 from panelgrid.session import clear_staged, stage
+from tests.llm.test_langtags import UNLEARNED, letter_salad
 from tests.llm.test_simtrie import jaccard_groups
 
 SF = "/root/testdata/sf0.01"
@@ -38,6 +39,17 @@ def test_language_rejects_little(frames):
     assert all(after[r.doc_id].text == r.text for r in before if r.doc_id in after)
 
 
+def test_language_rejects_unlearned_texts(spark, frames):
+    """Planted texts of five other languages and letter salad go, in any number of copies; planted texts of the corpus stay."""
+    columns = frames[0].columns
+    planted = [*UNLEARNED.values(), letter_salad()]
+    rows = [dict(doc_id=-1 - i, text="\n".join([t] * (1 + i % 3)), lang=None, source="src0", n_chars=len(t)) for i, t in enumerate(planted)]
+    rows += [dict(doc_id=-100 - i, text=t, lang=None, source="src0", n_chars=len(t)) for i, t in enumerate(r.text for r in frames[0].where("lang is not null").orderBy("doc_id").limit(40).collect())]
+    extra = spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], frames[0].schema)
+    kept = dict(pipeline.STAGES)["language"](spark, frames[0].unionByName(extra), SF)
+    assert sorted(r.doc_id for r in kept.where("doc_id < 0").select("doc_id").collect()) == [-100 - i for i in reversed(range(40))]
+
+
 def test_one_of_each_group_stays(frames):
     """Of documents that five-word shingles with a Jaccard similarity of 0.8 or more connect, the one with the least id."""
     want = jaccard_groups([(r.doc_id, r.text) for r in frames[1].select("doc_id", "text").collect()])
