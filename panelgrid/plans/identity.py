@@ -192,9 +192,12 @@ def _(b):
     return op.dedupe_median(b("li"), ["entity", "feature"], "l_extendedprice").withColumn("l_extendedprice", F.round("l_extendedprice", 6))
 
 
-C17 = """f AS (SELECT DISTINCT p_brand AS symbol, CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN 'Oncogene' ELSE 'TSG' END AS cls FROM part WHERE p_size = 7),
-    s AS (SELECT p_brand AS symbol, CASE WHEN p_size <= 4 THEN 'official' ELSE 'rescued' END AS decision, CASE WHEN p_type = 'PROMO' THEN 'PANCAN' ELSE p_type END AS cancer,
-      CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'tsg' WHEN p_type = 'LARGE' THEN 'possible oncogene' WHEN p_type = 'MEDIUM' THEN 'oncogene' ELSE 'other' END AS func FROM part WHERE p_size <= 5),
+# Rows of part with an odd size are the first source, all others the second. The brand's number n decides whether its votes agree.
+C17 = """n AS (SELECT p_brand AS symbol, CAST(substr(p_brand, 7) AS INT) AS n, p_type, p_size FROM part),
+    f AS (SELECT DISTINCT symbol, CASE WHEN n % 2 = 0 THEN 'Oncogene' ELSE 'TSG' END AS cls FROM n WHERE p_size % 2 = 1),
+    s AS (SELECT symbol, CASE WHEN n % 4 = 0 OR (n % 4 = 1 AND p_type <> 'PROMO') THEN 'official' ELSE 'rescued' END AS decision, CASE WHEN p_type = 'PROMO' THEN 'PANCAN' ELSE p_type END AS cancer,
+      CASE WHEN p_type = 'PROMO' AND n % 4 = 3 THEN CASE WHEN p_size % 4 = 0 THEN 'tsg' ELSE 'oncogene' END WHEN p_type = 'PROMO' THEN CASE WHEN n % 5 < 2 THEN 'oncogene' ELSE 'tsg' END
+        WHEN n % 3 = 0 OR p_type = 'LARGE' THEN 'possible oncogene' WHEN p_type = 'SMALL' THEN 'tsg' WHEN p_type = 'MEDIUM' THEN 'oncogene' ELSE 'other' END AS func FROM n WHERE p_size % 2 = 0),
     m AS (SELECT *, CASE WHEN func = 'tsg' THEN 'tumour_suppressor' WHEN func LIKE '%oncogene' THEN 'oncogene' END AS c FROM s),
     pool AS (SELECT m.* FROM m JOIN (SELECT symbol, bool_or(decision = 'official') AS ho FROM m GROUP BY symbol) h ON m.symbol = h.symbol WHERE NOT h.ho OR m.decision = 'official'),
     v AS (SELECT symbol, CASE WHEN count(DISTINCT CASE WHEN cancer = 'PANCAN' THEN c END) = 1 THEN min(CASE WHEN cancer = 'PANCAN' THEN c END)
@@ -205,34 +208,42 @@ C17 = """f AS (SELECT DISTINCT p_brand AS symbol, CASE WHEN CAST(substr(p_brand,
     FROM f FULL JOIN v ON f.symbol = v.symbol JOIN (SELECT symbol, min(feature) AS feature FROM features GROUP BY symbol HAVING count(DISTINCT feature) = 1) u ON u.symbol = coalesce(f.symbol, v.symbol)
     WHERE coalesce(v.c2, f.cls) IS NOT NULL""")
 def _(b):
-    p = b("part")
-    first = p.where("p_size = 7").select(F.col("p_brand").alias("symbol"), F.when(F.substr("p_brand", F.lit(7)).cast("int") % 2 == 0, "Oncogene").otherwise("TSG").alias("classification"))
-    t = F.col("p_type")
-    second_src = p.where("p_size <= 5").select(
-        F.col("p_brand").alias("symbol"), F.when(F.col("p_size") <= 4, "official").otherwise("rescued").alias("decision"),
+    p = b("part").select(F.col("p_brand").alias("symbol"), F.substr("p_brand", F.lit(7)).cast("int").alias("n"), "p_type", "p_size")
+    first = p.where("p_size % 2 = 1").select("symbol", F.when(F.col("n") % 2 == 0, "Oncogene").otherwise("TSG").alias("classification"))
+    n, t = F.col("n"), F.col("p_type")
+    pan = F.when(n % 4 == 3, F.when(F.col("p_size") % 4 == 0, "tsg").otherwise("oncogene")).otherwise(F.when(n % 5 < 2, "oncogene").otherwise("tsg"))
+    second_src = p.where("p_size % 2 = 0").select(
+        "symbol", F.when((n % 4 == 0) | ((n % 4 == 1) & (t != "PROMO")), "official").otherwise("rescued").alias("decision"),
         F.when(t == "PROMO", "PANCAN").otherwise(t).alias("cancer"),
-        F.when(t.isin("PROMO", "SMALL"), "tsg").when(t == "LARGE", "possible oncogene").when(t == "MEDIUM", "oncogene").otherwise("other").alias("function"))
+        F.when(t == "PROMO", pan).when((n % 3 == 0) | (t == "LARGE"), "possible oncogene").when(t == "SMALL", "tsg").when(t == "MEDIUM", "oncogene").otherwise("other").alias("function"))
     return op.consensus_role(first, second_src, b("features"))
 
 
 @query("c18_feature_master", """
-    WITH hd AS (SELECT DISTINCT p_brand AS symbol, 'F' || lpad(substr(p_brand, 7), 2, '0') AS feature, p_type, p_size FROM part),
-    e AS (SELECT feature, min(symbol || ' (' || feature || ')') AS c FROM hd WHERE p_size = 3 GROUP BY feature),
-    d AS (SELECT upper(symbol) AS symbol, min(symbol || ' (x)') AS c FROM hd WHERE p_size IN (4, 5) GROUP BY upper(symbol)),
-    k AS (SELECT feature, min(symbol || ' [cn]') AS c FROM hd WHERE p_type = 'PROMO' AND p_size < 10 GROUP BY feature)
+    WITH n AS (SELECT p_brand AS symbol, 'F' || lpad(substr(p_brand, 7), 2, '0') AS feature, CAST(substr(p_brand, 7) AS INT) % 4 AS k, p_type, p_size FROM part),
+    hd AS (SELECT DISTINCT symbol, feature, symbol || ' (' || p_type || p_size || ')' AS c, CASE WHEN k = 0 OR (k = 1 AND p_size % 2 = 0) OR (k = 2 AND p_size % 3 = 0) THEN 'expression'
+      WHEN k = 1 OR (k = 2 AND p_size % 3 = 1) OR (k = 3 AND p_size % 2 = 0) THEN 'effect' ELSE 'copy_number' END AS layer FROM n),
+    e AS (SELECT feature, min(c) AS c FROM hd WHERE layer = 'expression' GROUP BY feature),
+    d AS (SELECT upper(symbol) AS symbol, min(c) AS c FROM hd WHERE layer = 'effect' GROUP BY upper(symbol)),
+    k AS (SELECT feature, min(c) AS c FROM hd WHERE layer = 'copy_number' GROUP BY feature)
     SELECT f.feature, f.symbol, e.c AS expression_column, d.c AS effect_column, k.c AS copy_number_column,
       CASE WHEN e.c IS NULL THEN 0 ELSE 1 END AS has_expression, CASE WHEN d.c IS NULL THEN 0 ELSE 1 END AS has_effect, CASE WHEN k.c IS NULL THEN 0 ELSE 1 END AS has_copy_number,
       CASE WHEN f.feature IN (SELECT feature FROM mutations) THEN 1 ELSE 0 END AS has_mutation, CASE WHEN f.feature IN (SELECT feature FROM mutations WHERE is_driver AND is_hotspot AND l_linenumber = 7) THEN 1 ELSE 0 END AS has_broad,
       CASE WHEN d.c IS NOT NULL AND (e.c IS NOT NULL OR k.c IS NOT NULL) THEN 1 ELSE 0 END AS eligible_core
     FROM features f LEFT JOIN e ON e.feature = f.feature LEFT JOIN d ON d.symbol = upper(f.symbol) LEFT JOIN k ON k.feature = f.feature""")
 def _(b):
-    hd = b("part").select(F.col("p_brand").alias("symbol"), F.concat(F.lit("F"), F.lpad(F.substr("p_brand", F.lit(7)), 2, "0")).alias("feature"), "p_type", "p_size").distinct()
+    number, k, size = F.substr("p_brand", F.lit(7)), F.substr("p_brand", F.lit(7)).cast("int") % 4, F.col("p_size")
+    layer = (F.when((k == 0) | ((k == 1) & (size % 2 == 0)) | ((k == 2) & (size % 3 == 0)), "expression")
+             .when((k == 1) | ((k == 2) & (size % 3 == 1)) | ((k == 3) & (size % 2 == 0)), "effect").otherwise("copy_number"))
+    hd = b("part").select(
+        F.col("p_brand").alias("symbol"), F.concat(F.lit("F"), F.lpad(number, 2, "0")).alias("feature"),
+        F.concat("p_brand", F.lit(" ("), "p_type", "p_size", F.lit(")")).alias("column_name"), layer.alias("layer")).distinct()
     none = F.lit(None).cast("string")
     nosym = F.lit("none")
     heads = {
-        "expression": hd.where("p_size = 3").select(F.concat("symbol", F.lit(" ("), "feature", F.lit(")")).alias("column_name"), nosym.alias("symbol"), "feature"),
-        "effect": hd.where("p_size in (4, 5)").select(F.concat("symbol", F.lit(" (x)")).alias("column_name"), "symbol", none.alias("feature")),
-        "copy_number": hd.where("p_type = 'PROMO' and p_size < 10").select(F.concat("symbol", F.lit(" [cn]")).alias("column_name"), nosym.alias("symbol"), "feature"),
+        "expression": hd.where("layer = 'expression'").select("column_name", nosym.alias("symbol"), "feature"),
+        "effect": hd.where("layer = 'effect'").select("column_name", "symbol", none.alias("feature")),
+        "copy_number": hd.where("layer = 'copy_number'").select("column_name", nosym.alias("symbol"), "feature"),
     }
     m = b("mutations")
     return op.build_feature_master(b("features").select("feature", "symbol"), heads, {"mutation": m}, m.where("is_driver and is_hotspot and l_linenumber = 7"))
