@@ -31,6 +31,7 @@ def plain(rows, targets):
         return out
 
     models = totals(lambda c: c), totals(lambda c: True)
+    vocabulary = len(models[1][0])
     out = {}
     for (key, _, _), (chosen, word, before, pair) in zip(rows, seqs):
         losses = []
@@ -41,7 +42,7 @@ def plain(rows, targets):
             n = sum(w1.values()) - sum(own[0].values())
             loss = 0.0
             for w, b, p in zip(word, before, pair):
-                single = (w1[w] - own[0][w] + 1) / (n + crossent.WORD_CELLS)
+                single = (w1[w] - own[0][w] + 1) / (n + vocabulary)
                 loss -= math.log((p2[p] - own[2][p] + crossent.PRIOR * single) / (b1[b] - own[1][b] + crossent.PRIOR))
             losses.append(loss / len(word) if word else None)
         out[key] = len(word), *losses
@@ -95,7 +96,7 @@ def test_no_word_or_pair_shares_a_count(spark, monkeypatch):
             w = texts[i].split()
             words.update(w), before.update(["", *w[:-1]]), pairs.update(zip(["", *w[:-1]], w))
         models.append((words, before, pairs))
-    vocabulary = max(crossent.WORD_CELLS, len(models[1][0]))
+    vocabulary = len(models[1][0])
     assert vocabulary > 1 << 16 and len(models[1][2]) > 1 << 17
     got = {r.doc_id: r for r in score_corpus(docs, labels).collect()}
     for i in range(0, 500, 7):
