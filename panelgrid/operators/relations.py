@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from panelgrid.functions.columns import explicit_true, hash_uniform, sign
 from panelgrid.functions.distribution import (
-    average_ranks, group_residual, guarded_corr, medians, percentiles, rank_biserial, spearman, value_positions,
+    average_ranks, group_residual, guarded_corr, medians, percentiles, rank_biserial, spearman,
 )
 from panelgrid.operators import resample
 from panelgrid.session import small_frame, stage
@@ -147,7 +147,7 @@ def bootstrap_draws(rows: DataFrame, keys: list[str], strata: list[str], values:
     replicates x rows, spread over (stratum, position) keys; no stratum is gathered in one task.
     """
     group = [*keys, *strata]
-    order = stage(number_rows(rows.select(*group, "entity", *values), group, [*values, "entity"]), "numbered")
+    order = stage(resample.number_rows(rows.select(*group, "entity", *values), group, [*values, "entity"]), "numbered")
     sizes = order.groupBy(*group).agg(F.max("_pos").alias("_n"))
     slots = order.join(sizes, group).select(*group, "_pos", "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     drawn = F.floor(hash_uniform(seed, *group, "replicate", "_pos") * F.col("_n")) + 1
@@ -155,74 +155,24 @@ def bootstrap_draws(rows: DataFrame, keys: list[str], strata: list[str], values:
     return counts.join(order.drop("entity"), [*group, "_pos"]).drop("_pos")
 
 
-def number_rows(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Exact 1-based position of each row inside its group, as `_pos`.
-
-    Groups are cut into hash buckets by entity; rows are numbered inside (group, bucket) and the
-    sizes of earlier buckets are added, so a group of any size is numbered in parallel. The order
-    is by bucket, then by the given columns: fixed for the same rows.
-    """
-    bucketed = rows.withColumn("_b", F.substring(F.md5(F.col("entity").cast("string")), 1, 2))
-    local = Window.partitionBy(*group, "_b").orderBy(*order)
-    sizes = bucketed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_k"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
-    return bucketed.withColumn("_i", F.row_number().over(local)).join(offsets, [*group, "_b"]).withColumn("_pos", F.col("_i") + F.col("_off")).drop("_i", "_off", "_b")
-
-
 def interval(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
     """95% percentile interval over the estimable replicates and their number (replicates are a fixed number, so groups are small)."""
     return percentiles(replicates, keys, value, {"ci_low": 0.025, "ci_high": 0.975}, bounded=True).withColumnRenamed("n", "n_replicates").withColumns(
         {"ci_low": F.round("ci_low", 8), "ci_high": F.round("ci_high", 8)})
 
 
-def bootstrap_shift(rows: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 25, bounded: bool = True) -> DataFrame:
-    """Interval of the shift of medians, strata = group x context.
-
-    ``bounded``: a key's rows are bounded by their grain (one for each entity), so a task may hold them; else the
-    resample is drawn and ranked over all tasks, at the cost of replicates x rows.
-    """
-    sides = rows.where("context in ('context', 'reference')")
-    if bounded:
-        per = resample.bootstrap_statistic(sides, keys, ["grp", "context"], ["value_adj"], replicates, seed, resample.shift_of_medians)
-    else:
-        draws = bootstrap_draws(sides, keys, ["grp", "context"], ["value_adj"], replicates, seed)
-        m = percentiles(draws, [*keys, "replicate", "context"], "value_adj", {"m": 0.5}, weight="weight")
-        per = m.groupBy(*keys, "replicate").agg((F.max(F.when(F.col("context") == "reference", F.col("m"))) - F.max(F.when(F.col("context") == "context", F.col("m")))).alias("stat"))
+def bootstrap_shift(rows: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 25) -> DataFrame:
+    """Interval of the shift of medians, strata = group x context."""
+    per = resample.bootstrap_shifts(rows.where("context in ('context', 'reference')"), keys, replicates, seed)
     return interval(per.where("stat is not null").withColumn("stat", F.round("stat", DIGITS)), keys, "stat")
 
 
-def bootstrap_rho(rows: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 25, bounded: bool = True) -> DataFrame:
-    """Interval of the adjusted rank correlation, strata = group. ``bounded`` as in `bootstrap_shift`.
-
-    Ranks of a resample come from weighted counts of its distinct values, keyed by replicate.
-    """
-    if bounded:
-        per = resample.bootstrap_statistic(rows, keys, ["grp"], ["x_adj", "y_adj"], replicates, seed, resample.rank_correlation)
-    else:
-        by = [*keys, "replicate"]
-        joined = position_ranks(stage(bootstrap_draws(rows, keys, ["grp"], ["x_adj", "y_adj"], replicates, seed), "draws"), by)
-        per = joined.groupBy(*by).agg(weighted_corr(F.col("rx"), F.col("ry"), F.col("weight")).alias("stat"))
+def bootstrap_rho(rows: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: int = 25) -> DataFrame:
+    """Interval of the adjusted rank correlation, strata = group."""
+    per = resample.bootstrap_correlations(rows, keys, replicates, seed)
     return interval(per.where("stat is not null").withColumn("stat", F.round("stat", DIGITS)), keys, "stat")
 
 
-def position_ranks(draws: DataFrame, by: list[str]) -> DataFrame:
-    """Weighted average ranks from exact positions of distinct values, for resamples of any size."""
-    out = draws
-    for column, name in (("x_adj", "rx"), ("y_adj", "ry")):
-        places = value_positions(draws, by, column, weight="weight")
-        out = out.join(places.select(*by, column, (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).alias(name)), [*by, column])
-    return out
-
-
-def weighted_corr(x: Column, y: Column, w: Column) -> Column:
-    n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
-    sxx, syy, sxy = F.sum(w * x * x), F.sum(w * y * y), F.sum(w * x * y)
-    spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varies, F.try_divide(n * sxy - sx * sy, F.sqrt(spread)))
-
-
 def leave_one_out_shift(rows: DataFrame, keys: list[str], full: DataFrame) -> DataFrame:
     """Shift with each group held out, re-gated, and whether its sign matches the full shift."""
     sides = rows.where("context in ('context', 'reference')")

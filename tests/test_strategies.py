@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelgrid import session
+from panelgrid.functions import distribution
 from panelgrid.operators import relations, resample, stability
 from panelgrid.operators.concordance import pca
 from panelgrid.operators.text import chunk, dense_topk
@@ -21,10 +22,31 @@ def pair(spark):
     return small_frame(spark, rows, "task string, entity bigint, grp string, context string, x_adj double, y_adj double").withColumn("value_adj", F.col("x_adj"))
 
 
-def test_bootstrap_forms_agree(pair):
-    for form in (relations.bootstrap_shift, relations.bootstrap_rho):
-        one, other = (sorted(form(pair, ["task"], 40, 7, bounded=b).collect()) for b in (True, False))
-        assert one == other and one[0].n_replicates == 40
+@pytest.mark.parametrize("sizes", [(1 << 14, 1 << 16), (16, 12)])
+def test_bootstrap_equals_repeated_rows(pair, monkeypatch, sizes):
+    """Against the drawn rows themselves, in one chunk and range or in many."""
+    monkeypatch.setattr(resample, "CHUNK", sizes[0])
+    monkeypatch.setattr(distribution, "RANGE_VALUES", sizes[1])
+    drawn = relations.bootstrap_draws(pair, ["task"], ["grp", "context"], ["value_adj"], 40, 7).toPandas()
+    got = {(r.task, r.replicate): r.stat for r in resample.bootstrap_shifts(pair, ["task"], 40, 7).collect()}
+    assert len(got) == 80
+    for key, part in drawn.groupby(["task", "replicate"]):
+        side = {c: np.median(np.repeat(p.value_adj, p.weight)) for c, p in part.groupby("context")}
+        assert got[key] == pytest.approx(side["reference"] - side["context"])
+    drawn = relations.bootstrap_draws(pair, ["task"], ["grp"], ["x_adj", "y_adj"], 40, 7).toPandas()
+    got = {(r.task, r.replicate): r.stat for r in resample.bootstrap_correlations(pair, ["task"], 40, 7).collect()}
+    assert len(got) == 80
+    for key, part in drawn.groupby(["task", "replicate"]):
+        both = part.loc[part.index.repeat(part.weight), ["x_adj", "y_adj"]]
+        assert got[key] == pytest.approx(both.rank().corr().iloc[0, 1])
+
+
+def test_no_pair_is_gathered_for_its_bootstrap(pair, monkeypatch):
+    """A hot value is one row for each chunk before ranges meet."""
+    monkeypatch.setattr(resample, "CHUNK", 16)
+    same = pair.withColumn("value_adj", F.lit(1.0)).withColumn("_range", F.lit(0))
+    weights = resample.bootstrap_weights(same, ["task", "grp", "context"], ["value_adj"], 40, 7, ["_range"])
+    assert weights.count() == pair.groupBy("task", "grp", "context").count().select(F.sum(F.ceil(F.col("count") / 16))).first()[0]
 
 
 def test_hold_out_equals_filtering(pair):
