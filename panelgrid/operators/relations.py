@@ -176,8 +176,7 @@ def bootstrap_rho(rows: DataFrame, keys: list[str], replicates: int = REPLICATES
 def leave_one_out_shift(rows: DataFrame, keys: list[str], full: DataFrame) -> DataFrame:
     """Shift with each group held out, re-gated, and whether its sign matches the full shift."""
     sides = rows.where("context in ('context', 'reference')")
-    fields = "n_context long, median_context double, n_reference long, median_reference double, raw double"
-    held = resample.without_each_group(sides, keys, ["context", "value_adj"], resample.shift_without, fields)
+    held = resample.shifts_without_each_group(sides, keys)
     out = held.withColumn("shift", F.round("raw", DIGITS)).join(full.select(*keys, F.col("shift").alias("_full")), keys)
     ok = gates(F.col("n_context"), F.col("n_reference"), F.col("n_groups")) & F.col("shift").isNotNull()
     out = out.withColumn("estimable", ok)
@@ -240,7 +239,7 @@ def eval_codependency(rows: DataFrame, broad: DataFrame, replicates: int = REPLI
     raw = spearman(adj, ["task"], "x", "y", "raw_rho", bounded=True).drop("n")
     full = spearman(adj, ["task"], "x_adj", "y_adj", "rho", bounded=True)
     n_groups = adj.groupBy("task").agg(F.count_distinct("grp").alias("n_groups"))
-    held = resample.without_each_group(adj, ["task"], ["x_adj", "y_adj"], resample.correlation_without, "n long, r double")
+    held = resample.correlations_without_each_group(adj, ["task"])
     loo = held.join(full.select("task", F.col("rho").alias("_full")), "task")
     loo = loo.withColumn("estimable", (F.col("n") >= MIN_TOTAL) & (F.col("n_groups") >= MIN_GROUPS) & F.col("r").isNotNull())
     loo = loo.withColumn("matches", F.col("estimable") & (sign(F.col("_full")) != 0) & (sign(F.col("r")) == sign(F.col("_full"))))

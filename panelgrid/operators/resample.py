@@ -7,17 +7,18 @@ often each replicate drew it. Equal rows of a chunk are merged. The vectors are
 a range for each replicate are summed over the ranges before it, which gives the range that holds the middle of a replicate, and what a range adds
 to its ranks. A draw is a hash of seed, stratum, replicate and position, so a retry or another split gives the same numbers.
 
-Hold-outs (`without_each_group`) hold the rows of a pair in one task.
+Hold-outs. Leaving out one group is a replicate that draws its rows not at all and all others once, so equal rows of a group are counted and
+get a vector with one place for each group of the pair; medians and ranks come from ranges as above.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.functions.distribution import join_keys, value_ranges
@@ -54,37 +55,6 @@ def drawn_positions(name: str, replicate: int, places: range, n: int) -> np.ndar
     return np.floor((numbers + 0.5) / 4294967296.0 * n).astype(np.int64)
 
 
-def weighted_medians(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Median of each row of weights, halfway between the two middle values."""
-    order = np.argsort(values, kind="stable")
-    upto = np.cumsum(weights[:, order], axis=1)
-    out = np.full(len(weights), np.nan)
-    for i, cumulated in enumerate(upto):
-        if len(cumulated) and cumulated[-1] > 0:
-            at = (cumulated[-1] - 1) / 2
-            low, high = (values[order[np.searchsorted(cumulated, k, side="right")]] for k in (int(np.floor(at)), int(np.ceil(at))))
-            out[i] = low + (high - low) * (at - np.floor(at))
-    return out
-
-
-def weighted_rank_correlation(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Correlation of the weighted average ranks for each row of weights; not a number where a side does not vary."""
-    (_, cx), (_, cy) = (np.unique(v, return_inverse=True) for v in (x, y))
-    out = np.full(len(weights), np.nan)
-    for i, w in enumerate(weights):
-        ranks = []
-        for c in (cx, cy):
-            ties = np.bincount(c, w)
-            ranks.append((np.cumsum(ties) - ties + (ties + 1) / 2.0)[c])
-        rx, ry = ranks
-        use = w > 0
-        if use.any() and rx[use].min() < rx[use].max() and ry[use].min() < ry[use].max():
-            n, sx, sy = w.sum(), (w * rx).sum(), (w * ry).sum()
-            spread = (n * (w * rx * rx).sum() - sx * sx) * (n * (w * ry * ry).sum() - sy * sy)
-            out[i] = (n * (w * rx * ry).sum() - sx * sy) / np.sqrt(spread)
-    return out
-
-
 def _field(df: DataFrame, name: str) -> str:
     return f"`{name}` {df.schema[name].dataType.simpleString()}"
 
@@ -245,40 +215,51 @@ def bootstrap_correlations(rows: DataFrame, keys: list[str], replicates: int, se
     return replicate_correlations(weights, keys, ("x_adj", "_range_x_adj"), ("y_adj", "_range_y_adj"))
 
 
-def without_each_group(rows: DataFrame, keys: list[str], values: list[str], statistic: Callable[[pa.Table], dict[str, float | int | None]], fields: str) -> DataFrame:
-    """(keys, held_out, n_groups, ...): `statistic` of a pair's rows without each of its groups in turn. Rows are shuffled once."""
-    kind = rows.schema["grp"].dataType.simpleString()
+def hold_out_weights(rows: DataFrame, keys: list[str], values: list[str], ranges: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """keys, values, the ranges and w: how many rows are left of these with each group of the pair held out, in the order of the groups.
 
-    def run(table: pa.Table) -> pa.Table:
-        group = table.column("grp")
-        names = sorted(set(group.to_pylist()))
-        own = np.array(group.to_pylist())
-        out = []
-        for name in names:
-            part = table.filter(pa.array(own != name))
-            out.append({**{k: table.column(k)[0].as_py() for k in keys}, "held_out": name, "n_groups": len(names) - 1, **statistic(part)})
-        return pa.Table.from_pylist([r for r in out if r["n_groups"] > 0], schema=schema)
-
-    ddl = ", ".join([*(_field(rows, k) for k in keys), f"held_out {kind}", "n_groups long", fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(ddl))
-    return rows.select(*keys, "grp", *values).groupBy(*keys).applyInArrow(run, ddl)
-
-
-def shift_without(part: pa.Table) -> dict[str, float | int | None]:
-    side, value = np.array(part.column("context").to_pylist()), part.column("value_adj").to_numpy()
-    out: dict[str, float | int | None] = {}
-    for name in ("context", "reference"):
-        own = value[side == name]
-        out[f"n_{name}"] = len(own)
-        out[f"median_{name}"] = float(weighted_medians(own, np.ones((1, len(own)), np.int64))[0]) if len(own) else None
-    both = out["median_context"] is not None and out["median_reference"] is not None
-    out["raw"] = out["median_reference"] - out["median_context"] if both else None
-    return out
-
-
-def correlation_without(part: pa.Table) -> dict[str, float | int | None]:
-    r = weighted_rank_correlation(part.column("x_adj").to_numpy(), part.column("y_adj").to_numpy(), np.ones((1, part.num_rows), np.int64))[0]
-    return {"n": part.num_rows, "r": float(r) if np.isfinite(r) else None}
+    `ranges`: tables of ranges and the columns they are joined by. A pair's groups are a dimension."""
+    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("grp")).alias("_groups"))
+    counts = rows.groupBy(*keys, "grp", *values).agg(F.count(F.lit(1)).alias("_n"))
+    for table, by in ranges:
+        counts = join_keys(counts, table, by)
+    placed = join_keys(counts, groups, keys).withColumns({"_own": F.array_position("_groups", F.col("grp")) - 1, "_all": F.size("_groups").cast("long")}).drop("_groups", "grp")
+    names = [c for c in placed.columns if c not in ("_n", "_own", "_all")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, own, every in zip(*(batch.column(c).to_pylist() for c in ("_n", "_own", "_all"))):
+                w = np.full(every, n, "<u4")
+                w[own] = 0
+                out.append(w.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "w"])
+
+    return stage(placed.mapInArrow(run, ", ".join([*(_field(placed, c) for c in names), "w binary"])), "held-out")
+
+
+def held_out_sizes(rows: DataFrame, keys: list[str], parts: dict[str, Column]) -> DataFrame:
+    """keys, replicate (from 1), held_out, n_groups left and the number of rows left for each condition of `parts`, for each group of a pair with others."""
+    sizes = rows.groupBy(*keys, "grp").agg(*(F.count(F.when(c, 1)).alias(name) for name, c in parts.items()))
+    whole = Window.partitionBy(*keys)
+    left = [(F.sum(name).over(whole) - F.col(name)).alias(name) for name in parts]
+    out = sizes.select(*keys, F.row_number().over(whole.orderBy("grp")).alias("replicate"), F.col("grp").alias("held_out"), (F.count(F.lit(1)).over(whole) - 1).alias("n_groups"), *left)
+    return out.where("n_groups > 0")
+
+
+def shifts_without_each_group(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, held_out, n_groups, and number, median of value_adj of both sides (context, reference) and `raw` (reference less context) without a group."""
+    side = [*keys, "context"]
+    weights = hold_out_weights(rows, keys, ["context", "value_adj"], [(value_ranges(rows, side, "value_adj", "_range"), [*side, "value_adj"])])
+    medians = replicate_medians(weights, side, "value_adj", "_range").groupBy(*keys, "replicate").agg(
+        *(F.max(F.when(F.col("context") == s, F.col("m"))).alias(f"median_{s}") for s in ("context", "reference")))
+    sizes = held_out_sizes(rows, keys, {f"n_{s}": F.col("context") == s for s in ("context", "reference")})
+    return join_keys(sizes, medians, [*keys, "replicate"], "left").withColumn("raw", F.col("median_reference") - F.col("median_context")).drop("replicate")
+
+
+def correlations_without_each_group(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, held_out, n_groups, and number of rows and rank correlation r of x_adj and y_adj without a group."""
+    ranges = [(value_ranges(rows, keys, c, f"_range_{c}"), [*keys, c]) for c in ("x_adj", "y_adj")]
+    weights = hold_out_weights(rows, keys, ["x_adj", "y_adj"], ranges)
+    r = replicate_correlations(weights, keys, ("x_adj", "_range_x_adj"), ("y_adj", "_range_y_adj")).withColumnRenamed("stat", "r")
+    return join_keys(held_out_sizes(rows, keys, {"n": F.lit(True)}), r, [*keys, "replicate"], "left").drop("replicate")

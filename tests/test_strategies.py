@@ -49,13 +49,29 @@ def test_no_pair_is_gathered_for_its_bootstrap(pair, monkeypatch):
     assert weights.count() == pair.groupBy("task", "grp", "context").count().select(F.sum(F.ceil(F.col("count") / 16))).first()[0]
 
 
-def test_hold_out_equals_filtering(pair):
-    held = resample.without_each_group(pair, ["task"], ["context", "value_adj"], resample.shift_without, "n_context long, median_context double, n_reference long, median_reference double, raw double")
-    rows = pair.toPandas()
-    for r in held.collect():
+def test_hold_out_equals_filtering(pair, monkeypatch):
+    monkeypatch.setattr(distribution, "RANGE_VALUES", 12)
+    both = pair.withColumn("grp", F.when(F.col("entity") % 5 == 0, "gC").otherwise(F.col("grp")))
+    rows, shifts, correlations = both.toPandas(), resample.shifts_without_each_group(both, ["task"]).collect(), resample.correlations_without_each_group(both, ["task"]).collect()
+    assert len(shifts) == len(correlations) == 6
+    for r in shifts:
         part = rows[(rows.task == r.task) & (rows.grp != r.held_out)]
         sides = part.groupby("context").value_adj
-        assert r.n_groups == 1 and r.n_context == sides.size()["context"] and r.raw == pytest.approx(sides.median()["reference"] - sides.median()["context"])
+        assert r.n_groups == 2 and r.n_context == sides.size()["context"] and r.n_reference == sides.size()["reference"]
+        assert r.median_context == pytest.approx(sides.median()["context"]) and r.raw == pytest.approx(sides.median()["reference"] - sides.median()["context"])
+    for r in correlations:
+        part = rows[(rows.task == r.task) & (rows.grp != r.held_out)]
+        assert r.n == len(part) and r.r == pytest.approx(part[["x_adj", "y_adj"]].rank().corr().iloc[0, 1])
+
+
+def test_hold_outs_that_leave_nothing(spark):
+    rows = [("a", 1, "g1", "context", 1.0, 1.0), ("a", 2, "g2", "reference", 2.0, 2.0), ("b", 1, "g1", "context", 1.0, 1.0)]
+    few = small_frame(spark, rows, "task string, entity bigint, grp string, context string, x_adj double, y_adj double").withColumn("value_adj", F.col("x_adj"))
+    shifts = {r.held_out: r for r in resample.shifts_without_each_group(few, ["task"]).collect()}
+    assert shifts.keys() == {"g1", "g2"} and shifts["g1"].n_context == 0 and shifts["g1"].median_context is None and shifts["g1"].raw is None and shifts["g2"].median_context == 1.0
+    assert [(r.n, r.r) for r in resample.correlations_without_each_group(few, ["task"]).collect()] == [(1, None)] * 2
+    assert resample.shifts_without_each_group(few.limit(0), ["task"]).count() == resample.correlations_without_each_group(few.limit(0), ["task"]).count() == 0
+    assert relations.bootstrap_shift(few.limit(0), ["task"], 20).count() == relations.bootstrap_rho(few.limit(0), ["task"], 20).count() == 0
 
 
 def test_an_unestimable_replicate_voids_the_interval(spark):
