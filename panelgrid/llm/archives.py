@@ -1,17 +1,19 @@
 """WARC archives: deduplicated writing, reading, and resolution of revisit records.
 
-Writing: the headers of all records (id, digest, length) are shuffled by payload digest, never the payloads. Of records
+Writing: the headers of all records (id, digest, length) are shuffled by payload digest, without the payloads. Of records
 with equal payloads of at least `LEAST` bytes the one with the smallest id becomes the response and the others revisit
-records that refer to it and have no payload. The decisions go back to the records by id, and Spark's text writer
+records that refer to it and have no payload. The decisions go back to the records by id (where there are too many to broadcast, that join
+shuffles the records, payloads included, once), and Spark's text writer
 writes them as WARC/1.1 with fresh headers: a record ends with two line ends, which is the writer's separator, so a
-file is a sequence of whole records (gzip over each file).
+file is a sequence of whole records (gzip over each file, not over each record, as Spark has no writer for that). Records are written
+by classes of payload length, so that one long page does not make all files short.
 
 Reading: files are bounded in size and parsed where they lie, by the length that each record states. Digests and
 lengths of responses come from their payloads. Revisit records are joined to the response with their digest to find
 what they stand for.
 
 Defined cases: a null payload is empty; a null url has no target header; line ends and other controls in a url are
-escaped; a record without an id is a response and nothing refers to it; of repeated ids with equal payloads each is a response if the id is the smallest,
+escaped; record ids are unique but for repeated rows of one id and payload that are responses and can be referred to, which share theirs; a record without an id is a response and nothing refers to it; of repeated ids with equal payloads each is a response if the id is the smallest,
 else each is a revisit; no records give no archive; extra columns are not read.
 """
 
@@ -30,6 +32,7 @@ from panelgrid.session import scratch_path, stage
 
 LEAST = 100  # bytes of a payload that may be revisited
 FILE_BYTES = 32 << 20  # payload bytes of a file, at most, but for single records beyond it
+SIZES = (16 << 10, 256 << 10, 4 << 20)  # upper bounds of the classes of payload length; longer ones are a class too
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -65,9 +68,11 @@ def archive_records(records: DataFrame, date: str = "2026-01-01T00:00:00Z") -> D
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}"), _header("Content-Length", F.octet_length("payload").cast("string")), F.lit(END))
     block = F.when(F.col("refers_to").isNull(), F.concat(head, F.col("payload"))).otherwise("")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
+    referable = F.col("refers_to").isNull() & F.col("page_id").isNotNull() & (F.octet_length("payload") >= LEAST)
+    fresh = F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))
     original = F.when(F.col("refers_to").isNotNull(), _urn(F.col("refers_to").cast("string"), F.col("digest")))
     lines = F.concat(
-        F.lit(f"WARC/1.1{END}"), _header("WARC-Type", kind), _header("WARC-Record-ID", _urn(F.coalesce(page, F.lit("-")), F.col("digest"))),
+        F.lit(f"WARC/1.1{END}"), _header("WARC-Type", kind), _header("WARC-Record-ID", F.when(referable, _urn(page, F.col("digest"))).otherwise(fresh)),
         _header("WARC-Date", F.lit(date)), _header("WARC-Target-URI", url), _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         _header("WARC-Profile", F.when(original.isNotNull(), PROFILE)), _header("WARC-Refers-To", original), _header("X-Refers-To-Page", F.col("refers_to").cast("string")),
         _header("X-Page", page), _header("Content-Type", F.when(original.isNull(), "application/http; msgtype=response")), _header("Content-Length", F.octet_length(block).cast("string")), F.lit(END))
@@ -77,13 +82,19 @@ def archive_records(records: DataFrame, date: str = "2026-01-01T00:00:00Z") -> D
 def write_archives(records: DataFrame, path: str) -> None:
     """Write records (page_id, url, payload) to `path`, deduplicated."""
     headers = stage(record_headers(records), "warc-headers")
-    longest = headers.agg(F.coalesce(F.max("payload_bytes"), F.lit(0))).first()[0]
     refer = stage(revisits(headers), "revisits")
     payload = F.coalesce(F.col("payload"), F.lit(""))
-    rows = records.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    rows = rows.join(refer, ["page_id", "digest"], "left")
-    per_file = max(1, min(50_000, FILE_BYTES // (longest + 1024)))
-    archive_records(rows).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    longest = dict(headers.groupBy(_size_class(F.col("payload_bytes")).alias("c")).agg(F.max("payload_bytes")).collect()) or {0: 0}  # at most one row for each class
+    for i, c in enumerate(sorted(longest)):
+        rows = records.select("page_id", "url", payload.alias("payload")).where(_size_class(F.octet_length("payload")) == c)
+        rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).join(refer, ["page_id", "digest"], "left")
+        per_file = max(1, FILE_BYTES // (longest[c] + 1024))
+        archive_records(rows).write.mode("append" if i else "errorifexists").option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+
+def _size_class(length: Column) -> Column:
+    """Number of the class of a payload length."""
+    return sum(((length > bound).cast("int") for bound in SIZES), F.lit(0))
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

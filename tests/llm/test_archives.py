@@ -61,3 +61,23 @@ def test_foreign_archives_resolve(spark):
     rows = [(1, "response", 300, digest), (2, "revisit", None, digest), (3, "revisit", None, "f" * 64)]
     frame = spark.createDataFrame(rows, "page_id long, record_type string, payload_bytes long, payload_digest string")
     assert {r.page_id: (r.payload_bytes, r.refers_to) for r in resolve(frame).collect()} == {1: (300, None), 2: (300, 1), 3: (None, None)}
+
+
+def test_a_long_page_does_not_shorten_all_files(spark):
+    path = scratch_path(spark, "test-warc")
+    pages = spark.range(400).selectExpr("id as page_id", "'u' as url", "if(id = 7, repeat('x', 16000000), concat('page ', id)) as payload").coalesce(4)
+    write_archives(pages, path)
+    files = [f for f in spark.read.format("binaryFile").load(path).select("path", "content").collect()]
+    records = [fields for f in files for fields, _ in parse(bytes(f.content))]
+    assert len(files) <= 8 and len(records) == 400 and len({r["warc-record-id"] for r in records}) == 400
+
+
+def test_record_ids(spark):
+    """Revisits refer to a response there is; ids are unique but for repeated referable rows."""
+    path = scratch_path(spark, "test-warc")
+    rows = [(1, "u", "y" * 200), (2, "u", "y" * 200), (2, "v", "y" * 200), (3, "u", "short"), (3, "u", "short"), (None, "u", "y" * 200), (None, "u", "y" * 200)]
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, payload string"), path)
+    records = [fields for f in spark.read.format("binaryFile").load(path).collect() for fields, _ in parse(bytes(f.content))]
+    assert len({r["warc-record-id"] for r in records}) == 7
+    responses = {r["warc-record-id"] for r in records if r["warc-type"] == "response"}
+    assert sorted(r["warc-type"] for r in records) == ["response"] * 5 + ["revisit"] * 2 and all(r["warc-refers-to"] in responses for r in records if r["warc-type"] == "revisit")
