@@ -1,8 +1,9 @@
 """Pairwise relationship evaluation: group-adjusted statistics, bootstrap, hold-outs, statuses.
 
 Every evaluator is keyed by `task` (a pair with its direction), so one plan evaluates any number
-of pairs. A pair has one row for each entity at most, so groups within a task are bounded by the spine of entities
-(`bounded=True` below states that grain). A pair is a request: its entity rows are read with a feature filter and reshaped to one
+of pairs. A pair has one row for each entity at most, so it grows with the data: medians, ranks and
+resamples come from ranges of values (`bounded=True` below is left where groups are scenarios, requests or replicates, and in the policy grid of
+g16, whose groups are still held whole). A pair is a request: its entity rows are read with a feature filter and reshaped to one
 row per (task, entity) with columns; nothing is compared across entities.
 """
 
@@ -118,7 +119,7 @@ def quantile_context(rows: DataFrame, low: float = 0.2, high: float = 0.8, min_g
     ``rows`` is evaluable (task, entity, grp, source_value, value). A group that is too small, or
     whose fifths touch, does not discriminate and is left out.
     """
-    q = percentiles(rows, ["task", "grp"], "source_value", {"q_low": low, "q_high": high}, bounded=True)
+    q = percentiles(rows, ["task", "grp"], "source_value", {"q_low": low, "q_high": high})
     q = q.withColumn("q_low", F.round("q_low", DIGITS)).withColumn("q_high", F.round("q_high", DIGITS))
     q = q.withColumn("reason", F.when(F.col("n") < min_group, "eligible_n_below_minimum").when(F.col("q_high") <= F.col("q_low"), "high_not_above_low"))
     side = F.when(F.col("source_value") >= F.col("q_high"), "context").when(F.col("source_value") <= F.col("q_low"), "reference").otherwise("middle")
@@ -127,7 +128,7 @@ def quantile_context(rows: DataFrame, low: float = 0.2, high: float = 0.8, min_g
 
 def side_medians(rows: DataFrame, keys: list[str], value: str, context: str = "context") -> DataFrame:
     """Median of each side per key and `shift` = reference - context."""
-    m = percentiles(rows.where(F.col(context).isin("context", "reference")), [*keys, context], value, {"m": 0.5}, bounded=True)
+    m = percentiles(rows.where(F.col(context).isin("context", "reference")), [*keys, context], value, {"m": 0.5})
     out = m.groupBy(*keys).agg(
         F.max(F.when(F.col(context) == "context", F.col("m"))).alias("median_context"), F.max(F.when(F.col(context) == "reference", F.col("m"))).alias("median_reference"),
         F.coalesce(F.max(F.when(F.col(context) == "context", F.col("n"))), F.lit(0)).alias("n_context"), F.coalesce(F.max(F.when(F.col(context) == "reference", F.col("n"))), F.lit(0)).alias("n_reference"))
@@ -222,7 +223,7 @@ def eval_conditional(rows: DataFrame, targets: DataFrame, replicates: int = REPL
 
 
 def adjusted(rows: DataFrame, values: list[str] | None = None, min_group: int = MIN_GROUP) -> DataFrame:
-    return group_residual(rows, ["task", "grp"], values or ["value"], min_group, bounded=True)
+    return group_residual(rows, ["task", "grp"], values or ["value"], min_group)
 
 
 def pair_rows(effects: DataFrame, spine: DataFrame, tasks: list[tuple[str, str, str]]) -> DataFrame:
@@ -236,8 +237,8 @@ def pair_rows(effects: DataFrame, spine: DataFrame, tasks: list[tuple[str, str,
 def eval_codependency(rows: DataFrame, broad: DataFrame, replicates: int = REPLICATES, seed: int = 25) -> DataFrame:
     """One row per task: raw and adjusted rho, interval, hold-outs and status. ``broad`` is (task, broad)."""
     adj = stage(adjusted(rows, ["x", "y"]), "codependency")
-    raw = spearman(adj, ["task"], "x", "y", "raw_rho", bounded=True).drop("n")
-    full = spearman(adj, ["task"], "x_adj", "y_adj", "rho", bounded=True)
+    raw = spearman(adj, ["task"], "x", "y", "raw_rho").drop("n")
+    full = spearman(adj, ["task"], "x_adj", "y_adj", "rho")
     n_groups = adj.groupBy("task").agg(F.count_distinct("grp").alias("n_groups"))
     held = resample.correlations_without_each_group(adj, ["task"])
     loo = held.join(full.select("task", F.col("rho").alias("_full")), "task")
