@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelgrid.llm.simtrie import let_go
+
 WORD = re.compile(r"[^\W\d_]+")
 CELLS = 1 << 16  # weights for each language in each of the two tables
 TRIGRAM_PRIOR = 0.1  # added to the count of every trigram cell
@@ -288,7 +290,7 @@ def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MEMOS:
-            _MEMOS.clear()
+            let_go()
             _MEMOS[key] = Memo(shared.value)
         memo = _MEMOS[key]
         for batch in batches:

@@ -13,10 +13,10 @@ a time, until none is that large; then each unit is traversed in one go. Nothing
 A unit returns edges from each linked fingerprint to the least of those it was found connected with, not all pairs.
 Components come from alternating large-star and small-star steps over these edges, each step written as a table.
 
-Keeping one (the stage of the pipeline) does not use these fingerprints: documents are similar when the sets of their
-five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a band of min-hashes. First those that lie side by side in the
-buckets of a few bands are verified, which connects most of a large group; then every bucket of any band in which several components meet is compared
-across these, in units of bounded size, however large it is. A sketch of the min-hashes rules out pairs that are far from the threshold (of those at it, two in ten million);
+Keeping one (the stage of the pipeline) asks for more than two bits tell: documents are similar when the sets of their
+five-word shingles have a Jaccard similarity of 0.8 or more. First candidates are the links of the same self-join of tries, over fingerprints of these
+shingles, and those that lie side by side in the buckets of a few bands of min-hashes, which connects most of a large group; then every bucket of any band in
+which several components meet is compared across these, in units of bounded size, however large it is. A sketch of the min-hashes rules out pairs that are far from the threshold (of those at it, two in ten million);
 all others are verified by the shingles themselves, and verified pairs make components as above.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which links like any other; a text of one or two words
@@ -243,12 +243,26 @@ def near_duplicates(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     return marks.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text; of a shorter text the one of all its words."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of a text, repeats included; of a shorter text the one of all its words."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
     size = min(size, len(words))
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + size]), 7) for i in range(len(words) - size + 1 if words else 0)], np.uint64))
+    return np.array([digest(b" ".join(words[i : i + size]), 7) for i in range(len(words) - size + 1 if words else 0)], np.uint64)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct ones of these hashes, sorted."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def row_hash(docs: DataFrame) -> Column:
@@ -264,7 +278,7 @@ def let_go() -> None:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of all columns), node (the text's words as a hash), the hash of each of `BANDS` bands of min-hashes, and the
+    """doc_id, row (a hash of all columns), node (the text's words as a hash), fp (the fingerprint of its shingles), the hash of each of `BANDS` bands of min-hashes, and the
     sketch (the last byte of every min-hash) of every document; without words the sketch is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +288,13 @@ def signatures(docs: DataFrame) -> DataFrame:
         factor = factor * np.uint64(2) + np.uint64(1)
         weight = rng.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            node, sketch, bands = [], [], np.zeros((batch.num_rows, BANDS), np.uint64)
+            node, mark, sketch, bands = [], [], [], np.zeros((batch.num_rows, BANDS), np.uint64)
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 node.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "replace").lower().split()) if text else b"", 5))
-                marks = shingles(text)
+                hashes = shingle_hashes(text)
+                marks = np.unique(hashes)
+                mark.append(majority(hashes))
                 sketch.append(b"")
                 if not len(marks):
                     continue
@@ -290,11 +306,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketch[-1] = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
                 bands[i] = (least.reshape(BANDS, ROWS) * weight).sum(1, dtype=np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-            marked = [batch.column(0), batch.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), lists, pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(marked, names=["doc_id", "row", "node", "bands", "sketch"])
+            marked = [batch.column(0), batch.column(2), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, mark)), lists, pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(marked, names=["doc_id", "row", "node", "fp", "bands", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash(docs).alias("row"))
-    return rows.mapInArrow(run, "doc_id long, row long, node long, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, row long, node long, fp long, bands array<long>, sketch binary")
 
 
 def sketches_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -306,6 +322,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
+def in_tries(nodes: DataFrame, unit: int = UNIT) -> DataFrame:
+    """Pairs u < v of nodes (node, fp, sketch): those with equal fingerprints, by the least node of each, and the links of the self-join of tries."""
+    classes = stage(nodes.groupBy("fp").agg(F.min("node").alias("first")), "classes")
+    same = nodes.join(classes, "fp").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    first, second = (classes.select(F.col("fp").alias(k), F.col("first").alias(f"n{k}")) for k in "uv")
+    links = link(classes.select("fp"), unit).distinct().join(first, "u").join(second, "v").select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"))
+    return estimated(same.unionByName(links).distinct(), nodes)
+
+
 def neighbours(nodes: DataFrame) -> DataFrame:
     """Pairs u < v of nodes (node, bands, sketch) that follow one another in a bucket of one of the first `FIRST` bands, in the order of the
     next bands, so that the likest lie side by side. Buckets are cut between tasks, and pairs grow with the nodes only."""
@@ -406,12 +431,12 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, row (its hash), node (equal for equal words) and root (equal for all that similar pairs connect).
 
-    Neighbours connect most of a large group first; then every bucket that still holds several roots is compared across them.
+    Links of the tries and neighbours connect most of a large group first; then every bucket that still holds several roots is compared across them.
     """
     marks = stage(signatures(docs), "signatures")
-    nodes = stage(marks.where(F.octet_length("sketch") > 0).groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = stage(marks.where(F.octet_length("sketch") > 0).groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
     marks = marks.select("doc_id", "row", "node")
-    edges = stage(verified(stage(neighbours(nodes), "candidates"), docs, marks), "similar")
+    edges = stage(verified(stage(in_tries(nodes).unionByName(neighbours(nodes)).distinct(), "candidates"), docs, marks), "similar")
     roots = components(edges)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = stage(verified(stage(across_roots(rooted, block), "candidates"), docs, marks), "similar")

@@ -167,3 +167,26 @@ def test_one_large_group_of_near_copies(spark, monkeypatch, first, block, keys):
     frame = spark.createDataFrame([(*r, i % 3) for i, r in enumerate(rows)], "doc_id long, text string, row int")
     got = [r.doc_id for r in keep_one(frame).collect()]
     assert len(got) == len(set(got)) and set(got) == jaccard_groups(rows) and 1 < len(got) < 700
+
+
+def test_keep_one_joins_fingerprints_by_tries(spark, monkeypatch):
+    """The stage's candidates come from the self-join of tries too, not from shared bands alone."""
+    import panelgrid.llm.simtrie as module
+
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(module, "neighbours", lambda nodes: none)
+    monkeypatch.setattr(module, "across_roots", lambda nodes, block: none)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words * 40)), (2, " ".join(words * 41)), (3, " ".join([*words * 40, "end"])), (4, "five other words stand here")]
+    assert jaccard_groups(rows) == {1, 4}
+    assert sorted(r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 4]
+
+
+def test_workers_let_go_of_other_stages(monkeypatch):
+    from panelgrid.llm import langtags, pieces
+    from panelgrid.llm.simtrie import let_go
+
+    monkeypatch.setattr(langtags, "_MEMOS", {"a": 1})
+    monkeypatch.setattr(pieces, "_ENCODERS", {1: 2})
+    let_go()
+    assert not langtags._MEMOS and not pieces._ENCODERS and "let_go()" in __import__("inspect").getsource(langtags.tag_documents)
