@@ -176,7 +176,7 @@ def test_keep_one_joins_fingerprints_by_tries(spark, monkeypatch):
     none = spark.createDataFrame([], "u long, v long")
     monkeypatch.setattr(module, "neighbours", lambda nodes: none)
     monkeypatch.setattr(module, "across_roots", lambda nodes, block: none)
-    words = [f"w{i}" for i in range(60)]
+    words = [f"w{i}" for i in range(61)]
     rows = [(1, " ".join(words * 40)), (2, " ".join(words * 41)), (3, " ".join([*words * 40, "end"])), (4, "five other words stand here")]
     assert jaccard_groups(rows) == {1, 4}
     assert sorted(r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 4]
