@@ -2,8 +2,7 @@
 
 Every evaluator is keyed by `task` (a pair with its direction), so one plan evaluates any number
 of pairs. A pair has one row for each entity at most, so it grows with the data: medians, ranks and
-resamples come from ranges of values (`bounded=True` below is left where groups are scenarios, requests or replicates, and in the policy grid of
-g16, whose groups are still held whole). A pair is a request: its entity rows are read with a feature filter and reshaped to one
+resamples come from ranges of values (`bounded=True` below is left where groups are scenarios, requests or replicates). A pair is a request: its entity rows are read with a feature filter and reshaped to one
 row per (task, entity) with columns; nothing is compared across entities.
 """
 
@@ -272,17 +271,19 @@ def policy_sensitivity(rows: DataFrame, grid: list[dict]) -> DataFrame:
     """
     settings = F.array(*[F.struct(F.lit(g["scenario"]).alias("scenario"), *[F.lit(float(g[k])).alias(k) for k in ("low", "high")], *[F.lit(int(g[k])).alias(k) for k in ("min_group", "min_side", "min_total")]) for g in grid])
     probs = sorted({p for g in grid for p in (g["low"], g["high"])})
-    q = percentiles(rows, ["task", "grp"], "source_value", {f"p{i}": p for i, p in enumerate(probs)}, bounded=True)
+    q = percentiles(rows, ["task", "grp"], "source_value", {f"p{i}": p for i, p in enumerate(probs)})
     pick = {p: F.col(f"p{i}") for i, p in enumerate(probs)}
     chosen = F.array(*[F.struct(F.lit(g["scenario"]).alias("scenario"), F.round(pick[g["low"]], DIGITS).alias("q_low"), F.round(pick[g["high"]], DIGITS).alias("q_high")) for g in grid])
-    limits = q.select("task", "grp", "n", F.inline(chosen))
-    run = rows.select("*", F.inline(settings)).join(limits, ["task", "grp", "scenario"]).where("n >= min_group and q_high > q_low").drop("n")
+    asked = q.select(F.explode(settings).alias("_s"), "*").select("task", "grp", "n", "_s.*", F.explode(chosen).alias("_c")).where("_c.scenario = scenario")
+    limits = stage(asked.select("*", "_c.q_low", "_c.q_high").where("n >= min_group and q_high > q_low").drop("_c", "n", "low", "high", "min_group"), "limits")
+    # a scenario keeps a group whole or not at all, so its residuals are those of every scenario
+    adj = stage(group_residual(rows, ["task", "grp"], ["value"], 1).select("task", "grp", "source_value", "value_adj"), "residuals")
     side = F.when(F.col("source_value") >= F.col("q_high"), "context").when(F.col("source_value") <= F.col("q_low"), "reference").otherwise("middle")
-    run = run.withColumn("context", side)
-    adj = stage(group_residual(stage(run, "sensitivity"), ["scenario", "task", "grp"], ["value"], 1, bounded=True), "adjusted")
+    run = adj.join(limits, ["task", "grp"]).select("scenario", "task", side.alias("context"), "value_adj")
     keys = ["scenario", "task"]
-    stat = side_medians(adj, keys, "value_adj")
-    n_groups = adj.groupBy(*keys).agg(F.count_distinct("grp").alias("n_groups"), F.any_value("min_side").alias("min_side"), F.any_value("min_total").alias("min_total"))
+    stat = side_medians(run, keys, "value_adj")
+    held = limits.join(adj.select("task", "grp").distinct(), ["task", "grp"])
+    n_groups = held.groupBy(*keys).agg(F.count_distinct("grp").alias("n_groups"), F.any_value("min_side").alias("min_side"), F.any_value("min_total").alias("min_total"))
     out = stat.join(n_groups, keys)
     ok = (F.col("n_context") >= F.col("min_side")) & (F.col("n_reference") >= F.col("min_side")) & (F.col("n_context") + F.col("n_reference") >= F.col("min_total")) & (F.col("n_groups") >= MIN_GROUPS)
     return out.select(*keys, "n_context", "n_reference", "n_groups", "shift", ok.alias("estimable"))

@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from panelgrid.functions import distribution
+from panelgrid.operators import relations
 from panelgrid.plans.binding import FROM_LINES, Bound, with_bindings
 from panelgrid.session import small_frame
 
@@ -34,3 +36,36 @@ def test_tables_from_lines_need_no_shuffle_of_their_own(spark, folder, name):
     got = bound(name)
     assert got.columns == want.columns and want.count() > 10
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_policy_grid_holds_no_group_whole(spark, monkeypatch, path):
+    """Against the settings one by one; groups are cut into ranges."""
+    def unbounded(*args, **named):
+        assert not named.get("bounded") and not any(a is True for a in args)
+        return distribution_percentiles(*args, **named)
+
+    distribution_percentiles = distribution.percentiles
+    monkeypatch.setattr(relations, "percentiles", unbounded)
+    monkeypatch.setattr(distribution, "percentiles", unbounded)
+    rng = np.random.default_rng(8)
+    rows = [(t, i, g, float(np.round(rng.normal(), 1)), float(np.round(rng.normal(), 2))) for t in ("t1", "t2") for g, n in (("a", 60), ("b", 30), ("c", 8)) for i in range(n)]
+    rows += rows[:20]
+    grid = [{"scenario": "base", "low": 0.2, "high": 0.8, "min_group": 15, "min_side": 10, "min_total": 30}, {"scenario": "thirds", "low": 0.33, "high": 0.67, "min_group": 1, "min_side": 10, "min_total": 30},
+            {"scenario": "large", "low": 0.2, "high": 0.8, "min_group": 40, "min_side": 400, "min_total": 900}]
+    got = {(r.scenario, r.task): r for r in relations.policy_sensitivity(small_frame(spark, rows, "task string, entity bigint, grp string, source_value double, value double"), grid).collect()}
+    assert len(got) == 6
+    for g in grid:
+        for task in ("t1", "t2"):
+            sides, groups = {"context": [], "reference": []}, 0
+            for grp in "abc":
+                x, y = np.array([r[3:] for r in rows if r[0] == task and r[2] == grp]).T
+                low, high = np.round(np.quantile(x, [g["low"], g["high"]]), 9)
+                if len(x) >= g["min_group"] and high > low:
+                    groups += 1
+                    adj = np.round(y - np.median(y), 9)
+                    sides["context"] += adj[x >= high].tolist()
+                    sides["reference"] += adj[x <= low].tolist()
+            row = got[g["scenario"], task]
+            assert (row.n_context, row.n_reference, row.n_groups) == (len(sides["context"]), len(sides["reference"]), groups)
+            assert row["shift"] == pytest.approx(np.median(sides["reference"]) - np.median(sides["context"]), abs=1e-9)
+            assert row.estimable == (min(map(len, sides.values())) >= g["min_side"] and sum(map(len, sides.values())) >= g["min_total"] and groups >= 2)
