@@ -21,6 +21,7 @@ from panelgrid.llm.queries import piece_model, table
 from panelgrid.session import drop_staged, stage, staged_paths
 
 MEMO_SEGMENTS = 150_000  # kept by an encoding worker, which shares its executor with what earlier stages left in memory
+MEMO_WORDS = 100_000  # kept by a tagging worker, for the same reason
 LEAST_CERTAINTY = 0.4  # of the words' languages, below which a document is rejected
 LEAST_EVIDENCE = -20.0  # nats, below which a text is rejected as of no learned language (odds of 5e8 to 1 against them)
 ORACLE_SQL = None  # trained models and encoding cannot be stated in SQL; tests compare each stage with its definition
@@ -29,7 +30,7 @@ ORACLE_SQL = None  # trained models and encoding cannot be stated in SQL; tests
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; `lang` becomes the predicted one."""
     lines = langtags.fit_sample(docs, F.col("lang"), F.lit(True))
-    tagged = langtags.tag_documents(docs, langtags.fit(lines), docs.columns, prefix="__")
+    tagged = langtags.tag_documents(docs, langtags.fit(lines), docs.columns, prefix="__", most=MEMO_WORDS)
     kept = tagged.where((F.col("__lang_pred") != "und") & (F.col("__certainty") >= LEAST_CERTAINTY) & (F.col("__evidence") >= LEAST_EVIDENCE))
     return kept.select(*(F.col("__lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 

@@ -208,9 +208,9 @@ def fit(lines: list[tuple[str, str]], rounds: int = 40, switch: int = 4, rate: f
 class Memo(dict):
     """Word -> row of the emission scores and the evidence; rows of new words are scored together."""
 
-    def __init__(self, tagger: Tagger):
+    def __init__(self, tagger: Tagger, most: int = MEMO_WORDS):
         super().__init__()
-        self.tagger = tagger
+        self.tagger, self.most = tagger, most
         self.rows = np.zeros((0, 2 * len(tagger.languages)), np.float32)
         self.new: list[str] = []
 
@@ -220,7 +220,7 @@ class Memo(dict):
         return n
 
     def scores(self, words: list[str]) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
+        if len(self) > self.most:
             self.clear()
             self.rows = self.rows[:0]
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -284,14 +284,15 @@ def fit_sample(docs: DataFrame, language: Column, may_learn: Column, per_languag
 _MEMOS: dict[str, Memo] = {}
 
 
-def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
-    """Columns `keep`, then lang_pred, score, certainty and evidence, their names led by `prefix`. The tagger's tables have a fixed size and are broadcast."""
+def tag_documents(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text", prefix: str = "", most: int = MEMO_WORDS) -> DataFrame:
+    """Columns `keep`, then lang_pred, score, certainty and evidence, their names led by `prefix`. The tagger's tables have a fixed size and are broadcast.
+    `most`: words that a worker's memo keeps, which changes its memory but no result."""
     shared, key = docs.sparkSession.sparkContext.broadcast(tagger), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MEMOS:
             let_go()
-            _MEMOS[key] = Memo(shared.value)
+            _MEMOS[key] = Memo(shared.value, most)
         memo = _MEMOS[key]
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelgrid.llm.simtrie import let_go
+
 SPACE = "▁"
 MEMO_SEGMENTS = 350_000  # segments of a generation of a task's memo
 MEMO_PAIRS = 1_000_000  # pairs of pieces whose compatibility is kept
@@ -205,7 +207,7 @@ _ENCODERS: dict[int, Encoder] = {}
 def _encoder(broadcast) -> Encoder:
     """One encoder for each worker process and vocabulary; its memo lasts over tasks."""
     if broadcast.id_key not in _ENCODERS:
-        _ENCODERS.clear()
+        let_go()
         _ENCODERS[broadcast.id_key] = Encoder(broadcast.vocabulary.value, broadcast.most)
     return _ENCODERS[broadcast.id_key]
 

@@ -26,6 +26,8 @@ no document of the component has one (then it is null); every row is returned, r
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 
@@ -271,10 +273,17 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 def let_go() -> None:
-    """A Python worker that did other stages' tasks before drops what these keep between tasks."""
+    """A Python worker that did other stages' tasks before drops what these keep between tasks, and returns the memory to the system."""
+    dropped = 0
     for name, kept in (("langtags", "_MEMOS"), ("pieces", "_ENCODERS")):
         if module := sys.modules.get(f"panelgrid.llm.{name}"):
+            dropped += len(getattr(module, kept))
             getattr(module, kept).clear()
+    if dropped:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # free blocks of the C library stay with the process otherwise
+            trim(0)
 
 
 def signatures(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
 """Posteriors against enumeration, held-out accuracy, switches within a line, and odd rows."""
 
+import gc
 import itertools
+import weakref
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelgrid.llm import pieces, simtrie
 from panelgrid.llm.langtags import Memo, fit, fit_sample, forward_backward, identify, measured_texts, tag_texts
+from panelgrid.llm.queries import piece_model
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,3 +102,25 @@ def test_odd_rows(spark):
     assert [x for x in got if x[0] == 9][0] == [x for x in got if x[0] == 9][1]
     assert identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in identify(docs.where("lang is null")).collect()} == {"und"}
+
+
+def test_a_small_memo_changes_no_result(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("text").collect()
+    texts = [r.text for r in docs]
+    tagger = fit([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 5)
+    small = Memo(tagger, 20)
+    assert [measured_texts(small, [t]) for t in texts] == [measured_texts(Memo(tagger), [t]) for t in texts]
+    assert len(small) < 20 + max(len(t or "") for t in texts)
+
+
+def test_workers_let_go_of_other_stages_at_once():
+    """An encoder refers to itself, so that it would stay until some later collection."""
+    gc.collect()
+    gc.disable()
+    try:
+        pieces._ENCODERS["before"] = pieces.Encoder(pieces.Vocabulary.load(piece_model()))
+        kept = weakref.ref(pieces._ENCODERS["before"])
+        simtrie.let_go()
+        assert kept() is None and not pieces._ENCODERS
+    finally:
+        gc.enable()
