@@ -17,7 +17,8 @@ Keeping one (the stage of the pipeline) asks for more than two bits tell: docume
 five-word shingles have a Jaccard similarity of 0.8 or more. First candidates are the links of the same self-join of tries, over fingerprints of these
 shingles, and those that lie side by side in the buckets of a few bands of min-hashes, which connects most of a large group; then every bucket of any band in
 which several components meet is compared across these, in units of bounded size, however large it is. A sketch of the min-hashes rules out pairs that are far from the threshold (of those at it, two in ten million);
-all others are verified by the shingles themselves, and verified pairs make components as above.
+all others are verified by the shingles themselves, and verified pairs make components as above. Where a unit has more such pairs than rows (a group of copies about as far apart as the
+threshold), the pairs are not written: the unit's shingles come to it instead, and it gives back links that connect what all of its similar pairs do.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which links like any other; a text of one or two words
 is one shingle; equal texts share a fingerprint and hence a component; a null doc_id is never a component's name unless
@@ -36,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelgrid.session import stage
 
@@ -50,6 +52,8 @@ BANDS, ROWS = 30, 5  # min-hash bands: of pairs at the threshold 7 in a million
 AGREE = 95  # of the 150 bytes of two sketches; a pair at the threshold agrees in 120 with a deviation of 4.9
 FIRST = 6  # bands whose neighbours are compared first
 BLOCK = 1024  # rows of one side of a unit in which a bucket is compared across roots
+BLOCK_MARKS = 1 << 20  # shingles of these rows, at most, but for those of one text
+FOUND = "u long, v long, band int, value long, i int, j int, side int, root long"  # a pair u, v, or a row u of a unit that has more pairs than rows
 TEXTS = 256  # texts cut into shingles before these are handed on
 FEW_KEYS = 1 << 20  # keys that are sent to the rows instead of shuffling these
 
@@ -287,8 +291,8 @@ def let_go() -> None:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of all columns), node (the text's words as a hash), fp (the fingerprint of its shingles), the hash of each of `BANDS` bands of min-hashes, and the
-    sketch (the last byte of every min-hash) of every document; without words the sketch is empty."""
+    """doc_id, row (a hash of all columns), node (the text's words as a hash), fp (the fingerprint of its shingles), the hash of each of `BANDS` bands of min-hashes, the
+    sketch (the last byte of every min-hash) and the number of distinct shingles of every document; without words the sketch is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -297,7 +301,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         factor = factor * np.uint64(2) + np.uint64(1)
         weight = rng.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            node, mark, sketch, bands = [], [], [], np.zeros((batch.num_rows, BANDS), np.uint64)
+            node, mark, sketch, size, bands = [], [], [], [], np.zeros((batch.num_rows, BANDS), np.uint64)
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 node.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "replace").lower().split()) if text else b"", 5))
@@ -305,6 +309,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 marks = np.unique(hashes)
                 mark.append(majority(hashes))
                 sketch.append(b"")
+                size.append(len(marks))
                 if not len(marks):
                     continue
                 least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -315,11 +320,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketch[-1] = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
                 bands[i] = (least.reshape(BANDS, ROWS) * weight).sum(1, dtype=np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-            marked = [batch.column(0), batch.column(2), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, mark)), lists, pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(marked, names=["doc_id", "row", "node", "fp", "bands", "sketch"])
+            marked = [batch.column(0), batch.column(2), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, mark)), lists, pa.array(sketch, pa.binary()), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(marked, names=["doc_id", "row", "node", "fp", "bands", "sketch", "size"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash(docs).alias("row"))
-    return rows.mapInArrow(run, "doc_id long, row long, node long, fp long, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, row long, node long, fp long, bands array<long>, sketch binary, size long")
 
 
 def sketches_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -373,13 +378,14 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def across_roots(nodes: DataFrame, block: int) -> DataFrame:
-    """All pairs u < v of nodes (node, root, bands, sketch) with an equal band, different roots and near sketches.
+    """All pairs u < v of nodes (node, root, bands, sketch, size) with an equal band, different roots and near sketches, as `FOUND`.
 
     Only buckets that hold several roots are looked at. Of these the members outside the bucket's most frequent root
-    are compared with all members, in units of at most about `block` rows a side, and a unit gives back the near ones only.
+    are compared with all members, in units of at most about `block` rows a side, and a unit gives back the near ones only: its
+    pairs, or if these are more than its rows, the rows that have one.
     """
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         side, node, root = (rows.column(c).to_numpy() for c in ("side", "node", "root"))
         sketch = _matrix(rows.column("sketch").combine_chunks() if rows.num_rows else pa.array([], pa.binary()))
@@ -388,22 +394,32 @@ def across_roots(nodes: DataFrame, block: int) -> DataFrame:
         for i in few:
             near = every[sketches_near(sketch[every], sketch[i])]
             near = near[root[near] != root[i]]
-            found.append((np.full(len(near), node[i]), node[near]))
-        u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
-
+            found.append((np.full(len(near), i), near))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        known, place = np.unique(node, return_inverse=True)
+        pairs = np.unique(np.minimum(place[a], place[b]) * len(known) + np.maximum(place[a], place[b]))
+        if len(pairs) <= rows.num_rows:
+            columns = [known[pairs // max(len(known), 1)], known[pairs % max(len(known), 1)]]
+        else:
+            used = np.unique(np.concatenate([a, b]))
+            columns = [node[used], None, *(np.full(len(used), k.as_py()) for k in key), side[used], root[used]]
+        columns += [None] * (len(names) - len(columns))
+        return pa.Table.from_arrays([pa.nulls(len(columns[0]), t) if c is None else pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    names, types = zip(*((f.split()[0], pa.int64() if f.endswith("long") else pa.int32()) for f in FOUND.split(", ")))
     keys = ["band", "value"]
-    rows = nodes.select("node", "root", F.posexplode("bands").alias("band", "value"))
-    mixed = stage(rows.groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select(*keys, "n"), "mixed-buckets")
-    members = stage(rows.join(mixed, keys).join(nodes.select("node", "sketch"), "node"), "members")
+    rows = nodes.select("node", "root", "size", F.posexplode("bands").alias("band", "value"))
+    counts = [F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("marks")]
+    mixed = stage(rows.groupBy(*keys).agg(*counts).where("low < high").select(*keys, "n", "marks"), "mixed-buckets")
+    members = stage(rows.drop("size").join(mixed, keys).join(nodes.select("node", "sketch"), "node"), "members")
     main = members.groupBy(*keys, "root").agg(F.count("*").alias("k")).groupBy(*keys).agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    parts = F.ceil(F.col("n") / block).cast("int")
+    parts = F.ceil(F.greatest(F.col("n") / block, F.least(F.col("marks") / BLOCK_MARKS, F.col("n")))).cast("int")
     members = members.join(main, keys).withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")})
     other = F.explode(F.expr("sequence(0, parts - 1)"))
     few = members.where("root != main").select(*keys, F.col("own").alias("i"), other.alias("j"), F.lit(0).alias("side"), "node", "root", "sketch")
     used = few.select(*keys, "i").distinct()
     every = members.select(*keys, F.col("own").alias("j"), F.lit(1).alias("side"), "node", "root", "sketch").join(used, keys).select(*few.columns)
-    return few.unionByName(every).groupBy(*keys, "i", "j").applyInArrow(run, "u long, v long").distinct()
+    return few.unionByName(every).groupBy(*keys, "i", "j").applyInArrow(run, FOUND).distinct()
 
 
 def of_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -414,8 +430,8 @@ def of_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(keys, (F.col("__row") == F.col("__of_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__of_id")), how)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Those pairs u, v whose texts are alike. `marks`: doc_id, row and node of the documents; only texts of the pairs are read on."""
+def shingle_sets(wanted: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """node and marks (its shingles) of the wanted nodes. `marks`: doc_id, row and node of the documents; only texts of these nodes are read on."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,30 +442,70 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "marks"])
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     first = marks.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("row", "doc_id")).alias("x")).select("node", "x.row", "x.doc_id")
     texts = of_keys(docs.select("doc_id", row_hash(docs).alias("__row"), "text"), first, "inner").select("node", "text")
     sets = texts.mapInArrow(mark, "node long, marks array<long>").groupBy("node").agg(F.any_value("marks").alias("marks"))
-    sets = stage(sets, "shingles")
+    return stage(sets, "shingles")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those pairs u, v whose texts are alike. `marks`: doc_id, row and node of the documents."""
+    sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, marks)
     left, right = (sets.select(F.col("node").alias(k), F.col("marks").alias(f"m{k}")) for k in "uv")
     both = F.size(F.array_intersect("mu", "mv"))
     rows = pairs.join(left, "u").join(right, "v").select("u", "v", both.alias("both"), (F.size("mu") + F.size("mv") - both).alias("all"))
     return rows.where(F.col("both") >= F.col("all") * SIMILAR).select("u", "v")
 
 
+def in_crowds(rows: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Edges u, v between similar nodes that connect all similar pairs of different roots in each unit of rows (`FOUND`), fewer than the rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        side, node, root = (rows.column(c).to_numpy() for c in ("side", "node", "root"))
+        lists = rows.column("marks").combine_chunks()
+        flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]  # shingles by their place
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        ends = np.cumsum(size)
+        few, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        against = np.concatenate([flat[ends[j] - size[j] : ends[j]] for j in every]) if len(every) else flat[:0]
+        starts = np.cumsum(size[every]) - size[every]
+        held, found = np.zeros(flat.max() + 1 if len(flat) else 0, np.int32), []
+        for i in few if len(every) else ():
+            own = flat[ends[i] - size[i] : ends[i]]
+            held[own] = 1
+            both = np.add.reduceat(held[against], starts)
+            held[own] = 0
+            near = every[(both >= (size[i] + size[every] - both) * SIMILAR) & (root[every] != root[i])]
+            found.append((np.full(len(near), i), near))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        known, place = np.unique(node, return_inverse=True)
+        least = forest(len(known), place[a], place[b])
+        linked = np.flatnonzero(least != np.arange(len(known)))
+        return pa.table({"u": pa.array(known[least[linked]]), "v": pa.array(known[linked])})
+
+    rows = rows.withColumnRenamed("u", "node").drop("v")
+    sets = shingle_sets(rows.select("node").distinct(), docs, marks)
+    return rows.join(sets, "node").groupBy("band", "value", "i", "j").applyInArrow(run, "u long, v long").distinct()
+
+
 def similar_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, row (its hash), node (equal for equal words) and root (equal for all that similar pairs connect).
 
     Links of the tries and neighbours connect most of a large group first; then every bucket that still holds several roots is compared across them.
     """
     marks = stage(signatures(docs), "signatures")
-    nodes = stage(marks.where(F.octet_length("sketch") > 0).groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = stage(marks.where(F.octet_length("sketch") > 0).groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("size").alias("size")), "nodes")
     marks = marks.select("doc_id", "row", "node")
     edges = stage(verified(stage(in_tries(nodes).unionByName(neighbours(nodes)).distinct(), "candidates"), docs, marks), "similar")
     roots = components(edges)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = stage(verified(stage(across_roots(rooted, block), "candidates"), docs, marks), "similar")
-    roots = components(edges.unionByName(more))
+    found = stage(across_roots(rooted, block).to(T.StructType.fromDDL(FOUND)), "candidates")
+    pairs, crowds = found.where("v is not null").select("u", "v"), found.where("v is null")
+    edges = edges.unionByName(stage(verified(pairs, docs, marks), "similar"))
+    if crowds.limit(1).count():
+        edges = edges.unionByName(stage(in_crowds(crowds, docs, marks), "similar"))
+    roots = components(edges)
     return marks.join(roots, "node", "left").select("doc_id", "row", "node", F.coalesce("root", "node").alias("root"))
 
 

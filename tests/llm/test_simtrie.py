@@ -169,6 +169,33 @@ def test_one_large_group_of_near_copies(spark, monkeypatch, first, block, keys):
     assert len(got) == len(set(got)) and set(got) == jaccard_groups(rows) and 1 < len(got) < 700
 
 
+def test_pairs_of_a_group_at_the_threshold_do_not_become_rows(spark, monkeypatch):
+    """Copies that are all about as far apart as the threshold: candidates grow with the rows, and the few links among them are found."""
+    import panelgrid.llm.simtrie as module
+
+    sizes = {}
+
+    def counted(df, name="stage"):
+        out = stage(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    stage = module.stage
+    monkeypatch.setattr(module, "stage", counted)
+    monkeypatch.setattr(module, "BLOCK", 100)
+    rng = random.Random(4)
+    words, rows = [f"w{i}" for i in range(200)], []
+    for i in range(300):
+        copy = list(words)
+        for at in rng.sample(range(200), 4 if i < 290 else 2):
+            copy[at] = f"x{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    want = jaccard_groups(rows)
+    got = [r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 100 < len(want) < 290
+    assert sizes["candidates"][1] <= 2 * sizes["members"][0]
+
+
 def test_keep_one_joins_fingerprints_by_tries(spark, monkeypatch):
     """The stage's candidates come from the self-join of tries too, not from shared bands alone."""
     import panelgrid.llm.simtrie as module
