@@ -13,14 +13,22 @@ A search finds the exact k best documents of each query in three steps, each a j
    are added up by document. Those that lead give a second, higher bound, and a document stays if its sum and the most of what was left out reach it;
 3. these documents are scored with all their terms.
 
+Queries come in blocks of about `TERMS` terms. What a block asks of the postings (its terms, blocks and bounds, and the leading documents of a query) is small and goes to every task, so
+postings stay where they lie; only sums, and for the last step the postings of the block's terms, are shuffled, once each.
+
 So a word that all documents share makes no rows for the pairs of queries and documents that it alone connects. Queries without k documents of a positive score
 have no bound, and all their blocks are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +36,8 @@ from panelgrid.operators.text import EPSILON, K1, B, postings, token_array
 from panelgrid.session import scratch_path, stage
 
 PARTS = 32  # folders of postings by term
+SLICES = 16  # of documents, so that a word in all of them is not one task's
+TERMS = 1 << 15  # of the queries of a block, about
 LEVELS = 20  # of impact
 SEEDS = 4000  # postings read for the first lower bound of a query
 REST = 0.5  # share of the bound that terms left out at first may bring together
@@ -48,14 +58,33 @@ def part_of(term: str | Column) -> Column:
 
 
 def impact_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", b: float = B) -> DataFrame:
-    """Rows of the index, clustered and sorted for writing by `part`."""
-    sized = stage(docs.select(F.col(key).alias("doc"), token_array(text).alias("_t")).withColumn("dl", F.size("_t")), "tokens")
-    average = sized.agg(F.avg("dl")).scalar()
-    tf = sized.select("doc", "dl", F.explode("_t").alias("term")).groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Rows of the index, clustered and sorted for writing by `part`.
+
+    Occurrences are counted within each text, and the counts are shuffled once, by term and slice of documents, where rows of the same document add up.
+    """
+    sized = docs.select(F.col(key).alias("doc"), token_array(text).alias("_t")).withColumn("dl", F.size("_t"))
+    average = stage(sized.agg(F.avg("dl").alias("average")), "average").scalar()
+    schema = f"doc {sized.schema['doc'].dataType.simpleString()}, dl int, term string, tf long"
+    counts = sized.where(F.size("_t") > 0).select("doc", "dl", "_t").mapInArrow(_occurrences, schema)
+    counts = counts.select(part_of("term").alias("part"), F.pmod(F.xxhash64("doc"), F.lit(SLICES)).alias("_slice"), "doc", "dl", "term", "tf").repartition("part", "_slice")
+    tf = counts.groupBy("part", "_slice", "doc", "dl", "term").agg(F.sum("tf").alias("tf"))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - b + b * F.col("dl") / average))
-    rows = tf.select(part_of("term").alias("part"), "term", "doc", gain.alias("gain"))
+    rows = tf.select("part", "term", "doc", gain.alias("gain"))
     rows = rows.withColumn("level", F.least(F.floor(F.col("gain") * (LEVELS / (K1 + 1))), F.lit(LEVELS - 1)).cast("int"))
-    return rows.hint("rebalance", "part").sortWithinPartitions("part", "term", F.desc("level"))
+    return rows.sortWithinPartitions("part", "term", F.desc("level"), "doc")
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, dl, term, tf: the distinct terms of each text."""
+    for batch in batches:
+        tokens = batch.column("_t")
+        flat = tokens.flatten().dictionary_encode()
+        if not len(flat):
+            continue
+        n = len(flat.dictionary)
+        found, tf = np.unique(pc.list_parent_indices(tokens).to_numpy().astype(np.int64) * n + flat.indices.to_numpy(), return_counts=True)
+        at = pa.array(found // n)
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("dl").take(at), flat.dictionary.take(pa.array(found % n)), pa.array(tf)], names=["doc", "dl", "term", "tf"])
 
 
 def impact_blocks(rows: DataFrame) -> DataFrame:
@@ -94,9 +123,8 @@ def weights_of(queries: DataFrame, index: Index, query_key: str, text: str) -> D
 
 
 def _scores(pairs: DataFrame, weights: DataFrame, rows: DataFrame) -> DataFrame:
-    """q, doc and score of pairs (q, doc), over all terms they share."""
-    terms = pairs.join(weights.select("q", "term", "w"), "q")
-    gains = terms.join(rows.select("term", "doc", "gain"), ["term", "doc"])
+    """q, doc and score of pairs (q, doc), over all terms they share. The weights are those of a block of queries."""
+    gains = rows.select("doc", "term", "gain").join(pairs, "doc").join(F.broadcast(weights.select("q", "term", "w")), ["q", "term"])
     return gains.groupBy("q", "doc").agg(F.round(F.sum(F.col("w") * F.col("gain")), 6).alias("score"))
 
 
@@ -126,8 +154,8 @@ def seeds(blocks: DataFrame, weights: DataFrame, size: int) -> DataFrame:
 
 def candidates(kept: DataFrame, rows: DataFrame) -> DataFrame:
     """q, doc, seen (its gains in kept blocks) and upper (with the most of the blocks left out) of the documents that may reach the bound."""
-    seen = kept.join(rows.select("term", "level", "doc", "gain"), ["term", "level"])
-    sums = seen.groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("gain")).alias("seen"), F.first("rest").alias("rest"), F.first("bound").alias("bound"))
+    seen = rows.select("term", "level", "doc", "gain").join(F.broadcast(kept.select("q", "term", "level", "w")), ["term", "level"])
+    sums = seen.groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("gain")).alias("seen")).join(F.broadcast(kept.select("q", "rest", "bound").distinct()), "q")
     return sums.withColumn("upper", F.col("seen") + F.col("rest")).where("upper >= bound").select("q", "doc", "seen", "upper")
 
 
@@ -135,21 +163,30 @@ def kth_scores(sums: DataFrame, weights: DataFrame, rows: DataFrame, k: int) ->
     """q and bound, the k-th score among the documents that lead by what was seen of them; no row for fewer with a positive score."""
     place = lambda by: F.row_number().over(Window.partitionBy("q").orderBy(F.desc(by), "doc"))
     first = sums.withColumn("_place", place("seen")).where(F.col("_place") <= 2 * k).select("q", "doc")
-    scored = _scores(first, weights, rows).where("score > 0").withColumn("_place", place("score"))
+    scored = _scores(F.broadcast(first), weights, rows).where("score > 0").withColumn("_place", place("score"))
     return scored.where(F.col("_place") == k).select("q", F.col("score").alias("bound"))
 
 
 def search(queries: DataFrame, index: Index, k: int, query_key: str = "item_id", doc_key: str = "doc_id", text: str = "text", size: int = SEEDS) -> DataFrame:
     """The k best documents per query with a positive score, exactly; ties to the smaller document."""
     weights = stage(weights_of(queries, index, query_key, text), "query-terms")
+    blocks = -(-weights.count() // TERMS)
+    dealt = F.pmod(F.xxhash64("q"), F.lit(max(blocks, 1)))
+    found = reduce(DataFrame.unionByName, [_search_block(weights.where(dealt == i), index, k, size) for i in range(max(blocks, 1))])
+    return found.select(F.col("q").alias(query_key), F.col("doc").alias(doc_key), "score", "rank")
+
+
+def _search_block(weights: DataFrame, index: Index, k: int, size: int) -> DataFrame:
+    """q, doc, score and rank of the k best documents of the queries of a block."""
     folders = [r.part for r in weights.select(part_of("term").alias("part")).distinct().collect()]  # PARTS at most
-    rows, terms = index.postings.where(F.col("part").isin(folders)).drop("part"), weights.select("term").distinct()
-    blocks = stage(index.blocks.join(terms, "term", "left_semi"), "query-blocks")
-    first = seeds(blocks, weights, size).join(rows, ["term", "level"]).groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("gain")).alias("seen"))
+    terms = weights.select("term").distinct()
+    rows = index.postings.where(F.col("part").isin(folders)).drop("part").join(F.broadcast(terms), "term", "left_semi")
+    blocks = stage(index.blocks.join(F.broadcast(terms), "term", "left_semi"), "query-blocks")
+    first = rows.join(F.broadcast(seeds(blocks, weights, size)), ["term", "level"]).groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("gain")).alias("seen"))
     bounds = stage(kth_scores(first, weights, rows, k), "bounds")
     sums = stage(candidates(promising(blocks, weights, bounds), rows), "sums")
     bounds = stage(kth_scores(sums, weights, rows, k), "bounds")
-    left = sums.join(bounds, "q", "left").where(F.col("upper") >= F.coalesce("bound", F.lit(0.0)) - SLACK).select("q", "doc")
+    left = sums.join(F.broadcast(bounds), "q", "left").where(F.col("upper") >= F.coalesce("bound", F.lit(0.0)) - SLACK).select("q", "doc")
     scores = _scores(left, weights, rows).where("score > 0")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))
-    return scores.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("doc").alias(doc_key), "score", "rank")
+    return scores.withColumn("rank", place).where(F.col("rank") <= k).select("q", "doc", "score", "rank")
