@@ -1,20 +1,21 @@
 """Lexical retrieval over a stored index, whose postings lie in blocks of equal impact.
 
 A posting's impact is what one occurrence list of a term adds to a document's score before the term's weight. The index is three
-tables: postings in files by a hash of the term (`part`), sorted by term and falling `level` of impact; blocks (one row for a term and level, with
-its size and largest impact); and the corpus' numbers. Building it shuffles postings once; a word in all documents is split over files.
+tables: postings in folders by a hash of the term (`part`) and in buckets of documents, sorted by term and `level` of impact; blocks (one row for a term and level, with
+its size and largest impact); and the corpus' numbers. Building it shuffles the texts once, by document; a word in all documents is in all buckets.
 
-A search finds the exact k best documents of each query in three steps, each a join of some blocks with the postings:
+A search finds the exact k best documents of each query in four steps, each a join of some blocks with the postings:
 
 1. the blocks that promise most are read until they hold `SEEDS` postings; the documents that lead by these are scored, and the k-th
    score is a lower bound for the query;
 2. the terms whose largest possible gains together stay under a share of the bound cannot bring a document in by themselves and are left out, and a block of another term
    too if its largest gain and the most of all other terms stay under the bound. Postings of the blocks that are left
-   are added up by document. Those that lead give a second, higher bound, and a document stays if its sum and the most of what was left out reach it;
-3. these documents are scored with all their terms.
+   are added up by document. Those that lead give a second, higher bound;
+3. the same under the higher bound; a document stays if its sum and the most of what was left out reach it;
+4. these documents are scored with all their terms.
 
-Queries come in blocks of about `TERMS` terms. What a block asks of the postings (its terms, blocks and bounds, and the leading documents of a query) is small and goes to every task, so
-postings stay where they lie; only sums, and for the last step the postings of the block's terms, are shuffled, once each.
+Queries come in blocks of about `TERMS` terms. What a block asks of the postings (its terms, blocks and bounds, and the leading documents of a query) is small and goes to every task, and
+sums by document are made in its bucket. So neither postings nor sums are shuffled or written.
 
 So a word that all documents share makes no rows for the pairs of queries and documents that it alone connects. Queries without k documents of a positive score
 have no bound, and all their blocks are read.
@@ -22,6 +23,7 @@ have no bound, and all their blocks are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -32,11 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelgrid.operators.runs import same_as_before, whole_keys
 from panelgrid.operators.text import EPSILON, K1, B, postings, token_array
 from panelgrid.session import scratch_path, stage
 
 PARTS = 32  # folders of postings by term
-SLICES = 16  # of documents, so that a word in all of them is not one task's
 TERMS = 1 << 15  # of the queries of a block, about
 LEVELS = 20  # of impact
 SEEDS = 4000  # postings read for the first lower bound of a query
@@ -58,33 +60,49 @@ def part_of(term: str | Column) -> Column:
 
 
 def impact_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", b: float = B) -> DataFrame:
-    """Rows of the index, clustered and sorted for writing by `part`.
+    """Rows of the index, by buckets of documents: part, term, doc, gain, level.
 
-    Occurrences are counted within each text, and the counts are shuffled once, by term and slice of documents, where rows of the same document add up.
+    The texts are shuffled once, by document; terms are counted where a document's rows lie together, and rows of a document with as many terms add up.
     """
     sized = docs.select(F.col(key).alias("doc"), token_array(text).alias("_t")).withColumn("dl", F.size("_t"))
     average = stage(sized.agg(F.avg("dl").alias("average")), "average").scalar()
-    schema = f"doc {sized.schema['doc'].dataType.simpleString()}, dl int, term string, tf long"
-    counts = sized.where(F.size("_t") > 0).select("doc", "dl", "_t").mapInArrow(_occurrences, schema)
-    counts = counts.select(part_of("term").alias("part"), F.pmod(F.xxhash64("doc"), F.lit(SLICES)).alias("_slice"), "doc", "dl", "term", "tf").repartition("part", "_slice")
-    tf = counts.groupBy("part", "_slice", "doc", "dl", "term").agg(F.sum("tf").alias("tf"))
+    dealt = docs.select(F.col(key).alias("doc"), F.col(text).alias("_text")).repartition(buckets_of(docs), "doc").sortWithinPartitions("doc")
+    counted = dealt.select("doc", token_array("_text").alias("_t")).where(F.size("_t") > 0)
+    tf = counted.mapInArrow(_occurrences, f"doc {sized.schema['doc'].dataType.simpleString()}, dl int, term string, tf long")
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - b + b * F.col("dl") / average))
-    rows = tf.select("part", "term", "doc", gain.alias("gain"))
-    rows = rows.withColumn("level", F.least(F.floor(F.col("gain") * (LEVELS / (K1 + 1))), F.lit(LEVELS - 1)).cast("int"))
-    return rows.sortWithinPartitions("part", "term", F.desc("level"), "doc")
+    rows = tf.select(part_of("term").alias("part"), "term", "doc", gain.alias("gain"))
+    return rows.withColumn("level", F.least(F.floor(F.col("gain") * (LEVELS / (K1 + 1))), F.lit(LEVELS - 1)).cast("int"))
+
+
+def buckets_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def store_postings(rows: DataFrame) -> str:
+    """Write the rows of `impact_postings` to the shared folder, as an external table of the session's catalog. Returns its name."""
+    name = f"panelgrid_postings_{uuid.uuid4().hex}"
+    out = rows.write.partitionBy("part").bucketBy(buckets_of(rows), "doc").sortBy("term", "level")
+    out.option("path", scratch_path(rows.sparkSession, "postings")).format("parquet").saveAsTable(name)
+    return name
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, dl, term, tf: the distinct terms of each text."""
-    for batch in batches:
-        tokens = batch.column("_t")
-        flat = tokens.flatten().dictionary_encode()
-        if not len(flat):
-            continue
-        n = len(flat.dictionary)
-        found, tf = np.unique(pc.list_parent_indices(tokens).to_numpy().astype(np.int64) * n + flat.indices.to_numpy(), return_counts=True)
-        at = pa.array(found // n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("dl").take(at), flat.dictionary.take(pa.array(found % n)), pa.array(tf)], names=["doc", "dl", "term", "tf"])
+    """doc, dl, term, tf: the distinct terms of each document, whose rows come one after the other."""
+    for table in whole_keys(batches, "doc", 0):
+        for part in table.to_batches():  # one, as the table is combined
+            doc, tokens = part.column("doc"), part.column("_t")
+            flat = tokens.flatten().dictionary_encode()
+            dl = pc.list_value_length(tokens).to_numpy()
+            new = ~same_as_before(doc)
+            row = np.arange(len(doc))
+            if not new.all():  # rows of a document with equal length are one
+                seen: dict[tuple[int, int], int] = {}
+                group = np.cumsum(new)
+                row = np.array([seen.setdefault((int(g), int(n)), i) for i, (g, n) in enumerate(zip(group, dl))])
+            n = len(flat.dictionary)
+            found, tf = np.unique(row[pc.list_parent_indices(tokens).to_numpy()].astype(np.int64) * n + flat.indices.to_numpy(), return_counts=True)
+            at = found // n
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(at)), pa.array(dl[at], pa.int32()), flat.dictionary.take(pa.array(found % n)), pa.array(tf)], names=["doc", "dl", "term", "tf"])
 
 
 def impact_blocks(rows: DataFrame) -> DataFrame:
@@ -105,10 +123,7 @@ def corpus_numbers(docs: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", b: float = B) -> Index:
     """The index of a table of texts, written to the shared folder."""
-    path = scratch_path(docs.sparkSession, "postings")
-    rows = impact_postings(docs, key, text, b)
-    rows.write.partitionBy("part").parquet(path)
-    rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    rows = docs.sparkSession.table(store_postings(impact_postings(docs, key, text, b)))
     blocks = stage(impact_blocks(rows), "blocks")
     return Index(rows, blocks, stage(corpus_numbers(docs, blocks), "corpus"))
 
@@ -183,10 +198,10 @@ def _search_block(weights: DataFrame, index: Index, k: int, size: int) -> DataFr
     rows = index.postings.where(F.col("part").isin(folders)).drop("part").join(F.broadcast(terms), "term", "left_semi")
     blocks = stage(index.blocks.join(F.broadcast(terms), "term", "left_semi"), "query-blocks")
     first = rows.join(F.broadcast(seeds(blocks, weights, size)), ["term", "level"]).groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("gain")).alias("seen"))
-    bounds = stage(kth_scores(first, weights, rows, k), "bounds")
-    sums = stage(candidates(promising(blocks, weights, bounds), rows), "sums")
-    bounds = stage(kth_scores(sums, weights, rows, k), "bounds")
-    left = sums.join(F.broadcast(bounds), "q", "left").where(F.col("upper") >= F.coalesce("bound", F.lit(0.0)) - SLACK).select("q", "doc")
+    low = stage(kth_scores(first, weights, rows, k), "bounds")
+    high = kth_scores(candidates(promising(blocks, weights, low), rows), weights, rows, k)
+    bounds = stage(low.unionByName(high).groupBy("q").agg(F.max("bound").alias("bound")), "bounds")
+    left = candidates(stage(promising(blocks, weights, bounds), "kept"), rows).select("q", "doc")
     scores = _scores(left, weights, rows).where("score > 0")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))
     return scores.withColumn("rank", place).where(F.col("rank") <= k).select("q", "doc", "score", "rank")

@@ -65,7 +65,7 @@ BM = f"""{POST}, dl AS (SELECT d.doc_id, coalesce(sum(p.tf), 0) AS dl FROM docum
 def documents_index(b) -> retrieval.Index:
     """The index of the documents, built once for all queries that search it."""
     docs = b("documents")
-    rows = b.kept("postings", lambda: retrieval.impact_postings(docs), by=("part",))
+    rows = b.kept_table("postings", lambda: retrieval.store_postings(retrieval.impact_postings(docs)))
     blocks = b.kept("blocks", lambda: retrieval.impact_blocks(rows))
     return retrieval.Index(rows, blocks, b.kept("corpus", lambda: retrieval.corpus_numbers(docs, blocks)))
 
